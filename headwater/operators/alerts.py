@@ -50,9 +50,10 @@ def alert_targets(features: DataFrame, horizons: Sequence[int] = ALERT_HORIZONS)
         for h in horizons
     ]
     return (
-        features.withColumn("_ahead", F.explode(F.array(*ahead)))
+        features.withColumn("_all", F.array(*ahead))
+        .withColumn("_ahead", F.explode("_all"))
         .select("*", "_ahead.horizon", "_ahead.target")
-        .drop("_ahead")
+        .drop("_ahead", "_all")
         .filter(F.col("target").isNotNull())
         .withColumn("target", F.col("target").cast("int"))
     )

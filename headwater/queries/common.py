@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from headwater.functions.registry import with_errors
@@ -26,7 +26,7 @@ def sql_round(*columns: str, places: int = PLACES) -> str:
 def reversion_table(spark: SparkSession, folder: str) -> DataFrame:
     """Targets with a forecast plain SQL can state: back to the mean level so far."""
     daily = consecutive_change(views.daily(spark, folder))
-    so_far = rows_of("dam").rowsBetween(-100000, 0)
+    so_far = rows_of("dam").rowsBetween(Window.unboundedPreceding, 0)
     daily = daily.withColumn("model", F.avg("rwl_m").over(so_far) - F.col("rwl_m"))
     return with_label_date(horizon_targets(daily))
 

@@ -146,11 +146,11 @@ def feature_maps(spark, folder):
 
 
 @register("interactions", f"""{with_ctes(*FEATURE_CTES)}
-SELECT dam, date, horizon, round(rain_next_3d * horizon, 4) AS rain_next_3d_x_h, round(rain_next_7d * horizon, 4) AS rain_next_7d_x_h,
-  round(rain_next_7d * ln(1 + rain_30d), 4) AS wetness_x_fcst, round(coalesce(dev_24h_m * horizon, 0), 4) AS base_drift FROM model_table""")
+SELECT dam, date, horizon, round(rain_next_3d * horizon, 6) AS rain_next_3d_x_h, round(rain_next_7d * horizon, 6) AS rain_next_7d_x_h,
+  round(rain_next_7d * ln(1 + rain_30d), 6) AS wetness_x_fcst, round(coalesce(dev_24h_m * horizon, 0), 6) AS base_drift FROM model_table""")
 def interactions(spark, folder):
     table = with_stacked_baseline(with_interactions(events_table(spark, folder)))
-    return rounded(table.select("dam", "date", "horizon", "rain_next_3d_x_h", "rain_next_7d_x_h", "wetness_x_fcst", "base_drift"), 4)
+    return rounded(table.select("dam", "date", "horizon", "rain_next_3d_x_h", "rain_next_7d_x_h", "wetness_x_fcst", "base_drift"))
 
 
 @register("feature_sets", f"""{with_ctes(*FEATURE_CTES)}
