@@ -39,7 +39,10 @@ def causal_z(value: Column, n: Column, mean: Column, sd: Column) -> Column:
 def population_sd(n: Column, total: Column, squares: Column) -> Column:
     """Population standard deviation from its sufficient statistics."""
     mean = F.try_divide(total, n)
-    return F.sqrt(F.greatest(F.try_divide(squares, n) - mean * mean, F.lit(0.0)))
+    variance = F.try_divide(squares, n) - mean * mean
+    # What is left of a constant series is rounding, not spread.
+    return F.when(variance > F.lit(1e-13) * mean * mean, F.sqrt(F.greatest(variance, F.lit(0.0)))).when(
+        variance.isNotNull(), F.lit(0.0))
 
 
 def shrink(prediction: Column, factor) -> Column:

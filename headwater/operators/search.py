@@ -61,7 +61,8 @@ def config_scores(errors: DataFrame, config: Sequence[str] = CONFIG, cap: float
 
     The first aggregate sees all errors and reduces them before its shuffle; the
     second only sees one row per horizon. The ratio to the best baseline is
-    capped, and is the cap where the error is not finite.
+    capped, and is the cap where the error is not finite. A win must exceed the
+    rounding noise of sums whose order a cluster does not fix.
     """
     sums = [F.sum("abs_err_model").alias("_sum")]
     sums += [F.avg(f"abs_err_{n}").alias(f"_mae_{n}") for n in BASELINES]
@@ -71,7 +72,7 @@ def config_scores(errors: DataFrame, config: Sequence[str] = CONFIG, cap: float
     best = F.least(*[F.col(f"_mae_{n}") for n in BASELINES])
     finite = F.col("mae").isNotNull() & ~F.isnan("mae") & (F.abs("mae") != F.lit(float("inf")))
     ratio = F.when(finite, F.least(F.col("mae") / F.greatest(best, F.lit(1e-6)), F.lit(cap))).otherwise(cap)
-    per = per.withColumns({"best_baseline": best, "ratio": ratio, "wins": finite & (F.col("mae") < best)})
+    per = per.withColumns({"best_baseline": best, "ratio": ratio, "wins": finite & (F.round("mae", 9) < F.round(best, 9))})
     overall = per.groupBy(*config, "split").agg(
         (F.sum("_sum") / F.sum("n")).alias("mae"),
         F.count_if("wins").alias("n_wins"),

@@ -1,3 +1,93 @@
-from headwater.queries.common import query_set
+"""Fitted models: too much for SQL, so checked by tests instead."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from headwater.operators import ridge as ridges
+from headwater.operators import scoreboard
+from headwater.operators.alerts import alert_features, alert_targets, confusion
+from headwater.operators.causal import expert_blend
+from headwater.operators.targets import labelled
+from headwater.plans import backtest, search, walkforward
+from headwater.plans.roles import events_table
+from headwater.queries.common import query_set, rounded
+from headwater.sources import views
 
 QUERIES, ORACLES, register = query_set()
+
+KEYS = ("dam", "date", "horizon")
+
+
+@register("ridge_prequential")
+def ridge_prequential(spark, folder):
+    errors = backtest.backtest(events_table(spark, folder))
+    return rounded(errors.select(*KEYS, "fcst_source", "actual", "model", "abs_err_model", "abs_err_persistence", "abs_err_drift"), 4)
+
+
+@register("ridge_scoreboard")
+def ridge_scoreboard(spark, folder):
+    return scoreboard.scoreboard(backtest.backtest(events_table(spark, folder)))
+
+
+@register("ridge_by_source")
+def ridge_by_source(spark, folder):
+    return scoreboard.by_source(backtest.backtest(events_table(spark, folder)))
+
+
+@register("ridge_per_dam")
+def ridge_per_dam(spark, folder):
+    errors = backtest.backtest(events_table(spark, folder), pooling="horizon", penalty=5.0)
+    return scoreboard.scoreboard(errors)
+
+
+@register("bagged_ridge")
+def bagged_ridge(spark, folder):
+    rows = backtest.prepared(events_table(spark, folder))
+    bag = ridges.bagged_ridge(rows, [*search.feature_columns("lean"), "horizon"], KEYS)
+    return scoreboard.scoreboard(backtest.errors_of(labelled(bag)))
+
+
+@register("forest_walkforward")
+def forest_walkforward(spark, folder):
+    rows = labelled(backtest.prepared(events_table(spark, folder)))
+    scored = walkforward.walk_forward(rows, [*search.feature_columns("base"), "dam_effect"], "forest", walkforward.week_start())
+    return scoreboard.scoreboard(backtest.errors_of(scored))
+
+
+@register("tree_walkforward")
+def tree_walkforward(spark, folder):
+    rows = labelled(backtest.prepared(events_table(spark, folder)))
+    scored = walkforward.walk_forward(rows, search.feature_columns("lean"), "tree", walkforward.week_start())
+    return scoreboard.scoreboard(backtest.errors_of(scored))
+
+
+@register("huber_walkforward")
+def huber_walkforward(spark, folder):
+    rows = labelled(backtest.prepared(events_table(spark, folder)))
+    scored = walkforward.walk_forward(rows, search.feature_columns("tiny"), "huber", walkforward.week_start())
+    return scoreboard.scoreboard(backtest.errors_of(scored))
+
+
+@register("weighted_ensemble")
+def weighted_ensemble(spark, folder):
+    """Exponentially weighted mean of two learners and the naive forecasts."""
+    rows = backtest.prepared(events_table(spark, folder))
+    rows = ridges.ridge(rows, [*search.feature_columns("lean"), "horizon"], name="linear")
+    rows = search.causal_mean(rows, "horizon", True, "level")
+    mixed = expert_blend(rows.withColumn("persistence", F.lit(0.0)), ["linear", "level", "persistence"], 0.1, ["horizon"], "model")
+    return scoreboard.scoreboard(backtest.errors_of(labelled(mixed)))
+
+
+@register("alert_walkforward")
+def alert_walkforward(spark, folder):
+    targets = alert_targets(alert_features(views.alerts(spark, folder)))
+    return confusion(walkforward.alert_forecasts(targets, block=walkforward.week_start()))
+
+
+@register("ridge_sweep")
+def ridge_sweep(spark, folder):
+    """Dev and holdout scores of ridge configurations over pooled learners."""
+    return search.sweep(
+        events_table(spark, folder), split="2024-01-21", models=("ridge:1", "ridge:100"), features=("base", "lean"),
+        poolings=("dam", "all"), scales=(True,), stacks=(False, True), shrinks=(1.0, 0.8, 0.6, 0.4, 0.2), blends=(0.0, 0.3, 0.6, 1.0, 2.0))

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import headwater
+
 # Runtime SQL settings the plans profit from. Co-partitioned joins may reuse an
 # exchange on a subset of the join keys: windows hash by entity, and the joins
 # on (entity, date) that follow then need no further shuffle. Tables are daily
@@ -25,6 +28,8 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session the caller owns."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    # Task functions travel by value, so executors need no copy of the package.
+    cloudpickle.register_pickle_by_value(headwater)
     return spark
 
 
