@@ -17,8 +17,8 @@ def seasonal(date: Column) -> tuple[Column, Column]:
 
 
 def finite_or_zero(value: Column) -> Column:
-    usable = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")))
-    return F.when(usable, value).otherwise(F.lit(0.0))
+    # NaN compares greater than every number and NULL is not true.
+    return F.when(F.abs(value) < F.lit(float("inf")), value).otherwise(F.lit(0.0))
 
 
 def clip(value: Column, bound: float = Z_CLIP) -> Column:

@@ -119,21 +119,28 @@ def with_causal_z(rows: DataFrame, features: Sequence[str], keys: Sequence[str]
     return joined.drop(*sums, "_pool")
 
 
-def expert_blend(rows: DataFrame, experts: Sequence[str], eta, keys: Sequence[str],
-                 name: str = "blended") -> DataFrame:
-    """Exponentially weighted mean of several forecasts.
-
-    The multiplicative update has a closed form: weights are the softmax of the
-    negative summed past losses, each row's losses scaled by its worst one.
-    """
+def with_past_losses(rows: DataFrame, experts: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Attach each expert's summed past loss, scaled by a row's worst loss."""
     losses = {e: F.abs(F.col(e) - F.col("target_delta")) for e in experts}
     worst = F.greatest(*losses.values(), F.lit(1e-6))
     past = label_prefix(rows, keys, {f"_loss_{e}": loss / worst for e, loss in losses.items()})
+    return rows.join(past, [*keys, "date"], "left")
+
+
+def expert_weights(experts: Sequence[str], eta) -> dict[str, Column]:
+    """Weights from past losses. The multiplicative update has a closed form:
+    the softmax of the negative summed losses."""
     rate = eta if isinstance(eta, Column) else F.lit(float(eta))
-    joined = rows.join(past, [*keys, "date"], "left")
     smallest = F.least(*[F.col(f"_loss_{e}") for e in experts])
     raw = {e: F.exp(-rate * (F.col(f"_loss_{e}") - smallest)) for e in experts}
     total = sum(raw.values(), F.lit(0.0))
-    joined = joined.withColumns({f"w_{e}": w / total for e, w in raw.items()})
+    return {e: w / total for e, w in raw.items()}
+
+
+def expert_blend(rows: DataFrame, experts: Sequence[str], eta, keys: Sequence[str],
+                 name: str = "blended") -> DataFrame:
+    """Exponentially weighted mean of several forecasts, and its weights."""
+    weights = expert_weights(experts, eta)
+    joined = with_past_losses(rows, experts, keys).withColumns({f"w_{e}": w for e, w in weights.items()})
     mixed = sum((F.col(f"w_{e}") * F.col(e) for e in experts), F.lit(0.0))
     return joined.withColumn(name, mixed).drop(*[f"_loss_{e}" for e in experts])

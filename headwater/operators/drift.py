@@ -24,35 +24,38 @@ class AdaptiveWindow:
 
     def __init__(self, buckets: Sequence[tuple] = (), delta: float = DELTA):
         self.delta = delta
-        # (count, sum, sum of squares), oldest first.
+        # (count, sum, sum of squares), oldest and largest first.
         self.buckets = [tuple(b) for b in buckets]
+        self.n, self.total, self.squares = (sum(b[j] for b in self.buckets) for j in range(3))
 
     def add(self, value: float) -> bool:
         """Take one value; true if the mean has shifted and the past was cut."""
         self.buckets.append((1, value, value * value))
+        self.n, self.total, self.squares = self.n + 1, self.total + value, self.squares + value * value
         self._merge()
         cut = False
-        while self._shifted():
-            self.buckets.pop(0)
+        while self.n >= 2 * self.MIN_SIDE and self._shifted():
+            count, part, square = self.buckets.pop(0)
+            self.n, self.total, self.squares = self.n - count, self.total - part, self.squares - square
             cut = True
         return cut
 
     def _merge(self) -> None:
-        size = 1
+        """Merge the two oldest buckets of a size that has one too many."""
+        end, size = len(self.buckets), 1
         while True:
-            same = [i for i, b in enumerate(self.buckets) if b[0] == size]
-            if len(same) <= self.PER_SIZE:
+            start = end
+            while start > 0 and self.buckets[start - 1][0] == size:
+                start -= 1
+            if end - start <= self.PER_SIZE:
                 return
-            i = same[0]
-            merged = tuple(a + b for a, b in zip(self.buckets[i], self.buckets[i + 1]))
-            self.buckets[i:i + 2] = [merged]
-            size *= 2
+            older, newer = self.buckets[start:start + 2]
+            self.buckets[start:start + 2] = [tuple(a + b for a, b in zip(older, newer))]
+            end, size = start + 1, size * 2
 
     def _shifted(self) -> bool:
-        n, total, squares = (sum(b[j] for b in self.buckets) for j in range(3))
-        if n < 2 * self.MIN_SIDE:
-            return False
-        variance = max(squares / n - (total / n) ** 2, 0.0)
+        n, total = self.n, self.total
+        variance = max(self.squares / n - (total / n) ** 2, 0.0)
         log = math.log(2.0 * math.log(n) / self.delta)
         n0 = s0 = 0.0
         for count, part, _ in self.buckets[:-1]:
@@ -70,22 +73,25 @@ class AdaptiveWindow:
 def drift_events(errors: DataFrame, date: str = "target_date", delta: float = DELTA) -> DataFrame:
     """Days on which the error of a (dam, horizon) series shifted.
 
-    The error log holds one row per (dam, horizon, day), so a group is bounded
-    by the calendar; only its three columns travel to Python.
+    The error log holds one row per (dam, horizon, day), so the array of a
+    series is bounded by the calendar. Series travel to Python as rows: a call
+    per group would cost far more than the few values in it.
     """
 
-    def detect(group: pd.DataFrame) -> pd.DataFrame:
-        window = AdaptiveWindow(delta=delta)
-        ordered = group.sort_values("at", kind="stable")
-        hit = [window.add(float(v)) for v in ordered["abs_err"]]
-        return ordered[hit][["at", "dam", "horizon", "abs_err"]].rename(columns={"at": "detected_at"})
-
-    series = errors.select(
-        F.col(date).alias("at"), "dam", "horizon", F.col("abs_err_model").alias("abs_err")
-    )
-    return series.groupBy("dam", "horizon").applyInPandas(
-        detect, "detected_at date, dam string, horizon int, abs_err double"
+    def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hits = []
+            for dam, horizon, days, values in batch.itertuples(index=False):
+                window = AdaptiveWindow(delta=delta)
+                hits += [(d, dam, horizon, v) for d, v in zip(days, values) if window.add(v)]
+            yield pd.DataFrame(hits, columns=["day", "dam", "horizon", "abs_err"])
+
+    point = F.struct(F.unix_date(date).alias("day"), F.col("abs_err_model").alias("abs_err"))
+    series = errors.groupBy("dam", "horizon").agg(F.sort_array(F.collect_list(point)).alias("s"))
+    found = series.select("dam", "horizon", "s.day", "s.abs_err").mapInPandas(
+        detect, "day int, dam string, horizon int, abs_err double"
     )
+    return found.select(F.date_from_unix_date("day").alias("detected_at"), "dam", "horizon", "abs_err")
 
 
 def mean_shift(errors: DataFrame, date: str = "target_date", recent: int = 10, delta: float = DELTA,

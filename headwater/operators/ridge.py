@@ -89,12 +89,12 @@ def _mask(features: Sequence[str], use: Sequence[str] | None):
     return None if use is None else np.array([f in set(use) for f in features])
 
 
-def cross_products(rows: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Running sums (pool, day, cell, total) of the packed cross products.
+def cross_product_blocks(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Packed cross products (pool, day, cell, part) of the labels of each day.
 
-    Tasks reduce their rows to blocks before the shuffle, and it is single cells
-    that are shuffled and accumulated: no task sees more of a pool than one cell
-    for every day.
+    Tasks reduce their rows to blocks before the shuffle. Blocks add up: stored
+    ones and those of new rows together are the state of the learner, and a warm
+    start reads them instead of the rows.
     """
     p = len(features)
     upper = np.triu_indices(2 * p + 2)
@@ -124,16 +124,26 @@ def cross_products(rows: DataFrame, features: Sequence[str]) -> DataFrame:
             yield release()
 
     blocks = rows.mapInPandas(reduce, "pool string, day int, cells array<double>")
-    summed = (
-        blocks.select("pool", "day", F.posexplode("cells").alias("cell", "part"))
-        .groupBy("pool", "day", "cell").agg(F.sum("part").alias("part"))
-    )
+    return add_blocks(blocks.select("pool", "day", F.posexplode("cells").alias("cell", "part")))
+
+
+def add_blocks(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("pool", "day", "cell").agg(F.sum("part").alias("part"))
+
+
+def accumulate(blocks: DataFrame) -> DataFrame:
+    """Running sums over days; a task sees one cell of a pool for every day."""
     past = Window.partitionBy("pool", "cell").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return summed.select("pool", "day", "cell", F.sum("part").over(past).alias("total"))
+    return blocks.select("pool", "day", "cell", F.sum("part").over(past).alias("total"))
 
 
 def pooled_models(rows: DataFrame, features: Sequence[str], penalty: float, use: Sequence[str] | None = None) -> DataFrame:
     """One model per (pool, issue day), for pools that span many entities."""
+    return models_of(cross_product_blocks(rows, features), features, penalty, use)
+
+
+def models_of(blocks: DataFrame, features: Sequence[str], penalty: float, use: Sequence[str] | None = None) -> DataFrame:
+    """The models that follow from blocks, for any penalty and subset of features."""
     p = len(features)
     size = 2 * p + 2
     upper = np.triu_indices(size)
@@ -151,7 +161,7 @@ def pooled_models(rows: DataFrame, features: Sequence[str], penalty: float, use:
 
     # The number of cells is fixed, so these lists are too.
     cells = F.sort_array(F.collect_list(F.struct("cell", "total")))
-    packed = cross_products(rows, features).groupBy("pool", "day").agg(cells.alias("_c"))
+    packed = accumulate(blocks).groupBy("pool", "day").agg(cells.alias("_c"))
     return packed.select("pool", "day", F.col("_c.total").alias("cells")).mapInPandas(fit, MODEL_SCHEMA)
 
 
@@ -177,12 +187,21 @@ def entity_models(rows: DataFrame, features: Sequence[str], penalty: float, use:
 
 
 def linear_prediction(features: Sequence[str], bound: float = Z_CLIP) -> Column:
-    """Prediction from the model columns; stays a JVM expression."""
-    terms = F.col("intercept")
-    for j, f in enumerate(features):
-        z = clip((F.col(f).cast("double") - F.col("centre")[j]) / F.col("spread")[j], bound)
-        terms = terms + F.coalesce(z, F.lit(0.0)) * F.col("beta")[j]
-    return terms
+    """Prediction from the model columns; stays a JVM expression.
+
+    Written over arrays, so that the plan does not grow with the features.
+    """
+    values = F.array(*[F.col(f).cast("double") for f in features])
+    terms = F.zip_with(
+        values, F.arrays_zip("centre", "spread", "beta"),
+        lambda x, m: F.coalesce(clip((x - m.centre) / m.spread, bound) * m.beta, F.lit(0.0)),
+    )
+    return F.col("intercept") + F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
+
+
+def ready_rows(table: DataFrame, features: Sequence[str], pooling: str = "all", scaled: bool = True) -> DataFrame:
+    """The learner's view of a table: pool, days, target and features."""
+    return _ready(table, pool_key(pooling), features, scaled_target(scaled), F.lit(1.0))
 
 
 def ridge(table: DataFrame, features: Sequence[str], pooling: str = "all", penalty: float = 1.0,
@@ -200,9 +219,11 @@ def ridge(table: DataFrame, features: Sequence[str], pooling: str = "all", penal
     joined = table.withColumn("_pool", key).join(
         models.withColumnRenamed("pool", "_pool").withColumnRenamed("_date", "date"), ["_pool", "date"], "left"
     )
-    raw = F.when(F.col("known_n") >= 2, linear_prediction(features))
-    value = finite_or_zero(unscaled(finite_or_zero(raw)) if scaled else raw)
-    return joined.withColumn(name, value).drop("_pool", "intercept", "beta", "centre", "spread", "known_n")
+    # In steps, so that the long sum is evaluated once and not in every guard.
+    raw = joined.withColumn("_raw", F.when(F.col("known_n") >= 2, linear_prediction(features)))
+    scored = raw.withColumn("_value", unscaled(F.col("_raw")) if scaled else F.col("_raw"))
+    return scored.withColumn(name, finite_or_zero(F.col("_value"))).drop(
+        "_pool", "_raw", "_value", "intercept", "beta", "centre", "spread", "known_n")
 
 
 def bagged_ridge(table: DataFrame, features: Sequence[str], keys: Sequence[str], pooling: str = "all",

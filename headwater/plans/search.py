@@ -17,7 +17,8 @@ from headwater.functions.registry import (
     BASELINES, feature_columns, with_baselines, with_errors, with_interactions, with_stacked_baseline,
 )
 from headwater.operators.causal import (
-    expert_blend, label_prefix, pool_key, scaled_target, unscaled, with_causal_z, with_target_scale,
+    expert_weights, label_prefix, pool_key, scaled_target, unscaled, with_causal_z, with_past_losses,
+    with_target_scale,
 )
 from headwater.operators.neighbours import causal_knn
 from headwater.operators.ridge import bagged_ridge, ridge
@@ -116,16 +117,17 @@ def _variants(stacked: DataFrame, shrinks, blends, split) -> DataFrame:
     shrunk = stacked.withColumn("shrink", F.explode(F.array(*[F.lit(float(v)) for v in shrinks])))
     shrunk = shrunk.withColumn("_shrunk", F.col("_base") * F.col("shrink"))
     family = [c for c in CONFIG if c != "blend"]
-    plain = [b for b in blends if b == 0.0]
-    hedged = [float(b) for b in blends if b > 0.0]
-    parts = []
-    if plain:
-        parts.append(shrunk.withColumns({"blend": F.lit(0.0), "_final": F.col("_shrunk")}))
-    if hedged:
-        rates = shrunk.withColumn("blend", F.explode(F.array(*[F.lit(b) for b in hedged])))
-        mixed = expert_blend(rates, ["_shrunk", *BASELINES], F.col("blend"), [*family, "blend", "_pool"], "_final")
-        parts.append(mixed.drop("w__shrunk", *[f"w_{b}" for b in BASELINES]))
-    full = reduce(DataFrame.unionByName, parts)
+    experts = ["_shrunk", *BASELINES]
+    if any(b > 0.0 for b in blends):
+        # Past losses do not depend on the rate: one pass serves every blend.
+        shrunk = with_past_losses(shrunk, experts, [*family, "_pool"])
+        weights = expert_weights(experts, F.col("blend"))
+        mixed = sum((weights[e] * F.col(e) for e in experts), F.lit(0.0))
+        final = F.when(F.col("blend") > 0.0, mixed).otherwise(F.col("_shrunk"))
+    else:
+        final = F.col("_shrunk")
+    rates = shrunk.withColumn("blend", F.explode(F.array(*[F.lit(float(b)) for b in blends])))
+    full = rates.withColumn("_final", final)
     errors = with_errors(full.withColumn("actual", F.col("target_delta")), "_final")
     tagged = split_tag(errors, split) if split else split_tag(errors)
     keep = [*CONFIG, "split", *KEYS, "abs_err_model", *[f"abs_err_{b}" for b in BASELINES]]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -19,6 +20,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows here are small but costly (page parsing, solves, distances): keep a
+    # shuffle's tasks apart even where their bytes are few.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -53,17 +57,21 @@ def work_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared folder named in spark.checkpoint.dir.
 
     Only where the setting is absent, as in local tests, a folder of our own is
-    made and recorded in the session for later calls.
+    made, one per process.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="headwater-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own_folder()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="headwater-")
+
+
 def materialise(df, label: str):
     """Write a DataFrame to the shared folder and read it back.
 

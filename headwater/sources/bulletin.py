@@ -58,8 +58,12 @@ def _span(text) -> int:
 
 def table_grids(html: str) -> list[list[tuple[list[str], bool]]]:
     """Every table of a page as rows of (texts, all header cells), spans filled."""
+    # Text before the first table cannot matter; most pages have none at all.
+    start = (html or "").lower().find("<table")
+    if start < 0:
+        return []
     reader = _TableReader()
-    reader.feed(html or "")
+    reader.feed(html[start:])
     reader.close()
     grids = []
     for table in reader.tables + reader._open:
