@@ -22,7 +22,8 @@ def finite_or_zero(value: Column) -> Column:
 
 
 def clip(value: Column, bound: float = Z_CLIP) -> Column:
-    return F.greatest(F.least(value, F.lit(bound)), F.lit(-bound))
+    """Bound a value; NULL stays NULL, which greatest and least would skip."""
+    return F.when(value > bound, F.lit(bound)).when(value < -bound, F.lit(-bound)).otherwise(value)
 
 
 def causal_z(value: Column, n: Column, mean: Column, sd: Column) -> Column:

@@ -114,7 +114,9 @@ def mean_shift(errors: DataFrame, date: str = "target_date", recent: int = 10, d
     )
     inverse = F.try_divide(F.lit(1.0), F.col("recent_n")) + F.try_divide(F.lit(1.0), F.col("past_n"))
     bound = F.col("_range") * F.sqrt(inverse * F.lit(math.log(2.0 / delta) / 2.0))
-    shifted = (F.col("past_n") >= recent) & (F.abs(F.col("recent_mean") - F.col("past_mean")) > bound)
+    # In a flat series the bound is 0, and a difference only rounding.
+    gap = F.abs(F.col("recent_mean") - F.col("past_mean"))
+    shifted = (F.col("past_n") >= recent) & (gap > bound + F.lit(1e-9))
     return stats.withColumns({"bound": bound, "shifted": F.coalesce(shifted, F.lit(False))}).drop("_range")
 
 

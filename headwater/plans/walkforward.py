@@ -46,6 +46,16 @@ def block_starts(rows: DataFrame) -> list:
     return [r["block"] for r in rows.select("block").distinct().orderBy("block").collect()]
 
 
+def _settled(train: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows in a fixed order and partitioning.
+
+    Samplers draw by position, so that without it a rerun, or the retry of a
+    lost task, would fit another model.
+    """
+    tasks = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return train.repartition(tasks, *keys).sortWithinPartitions(*keys)
+
+
 def _by_block(rows: DataFrame, fit_predict: Callable, parallel: int) -> DataFrame:
     """Fit blocks side by side and stack their predictions.
 
@@ -61,7 +71,8 @@ def _by_block(rows: DataFrame, fit_predict: Callable, parallel: int) -> DataFram
 
 
 def walk_forward(table: DataFrame, features: Sequence[str], estimator: str = "forest", block: Column | None = None,
-                 scaled: bool = True, name: str = "model", parallel: int = 4) -> DataFrame:
+                 scaled: bool = True, name: str = "model", parallel: int = 4,
+                 keys: Sequence[str] = ("dam", "date", "horizon")) -> DataFrame:
     """Add predictions of an estimator refitted at the start of every block.
 
     Missing features take the mean of the training rows. Blocks without enough
@@ -76,7 +87,7 @@ def walk_forward(table: DataFrame, features: Sequence[str], estimator: str = "fo
 
     def fit_predict(all_rows: DataFrame, start) -> DataFrame:
         train = all_rows.filter((F.col("label_date") < F.lit(start)) & F.col("y").isNotNull())
-        train = train.select(*[F.col(c).cast("double").alias(c) for c in inputs], "y")
+        train = _settled(train, keys).select(*[F.col(c).cast("double").alias(c) for c in inputs], "y")
         target = all_rows.filter(F.col("block") == F.lit(start))
         known = train.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in inputs]).first()
         usable = [c for c in inputs if known[c] > 0]
@@ -118,7 +129,7 @@ def alert_forecasts(targets: DataFrame, features: Sequence[str] = ALERT_FEATURES
     def fit_predict(all_rows: DataFrame, start) -> DataFrame:
         given = all_rows.withColumn("_h", F.col("horizon").cast("double"))
         given = given.withColumns({c: F.col(c).cast("double") for c in features})
-        train = given.filter(F.col("label_date") < F.lit(start))
+        train = _settled(given.filter(F.col("label_date") < F.lit(start)), ["basin", "date", "horizon"])
         target = given.filter(F.col("block") == F.lit(start))
         seen = train.agg(F.count(F.lit(1)), F.count_distinct("y")).first()
         if seen[0] < 2 or seen[1] < 2:

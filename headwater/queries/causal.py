@@ -94,7 +94,7 @@ stats AS (SELECT *, count(*) OVER now AS recent_n, avg(abs_err_model) OVER now A
     past AS (PARTITION BY dam, horizon ORDER BY target_date ROWS BETWEEN UNBOUNDED PRECEDING AND 5 PRECEDING),
     sofar AS (PARTITION BY dam, horizon ORDER BY target_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT dam, horizon, target_date, recent_n, past_n, round(recent_mean * recent_n, 6) AS recent_total, round(past_mean * past_n, 6) AS past_total,
-  coalesce(past_n >= 5 AND abs(recent_mean - past_mean) > spread * sqrt((1 / recent_n + 1 / nullif(past_n, 0)) * ln(2 / 0.2) / 2), FALSE) AS shifted
+  coalesce(past_n >= 5 AND abs(recent_mean - past_mean) > spread * sqrt((1 / recent_n + 1 / nullif(past_n, 0)) * ln(2 / 0.2) / 2) + 1e-9, FALSE) AS shifted
 FROM stats""")
 def mean_shift(spark, folder):
     logged = reversion_errors(spark, folder).select("dam", "horizon", F.col("label_date").alias("target_date"), "abs_err_model")

@@ -95,7 +95,7 @@ def _chosen(html: str, width: int, marker: str):
     """Body rows of the first table of this width that shows the marker."""
     for grid in table_grids(html):
         rows = [texts for texts, header in grid if texts and not header]
-        widest = max((len(texts) for texts, _ in grid), default=0)
+        widest = max(map(len, rows), default=0)
         if widest == width and any(marker.lower() in t.lower() for texts in rows for t in texts):
             return rows
     return None
@@ -113,6 +113,7 @@ def _read(pages: DataFrame, width: int, marker: str, pairs: bool) -> DataFrame:
                         out.append((*head, None, None, None, f"no {width}-column table with {marker}"))
                         continue
                     first: dict[str, list[str]] = {}
+                    before = len(out)
                     for texts in rows:
                         if len(texts) != width:
                             continue
@@ -124,6 +125,8 @@ def _read(pages: DataFrame, width: int, marker: str, pairs: bool) -> DataFrame:
                             out.append((*head, clock[1], texts[1], clock, None))
                         elif texts[0].lower() != "dam name":
                             first[texts[0]] = texts
+                    if len(out) == before:
+                        out.append((*head, None, None, None, "no readings"))
                 except Exception as error:  # noqa: BLE001 - old layouts vary; kept as a row
                     out.append((*head, None, None, None, f"{type(error).__name__}: {error}"))
             yield pd.DataFrame(out, columns=["page_id", "captured_at", "source", "clock", "month_day", "cells", "error"])

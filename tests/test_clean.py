@@ -84,7 +84,7 @@ def test_risk_classes(spark, levels, high, rule, want):
 def test_guards(spark):
     assert column(spark, [1.5, NAN, float("inf"), float("-inf"), None], "double", numeric.finite_or_zero) == [1.5, 0.0, 0.0, 0.0, 0.0]
     assert column(spark, [0.49, 0.5, None], "double", numeric.at_least_half) == [0, 1, None]
-    assert column(spark, [7.0, -9.0, 1.0], "double", numeric.clip) == [5.0, -5.0, 1.0]
+    assert column(spark, [7.0, -9.0, 1.0, None], "double", numeric.clip) == [5.0, -5.0, 1.0, None]
 
 
 def test_missing_features_are_omitted_not_zeroed(spark):
