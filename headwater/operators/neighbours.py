@@ -21,6 +21,7 @@ from headwater.functions.numeric import finite_or_zero
 from headwater.operators.causal import pool_key, scaled_target, unscaled
 
 QUERIES_PER_TASK = 20_000
+SALTS = 32
 
 
 def nearest_mean(queries: np.ndarray, known: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
@@ -62,14 +63,20 @@ def causal_knn(table: DataFrame, features: Sequence[str], keys: Sequence[str], p
     x = [f"x{i}" for i in range(len(features))]
     block_of = lambda day: F.floor(F.col(day) / block_days).cast("int")
 
-    # A day's labels beyond the memory can never be remembered. Spark turns the
-    # row_number filter into a partial limit before the shuffle.
-    latest = Window.partitionBy("pool", "label_day").orderBy(*[F.col(c).desc() for c in ["day", *keys]])
-    remembered = (
-        rows.filter(F.col("y").isNotNull())
-        .withColumn("_r", F.row_number().over(latest)).filter(F.col("_r") <= memory).drop("_r")
-        .withColumn("block", block_of("label_day"))
-    )
+    # A day's labels beyond the memory can never be remembered. Spark turns a
+    # row_number filter into a partial limit before the shuffle; the salted step
+    # keeps what is left of a large pool's day from meeting in one task.
+    newest_first = [F.col(c).desc() for c in ["day", *keys]]
+
+    def newest(df: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy(*newest_first)
+        return df.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= memory).drop("_r")
+
+    known = rows.filter(F.col("y").isNotNull())
+    if pooling in ("all", "dam"):
+        salted = known.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)))
+        known = newest(salted, "pool", "label_day", "_salt").drop("_salt")
+    remembered = newest(known, "pool", "label_day").withColumn("block", block_of("label_day"))
     queries = rows.withColumn("block", block_of("day"))
 
     # Blocks per pool, numbered; how far the rows of each may be remembered.

@@ -110,6 +110,21 @@ def top_configs(wide: DataFrame, k: int = 20, config: Sequence[str] = CONFIG) ->
     return wide.orderBy("dev_mean_ratio", F.col("dev_n_wins").desc(), *config).limit(k)
 
 
+def incumbent(wide: DataFrame, **config) -> DataFrame:
+    """The row of one named configuration."""
+    for name, value in config.items():
+        wide = wide.filter(F.col(name).eqNullSafe(F.lit(value)))
+    return wide
+
+
+def holdout_reads(chosen: DataFrame, run: str, rule: str, config: Sequence[str] = CONFIG) -> DataFrame:
+    """Log rows for holdout scores about to be looked at. Each look costs some of
+    the holdout's worth, so all of them are kept on record."""
+    return chosen.select(
+        F.lit(run).alias("run"), F.lit(rule).alias("rule"), *config, "dev_mean_ratio", "holdout_mean_ratio", "slippage"
+    )
+
+
 def most_wins(wide: DataFrame, config: Sequence[str] = CONFIG) -> DataFrame:
     """The rival rule: most horizons beaten on dev, then the lower ratio."""
     return wide.orderBy(F.col("dev_n_wins").desc(), "dev_mean_ratio", *config).limit(1)

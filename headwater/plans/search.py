@@ -13,17 +13,19 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headwater.constants import BLEND_FAMILIES, BLENDS, FEATURE_SETS, REFINE_FAMILIES, SHRINKS
 from headwater.functions.registry import (
     BASELINES, feature_columns, with_baselines, with_errors, with_interactions, with_stacked_baseline,
 )
 from headwater.operators.causal import (
-    expert_weights, label_prefix, pool_key, scaled_target, unscaled, with_causal_z, with_past_losses,
+    POOLINGS, expert_weights, label_prefix, pool_key, scaled_target, unscaled, with_causal_z, with_past_losses,
     with_target_scale,
 )
 from headwater.operators.neighbours import causal_knn
 from headwater.operators.ridge import bagged_ridge, ridge
-from headwater.operators.search import CONFIG, config_scores, dev_and_holdout, split_tag
+from headwater.operators.search import CONFIG, config_scores, dev_and_holdout, leading_families, split_tag
 from headwater.operators.targets import labelled, with_label_date
+from headwater.plans.walkforward import ESTIMATORS, month_start, walk_forward
 from headwater.session import materialise
 
 KEYS = ("dam", "date", "horizon")
@@ -59,7 +61,8 @@ def base_predictions(rows: DataFrame, model: str, features: str, pooling: str, s
                      interactions: bool, stack: bool) -> DataFrame:
     """Predictions of one family before shrinkage and blending.
 
-    Models: "mean", "ridge" or "ridge:<penalty>", "bagged", "knn<k>".
+    Models: "mean", "ridge" or "ridge:<penalty>", "bagged", "knn<k>", and the
+    walk-forward estimators, which pool all rows.
     """
     if model == "mean":
         return causal_mean(rows, pooling, scaled)
@@ -72,6 +75,12 @@ def base_predictions(rows: DataFrame, model: str, features: str, pooling: str, s
         return near.drop("_kp", *[f"z_{c}" for c in inputs])
     if model == "bagged":
         return bagged_ridge(rows, inputs, KEYS, pooling, scaled=scaled)
+    if model in ESTIMATORS:
+        if pooling != "all":
+            raise ValueError(f"{model} pools all rows, not {pooling}")
+        return walk_forward(rows, [c for c in inputs if c != "horizon"], model, month_start(), scaled)
+    if model.split(":")[0] != "ridge":
+        raise ValueError(f"unknown model {model}")
     penalty = float(model.split(":")[1]) if ":" in model else 1.0
     return ridge(rows, inputs, pooling, penalty, scaled)
 
@@ -138,3 +147,44 @@ def sweep(table: DataFrame, split: str | None = None, **grid) -> DataFrame:
     """Dev and holdout scores of every configuration, one row each."""
     _, overall = config_scores(sweep_errors(table, split=split, **grid))
     return dev_and_holdout(overall)
+
+
+FAILURES = "model string, stage string, error string"
+
+
+def staged_search(table: DataFrame, models: Sequence[str], split: str | None = None,
+                  poolings: Sequence[str] = POOLINGS) -> tuple[DataFrame, DataFrame]:
+    """Every model over a small grid, the leading families over the full one, and
+    the best of them hedged against the baselines or fed with their answer.
+
+    Returns the scored configurations and one row per model and stage that could
+    not run. Only family names pass through the driver.
+    """
+    spark = table.sparkSession
+    both = (False, True)
+    stages = {
+        "coarse": dict(features=("base", "lean"), poolings=poolings, scales=both, shrinks=(1.0, 0.5)),
+        "fine": dict(features=tuple(FEATURE_SETS), poolings=poolings, scales=both, interactions=both, shrinks=SHRINKS),
+        "blend": dict(features=("base", "lean"), poolings=poolings, scales=both, interactions=both, stacks=both, blends=BLENDS),
+        "stack": dict(features=("base", "lean"), poolings=poolings, scales=both, stacks=(True,), shrinks=(1.0, 0.6)),
+    }
+    results, failed = None, []
+
+    def run(stage: str, names: Sequence[str]) -> None:
+        nonlocal results
+        for model in names:
+            try:
+                found = materialise(sweep(table, split=split, models=(model,), **stages[stage]), f"search-{stage}")
+            except Exception as error:  # noqa: BLE001 - a model that cannot run is no candidate
+                failed.append((model, stage, f"{type(error).__name__}: {error}"[:500]))
+                continue
+            results = found if results is None else results.unionByName(found)
+
+    run("coarse", models)
+    if results is None:
+        raise ValueError("no configuration ran")
+    leading = [r.model for r in leading_families(results, REFINE_FAMILIES).collect()]
+    run("fine", leading)
+    run("blend", leading[:BLEND_FAMILIES])
+    run("stack", leading[:BLEND_FAMILIES])
+    return results.dropDuplicates(list(CONFIG)), spark.createDataFrame(failed, FAILURES)

@@ -205,3 +205,10 @@ calendar AS (SELECT dam, CAST(unnest(generate_series(min(date), max(date), INTER
 SELECT dam, date, rwl_m FROM calendar LEFT JOIN daily USING (dam, date)""")
 def densified_levels(spark, folder):
     return series.densify(views.daily(spark, folder).select("dam", "date", "rwl_m"))
+
+
+@register("sorted_targets", f"""{with_ctes(DAILY, CHANGE, TARGETS)}
+SELECT date, dam, horizon, round(target_delta, 6) AS target_delta FROM targets WHERE target_delta IS NOT NULL ORDER BY date, dam, horizon""")
+def sorted_targets(spark, folder):
+    table = targets.labelled(targets.horizon_targets(views.daily(spark, folder).select("dam", "date", "rwl_m")))
+    return rounded(table.select("date", "dam", "horizon", "target_delta")).orderBy("date", "dam", "horizon")

@@ -205,11 +205,11 @@ def incremental_bounds(spark, folder):
 
 
 @register("dashboard_dams", f"""{with_ctes(DAILY, CHANGE, TARGETS, REVERSION)}
-SELECT dam, date AS issue_date, round(rwl_m, 3) AS rwl_m, CAST(count(*) AS INTEGER) AS n_forecasts, round(max(round(rwl_m + model, 3)), 3) AS peak
+SELECT dam, date AS issue_date, round(rwl_m, 3) AS rwl_m, CAST(count(*) AS INTEGER) AS n_forecasts, round(max(round(rwl_m + model / 7, 3)), 3) AS peak
 FROM reversion WHERE date = (SELECT max(date) FROM daily) GROUP BY dam, date, rwl_m""")
 def dashboard_dams(spark, folder):
     """The per-dam part of the published payload, read back from its JSON."""
-    part = publish.dam_payload(reversion_table(spark, folder), views.daily(spark, folder), views.registry(spark, folder), F.col("model"))
+    part = publish.dam_payload(reversion_table(spark, folder), views.daily(spark, folder), views.registry(spark, folder), F.col("model") / 7)
     parsed = part.select("dam", F.from_json(F.to_json("payload", {"ignoreNullFields": "false"}), "issue_date date, rwl_m double, forecasts array<struct<horizon:int,pred_rwl_m:double>>").alias("p"))
     return parsed.select("dam", "p.issue_date", F.round("p.rwl_m", 3).alias("rwl_m"), F.size("p.forecasts").alias("n_forecasts"),
                          F.round(F.array_max("p.forecasts.pred_rwl_m"), 3).alias("peak"))

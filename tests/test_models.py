@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from headwater.operators import causal, neighbours, ridge
+from headwater.operators.search import holdout_reads, incumbent, top_configs
 from headwater.plans import backtest, search, walkforward
 from headwater.plans.roles import events_table
 
@@ -186,3 +187,14 @@ def test_sweep_covers_the_grid(spark, folder):
     got = wide.collect()
     assert len(got) == 4 * 2 * 2
     assert all(r.dev_mean_ratio > 0 and r.holdout_mean_ratio > 0 and r.dev_n_horizons == 7 for r in got)
+
+
+def test_staged_search_survives_failures(spark, folder):
+    results, failed = search.staged_search(events_table(spark, folder), ["mean", "nosuch"], "2024-01-21", poolings=("all",))
+    bad = failed.collect()
+    assert {(r.model, r.stage) for r in bad} == {("nosuch", "coarse")} and "unknown model" in bad[0].error
+    shrinks = {r.shrink for r in results.filter("blend = 0 and not stack_baseline").select("shrink").distinct().collect()}
+    assert {1.0, 0.8, 0.6, 0.4, 0.2, 0.5} == shrinks
+    assert {r.blend for r in results.select("blend").distinct().collect()} == {0.0, 0.3, 0.6, 1.0, 2.0}
+    assert incumbent(results, model="mean", shrink=1.0, blend=0.0, scale_target=True).count() >= 1
+    assert holdout_reads(top_configs(results, 1), "r1", "ratio").first().rule == "ratio"
