@@ -153,14 +153,19 @@ SWEEP_CTES = (DAILY, CHANGE, TARGETS, MEAN_SWEEP)
 VARIED = ("pooling", "scale_target", "shrink", "blend")
 
 
+MEAN_GRID = dict(models=["mean"], poolings=causal.POOLINGS, scales=(False, True), shrinks=(1.0, 0.5), blends=(0.0, 0.6), split=SPLIT)
+
+
+def _mean_table(spark, folder):
+    return reversion_table(spark, folder).drop("model", "label_date")
+
+
 def _mean_errors(spark, folder):
-    return sweep.sweep_errors(
-        reversion_table(spark, folder).drop("model", "label_date"), ["mean"], poolings=causal.POOLINGS, scales=(False, True),
-        shrinks=(1.0, 0.5), blends=(0.0, 0.6), split=SPLIT)
+    return sweep.sweep_errors(_mean_table(spark, folder), **MEAN_GRID)
 
 
 def _mean_wide(spark, folder):
-    return search.dev_and_holdout(search.config_scores(_mean_errors(spark, folder))[1])
+    return sweep.sweep(_mean_table(spark, folder), **MEAN_GRID)
 
 
 WIDE = ("dev_mae", "dev_n_wins", "dev_mean_ratio", "dev_worst_ratio", "holdout_mae", "holdout_n_wins", "holdout_mean_ratio", "slippage")
