@@ -60,23 +60,14 @@ def config_scores(errors: DataFrame, config: Sequence[str] = CONFIG, cap: float
     """Scores per (configuration, split, horizon) and per (configuration, split).
 
     The first aggregate sees all errors and reduces them before its shuffle; the
-    second only sees one row per horizon.
+    second only sees one row per horizon. The ratio to the best baseline is
+    capped, and is the cap where the error is not finite. A win must exceed the
+    rounding noise of sums whose order a cluster does not fix.
     """
     sums = [F.sum("abs_err_model").alias("_sum")]
     sums += [F.avg(f"abs_err_{n}").alias(f"_mae_{n}") for n in BASELINES]
     per = errors.groupBy(*config, "split", "horizon").agg(F.count(F.lit(1)).alias("n"), *sums)
-    return scores_of_totals(per, config, cap)
-
-
-def scores_of_totals(totals: DataFrame, config: Sequence[str] = CONFIG, cap: float = RATIO_CAP) -> tuple[DataFrame, DataFrame]:
-    """The same from error sums and baseline means per (configuration, split,
-    horizon).
-
-    The ratio to the best baseline is capped, and is the cap where the error is
-    not finite. A win must exceed the rounding noise of sums whose order a
-    cluster does not fix.
-    """
-    per = totals.withColumn("mae", F.col("_sum") / F.col("n"))
+    per = per.withColumn("mae", F.col("_sum") / F.col("n"))
     best = F.least(*[F.col(f"_mae_{n}") for n in BASELINES])
     finite = F.col("mae").isNotNull() & ~F.isnan("mae") & (F.abs("mae") != F.lit(float("inf")))
     ratio = F.when(finite, F.least(F.col("mae") / F.greatest(best, F.lit(1e-6)), F.lit(cap))).otherwise(cap)

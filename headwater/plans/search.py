@@ -24,7 +24,7 @@ from headwater.operators.causal import (
 )
 from headwater.operators.neighbours import causal_knn
 from headwater.operators.ridge import bagged_ridge, ridge
-from headwater.operators.search import CONFIG, dev_and_holdout, leading_families, scores_of_totals, split_tag
+from headwater.operators.search import CONFIG, config_scores, dev_and_holdout, leading_families, split_tag
 from headwater.operators.targets import labelled, with_label_date
 from headwater.plans.walkforward import ESTIMATORS, month_start, walk_forward
 from headwater.session import materialise
@@ -120,67 +120,23 @@ def sweep_errors(table: DataFrame, models: Sequence[str], features: Sequence[str
     shrunk = stacked.withColumn("shrink", F.explode(F.array(*[F.lit(float(v)) for v in shrinks])))
     shrunk = shrunk.withColumn("_shrunk", F.col("_base") * F.col("shrink"))
     experts = ["_shrunk", *BASELINES]
-    # Past losses do not depend on the rate: one pass serves every blend.
-    lost = with_past_losses(shrunk, experts, [*FAMILY, "shrink", "_pool"])
-    weights = expert_weights(experts, F.col("blend"))
-    mixed = sum((weights[e] * F.col(e) for e in experts), F.lit(0.0))
-    rates = lost.withColumn("blend", F.explode(F.array(*[F.lit(float(b)) for b in blends])))
-    final = rates.withColumn("_final", F.when(F.col("blend") > 0.0, mixed).otherwise(F.col("_shrunk")))
+    value = F.col("_shrunk")
+    if any(b > 0.0 for b in blends):
+        # Past losses do not depend on the rate: one pass serves every blend.
+        shrunk = with_past_losses(shrunk, experts, [*FAMILY, "shrink", "_pool"])
+        weights = expert_weights(experts, F.col("blend"))
+        mixed = sum((weights[e] * F.col(e) for e in experts), F.lit(0.0))
+        value = F.when(F.col("blend") > 0.0, mixed).otherwise(value)
+    rates = shrunk.withColumn("blend", F.explode(F.array(*[F.lit(float(b)) for b in blends])))
+    final = rates.withColumn("_final", value)
     errors = with_errors(final.withColumn("actual", F.col("target_delta")), "_final")
     keep = [*CONFIG, "split", *KEYS, "abs_err_model", *[f"abs_err_{b}" for b in BASELINES]]
     return split_tag(errors, split or SPLIT_DATE).select(*keep)
 
 
-def sweep_totals(table: DataFrame, models: Sequence[str], features: Sequence[str] = ("base",),
-                 poolings: Sequence[str] = ("all",), scales: Sequence[bool] = (True,),
-                 interactions: Sequence[bool] = (False,), stacks: Sequence[bool] = (False,),
-                 shrinks: Sequence[float] = (1.0,), blends: Sequence[float] = (0.0,),
-                 split: str | None = None) -> DataFrame:
-    """Error sums per (configuration, split, horizon), without a row per error.
-
-    The shrinkages and blends of a family are columns of one aggregate, and they
-    become rows only when one is left per horizon.
-    """
-    stacked = _stacked(table, models, features, poolings, scales, interactions, stacks)
-    actual, rivals = F.col("target_delta"), list(BASELINES)
-    gaps = {b: F.abs(F.col(b) - actual) for b in rivals}
-    rows = stacked.withColumns({f"_shrunk{i}": F.col("_base") * F.lit(float(v)) for i, v in enumerate(shrinks)})
-    if any(b > 0.0 for b in blends):
-        losses = {}
-        for i in range(len(shrinks)):
-            own = F.abs(F.col(f"_shrunk{i}") - actual)
-            worst = F.greatest(own, *gaps.values(), F.lit(1e-6))
-            losses[f"_loss{i}__shrunk"] = own / worst
-            losses |= {f"_loss{i}_{b}": gap / worst for b, gap in gaps.items()}
-        past = label_prefix(rows, [*FAMILY, "_pool"], losses)
-        rows = rows.join(past, [*FAMILY, "_pool", "date"], "left")
-    variants, errors = [], []
-    for i, s in enumerate(shrinks):
-        own = F.col(f"_shrunk{i}")
-        for b in blends:
-            final = own
-            if b > 0.0:
-                lost = {e: F.col(f"_loss{i}_{e}") for e in ("_shrunk", *rivals)}
-                least = F.least(*lost.values())
-                weight = {e: F.exp(F.lit(-float(b)) * (x - least)) for e, x in lost.items()}
-                total = sum(weight.values(), F.lit(0.0))
-                mixed = weight["_shrunk"] * own + sum((weight[r] * F.col(r) for r in rivals), F.lit(0.0))
-                final = mixed / total
-            variants.append((float(s), float(b)))
-            errors.append(F.abs(final - actual))
-    judged = split_tag(rows.withColumn("_errors", F.array(*errors)), split or SPLIT_DATE)
-    sums = F.array(*[
-        F.struct(F.lit(s).alias("shrink"), F.lit(b).alias("blend"), F.sum(F.col("_errors")[k]).alias("_sum"))
-        for k, (s, b) in enumerate(variants)
-    ])
-    wide = judged.groupBy(*FAMILY, "split", "horizon").agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(gap).alias(f"_mae_{b}") for b, gap in gaps.items()], sums.alias("_v"))
-    return wide.withColumn("_v", F.explode("_v")).select("*", "_v.*").drop("_v")
-
-
 def sweep(table: DataFrame, split: str | None = None, **grid) -> DataFrame:
     """Dev and holdout scores of every configuration, one row each."""
-    _, overall = scores_of_totals(sweep_totals(table, split=split, **grid))
+    _, overall = config_scores(sweep_errors(table, split=split, **grid))
     return dev_and_holdout(overall)
 
 
