@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from headwater.operators import series
-from headwater.queries.common import CHANGE, DAILY, REFS, query_set, rounded, with_ctes
+from headwater.queries.common import DAILY, REFS, query_set, rounded, with_ctes
 from headwater.sources import bulletin, payloads, views
 
 QUERIES, ORACLES, register = query_set()

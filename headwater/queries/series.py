@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from headwater.operators import keys, series
 from headwater.queries.common import (
-    CHANGE, DAILY, WEATHER, query_set, rounded, sql_round, with_ctes,
+    DAILY, WEATHER, query_set, rounded, with_ctes,
 )
 from headwater.sources import views
 
