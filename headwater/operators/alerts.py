@@ -82,22 +82,18 @@ def status_gate(alerts: DataFrame, targets: DataFrame, min_days: int = ALERT_MIN
     seen = alerts.agg(
         F.count_distinct("date").alias("days_collected"), F.count_distinct("basin").alias("basins")
     )
-    events = targets.agg(
+    outcome = targets.agg(F.struct(
         F.coalesce(F.sum(F.col("target").cast("long")), F.lit(0)).alias("watch_days_seen"),
         F.count(F.lit(1)).alias("n_targets"),
-    )
+    )).scalar()
+    both = seen.withColumn("_o", outcome).select("*", "_o.*").drop("_o")
     status = (
         F.when(F.col("days_collected") == 0, "no data")
         .when((F.col("days_collected") < min_days) | (F.col("n_targets") == 0), "not enough history yet")
         .when(F.col("watch_days_seen") < min_events, "not enough flood-watch days to learn from")
         .otherwise("scored")
     )
-    # Two one-row tables side by side.
-    return (
-        seen.withColumn("_one", F.lit(1)).join(events.withColumn("_one", F.lit(1)), "_one")
-        .drop("_one")
-        .withColumn("status", status)
-    )
+    return both.withColumn("status", status)
 
 
 def alert_board(alerts: DataFrame) -> DataFrame:
