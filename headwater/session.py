@@ -11,10 +11,7 @@ from pyspark.sql import SparkSession
 
 import headwater
 
-# Runtime SQL settings the plans profit from. Co-partitioned joins may reuse an
-# exchange on a subset of the join keys: windows hash by entity, and the joins
-# on (entity, date) that follow then need no further shuffle. Tables are daily
-# by then, so an entity's rows are bounded by the calendar.
+# Runtime SQL settings the plans profit from.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -23,7 +20,6 @@ RUNTIME_SETTINGS = {
     # Rows here are small but costly (page parsing, solves, distances): keep a
     # shuffle's tasks apart even where their bytes are few.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
