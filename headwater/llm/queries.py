@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import bpe, ring, simhash
+from headwater.llm import bpe, ring, simhash, suffixes
 
 QUERIES, ORACLES = {}, {}
 
@@ -24,6 +24,11 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"))
 
 
+@register
+def op5_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.removed(table(spark, folder, "documents"))
+
+
 @register
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
