@@ -18,6 +18,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 HELD_WORDS = 400_000  # distinct words that a task keeps encoded; more only cost time
 LONG_PIECE = 48
 NO_RANK = 1 << 62
+PLAIN_ENDS = (".", ",")
 
 # Unicode's White_Space, which `\s` of the pattern means; Python also counts four separators.
 WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and not "\x1c" <= c <= "\x1f")
@@ -104,6 +105,21 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
+class Splitter:
+    """The matches of the split pattern in one word, most without a regular expression."""
+
+    def __init__(self, pattern: str):
+        self.findall = regex.compile(pattern).findall
+
+    def __call__(self, word: str) -> list[str]:
+        start = word[:1] == " "
+        if word[start:].isalpha():
+            return [word]
+        if word[-1:] in PLAIN_ENDS and word[start:-1].isalpha():
+            return [word[:-1], word[-1]]
+        return self.findall(word)
+
+
 class Encoder:
     """Encodes texts, each distinct word once; decodes ids by joining their bytes."""
 
@@ -111,32 +127,35 @@ class Encoder:
         self.ranks = read_ranks(lines)
         self.pairs = pair_ranks(self.ranks)
         self.pieces = {rank: token for token, rank in self.ranks.items()}
-        self.pattern = regex.compile(pattern)
+        self.split = Splitter(pattern)
         self.merged: dict[str, list[int]] = {}
-        self.known: dict[str, tuple[list[int], bytes, bytes]] = {}
-
-    def word(self, word: str) -> tuple[list[int], bytes, bytes]:
-        """Ids, their decimals joined by a space, and the bytes they decode to."""
-        found = self.known.get(word)
-        if found is None:
-            pieces = self.pattern.findall(word)
-            ids = functools.reduce(lambda done, piece: done + self.piece(piece), pieces[1:], self.piece(pieces[0]))
-            found = ids, " ".join(map(str, ids)).encode(), b"".join([self.pieces[i] for i in ids])
-            if len(self.known) >= HELD_WORDS:
-                self.known.clear()
-            self.known[word] = found
+        self.known: dict[str, tuple[int, bytes, bytes]] = {}
+
+    def ids(self, word: str) -> list[int]:
+        found = []
+        for piece in self.split(word):
+            ids = self.merged.get(piece)
+            if ids is None:
+                if len(self.merged) >= HELD_WORDS:
+                    self.merged.clear()
+                ids = self.merged[piece] = merge(piece.encode(), self.ranks, self.pairs)
+            found += ids
         return found
 
-    def piece(self, piece: str) -> list[int]:
-        ids = self.merged.get(piece)
-        if ids is None:
-            if len(self.merged) >= HELD_WORDS:
-                self.merged.clear()
-            ids = self.merged[piece] = merge(piece.encode(), self.ranks, self.pairs)
-        return ids
+    def word(self, word: str) -> tuple[int, bytes, bytes]:
+        """The number of ids, their decimals joined by a space, and the bytes they decode to."""
+        ids = self.ids(word)
+        if len(self.known) >= HELD_WORDS:
+            self.known.clear()
+        found = self.known[word] = len(ids), " ".join(map(str, ids)).encode(), b"".join([self.pieces[i] for i in ids])
+        return found
 
-    def text(self, text: str | None) -> list[tuple[list[int], bytes, bytes]]:
-        return [self.word(w) for w in words(text or "")] if text else []
+    def text(self, text: str | None) -> list[tuple[int, bytes, bytes]]:
+        if not text:
+            return []
+        cut = words(text)
+        found = list(map(self.known.get, cut))
+        return [f or self.word(w) for f, w in zip(found, cut)] if None in found else found
 
 
 def encode(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -148,7 +167,7 @@ def encode(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers
     def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(lines, pattern)
         for texts in batches:
-            yield pd.Series([[i for ids, _, _ in encoder.text(t) for i in ids] for t in texts])
+            yield pd.Series([[i for w in words(t) for i in encoder.ids(w)] if t else [] for t in texts])
 
     return docs.withColumn("ids", of_texts("text"))
 
@@ -183,7 +202,7 @@ def round_trip(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokeni
             rows = []
             for text in texts:
                 found = encoder.text(text)
-                rows.append((sum(len(f[0]) for f in found), hashlib.sha256(b" ".join([f[1] for f in found])).hexdigest(),
+                rows.append((sum([f[0] for f in found]), hashlib.sha256(b" ".join([f[1] for f in found])).hexdigest(),
                              hashlib.sha256(b"".join([f[2] for f in found])).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
