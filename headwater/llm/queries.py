@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import bpe, decontamination, quality, ring, simhash, suffixes, toxicity
+from headwater.llm import bpe, decontamination, quality, ring, simhash, suffixes, token_files, toxicity, vectors
 
 QUERIES, ORACLES = {}, {}
 
@@ -53,3 +53,13 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op8_ring_shards(spark: SparkSession, folder: str) -> DataFrame:
     return ring.shard(table(spark, folder, "documents"))
+
+
+@register
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.round_trip(table(spark, folder, "documents"))
+
+
+@register
+def op10_embedding_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))

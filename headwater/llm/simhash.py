@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwater.llm.graph import components
@@ -135,3 +135,17 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
     named = first.join(groups, "fp", "left").join(least, "component", "left")
     named = named.select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """`docs` with one row of each component: that of its smallest doc_id.
+
+    Of rows that repeat this doc_id one stays; a component without doc_ids, which share
+    the NULL, keeps one row. Rows stay as they are.
+    """
+    found = near_duplicates(docs, distance, blocks)
+    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    chosen = found.filter(same).select(F.col("doc_id").alias("_doc")).distinct()
+    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
+    repeats = Window.partitionBy("doc_id").orderBy("doc_id")
+    return kept.withColumn("_row", F.row_number().over(repeats)).filter("_row = 1").select(docs.columns)
