@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import bpe, decontamination, quality, ring, simhash, suffixes, token_files, toxicity, vectors
+from headwater.llm import bpe, decontamination, html, quality, ring, simhash, suffixes, token_files, toxicity, vectors
 
 QUERIES, ORACLES = {}, {}
 
@@ -19,6 +19,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@register
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages"))
+
+
 @register
 def op2_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
