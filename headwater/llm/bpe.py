@@ -6,6 +6,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import string
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +19,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 HELD_WORDS = 400_000  # distinct words that a task keeps encoded; more only cost time
 LONG_PIECE = 48
 NO_RANK = 1 << 62
-PLAIN_ENDS = (".", ",")
+MARKS = string.punctuation
 
 # Unicode's White_Space, which `\s` of the pattern means; Python also counts four separators.
 WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and not "\x1c" <= c <= "\x1f")
@@ -113,10 +114,12 @@ class Splitter:
 
     def __call__(self, word: str) -> list[str]:
         start = word[:1] == " "
-        if word[start:].isalpha():
-            return [word]
-        if word[-1:] in PLAIN_ENDS and word[start:-1].isalpha():
-            return [word[:-1], word[-1]]
+        body = word.rstrip(MARKS)
+        if body[start:].isalpha():
+            return [body, word[len(body) :]] if len(body) < len(word) else [word]
+        left, line, right = word.partition("\n")
+        if line and left[-1:].strip() and right[:1].strip():
+            return [*self(left), line, *self(right)]
         return self.findall(word)
 
 

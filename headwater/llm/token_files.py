@@ -6,17 +6,20 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
+import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headwater.llm.bpe import HELD_WORDS, Splitter, words
+from headwater.llm.bpe import WHITE, Splitter, words
 from headwater.session import materialise, work_folder
 
 MODEL = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +27,8 @@ END = 2  # the id appended to each document
 MAGIC = b"HWTOKENS"
 HEADER = "<8sQQQqBxxxxxxx"  # magic, documents, tokens, rows without doc_id, least doc_id, bytes per id
 SAMPLE = 256  # ones between two positions that the select structure keeps
+HELD = 1_000_000  # words and pieces that a worker keeps encoded; more only cost time
+STEP_BYTES = 1 << 24  # of text encoded at once
 FILE_TOKENS = 1 << 24  # of a file, at least, before the next begins
 
 
@@ -84,14 +89,13 @@ class EliasFano:
         return cls(count, low_bits, *arrays), at
 
 
-def pack(doc_ids: list[int | None], token_bytes: list[bytes], width: int) -> bytes:
+def pack(doc_ids: list[int | None], sizes: np.ndarray, ids: list[bytes], width: int) -> bytes:
     """One file: header, ids of all documents, their boundaries, and their doc_ids, which ascend, NULLs first."""
-    sizes = np.array([len(t) // width for t in token_bytes], np.int64)
     named = np.array([d for d in doc_ids if d is not None], np.int64)
     least = int(named[0]) if len(named) else 0
     head = struct.pack(HEADER, MAGIC, len(sizes), int(sizes.sum()), len(doc_ids) - len(named), least, width)
     starts = EliasFano.of(np.concatenate(([0], np.cumsum(sizes))))
-    return b"".join([head, *token_bytes, starts.bytes(), EliasFano.of(named - least).bytes()])
+    return b"".join([head, *ids, starts.bytes(), EliasFano.of(named - least).bytes()])
 
 
 def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, EliasFano]:
@@ -106,33 +110,79 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, EliasFano]:
 
 
 class Tokens:
-    """Token bytes of texts by the tokenizers library, each distinct piece encoded once."""
+    """Ids of texts by the tokenizers library, each distinct piece encoded once.
+
+    Arrow splits the texts at spaces and finds the distinct words; only these pass
+    through Python, and their ids are put together for all texts by position.
+    """
 
     def __init__(self, model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(model.decode())
+        self.tokenizer = tokenizers.Tokenizer.from_str(model.decode())
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.end = END.to_bytes(self.width, "little")
+        self.code = "H" if self.width == 2 else "I"
         self.split = Splitter(public_tokenizers.PATTERN)
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text and the end id, as little-endian numbers."""
-        cut = [words(t) if t else [] for t in texts]
-        if len(self.words) + len(self.pieces) >= HELD_WORDS:
-            self.words.clear()
-            self.pieces.clear()
-        new = {w: self.split(w) for w in {w for row in cut for w in row} - self.words.keys()}
-        missing = list({p for pieces in new.values() for p in pieces} - self.pieces.keys())
-        for piece, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            self.pieces[piece] = np.array(found.ids, f"<u{self.width}").tobytes()
-        for word, pieces in new.items():
-            self.words[word] = b"".join([self.pieces[p] for p in pieces])
-        return [b"".join([*map(self.words.__getitem__, row), self.end]) for row in cut]
+        self.known: dict[str, bytes] = {}  # words, and the pieces that they split into
+
+    def encode(self, wanted: list[str]) -> list[bytes]:
+        """The ids of each word, as little-endian numbers."""
+        known = self.known
+        if len(known) > HELD:
+            known.clear()
+        found = list(map(known.get, wanted))
+        if None not in found:
+            return found
+        new = [w for w, f in zip(wanted, found) if f is None]
+        split = [self.split(w) for w in new]
+        missing = list({p for pieces in split for p in pieces if p not in known})
+        for piece, ids in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
+            known[piece] = array(self.code, ids.ids).tobytes()
+        for word, pieces in zip(new, split):
+            if len(pieces) > 1:
+                known[word] = b"".join([known[p] for p in pieces])
+        return list(map(known.__getitem__, wanted))
+
+    def texts(self, column: pa.Array) -> tuple[np.ndarray, bytes]:
+        """Ids per text, the end id included, and the ids of all texts one after the other."""
+        listed = pc.split_pattern(pc.fill_null(column, ""), " ")
+        begin = listed.offsets.to_numpy()
+        coded = listed.flatten().dictionary_encode()
+        at, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        begin = begin - begin[0]
+        # Words that a space does not begin for sure: their texts are cut one by one.
+        unsure = np.array([not w or w[-1] in WHITE for w in distinct], bool)
+        whole = np.logical_or.reduceat(unsure[at], begin[:-1])
+        first = coded.take(pa.array(begin[:-1])).to_pylist()
+        for row in np.flatnonzero(whole).tolist():
+            first[row] = words(column[row].as_py() or "")
+        lone = [w for row in first for w in (row if isinstance(row, list) else [row]) if w]
+        lone = dict(zip(lone, self.encode(lone)))
+        # Number of words, then: the first entry of each text, the end id, and nothing.
+        entries = self.encode([" " + w for w in distinct])
+        entries += [b"".join([lone[w] for w in row if w]) if isinstance(row, list) else lone.get(row, b"") for row in first]
+        entries += [END.to_bytes(self.width, "little"), b""]
+        at[np.repeat(whole, np.diff(begin))] = len(entries) - 1
+        at[begin[:-1]] = len(distinct) + np.arange(len(first))
+        at = np.insert(at, begin[1:], len(entries) - 2)
+        sizes = np.array([len(e) for e in entries], np.int64)
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        kept = pa.Array.from_buffers(pa.large_binary(), len(entries), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(entries))])
+        joined = kept.take(pa.array(at))
+        edges = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1, joined.offset * 8)
+        ends = begin[1:] + np.arange(1, len(begin))
+        starts = edges[np.concatenate(([0], ends[:-1]))] if len(ends) else np.empty(0, np.int64)
+        return (edges[ends] - starts) // self.width, joined.buffers()[2].to_pybytes()[edges[0] : edges[-1]]
+
+
+def tokens_of(model: bytes) -> Tokens:
+    """One encoder per Python worker: task functions travel by value, so a global of this
+    module would be made anew in each task; the library's own module stays."""
+    held = vars(tokenizers).setdefault("_headwater_tokens", {})
+    if model not in held:
+        held.clear()
+        held[model] = Tokens(model)
+    return held[model]
 
 
 def _file_system(folder: str):
@@ -155,31 +205,32 @@ def write(docs: DataFrame, folder: str, model: str = MODEL, file_tokens: int = F
         content = file.read()
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part = Tokens(content), TaskContext.get().partitionId()
+        tokens, part = tokens_of(content), TaskContext.get().partitionId()
         store, root = _file_system(folder)
         store.create_dir(root, recursive=True)
-        doc_ids, held, size, number = [], [], 0, 0
+        doc_ids, sizes, ids, number = [], [], [], 0
 
         def flush():
-            nonlocal doc_ids, held, size, number
             name = f"{part:06d}-{number:06d}-{uuid.uuid4().hex}.tokens"
+            each = np.concatenate(sizes)
             with store.open_output_stream(f"{root}/_{name}", compression=None) as out:
-                out.write(pack(doc_ids, held, tokens.width))
+                out.write(pack(doc_ids, each, ids, tokens.width))
             store.move(f"{root}/_{name}", f"{root}/{name}")
-            row = [[part], [number], [name], [len(doc_ids)], [size // tokens.width]]
-            doc_ids, held, size, number = [], [], 0, number + 1
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))],
-                                              ["part", "number", "file", "documents", "tokens"])
+            row = part, number, name, len(doc_ids), int(each.sum())
+            kinds = pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["part", "number", "file", "documents", "tokens"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                encoded = tokens.texts(some.column(1).to_pylist())
+            rows = max(1, min(batch.num_rows, batch.num_rows * STEP_BYTES // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, rows):
+                some = batch.slice(at, rows)
+                found = tokens.texts(some.column(1))
                 doc_ids += some.column(0).to_pylist()
-                held += encoded
-                size += sum(map(len, encoded))
-                if size >= file_tokens * tokens.width:
+                sizes.append(found[0])
+                ids.append(found[1])
+                if sum(map(len, ids)) >= file_tokens * tokens.width:
                     yield flush()
+                    doc_ids, sizes, ids, number = [], [], [], number + 1
         if doc_ids:
             yield flush()
 
