@@ -15,7 +15,8 @@ from headwater.session import materialise
 
 SEED = 4  # words of a seed
 RARE_SHARE = 0.001  # of the documents: a seed in fewer of them is rare
-LEAST_SEEDS = 12  # the rarest of each item serve, however common
+LEAST_SEEDS = 12  # the rarest of each item that the corpus holds serve, however common,
+COMMONER = 4  # and so do seeds up to so many times commoner: those of an item copied often
 SIMILARITY = 0.6  # of the alignment score to that of an exact copy
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 ITEMS = 5_000  # test items in a block; each block reads the texts once
@@ -110,8 +111,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     first_word and n_words give the passage. Words are compared in lower case without
     punctuation at their ends. Items come in blocks of fixed size, each against all
     texts. A text's regions around seeds are kept as word numbers; seeds are counted
-    over all documents, and those in fewer than RARE_SHARE of them, or among the rarest
-    LEAST_SEEDS of their item, lead to an alignment. NULL or empty texts and items have
+    over all documents, and those in at most RARE_SHARE of them, or rare among the seeds
+    of their item, lead to an alignment. NULL or empty texts and items have
     none; of repeated items each counts; repeated rows of one doc_id make one row.
     """
     rows = benchmark.select("item_id", "text").filter("item_id is not null").distinct()
@@ -165,9 +166,10 @@ def _block_leaks(docs: DataFrame, items, total: int, similarity: float, schema)
     counts = {r["gram"]: r["n"] for r in counts.collect()}
     seeded = defaultdict(list)
     for item, grams in block.of_item.items():
-        ranked = sorted(grams, key=lambda g: (counts.get(g, 0), g))
-        for place, gram in enumerate(ranked):
-            if place < LEAST_SEEDS or counts.get(gram, 0) < RARE_SHARE * total:
+        present = sorted(counts[g] for g in grams if g in counts)
+        limit = max(RARE_SHARE * total, COMMONER * present[min(LEAST_SEEDS, len(present)) - 1]) if present else 0
+        for gram in grams:
+            if counts.get(gram, limit + 1) <= limit:
                 seeded[gram].append(item)
     item_arrow = pa.int32() if schema["item_id"].dataType.simpleString() == "int" else pa.int64()
 

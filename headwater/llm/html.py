@@ -16,6 +16,7 @@ from headwater.session import materialise
 
 RECURRING = 0.5  # of a host's different pages: a subtree on more of them is template
 LEAST_PAGES = 10  # different pages of a host that a template subtree is on, at least
+SALTS = 64  # tasks that the pages of one host are dealt out to
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -30,7 +31,7 @@ notice notices alert popup modal overlay sidebar menu nav navbar navigation brea
 comment comments reply replies disqus newsletter subscribe subscription signup login search widget pagination pager footer contentinfo
 complementary toolbar skip""".split())
 OUT_ABOVE = frozenset("header masthead topbar".split())
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd tr td th caption figcaption".split())
 # An opening tag ends the open elements of these names, up to the element that holds them.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
         "option": {"option"}}
@@ -165,8 +166,8 @@ def templates(pages: DataFrame, recurring: float = RECURRING, least: int = LEAST
 
     Pages with equal articles count once, so copies of a page don't make it a template.
     Counts are aggregated before the shuffle, however many pages a host has; a host's
-    list is short, as each entry is on half of its pages. Prose elements directly marked
-    as an article are never template.
+    list is short, as each entry is on half of its pages. Within a marked article only
+    whole containers are template, never a single paragraph, heading, item or cell.
     """
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,6 +203,8 @@ def extract(pages: DataFrame, recurring: float = RECURRING, least: int = LEAST_P
         for page, seals in columns:
             yield pd.Series([main_text(h, () if s is None else s.tolist()) for h, s in zip(page, seals)], dtype=object)
 
-    found = templates(pages, recurring, least).withColumnRenamed("host", "_host")
-    joined = pages.select("page_id", "url", "html").join(found, host(F.col("url")) == F.col("_host"), "left")
+    # A host's pages go to SALTS places, each with the host's short list.
+    found = templates(pages, recurring, least).select(F.col("host").alias("_host"), "seals", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
+    joined = pages.select("page_id", "url", "html").join(found, (host(F.col("url")) == F.col("_host")) & (salt == F.col("_salt")), "left")
     return joined.select("page_id", "url", text("html", "seals").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
