@@ -87,7 +87,8 @@ def drift_events(errors: DataFrame, date: str = "target_date", delta: float = DE
             yield pd.DataFrame(hits, columns=["day", "dam", "horizon", "abs_err"])
 
     point = F.struct(F.unix_date(date).alias("day"), F.col("abs_err_model").alias("abs_err"))
-    series = errors.groupBy("dam", "horizon").agg(F.sort_array(F.collect_list(point)).alias("s"))
+    known = errors.filter(F.col("abs_err_model").isNotNull() & ~F.isnan("abs_err_model"))
+    series = known.groupBy("dam", "horizon").agg(F.sort_array(F.collect_list(point)).alias("s"))
     found = series.select("dam", "horizon", "s.day", "s.abs_err").mapInPandas(
         detect, "day int, dam string, horizon int, abs_err double"
     )

@@ -148,8 +148,8 @@ def staged_search(table: DataFrame, models: Sequence[str], split: str | None = N
     """Every model over a small grid, the leading families over the full one, and
     the best of them hedged against the baselines or fed with their answer.
 
-    Returns the scored configurations and one row per model and stage that could
-    not run. Only family names pass through the driver.
+    Returns the scored configurations and one row per model and stage, or
+    pooling, that could not run. Only family names pass through the driver.
     """
     spark = table.sparkSession
     both = (False, True)
@@ -164,10 +164,16 @@ def staged_search(table: DataFrame, models: Sequence[str], split: str | None = N
     def run(stage: str, names: Sequence[str]) -> None:
         nonlocal results
         for model in names:
+            grid = dict(stages[stage])
+            # Walk-forward estimators pool all rows; their other pools are failures of their own.
+            fit = [p for p in grid["poolings"] if model not in ESTIMATORS or p == "all"]
+            failed.extend((model, stage, f"pools all rows, not {p}") for p in grid["poolings"] if p not in fit)
+            if not fit:
+                continue
             try:
-                found = materialise(sweep(table, split=split, models=(model,), **stages[stage]), f"search-{stage}")
-            except Exception as error:  # noqa: BLE001 - a model that cannot run is no candidate
-                failed.append((model, stage, f"{type(error).__name__}: {error}"[:500]))
+                found = materialise(sweep(table, split=split, models=(model,), **{**grid, "poolings": fit}), f"search-{stage}")
+            except Exception as error:  # noqa: BLE001 - an error becomes a row, the other models go on
+                failed.append((model, stage, f"{type(error).__name__}: {error}"))
                 continue
             results = found if results is None else results.unionByName(found)
 

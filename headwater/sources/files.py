@@ -17,11 +17,12 @@ from headwater.operators.keys import upsert
 def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", optional: bool = False) -> DataFrame:
     """A table with a declared schema; NaN becomes NULL on the way in.
 
-    An optional source that does not exist is an empty table of that schema.
+    An optional source that does not exist is an empty table of that schema. CSV
+    columns go by the header's names, in any order; one that is missing is NULL, and
+    so is text that its type can't read, which `unreadable_csv` returns.
     """
-    reader = spark.read.schema(schema)
     try:
-        df = reader.csv(path, header=True) if fmt == "csv" else reader.format(fmt).load(path)
+        df = _csv(spark, path, schema)[0] if fmt == "csv" else spark.read.schema(schema).format(fmt).load(path)
     except AnalysisException as error:
         if optional and error.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)
@@ -29,10 +30,27 @@ def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "p
     return nan_free(df)
 
 
+def _csv(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, Column]:
+    """Typed rows with their text beside them, and whether any text failed to become a value."""
+    text = spark.read.csv(path, header=True)
+    values, failed = [], F.lit(False)
+    for field in schema:
+        if field.name in text.columns:
+            value = F.col(field.name).try_cast(field.dataType)
+            failed = failed | (value.isNull() & F.col(field.name).isNotNull())
+        else:
+            value = F.lit(None).cast(field.dataType)
+        values.append(value.alias(field.name))
+    return text.select(*values), failed
+
+
+def unreadable_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows, as text, in which some column of the schema can't be read as its type."""
+    return spark.read.csv(path, header=True).filter(_csv(spark, path, schema)[1])
+
+
 def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Append rows; without rows nothing is written."""
-    if df.isEmpty():
-        return
+    """Append rows. The plan runs once; without rows no row is written."""
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 

@@ -30,9 +30,10 @@ def next_range(stored: DataFrame | None, trailing_days: int, backfill_from: Colu
 
 
 def by_year(spans: DataFrame) -> DataFrame:
-    """Split each (start_date, end_date) at calendar years."""
+    """Split each (start_date, end_date) at calendar years; an empty range gives none."""
     first = F.make_date(F.year("start_date"), F.lit(1), F.lit(1))
-    january = F.explode(F.sequence(first, F.col("end_date"), F.expr("interval 1 year")))
+    january = F.explode(F.when(
+        F.col("start_date") <= F.col("end_date"), F.sequence(first, F.col("end_date"), F.expr("interval 1 year"))))
     years = spans.withColumn("_jan", january)
     december = F.make_date(F.year("_jan"), F.lit(12), F.lit(31))
     return years.select(
@@ -41,9 +42,10 @@ def by_year(spans: DataFrame) -> DataFrame:
 
 
 def by_days(spans: DataFrame, days: int = FORECAST_CHUNK_DAYS) -> DataFrame:
-    """Split each (start_date, end_date) into ranges of a number of days."""
+    """Split each (start_date, end_date) into ranges of a number of days; an empty range gives none."""
     step = F.make_dt_interval(F.lit(days))
-    chunks = spans.withColumn("_s", F.explode(F.sequence(F.col("start_date"), F.col("end_date"), step)))
+    starts = F.when(F.col("start_date") <= F.col("end_date"), F.sequence(F.col("start_date"), F.col("end_date"), step))
+    chunks = spans.withColumn("_s", F.explode(starts))
     return chunks.select(
         "dam", F.col("_s").alias("start_date"), F.least("end_date", F.date_add("_s", days - 1)).alias("end_date")
     )

@@ -86,7 +86,9 @@ class DriftProcessor(StatefulProcessor):
 
 
 def drift_events(errors: DataFrame, delta: float = DELTA) -> DataFrame:
-    return errors.select("dam", "horizon", "target_date", "abs_err_model").groupBy("dam", "horizon").transformWithStateInPandas(
+    """Detections per series; errors that are NULL or NaN say nothing and are left out."""
+    known = errors.filter(F.col("abs_err_model").isNotNull() & ~F.isnan("abs_err_model"))
+    return known.select("dam", "horizon", "target_date", "abs_err_model").groupBy("dam", "horizon").transformWithStateInPandas(
         DriftProcessor(delta), DRIFT_OUTPUT, "Append", "None")
 
 
@@ -116,8 +118,10 @@ class StatsProcessor(StatefulProcessor):
 
 
 def running_stats(labels: DataFrame) -> DataFrame:
-    """One row per dam and batch: its label statistics so far."""
-    return labels.select("dam", "actual_delta", "label_date").groupBy("dam").transformWithStateInPandas(
+    """One row per dam and batch: its label statistics so far. Labels that are NULL or
+    NaN are left out, so a batch of such labels alone gives no row."""
+    known = labels.filter(F.col("actual_delta").isNotNull() & ~F.isnan("actual_delta"))
+    return known.select("dam", "actual_delta", "label_date").groupBy("dam").transformWithStateInPandas(
         StatsProcessor(), STATS_OUTPUT, "Update", "None")
 
 
