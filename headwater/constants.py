@@ -40,7 +40,7 @@ BLEND_FAMILIES = 4
 FOREST_TREES = 50
 FOREST_SEED = 7
 
-# Nearest-neighbour memory, in labelled rows.
+# Labels that the search's neighbours remember in pools over many entities.
 NEIGHBOUR_MEMORY = 1000
 
 # Catchment sampling.

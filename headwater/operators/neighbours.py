@@ -1,10 +1,12 @@
 """Nearest neighbours among the labels known at issue time.
 
-A learner remembers the latest labelled rows of its pool, `memory` of them. That
-definition bounds the work: a row meets at most that many others, however large
-its pool. Days are grouped into blocks; a block's queries, split into groups of
-bounded size, meet the rows its days may remember, and the exact memory of each
-day is taken inside the task.
+Pools within one entity hold a row per day and horizon, so the calendar bounds
+them: their rows meet all labels known so far. Pools over many entities grow with
+these, and all their pairs are no longer a plan; the caller must then say how many
+labels a learner remembers, its latest ones, of which those of one day are chosen by
+a hash of their key. Days are grouped into blocks; a block's queries, split into
+groups of bounded size, meet the rows its days may remember, and the exact memory
+of each day is taken inside the task.
 """
 
 from __future__ import annotations
@@ -13,10 +15,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headwater.constants import NEIGHBOUR_MEMORY
 from headwater.functions.numeric import finite_or_zero
 from headwater.operators.causal import pool_key, scaled_target, unscaled
 
@@ -45,37 +46,73 @@ def nearest_mean(queries: np.ndarray, known: np.ndarray, y: np.ndarray, k: int)
     return out
 
 
+ENTITY_POOLS = ("none", "horizon")
+
+
+def _answers(queries: pd.DataFrame, known: pd.DataFrame, x: Sequence[str], keys: Sequence[str], k: int,
+             memory: int | None) -> pd.DataFrame:
+    """The keys of the queries and the mean of each one's neighbours, NaN without any."""
+    known = known.sort_values(["label_day", "order", *keys], kind="stable")
+    labels, places, y = known["label_day"].to_numpy(), known[x].to_numpy(float), known["y"].to_numpy(float)
+    values = np.full(len(queries), np.nan)
+    days, points = queries["day"].to_numpy(), queries[x].to_numpy(float)
+    for day in np.unique(days):
+        stop = np.searchsorted(labels, day, side="right")
+        start = 0 if memory is None else max(stop - memory, 0)
+        if stop > start:
+            mine = days == day
+            values[mine] = nearest_mean(points[mine], places[start:stop], y[start:stop], k)
+    return queries[list(keys)].assign(_knn=values)
+
+
 def causal_knn(table: DataFrame, features: Sequence[str], keys: Sequence[str], pooling: str = "dam", k: int = 5,
-               memory: int = NEIGHBOUR_MEMORY, block_days: int = 30, scaled: bool = True,
-               name: str = "model", pool: Column | None = None) -> DataFrame:
+               memory: int | None = None, block_days: int = 30, scaled: bool = True, name: str = "model") -> DataFrame:
     """Add the mean target of each row's nearest remembered neighbours.
 
     Features should be z-scores; a missing one counts as 0. Without any
-    remembered row the prediction is no change.
+    remembered row the prediction is no change. Pools within one entity remember
+    every label; `memory` is needed for pools over many, and has no default.
     """
     features, keys = list(features), list(keys)
-    key = pool_key(pooling) if pool is None else pool
+    if pooling not in ENTITY_POOLS and memory is None:
+        raise ValueError(f"pool {pooling} spans many entities: state how many labels it remembers")
     rows = table.select(
-        key.alias("pool"), F.unix_date("date").alias("day"), F.unix_date("label_date").alias("label_day"),
-        scaled_target(scaled).alias("y"), *keys,
+        pool_key(pooling).alias("pool"), F.unix_date("date").alias("day"), F.unix_date("label_date").alias("label_day"),
+        F.md5(F.concat_ws("|", *keys)).alias("order"), scaled_target(scaled).alias("y"), *keys,
         *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, f in enumerate(features)],
     )
     x = [f"x{i}" for i in range(len(features))]
+    kinds = dict(table.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", _knn double"
+    if memory is None:
+        def within(frame: pd.DataFrame) -> pd.DataFrame:
+            return _answers(frame, frame[frame["y"].notna()], x, keys, k, None)
+
+        answers = rows.groupBy("pool").applyInPandas(within, schema)
+    else:
+        answers = _remembering(rows, x, keys, k, memory, block_days, schema)
+    answers = answers.withColumn("_knn", F.when(~F.isnan("_knn"), F.col("_knn")))
+    value = finite_or_zero(unscaled(F.col("_knn")) if scaled else F.col("_knn"))
+    return table.join(answers, keys, "left").withColumn(name, value).drop("_knn")
+
+
+def _remembering(rows: DataFrame, x: Sequence[str], keys: Sequence[str], k: int, memory: int, block_days: int,
+                 schema: str) -> DataFrame:
+    """Answers of learners that remember their pool's latest `memory` labels."""
     block_of = lambda day: F.floor(F.col(day) / block_days).cast("int")
 
     # A day's labels beyond the memory can never be remembered. Spark turns a
     # row_number filter into a partial limit before the shuffle; the salted step
     # keeps what is left of a large pool's day from meeting in one task.
-    newest_first = [F.col(c).desc() for c in ["day", *keys]]
+    newest_first = [F.col(c).desc() for c in ["order", *keys]]
 
     def newest(df: DataFrame, *by: str) -> DataFrame:
         order = Window.partitionBy(*by).orderBy(*newest_first)
         return df.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= memory).drop("_r")
 
     known = rows.filter(F.col("y").isNotNull())
-    if pooling in ("all", "dam"):
-        salted = known.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)))
-        known = newest(salted, "pool", "label_day", "_salt").drop("_salt")
+    salted = known.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)))
+    known = newest(salted, "pool", "label_day", "_salt").drop("_salt")
     remembered = newest(known, "pool", "label_day").withColumn("block", block_of("label_day"))
     queries = rows.withColumn("block", block_of("day"))
 
@@ -109,33 +146,13 @@ def causal_knn(table: DataFrame, features: Sequence[str], keys: Sequence[str], p
         .withColumn("at", F.explode(F.sequence("number", "reach")))
         .join(groups, ["pool", "at"])
         .withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-        .select(*[F.col(c).alias(c) for c in ["pool", "at", "group", "label_day", "day", "y", *keys, *x]])
+        .select(*[F.col(c).alias(c) for c in ["pool", "at", "group", "label_day", "order", "y", *keys, *x]])
     )
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = left[keys].copy()
-        out["_knn"] = np.nan
-        if left.empty or right.empty:
-            return out.dropna(subset=["_knn"]) if left.empty else out
-        right = right.sort_values(["label_day", "day", *keys], kind="stable")
-        labels, known, y = right["label_day"].to_numpy(), right[x].to_numpy(float), right["y"].to_numpy(float)
-        values = np.full(len(left), np.nan)
-        days, points = left["day"].to_numpy(), left[x].to_numpy(float)
-        for day in np.unique(days):
-            stop = np.searchsorted(labels, day, side="right")
-            start = max(stop - memory, 0)
-            if stop > start:
-                mine = days == day
-                values[mine] = nearest_mean(points[mine], known[start:stop], y[start:stop], k)
-        out["_knn"] = values
-        return out
+        return _answers(left, right, x, keys, k, memory)
 
-    kinds = dict(table.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", _knn double"
-    answers = (
+    return (
         asked.select("pool", "at", "group", "day", *keys, *x).groupBy("pool", "at", "group")
         .cogroup(offered.groupBy("pool", "at", "group")).applyInPandas(answer, schema)
     )
-    answers = answers.withColumn("_knn", F.when(~F.isnan("_knn"), F.col("_knn")))
-    value = finite_or_zero(unscaled(F.col("_knn")) if scaled else F.col("_knn"))
-    return table.join(answers, keys, "left").withColumn(name, value).drop("_knn")

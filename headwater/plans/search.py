@@ -14,7 +14,7 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headwater.constants import BLEND_FAMILIES, BLENDS, FEATURE_SETS, REFINE_FAMILIES, SHRINKS, SPLIT_DATE
+from headwater.constants import BLEND_FAMILIES, BLENDS, FEATURE_SETS, NEIGHBOUR_MEMORY, REFINE_FAMILIES, SHRINKS, SPLIT_DATE
 from headwater.functions.registry import (
     BASELINES, feature_columns, with_baselines, with_errors, with_interactions, with_stacked_baseline,
 )
@@ -22,7 +22,7 @@ from headwater.operators.causal import (
     POOLINGS, expert_weights, label_prefix, pool_key, scaled_target, unscaled, with_causal_z, with_past_losses,
     with_target_scale,
 )
-from headwater.operators.neighbours import causal_knn
+from headwater.operators.neighbours import ENTITY_POOLS, causal_knn
 from headwater.operators.ridge import bagged_ridge, ridge
 from headwater.operators.search import CONFIG, config_scores, dev_and_holdout, leading_families, split_tag
 from headwater.operators.targets import labelled, with_label_date
@@ -63,7 +63,8 @@ def base_predictions(rows: DataFrame, model: str, features: str, pooling: str, s
                      interactions: bool, stack: bool) -> DataFrame:
     """Predictions of one family before shrinkage and blending.
 
-    Models: "mean", "ridge" or "ridge:<penalty>", "bagged", "knn<k>", and the
+    Models: "mean", "ridge" or "ridge:<penalty>", "bagged", "knn<k>", which
+    remembers NEIGHBOUR_MEMORY labels where its pool spans many entities, and the
     walk-forward estimators, which pool all rows.
     """
     if model == "mean":
@@ -73,7 +74,8 @@ def base_predictions(rows: DataFrame, model: str, features: str, pooling: str, s
         inputs = [*inputs, "horizon"]
     if model.startswith("knn"):
         z = with_causal_z(rows.withColumn("_kp", pool_key(pooling)), inputs, ["_kp"])
-        near = causal_knn(z, [f"z_{c}" for c in inputs], KEYS, pooling, int(model[3:]), scaled=scaled)
+        memory = None if pooling in ENTITY_POOLS else NEIGHBOUR_MEMORY
+        near = causal_knn(z, [f"z_{c}" for c in inputs], KEYS, pooling, int(model[3:]), memory, scaled=scaled)
         return near.drop("_kp", *[f"z_{c}" for c in inputs])
     if model == "bagged":
         return bagged_ridge(rows, inputs, KEYS, pooling, scaled=scaled)

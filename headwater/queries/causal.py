@@ -222,24 +222,43 @@ def skip_done_configs(spark, folder):
 KNN_FEATURES = ("rwl_m", "dev_24h_m", "rain_3d", "temperature_2m_mean")
 
 
-@register("causal_knn", f"""{with_ctes(*FEATURE_CTES)},
+def knn_sql(by, memory=None):
+    """Neighbours among the latest labels of a pool: `by` names its columns in a row."""
+    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in by)
+    names = ", ".join(by)
+    limit = "" if memory is None else f" AND k.place > s.upto - {memory}"
+    return f"""{with_ctes(*FEATURE_CTES)},
 rows AS (SELECT dam, date, horizon, label_date, target_delta, rwl_m, dev_24h_m, rain_3d, temperature_2m_mean FROM model_table),
 stats AS (SELECT d.horizon, d.date, {", ".join(f"count(l.{f}) AS n_{f}, avg(l.{f}) AS m_{f}, stddev_pop(l.{f}) AS s_{f}" for f in KNN_FEATURES)}
   FROM (SELECT DISTINCT horizon, date FROM rows) d LEFT JOIN rows l ON l.horizon = d.horizon AND l.target_delta IS NOT NULL AND l.label_date <= d.date GROUP BY 1, 2),
 z AS (SELECT dam, r.date, r.horizon, label_date, target_delta, {", ".join(
     f"coalesce(CASE WHEN {f} IS NULL THEN NULL WHEN n_{f} < 2 THEN 0 WHEN s_{f} < 1e-6 THEN {f} ELSE greatest(least(({f} - m_{f}) / s_{f}, 5), -5) END, 0) AS z_{f}" for f in KNN_FEATURES)}
   FROM rows r JOIN stats USING (horizon, date)),
-known AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY label_date, date, dam, date, horizon) AS place FROM z WHERE target_delta IS NOT NULL),
-seen AS (SELECT d.horizon, d.date, max(k.place) AS upto FROM (SELECT DISTINCT horizon, date FROM z) d
-  LEFT JOIN known k ON k.horizon = d.horizon AND k.label_date <= d.date GROUP BY 1, 2),
+known AS (SELECT *, row_number() OVER (PARTITION BY {names} ORDER BY label_date, md5(concat_ws('|', dam, date, horizon))) AS place FROM z WHERE target_delta IS NOT NULL),
+seen AS (SELECT {", ".join(f"d.{c}" for c in by)}, d.date, max(k.place) AS upto FROM (SELECT DISTINCT {names}, date FROM z) d
+  LEFT JOIN known k ON {on("k", "d")} AND k.label_date <= d.date GROUP BY ALL),
 pairs AS (SELECT q.dam, q.date, q.horizon, k.target_delta AS y, k.place,
     round({" + ".join(f"power(q.z_{f} - k.z_{f}, 2)" for f in KNN_FEATURES)}, 9) AS distance
-  FROM z q JOIN seen s ON s.horizon = q.horizon AND s.date = q.date JOIN known k ON k.horizon = q.horizon AND k.place <= s.upto AND k.place > s.upto - 1000),
+  FROM z q JOIN seen s ON {on("s", "q")} AND s.date = q.date JOIN known k ON {on("k", "q")} AND k.place <= s.upto{limit}),
 near AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY dam, date, horizon ORDER BY distance, place) <= 5),
 answers AS (SELECT dam, date, horizon, avg(y) AS knn FROM near GROUP BY 1, 2, 3)
-SELECT z.dam, z.date, z.horizon, round(coalesce(knn, 0), 4) AS model FROM z LEFT JOIN answers a ON a.dam = z.dam AND a.date = z.date AND a.horizon = z.horizon""")
-def causal_knn(spark, folder):
+SELECT z.dam, z.date, z.horizon, round(coalesce(knn, 0), 4) AS model FROM z LEFT JOIN answers a ON a.dam = z.dam AND a.date = z.date AND a.horizon = z.horizon"""
+
+
+def _neighbours(spark, folder, pooling, memory=None):
     table = with_label_date(events_table(spark, folder)).select("dam", "date", "horizon", "label_date", "target_delta", *KNN_FEATURES)
     z = causal.with_causal_z(table, KNN_FEATURES, ["horizon"])
-    near = neighbours.causal_knn(z, [f"z_{f}" for f in KNN_FEATURES], ["dam", "date", "horizon"], "dam", 5, scaled=False)
+    near = neighbours.causal_knn(z, [f"z_{f}" for f in KNN_FEATURES], ["dam", "date", "horizon"], pooling, 5, memory, scaled=False)
     return rounded(near.select("dam", "date", "horizon", "model"), 4)
+
+
+@register("causal_knn", knn_sql(["dam"]))
+def causal_knn(spark, folder):
+    """Neighbours among all labels that the dam has so far, of any horizon."""
+    return _neighbours(spark, folder, "horizon")
+
+
+@register("causal_knn_pooled", knn_sql(["horizon"], 1000))
+def causal_knn_pooled(spark, folder):
+    """Neighbours among the last 1,000 labels of any dam."""
+    return _neighbours(spark, folder, "dam", 1000)

@@ -1,6 +1,7 @@
 """Fitted operators against plain loops."""
 
 import datetime as dt
+import hashlib
 import math
 
 import numpy as np
@@ -144,14 +145,16 @@ def test_blend_equals_the_sequential_update(spark):
         w /= w.sum()
 
 
-@pytest.mark.parametrize("memory, block_days", [(1000, 30), (12, 5), (12, 30)])
-def test_neighbours_against_brute_force(table, rows, memory, block_days):
+@pytest.mark.parametrize("pooling, memory, block_days", [("dam", 1000, 30), ("dam", 12, 5), ("dam", 12, 30), ("horizon", None, 30), ("none", None, 30)])
+def test_neighbours_against_brute_force(table, rows, pooling, memory, block_days):
     got = {(r.dam, r.date, r.horizon): r.model for r in neighbours.causal_knn(
-        table, ["a", "b"], ["dam", "date", "horizon"], "dam", 3, memory, block_days, scaled=False).collect()}
+        table, ["a", "b"], ["dam", "date", "horizon"], pooling, 3, memory, block_days, scaled=False).collect()}
+    pool = {"dam": lambda q: q[2], "horizon": lambda q: q[0], "none": lambda q: (q[0], q[2])}[pooling]
+    order_of = lambda q: hashlib.md5("|".join(map(str, q[:3])).encode()).hexdigest()
     point = lambda r: np.array([r[5], r[6] or 0.0])
     for r in rows:
-        past = sorted((q for q in rows if q[2] == r[2] and q[4] is not None and q[3] <= r[1]), key=lambda q: (q[3], q[1], q[0]))
-        past = past[-memory:]
+        past = sorted((q for q in rows if pool(q) == pool(r) and q[4] is not None and q[3] <= r[1]), key=lambda q: (q[3], order_of(q)))
+        past = past[-memory:] if memory else past
         if not past:
             assert got[r[:3]] == 0.0
             continue
@@ -159,6 +162,11 @@ def test_neighbours_against_brute_force(table, rows, memory, block_days):
         assert got[r[:3]] == pytest.approx(np.mean([past[i][4] for i in order[:3]])), r
 
 
+def test_pools_over_many_entities_need_a_stated_memory(table):
+    with pytest.raises(ValueError, match="remembers"):
+        neighbours.causal_knn(table, ["a", "b"], ["dam", "date", "horizon"], "dam")
+
+
 def test_bagging_is_repeatable(table):
     keys = ["dam", "date", "horizon"]
     rows = causal.with_target_scale(table)
