@@ -15,6 +15,22 @@ def register(function):
     return function
 
 
+# All pairs by their cosines, and the least vec_id that links reach.
+ORACLES["op10_embedding_duplicates"] = """
+WITH RECURSIVE vectors AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN len(embedding) > 0 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])
+    AND list_bool_or([x <> 0 FOR x IN embedding]) THEN CAST(embedding AS DOUBLE[]) END AS v FROM embeddings),
+pairs AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reached AS (SELECT vec_id, vec_id AS other FROM vectors
+  UNION SELECT r.vec_id, p.b FROM reached r JOIN pairs p ON p.a = r.other),
+named AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id),
+counted AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM named LEFT JOIN counted ON a = vec_id"""
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
