@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwater.constants import FORECAST_CHUNK_DAYS
+from headwater.constants import FORECAST_CHUNK_DAYS, WEATHER_ARCHIVE_LAG_DAYS, WEATHER_TRAILING_DAYS
 
 
 def trailing(df: DataFrame, days: int, date: str = "date") -> DataFrame:
@@ -29,6 +29,17 @@ def next_range(stored: DataFrame | None, trailing_days: int, backfill_from: Colu
     return entities.select("dam", start.alias("start_date"), until.alias("end_date"))
 
 
+def archive_range(entities: DataFrame, today: Column, backfill_from: Column, stored: bool) -> DataFrame:
+    """The archive's range to request per entity, up to the newest day that it has.
+
+    Entities that are stored ask for the trailing days again, in which provisional
+    rows are replaced as the archive catches up; the others for the full history.
+    """
+    start = F.date_sub(today, WEATHER_TRAILING_DAYS) if stored else backfill_from
+    return entities.select(
+        "dam", start.alias("start_date"), F.date_sub(today, WEATHER_ARCHIVE_LAG_DAYS).alias("end_date"))
+
+
 def by_year(spans: DataFrame) -> DataFrame:
     """Split each (start_date, end_date) at calendar years; an empty range gives none."""
     first = F.make_date(F.year("start_date"), F.lit(1), F.lit(1))
