@@ -3,7 +3,7 @@
 One pass reduces all rows to cross-product blocks per (pool, day). Their running
 sums give the normal equations of every issue date, which small dense solves
 inside tasks turn into coefficients. The sums serve every penalty and every
-subset of the features.
+subset of the features, its variants.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from headwater.operators.causal import pool_key, scaled_target, unscaled
 
 # Blocks a task holds before it passes them on; bounds its memory.
 HELD_BLOCKS = 2048
+# Normal equations that a task unpacks and solves together.
+SOLVED_AT_ONCE = 256
 MODEL_SCHEMA = (
-    "pool string, day int, known_n double, intercept double, "
+    "pool string, day int, variant int, known_n double, intercept double, "
     "beta array<double>, centre array<double>, spread array<double>"
 )
 
@@ -67,14 +69,20 @@ def solve(grams: np.ndarray, p: int, penalty: float, use: np.ndarray | None = No
     return n, intercept, np.where(alive, beta, 0.0), centre, spread
 
 
-def _models(pools, days, grams, p, penalty, use) -> pd.DataFrame:
-    n, intercept, beta, centre, spread = solve(grams, p, penalty, use)
-    return pd.DataFrame(
-        {
-            "pool": pools, "day": days, "known_n": n, "intercept": intercept,
+# A variant of a learner: its penalty and the features it may use, all of them if None.
+Variant = tuple[float, Sequence[str] | None]
+
+
+def _models(pools, days, grams, features: Sequence[str], variants: Sequence[Variant]) -> pd.DataFrame:
+    out = []
+    for number, (penalty, use) in enumerate(variants):
+        mask = None if use is None else np.array([f in set(use) for f in features])
+        n, intercept, beta, centre, spread = solve(grams, len(features), penalty, mask)
+        out.append(pd.DataFrame({
+            "pool": pools, "day": days, "variant": number, "known_n": n, "intercept": intercept,
             "beta": list(beta), "centre": list(centre), "spread": list(spread),
-        }
-    )
+        }))
+    return pd.concat(out)
 
 
 def _ready(rows: DataFrame, pool: Column, features: Sequence[str], target: Column, weight: Column) -> DataFrame:
@@ -85,10 +93,6 @@ def _ready(rows: DataFrame, pool: Column, features: Sequence[str], target: Colum
     )
 
 
-def _mask(features: Sequence[str], use: Sequence[str] | None):
-    return None if use is None else np.array([f in set(use) for f in features])
-
-
 def cross_product_blocks(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """Packed cross products (pool, day, cell, part) of the labels of each day.
 
@@ -144,20 +148,23 @@ def pooled_models(rows: DataFrame, features: Sequence[str], penalty: float, use:
 
 def models_of(blocks: DataFrame, features: Sequence[str], penalty: float, use: Sequence[str] | None = None) -> DataFrame:
     """The models that follow from blocks, for any penalty and subset of features."""
-    p = len(features)
-    size = 2 * p + 2
+    return variant_models(blocks, features, [(penalty, use)]).drop("variant")
+
+
+def variant_models(blocks: DataFrame, features: Sequence[str], variants: Sequence[Variant]) -> DataFrame:
+    """The models of every variant: the blocks are read and accumulated once."""
+    size = 2 * len(features) + 2
     upper = np.triu_indices(size)
-    mask = _mask(features, use)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            if frame.empty:
-                continue
-            grams = np.zeros((len(frame), size, size))
-            packed = np.array([np.asarray(c, dtype=float) for c in frame["cells"]])
-            grams[:, upper[0], upper[1]] = packed
-            grams[:, upper[1], upper[0]] = packed
-            yield _models(frame["pool"], frame["day"], grams, p, penalty, mask)
+            for at in range(0, len(frame), SOLVED_AT_ONCE):
+                part = frame.iloc[at:at + SOLVED_AT_ONCE]
+                grams = np.zeros((len(part), size, size))
+                packed = np.array([np.asarray(c, dtype=float) for c in part["cells"]])
+                grams[:, upper[0], upper[1]] = packed
+                grams[:, upper[1], upper[0]] = packed
+                yield _models(part["pool"].to_numpy(), part["day"].to_numpy(), grams, features, variants)
 
     # The number of cells is fixed, so these lists are too.
     cells = F.sort_array(F.collect_list(F.struct("cell", "total")))
@@ -165,13 +172,12 @@ def models_of(blocks: DataFrame, features: Sequence[str], penalty: float, use: S
     return packed.select("pool", "day", F.col("_c.total").alias("cells")).mapInPandas(fit, MODEL_SCHEMA)
 
 
-def entity_models(rows: DataFrame, features: Sequence[str], penalty: float, use: Sequence[str] | None = None) -> DataFrame:
+def entity_models(rows: DataFrame, features: Sequence[str], variants: Sequence[Variant]) -> DataFrame:
     """The same for pools within one entity, whose rows the calendar bounds.
 
     A pool then has at most one row per day and horizon, and is solved whole.
     """
     p = len(features)
-    mask = _mask(features, use)
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         days = np.unique(frame["day"].to_numpy())
@@ -181,7 +187,7 @@ def entity_models(rows: DataFrame, features: Sequence[str], penalty: float, use:
         blocks = np.zeros((len(days), 2 * p + 2, 2 * p + 2))
         inside = slot < len(days)
         np.add.at(blocks, slot[inside], u[inside, :, None] * u[inside, None, :])
-        return _models(frame["pool"].iloc[0], days, np.cumsum(blocks, axis=0), p, penalty, mask)
+        return _models(frame["pool"].iloc[0], days, np.cumsum(blocks, axis=0), features, variants)
 
     return rows.groupBy("pool").applyInPandas(fit, MODEL_SCHEMA)
 
@@ -194,7 +200,7 @@ def linear_prediction(features: Sequence[str], bound: float = Z_CLIP) -> Column:
     values = F.array(*[F.col(f).cast("double") for f in features])
     terms = F.zip_with(
         values, F.arrays_zip("centre", "spread", "beta"),
-        lambda x, m: F.coalesce(clip((x - m.centre) / m.spread, bound) * m.beta, F.lit(0.0)),
+        lambda x, m: F.coalesce(F.when(m.beta != 0.0, clip((x - m.centre) / m.spread, bound) * m.beta), F.lit(0.0)),
     )
     return F.col("intercept") + F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
 
@@ -212,10 +218,25 @@ def ridge(table: DataFrame, features: Sequence[str], pooling: str = "all", penal
     The table needs date, label_date and target_delta, and `scale` where scaled.
     With fewer than two known labels the prediction is no change.
     """
+    rows = ridge_variants(table, features, [(penalty, use)], pooling, scaled, name, pool, weight)
+    return rows.drop("variant")
+
+
+def ridge_variants(table: DataFrame, features: Sequence[str], variants: Sequence[Variant], pooling: str = "all",
+                   scaled: bool = True, name: str = "model", pool: Column | None = None,
+                   weight: Column | None = None) -> DataFrame:
+    """`ridge` for several penalties and subsets of the features: each row once per
+    variant, whose place in the list `variant` tells.
+
+    One pass over the rows, one running sum and one join serve them all.
+    """
     key = pool_key(pooling) if pool is None else pool
     ready = _ready(table, key, features, scaled_target(scaled), F.lit(1.0) if weight is None else weight)
-    fit = pooled_models if pooling in ("all", "dam") else entity_models
-    models = fit(ready, features, penalty, use).withColumn("_date", F.date_from_unix_date("day")).drop("day")
+    if pooling in ("all", "dam"):
+        models = variant_models(cross_product_blocks(ready, features), features, variants)
+    else:
+        models = entity_models(ready, features, variants)
+    models = models.withColumn("_date", F.date_from_unix_date("day")).drop("day")
     joined = table.withColumn("_pool", key).join(
         models.withColumnRenamed("pool", "_pool").withColumnRenamed("_date", "date"), ["_pool", "date"], "left"
     )

@@ -29,22 +29,26 @@ def config_grid(spark: SparkSession, models: Sequence[str], features: Sequence[s
     return grid
 
 
+# The stages of the search: every model over a small grid, the leading families over
+# everything but blends, and the best of them hedged against the baselines or fed with them.
+STAGES = {
+    "coarse": dict(features=("base", "lean"), shrinks=(1.0, 0.5)),
+    "fine": dict(features=tuple(FEATURE_SETS), interactions=(False, True), shrinks=SHRINKS),
+    "blend": dict(features=("base", "lean"), interactions=(False, True), blends=BLENDS, stacks=(False, True)),
+    "stack": dict(features=("base", "lean"), shrinks=(1.0, 0.6), stacks=(True,)),
+}
+
+
 def coarse_grid(spark: SparkSession, models: Sequence[str]) -> DataFrame:
-    """Every model over a small grid."""
-    return config_grid(spark, models, ("base", "lean"), shrinks=(1.0, 0.5))
+    return config_grid(spark, models, **STAGES["coarse"])
 
 
 def fine_grid(spark: SparkSession, models: Sequence[str]) -> DataFrame:
-    """Surviving families over everything but blends."""
-    return config_grid(spark, models, tuple(FEATURE_SETS), interactions=(False, True), shrinks=SHRINKS)
+    return config_grid(spark, models, **STAGES["fine"])
 
 
 def blend_grid(spark: SparkSession, models: Sequence[str]) -> DataFrame:
-    """Survivors hedged against the baselines, or fed with them."""
-    hedged = config_grid(spark, models, ("base", "lean"), interactions=(False, True), blends=BLENDS,
-                         stacks=(False, True))
-    fed = config_grid(spark, models, ("base", "lean"), shrinks=(1.0, 0.6), stacks=(True,))
-    return hedged.unionByName(fed)
+    return config_grid(spark, models, **STAGES["blend"]).unionByName(config_grid(spark, models, **STAGES["stack"]))
 
 
 def not_yet_done(grid: DataFrame, results: DataFrame) -> DataFrame:

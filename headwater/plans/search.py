@@ -7,14 +7,14 @@ share one data pass; scores are aggregated before anything is collected.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Sequence
 from functools import reduce
-from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.constants import BLEND_FAMILIES, BLENDS, FEATURE_SETS, NEIGHBOUR_MEMORY, REFINE_FAMILIES, SHRINKS, SPLIT_DATE
+from headwater.constants import BLEND_FAMILIES, NEIGHBOUR_MEMORY, REFINE_FAMILIES, SPLIT_DATE
 from headwater.functions.registry import (
     BASELINES, feature_columns, with_baselines, with_errors, with_interactions, with_stacked_baseline,
 )
@@ -23,8 +23,10 @@ from headwater.operators.causal import (
     with_target_scale,
 )
 from headwater.operators.neighbours import ENTITY_POOLS, causal_knn
-from headwater.operators.ridge import bagged_ridge, ridge
-from headwater.operators.search import CONFIG, config_scores, dev_and_holdout, leading_families, split_tag
+from headwater.operators.ridge import bagged_ridge, ridge, ridge_variants
+from headwater.operators.search import (
+    CONFIG, STAGES, config_grid, config_scores, dev_and_holdout, leading_families, not_yet_done, split_tag,
+)
 from headwater.operators.targets import labelled, with_label_date
 from headwater.plans.walkforward import ESTIMATORS, month_start, walk_forward
 from headwater.session import materialise
@@ -59,6 +61,15 @@ def causal_mean(rows: DataFrame, pooling: str, scaled: bool, name: str = "model"
     return keyed.join(past, ["_pool", "date"], "left").withColumn(name, value).drop("_pool", "_n", "_y")
 
 
+def _inputs(features: str, pooling: str, interactions: bool, stack: bool) -> list[str]:
+    inputs = feature_columns(features, interactions, stack)
+    return [*inputs, "horizon"] if pooling in ("horizon", "all") else inputs
+
+
+def _penalty(model: str) -> float:
+    return float(model.split(":")[1]) if ":" in model else 1.0
+
+
 def base_predictions(rows: DataFrame, model: str, features: str, pooling: str, scaled: bool,
                      interactions: bool, stack: bool) -> DataFrame:
     """Predictions of one family before shrinkage and blending.
@@ -69,9 +80,7 @@ def base_predictions(rows: DataFrame, model: str, features: str, pooling: str, s
     """
     if model == "mean":
         return causal_mean(rows, pooling, scaled)
-    inputs = feature_columns(features, interactions, stack)
-    if pooling in ("horizon", "all"):
-        inputs = [*inputs, "horizon"]
+    inputs = _inputs(features, pooling, interactions, stack)
     if model.startswith("knn"):
         z = with_causal_z(rows.withColumn("_kp", pool_key(pooling)), inputs, ["_kp"])
         memory = None if pooling in ENTITY_POOLS else NEIGHBOUR_MEMORY
@@ -85,52 +94,94 @@ def base_predictions(rows: DataFrame, model: str, features: str, pooling: str, s
         return walk_forward(rows, [c for c in inputs if c != "horizon"], model, month_start(), scaled)
     if model.split(":")[0] != "ridge":
         raise ValueError(f"unknown model {model}")
-    penalty = float(model.split(":")[1]) if ":" in model else 1.0
-    return ridge(rows, inputs, pooling, penalty, scaled)
+    return ridge(rows, inputs, pooling, _penalty(model), scaled)
+
 
+def prepared(table: DataFrame, crossed: bool = True) -> DataFrame:
+    """Labelled rows with all that any family reads, written once for all of them.
 
-def _stacked(table: DataFrame, models, features, poolings, scales, interactions, stacks) -> DataFrame:
-    """Base predictions of all families of a grid, with what scoring needs."""
+    crossed: with the products of features, which only some families read.
+    """
     rows = with_stacked_baseline(with_target_scale(with_label_date(labelled(table)), search=True))
-    if any(interactions):
-        rows = with_interactions(rows)
-    # Every family reads these rows again: written once, not recomputed.
-    rows = materialise(with_baselines(rows), "sweep-rows")
+    return materialise(with_baselines(with_interactions(rows) if crossed else rows), "sweep-rows")
+
+
+def pending(spark: SparkSession, done: DataFrame | None = None, **grid) -> list[tuple]:
+    """The configurations of a grid that `done` lacks, as tuples in the order of CONFIG.
+
+    "mean" reads no inputs: one setting of the inputs stands for all. A grid is the
+    product of the caller's short lists, so its rows may pass through the driver.
+    """
+    rows = config_grid(spark, **grid)
+    still = F.col("model") == "mean"
+    first = {"features": grid.get("features", ("base",))[0], "interactions": False, "stack_baseline": False}
+    rows = rows.withColumns({c: F.when(still, F.lit(v)).otherwise(F.col(c)) for c, v in first.items()}).distinct()
+    return sorted(tuple(r[c] for c in CONFIG) for r in (rows if done is None else not_yet_done(rows, done)).collect())
+
+
+def _tagged(predictions: DataFrame, families: Sequence[tuple], number: Column) -> DataFrame:
+    """Predictions with the columns of their family, and what scoring needs."""
+    tags = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(FAMILY, f)]) for f in families])[number]
+    pool = pool_key(families[0][FAMILY.index("pooling")]).alias("_pool")
     slim = [*KEYS, "label_date", "target_delta", "dev_24h_m", *BASELINES]
-    parts = []
-    if "mean" in models:
-        tags = {"model": "mean", "features": features[0], "interactions": False, "stack_baseline": False}
-        part = mean_families(rows, poolings, scales)
-        part = part.select(*slim, F.col("model").alias("_base"), "_pool", "pooling", "scale_target")
-        parts.append(part.withColumns({k: F.lit(v) for k, v in tags.items()}))
-    others = [m for m in models if m != "mean"]
-    for m, f, p, s, i, st in product(others, features, poolings, scales, interactions, stacks):
-        base = base_predictions(rows, m, f, p, s, i, st)
-        tags = dict(zip(FAMILY, (m, f, p, s, i, st)))
-        part = base.select(*slim, F.col("model").alias("_base"), pool_key(p).alias("_pool"))
-        parts.append(part.withColumns({k: F.lit(v) for k, v in tags.items()}))
+    return predictions.select(*slim, F.col("model").alias("_base"), pool, tags.alias("_t")).select("*", "_t.*").drop("_t")
+
+
+def _base_rows(rows: DataFrame, families: Sequence[tuple]) -> DataFrame:
+    """Base predictions of all families, as few passes over the rows as they need.
+
+    Families of the ridge that share pooling and scaling share one pass, whatever their
+    penalty and inputs; those of the mean share one altogether.
+    """
+    parts, linear, level = [], {}, []
+    for family in families:
+        model, features, pooling, scaled, crossed, stack = family
+        if model == "mean":
+            level.append(family)
+        elif model.split(":")[0] == "ridge":
+            linear.setdefault((pooling, scaled), []).append(family)
+        else:
+            base = base_predictions(rows, model, features, pooling, scaled, crossed, stack)
+            parts.append(_tagged(base, [family], F.lit(0)))
+    for (pooling, scaled), some in linear.items():
+        inputs = [_inputs(f, pooling, crossed, stack) for _, f, _, _, crossed, stack in some]
+        union = list(dict.fromkeys(c for columns in inputs for c in columns))
+        variants = [(_penalty(f[0]), columns) for f, columns in zip(some, inputs)]
+        parts.append(_tagged(ridge_variants(rows, union, variants, pooling, scaled), some, F.col("variant")))
+    if level:
+        means = mean_families(rows, *(list(dict.fromkeys(f[i] for f in level)) for i in (2, 3)))
+        tags = {c: F.lit(v) for c, v in zip(FAMILY, level[0]) if c not in ("pooling", "scale_target")}
+        slim = [*KEYS, "label_date", "target_delta", "dev_24h_m", *BASELINES]
+        parts.append(means.select(*slim, F.col("model").alias("_base"), "_pool", "pooling", "scale_target").withColumns(tags))
     return materialise(reduce(DataFrame.unionByName, parts), "sweep-base")
 
 
-def sweep_errors(table: DataFrame, models: Sequence[str], features: Sequence[str] = ("base",),
-                 poolings: Sequence[str] = ("all",), scales: Sequence[bool] = (True,),
-                 interactions: Sequence[bool] = (False,), stacks: Sequence[bool] = (False,),
-                 shrinks: Sequence[float] = (1.0,), blends: Sequence[float] = (0.0,),
-                 split: str | None = None) -> DataFrame:
-    """Errors of every configuration of a grid, one row per labelled forecast."""
-    stacked = _stacked(table, models, features, poolings, scales, interactions, stacks)
-    shrunk = stacked.withColumn("shrink", F.explode(F.array(*[F.lit(float(v)) for v in shrinks])))
+def sweep_errors(table: DataFrame, models: Sequence[str], split: str | None = None, done: DataFrame | None = None,
+                 rows: Callable[[], DataFrame] | None = None, **grid) -> DataFrame:
+    """Errors of every configuration of a grid that `done` lacks, one row per labelled forecast.
+
+    `rows` gives the prepared rows where several sweeps share them.
+    """
+    spark = table.sparkSession
+    todo = pending(spark, done, models=models, **{"poolings": ("all",), "scales": (True,), **grid})
+    if not todo:
+        raise ValueError("no configuration to run")
+    configs = spark.createDataFrame(todo, CONFIG_SCHEMA)
+    families = list(dict.fromkeys(tuple(c[CONFIG.index(f)] for f in FAMILY) for c in todo))
+    crossed = any(f[FAMILY.index("interactions")] for f in families)
+    stacked = _base_rows(prepared(table, crossed) if rows is None else rows(), families)
+    # The configurations are as few as the grid's lists make them.
+    shrunk = stacked.join(F.broadcast(configs.select(*FAMILY, "shrink").distinct()), list(FAMILY))
     shrunk = shrunk.withColumn("_shrunk", F.col("_base") * F.col("shrink"))
     experts = ["_shrunk", *BASELINES]
     value = F.col("_shrunk")
-    if any(b > 0.0 for b in blends):
+    if any(c[CONFIG.index("blend")] > 0.0 for c in todo):
         # Past losses do not depend on the rate: one pass serves every blend.
         shrunk = with_past_losses(shrunk, experts, [*FAMILY, "shrink", "_pool"])
         weights = expert_weights(experts, F.col("blend"))
         mixed = sum((weights[e] * F.col(e) for e in experts), F.lit(0.0))
         value = F.when(F.col("blend") > 0.0, mixed).otherwise(value)
-    rates = shrunk.withColumn("blend", F.explode(F.array(*[F.lit(float(b)) for b in blends])))
-    final = rates.withColumn("_final", value)
+    final = shrunk.join(F.broadcast(configs), [*FAMILY, "shrink"]).withColumn("_final", value)
     errors = with_errors(final.withColumn("actual", F.col("target_delta")), "_final")
     keep = [*CONFIG, "split", *KEYS, "abs_err_model", *[f"abs_err_{b}" for b in BASELINES]]
     return split_tag(errors, split or SPLIT_DATE).select(*keep)
@@ -142,38 +193,35 @@ def sweep(table: DataFrame, split: str | None = None, **grid) -> DataFrame:
     return dev_and_holdout(overall)
 
 
+CONFIG_SCHEMA = ("model string, features string, pooling string, scale_target boolean, interactions boolean, "
+                 "shrink double, blend double, stack_baseline boolean")
 FAILURES = "model string, stage string, error string"
 
 
 def staged_search(table: DataFrame, models: Sequence[str], split: str | None = None,
-                  poolings: Sequence[str] = POOLINGS) -> tuple[DataFrame, DataFrame]:
+                  poolings: Sequence[str] = POOLINGS, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Every model over a small grid, the leading families over the full one, and
     the best of them hedged against the baselines or fed with their answer.
 
     Returns the scored configurations and one row per model and stage, or
-    pooling, that could not run. Only family names pass through the driver.
+    pooling, that could not run. What `done`, the scores of a former search, or an
+    earlier stage holds is not run again. Only names and failures pass through the driver.
     """
     spark = table.sparkSession
-    both = (False, True)
-    stages = {
-        "coarse": dict(features=("base", "lean"), poolings=poolings, scales=both, shrinks=(1.0, 0.5)),
-        "fine": dict(features=tuple(FEATURE_SETS), poolings=poolings, scales=both, interactions=both, shrinks=SHRINKS),
-        "blend": dict(features=("base", "lean"), poolings=poolings, scales=both, interactions=both, stacks=both, blends=BLENDS),
-        "stack": dict(features=("base", "lean"), poolings=poolings, scales=both, stacks=(True,), shrinks=(1.0, 0.6)),
-    }
-    results, failed = None, []
+    rows = functools.cache(lambda: prepared(table, any(m != "mean" for m in models)))
+    results, failed = done, []
 
     def run(stage: str, names: Sequence[str]) -> None:
         nonlocal results
         for model in names:
-            grid = dict(stages[stage])
             # Walk-forward estimators pool all rows; their other pools are failures of their own.
-            fit = [p for p in grid["poolings"] if model not in ESTIMATORS or p == "all"]
-            failed.extend((model, stage, f"pools all rows, not {p}") for p in grid["poolings"] if p not in fit)
-            if not fit:
+            fit = [p for p in poolings if model not in ESTIMATORS or p == "all"]
+            failed.extend((model, stage, f"pools all rows, not {p}") for p in poolings if p not in fit)
+            grid = dict(models=(model,), poolings=fit, scales=(False, True), **STAGES[stage])
+            if not fit or not pending(spark, results, **grid):
                 continue
             try:
-                found = materialise(sweep(table, split=split, models=(model,), **{**grid, "poolings": fit}), f"search-{stage}")
+                found = materialise(sweep(table, split=split, done=results, rows=rows, **grid), f"search-{stage}")
             except Exception as error:  # noqa: BLE001 - an error becomes a row, the other models go on
                 failed.append((model, stage, f"{type(error).__name__}: {error}"))
                 continue
@@ -186,4 +234,4 @@ def staged_search(table: DataFrame, models: Sequence[str], split: str | None = N
     run("fine", leading)
     run("blend", leading[:BLEND_FAMILIES])
     run("stack", leading[:BLEND_FAMILIES])
-    return results.dropDuplicates(list(CONFIG)), spark.createDataFrame(failed, FAILURES)
+    return results, spark.createDataFrame(failed, FAILURES)
