@@ -119,12 +119,10 @@ def pending(spark: SparkSession, done: DataFrame | None = None, **grid) -> list[
     return sorted(tuple(r[c] for c in CONFIG) for r in (rows if done is None else not_yet_done(rows, done)).collect())
 
 
-def _tagged(predictions: DataFrame, families: Sequence[tuple], number: Column) -> DataFrame:
-    """Predictions with the columns of their family, and what scoring needs."""
-    tags = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(FAMILY, f)]) for f in families])[number]
-    pool = pool_key(families[0][FAMILY.index("pooling")]).alias("_pool")
+def _tagged(predictions: DataFrame, pool: Column, number: Column) -> DataFrame:
+    """Predictions with the number of their family, and what scoring needs."""
     slim = [*KEYS, "label_date", "target_delta", "dev_24h_m", *BASELINES]
-    return predictions.select(*slim, F.col("model").alias("_base"), pool, tags.alias("_t")).select("*", "_t.*").drop("_t")
+    return predictions.select(*slim, F.col("model").alias("_base"), pool.alias("_pool"), number.cast("int").alias("_family"))
 
 
 def _base_rows(rows: DataFrame, families: Sequence[tuple]) -> DataFrame:
@@ -133,64 +131,81 @@ def _base_rows(rows: DataFrame, families: Sequence[tuple]) -> DataFrame:
     Families of the ridge that share pooling and scaling share one pass, whatever their
     penalty and inputs; those of the mean share one altogether.
     """
-    parts, linear, level = [], {}, []
-    for family in families:
+    parts, linear, level = [], {}, F.lit(None).cast("int")
+    means = [f for f in families if f[0] == "mean"]
+    for number, family in enumerate(families):
         model, features, pooling, scaled, crossed, stack = family
         if model == "mean":
-            level.append(family)
+            level = F.when((F.col("pooling") == pooling) & (F.col("scale_target") == F.lit(scaled)), number).otherwise(level)
         elif model.split(":")[0] == "ridge":
-            linear.setdefault((pooling, scaled), []).append(family)
+            linear.setdefault((pooling, scaled), []).append((number, family))
         else:
             base = base_predictions(rows, model, features, pooling, scaled, crossed, stack)
-            parts.append(_tagged(base, [family], F.lit(0)))
+            parts.append(_tagged(base, pool_key(pooling), F.lit(number)))
     for (pooling, scaled), some in linear.items():
-        inputs = [_inputs(f, pooling, crossed, stack) for _, f, _, _, crossed, stack in some]
+        inputs = [_inputs(f, pooling, crossed, stack) for _, (_, f, _, _, crossed, stack) in some]
         union = list(dict.fromkeys(c for columns in inputs for c in columns))
-        variants = [(_penalty(f[0]), columns) for f, columns in zip(some, inputs)]
-        parts.append(_tagged(ridge_variants(rows, union, variants, pooling, scaled), some, F.col("variant")))
-    if level:
-        means = mean_families(rows, *(list(dict.fromkeys(f[i] for f in level)) for i in (2, 3)))
-        tags = {c: F.lit(v) for c, v in zip(FAMILY, level[0]) if c not in ("pooling", "scale_target")}
-        slim = [*KEYS, "label_date", "target_delta", "dev_24h_m", *BASELINES]
-        parts.append(means.select(*slim, F.col("model").alias("_base"), "_pool", "pooling", "scale_target").withColumns(tags))
+        variants = [(_penalty(family[0]), columns) for (_, family), columns in zip(some, inputs)]
+        numbers = F.array(*[F.lit(number) for number, _ in some])
+        fitted = ridge_variants(rows, union, variants, pooling, scaled)
+        parts.append(_tagged(fitted, pool_key(pooling), numbers[F.col("variant")]))
+    if means:
+        levels = mean_families(rows, *(list(dict.fromkeys(f[i] for f in means)) for i in (2, 3)))
+        parts.append(_tagged(levels, F.col("_pool"), level).filter("_family is not null"))
     return materialise(reduce(DataFrame.unionByName, parts), "sweep-base")
 
 
-def sweep_errors(table: DataFrame, models: Sequence[str], split: str | None = None, done: DataFrame | None = None,
-                 rows: Callable[[], DataFrame] | None = None, **grid) -> DataFrame:
-    """Errors of every configuration of a grid that `done` lacks, one row per labelled forecast.
+def _errors(table: DataFrame, models: Sequence[str], split: str | None, done: DataFrame | None,
+            rows: Callable[[], DataFrame] | None, grid: dict) -> tuple[DataFrame, DataFrame]:
+    """Errors under the number `_config` of their configuration, and the configurations.
 
-    `rows` gives the prepared rows where several sweeps share them.
+    Numbers, not names, go with the rows through joins and aggregates.
     """
     spark = table.sparkSession
     todo = pending(spark, done, models=models, **{"poolings": ("all",), "scales": (True,), **grid})
     if not todo:
         raise ValueError("no configuration to run")
-    configs = spark.createDataFrame(todo, CONFIG_SCHEMA)
-    families = list(dict.fromkeys(tuple(c[CONFIG.index(f)] for f in FAMILY) for c in todo))
+    family_of = lambda c: tuple(c[CONFIG.index(f)] for f in FAMILY)
+    run_of = lambda c: (family_of(c), c[CONFIG.index("shrink")])
+    families, runs = ({v: i for i, v in enumerate(dict.fromkeys(map(of, todo)))} for of in (family_of, run_of))
+    configs = spark.createDataFrame(
+        [(i, families[family_of(c)], runs[run_of(c)], *c) for i, c in enumerate(todo)],
+        "_config int, _family int, _run int, " + CONFIG_SCHEMA)
     crossed = any(f[FAMILY.index("interactions")] for f in families)
-    stacked = _base_rows(prepared(table, crossed) if rows is None else rows(), families)
+    stacked = _base_rows(prepared(table, crossed) if rows is None else rows(), list(families))
     # The configurations are as few as the grid's lists make them.
-    shrunk = stacked.join(F.broadcast(configs.select(*FAMILY, "shrink").distinct()), list(FAMILY))
-    shrunk = shrunk.withColumn("_shrunk", F.col("_base") * F.col("shrink"))
+    shrunk = stacked.join(F.broadcast(configs.select("_family", "_run", "shrink").distinct()), "_family")
+    shrunk = shrunk.withColumn("_shrunk", F.col("_base") * F.col("shrink")).drop("_base", "_family", "shrink")
     experts = ["_shrunk", *BASELINES]
     value = F.col("_shrunk")
     if any(c[CONFIG.index("blend")] > 0.0 for c in todo):
         # Past losses do not depend on the rate: one pass serves every blend.
-        shrunk = with_past_losses(shrunk, experts, [*FAMILY, "shrink", "_pool"])
+        shrunk = with_past_losses(shrunk, experts, ["_run", "_pool"])
         weights = expert_weights(experts, F.col("blend"))
         mixed = sum((weights[e] * F.col(e) for e in experts), F.lit(0.0))
         value = F.when(F.col("blend") > 0.0, mixed).otherwise(value)
-    final = shrunk.join(F.broadcast(configs), [*FAMILY, "shrink"]).withColumn("_final", value)
+    final = shrunk.join(F.broadcast(configs.select("_run", "_config", "blend")), "_run").withColumn("_final", value)
     errors = with_errors(final.withColumn("actual", F.col("target_delta")), "_final")
-    keep = [*CONFIG, "split", *KEYS, "abs_err_model", *[f"abs_err_{b}" for b in BASELINES]]
-    return split_tag(errors, split or SPLIT_DATE).select(*keep)
+    keep = ["_config", "split", *KEYS, "abs_err_model", *[f"abs_err_{b}" for b in BASELINES]]
+    return split_tag(errors, split or SPLIT_DATE).select(*keep), configs.select("_config", *CONFIG)
+
+
+def sweep_errors(table: DataFrame, models: Sequence[str], split: str | None = None, done: DataFrame | None = None,
+                 rows: Callable[[], DataFrame] | None = None, **grid) -> DataFrame:
+    """Errors of every configuration of a grid that `done` lacks, one row per labelled forecast.
+
+    `rows` gives the prepared rows where several sweeps share them.
+    """
+    errors, configs = _errors(table, models, split, done, rows, grid)
+    return errors.join(F.broadcast(configs), "_config").select(*CONFIG, *[c for c in errors.columns if c != "_config"])
 
 
-def sweep(table: DataFrame, split: str | None = None, **grid) -> DataFrame:
+def sweep(table: DataFrame, models: Sequence[str], split: str | None = None, done: DataFrame | None = None,
+          rows: Callable[[], DataFrame] | None = None, **grid) -> DataFrame:
     """Dev and holdout scores of every configuration, one row each."""
-    _, overall = config_scores(sweep_errors(table, split=split, **grid))
-    return dev_and_holdout(overall)
+    errors, configs = _errors(table, models, split, done, rows, grid)
+    wide = dev_and_holdout(config_scores(errors, ["_config"])[1], ["_config"])
+    return configs.join(wide, "_config").drop("_config")
 
 
 CONFIG_SCHEMA = ("model string, features string, pooling string, scale_target boolean, interactions boolean, "
