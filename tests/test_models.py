@@ -162,6 +162,26 @@ def test_neighbours_against_brute_force(table, rows, pooling, memory, block_days
         assert got[r[:3]] == pytest.approx(np.mean([past[i][4] for i in order[:3]])), r
 
 
+@pytest.mark.parametrize("pooling", ["all", "horizon"])
+def test_variants_equal_ridges_of_their_own(table, pooling):
+    rows = causal.with_target_scale(table)
+    variants = [(1.0, None), (50.0, FEATURES[:1])]
+    got = {(r.variant, r.dam, r.date, r.horizon): r.model for r in ridge.ridge_variants(rows, FEATURES, variants, pooling).collect()}
+    for number, (penalty, use) in enumerate(variants):
+        alone = ridge.ridge(rows, use or FEATURES, pooling, penalty).collect()
+        assert alone and all(got[number, r.dam, r.date, r.horizon] == pytest.approx(r.model, abs=1e-9) for r in alone)
+    assert len(got) == 2 * len(alone)
+
+
+def test_finished_configurations_are_not_pending(spark):
+    grid = dict(models=("mean", "ridge"), features=("base", "lean"), poolings=("all",), scales=(True,), shrinks=(1.0, 0.5))
+    everything = search.pending(spark, **grid)
+    assert len(everything) == 2 + 4  # the mean reads no features
+    done = spark.createDataFrame(everything[:4], search.CONFIG_SCHEMA)
+    assert search.pending(spark, done, **grid) == everything[4:]
+    assert search.pending(spark, spark.createDataFrame(everything, search.CONFIG_SCHEMA), **grid) == []
+
+
 def test_pools_over_many_entities_need_a_stated_memory(table):
     with pytest.raises(ValueError, match="remembers"):
         neighbours.causal_knn(table, ["a", "b"], ["dam", "date", "horizon"], "dam")
