@@ -169,14 +169,19 @@ class Reader:
 FEATURES = 8
 
 
-def featured(docs: DataFrame, terms, *keep: str) -> DataFrame:
-    @F.pandas_udf("array<double>")
+def featured(docs: DataFrame, terms, *keep: str, model: Logistic | None = None) -> DataFrame:
+    """`keep` beside the features of each text, or its score where a model is given."""
+    @F.pandas_udf("array<double>" if model is None else "double")
     def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         reader = Reader(terms)
         for texts in batches:
-            yield pd.Series([[float(v) for v in reader.features(t)] for t in texts], dtype=object)
+            found = [[float(v) for v in reader.features(t)] for t in texts]
+            if model is None:
+                yield pd.Series(found, dtype=object)
+            else:
+                yield pd.Series(model.score(np.array(found).reshape(-1, FEATURES)), dtype="float64")
 
-    return docs.select(*keep, of_texts("text").alias("features"))
+    return docs.select(*keep, of_texts("text").alias("features" if model is None else "score"))
 
 
 def scores(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
@@ -192,11 +197,7 @@ def scores(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Dat
     known = featured(sample, terms, "label").collect()  # a few numbers for each sampled row
     model = Logistic(np.array([r["features"] for r in known]).reshape(-1, FEATURES), np.array([r["label"] for r in known], float))
 
-    @F.pandas_udf("double")
-    def score(features: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.stack(features)) if len(features) else [], dtype="float64")
-
-    found = featured(docs, terms, "doc_id").withColumn("score", score("features"))
+    found = featured(docs, terms, "doc_id", model=model)
     return found.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score",
                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
