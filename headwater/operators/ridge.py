@@ -240,11 +240,16 @@ def ridge_variants(table: DataFrame, features: Sequence[str], variants: Sequence
     joined = table.withColumn("_pool", key).join(
         models.withColumnRenamed("pool", "_pool").withColumnRenamed("_date", "date"), ["_pool", "date"], "left"
     )
+    return predicted(joined, features, scaled, name).drop("_pool")
+
+
+def predicted(joined: DataFrame, features: Sequence[str], scaled: bool = True, name: str = "model") -> DataFrame:
+    """Turn the model columns beside each row into its prediction."""
     # In steps, so that the long sum is evaluated once and not in every guard.
     raw = joined.withColumn("_raw", F.when(F.col("known_n") >= 2, linear_prediction(features)))
     scored = raw.withColumn("_value", unscaled(F.col("_raw")) if scaled else F.col("_raw"))
     return scored.withColumn(name, finite_or_zero(F.col("_value"))).drop(
-        "_pool", "_raw", "_value", "intercept", "beta", "centre", "spread", "known_n")
+        "_raw", "_value", "intercept", "beta", "centre", "spread", "known_n")
 
 
 def bagged_ridge(table: DataFrame, features: Sequence[str], keys: Sequence[str], pooling: str = "all",

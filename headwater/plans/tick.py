@@ -1,7 +1,12 @@
-"""One run of the live loop: score what is due, learn, issue, publish.
+"""One run of the live loop: score what is due, learn from it, issue, publish.
 
-Every table is append-only, so a run may be repeated or may stop half way: the
-next one adds what is missing and nothing twice.
+The learner is a sum of cross products: those of the history, reduced once, and
+those of every forecast that has landed since, made of the inputs it was issued
+with. A run reads the sums and its new rows, never the history's rows again, and
+later corrections of the table don't reach what was learned.
+
+Tables only grow, so a run may be repeated or may stop half way: the next one adds
+what is missing and nothing twice.
 """
 
 from __future__ import annotations
@@ -12,13 +17,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwater import schemas
+from headwater.constants import BASE_FEATURES
 from headwater.operators import ledger as ledgers
+from headwater.operators import ridge
 from headwater.operators.alerts import latest_day
 from headwater.operators.drift import drift_events
 from headwater.operators.keys import missing_from
-from headwater.plans.backtest import predictions
+from headwater.plans.backtest import prepared
 from headwater.plans.publish import dashboard
-from headwater.sources.files import append, read_table
+from headwater.session import materialise
+from headwater.sources.files import append, read_current, read_table, replace_table
+
+INPUTS = (*BASE_FEATURES, "dam_effect", "horizon")
+# What the ledger keeps of a forecast beside its horizon, to learn from it later.
+STORED = (*BASE_FEATURES, "dam_effect", "scale")
+PENALTY = 1.0
 
 
 @dataclass(frozen=True)
@@ -39,46 +52,86 @@ class Store:
     def drift(self) -> str:
         return f"{self.root}/drift_events"
 
+    @property
+    def history(self) -> str:
+        return f"{self.root}/history"
+
+    @property
+    def learned(self) -> str:
+        return f"{self.root}/learned"
+
     @property
     def published(self) -> str:
         return f"{self.root}/published"
 
 
-def score(spark: SparkSession, store: Store, actuals: DataFrame) -> None:
-    """Append the errors of forecasts that have landed, and new drift events."""
+def sums_of(rows: DataFrame) -> DataFrame:
+    """The rows' cross products, one sum per cell whatever their days."""
+    blocks = ridge.cross_product_blocks(ridge.ready_rows(rows, INPUTS), INPUTS)
+    return blocks.groupBy("pool", "cell").agg(F.sum("part").alias("part"))
+
+
+def warm_start(spark: SparkSession, store: Store, table: DataFrame) -> None:
+    """Reduce the labels known on the table's newest day, unless an earlier run did."""
+    if read_current(spark, store.history, schemas.SUMS).isEmpty():
+        newest = table.agg(F.max("date")).scalar()
+        replace_table(sums_of(prepared(table).filter(F.col("label_date") <= newest)), store.history)
+
+
+def score(spark: SparkSession, store: Store, actuals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Learn from forecasts that have landed, then log their errors and new drift events.
+
+    Returns the errors and the events of this run. What is learned goes to a folder
+    named by the log's length: a run that stops before it logs the errors leaves the
+    length as it was, and the next one writes that folder anew.
+    """
     ledger = read_table(spark, store.ledger, schemas.LEDGER, optional=True)
     errors = read_table(spark, store.errors, schemas.ERROR_LOG, optional=True)
-    append(ledgers.score_due(ledger, errors, actuals), store.errors)
+    due = materialise(ledgers.score_due(ledger, errors, actuals), "due")
+    learned = sums_of(learned_rows(ledger, due, STORED))
+    learned.write.mode("overwrite").parquet(f"{store.learned}/batch={errors.count()}")
+    append(due, store.errors)
     log = read_table(spark, store.errors, schemas.ERROR_LOG, optional=True)
     known = read_table(spark, store.drift, schemas.DRIFT_LOG, optional=True)
     # Detectors run over the whole log, so no state is lost between runs.
-    append(missing_from(drift_events(log), known, ["dam", "horizon", "detected_at"]), store.drift)
+    drifted = materialise(missing_from(drift_events(log), known, ["dam", "horizon", "detected_at"]), "drift")
+    append(drifted, store.drift)
+    return due, drifted
 
 
-def issue(spark: SparkSession, store: Store, table: DataFrame, per_dam: bool = False) -> None:
-    """Append forecasts from the latest day, unless they were issued before."""
-    ledger = read_table(spark, store.ledger, schemas.LEDGER, optional=True)
-    current = latest_day(predictions(table), per=["dam"] if per_dam else ())
-    rows = ledgers.ledger_rows(current, F.col("model"))
-    append(ledgers.issue_new(rows, ledger), store.ledger)
+def learned_rows(ledger: DataFrame, errors: DataFrame, features) -> DataFrame:
+    """Training rows from the ledger: the inputs a forecast saw and its outcome."""
+    outcome = errors.select("dam", F.col("issue_date").alias("date"), "horizon", F.col("actual_delta").alias("target_delta"),
+                            F.col("target_date").alias("label_date"))
+    return ledgers.stored_inputs(ledger, features).join(outcome, ["dam", "date", "horizon"])
 
 
-def publish(spark: SparkSession, store: Store, table: DataFrame, daily: DataFrame, registry: DataFrame,
-            alerts: DataFrame, as_of: Column) -> None:
-    errors = read_table(spark, store.errors, schemas.ERROR_LOG, optional=True)
-    view = dashboard(predictions(table), daily, registry, alerts, errors, F.col("model"), as_of)
-    view.write.mode("overwrite").partitionBy("section").parquet(store.published)
+def forecast(spark: SparkSession, store: Store, table: DataFrame, per_dam: bool = False) -> DataFrame:
+    """The latest day's rows with the prediction of the learner as it stands."""
+    history = read_current(spark, store.history, schemas.SUMS)
+    learned = read_table(spark, store.learned, schemas.SUMS, optional=True)
+    blocks = ridge.add_blocks(history.unionByName(learned.select(history.columns)).withColumn("day", F.lit(0)))
+    models = ridge.models_of(blocks, INPUTS, PENALTY).drop("pool", "day")
+    rows = latest_day(prepared(table), per=["dam"] if per_dam else ())
+    # The one pool has one model, or none before anything was learned.
+    return ridge.predicted(rows.join(models, F.lit(True), "left"), INPUTS)
 
 
-def run(spark: SparkSession, store: Store, table: DataFrame, daily: DataFrame, registry: DataFrame,
-        alerts: DataFrame, as_of: Column) -> None:
-    score(spark, store, ledgers.one_actual(daily))
-    issue(spark, store, table)
-    publish(spark, store, table, daily, registry, alerts, as_of)
+def issue(spark: SparkSession, store: Store, current: DataFrame) -> None:
+    """Append the forecasts, unless they were issued before."""
+    ledger = read_table(spark, store.ledger, schemas.LEDGER, optional=True)
+    rows = ledgers.ledger_rows(current, F.col("model"), STORED)
+    append(ledgers.issue_new(rows, ledger), store.ledger)
 
 
-def learned_rows(ledger: DataFrame, errors: DataFrame, features) -> DataFrame:
-    """Training rows from the ledger: the inputs a forecast saw and its outcome."""
-    outcome = errors.select("dam", F.col("issue_date").alias("date"), "horizon", F.col("actual_delta").alias("target_delta"),
-                            F.col("target_date").alias("label_date"))
-    return ledgers.stored_inputs(ledger, features).join(outcome, ["dam", "date", "horizon"])
+def run(spark: SparkSession, store: Store, table: DataFrame, daily: DataFrame, registry: DataFrame, alerts: DataFrame,
+        as_of: Column, backtest: DataFrame | None = None, alert_scores: DataFrame | None = None, per_dam: bool = False) -> None:
+    """One whole run. `backtest` and `alert_scores` are published beside the live errors."""
+    warm_start(spark, store, table)
+    scored, drifted = score(spark, store, ledgers.one_actual(daily))
+    current = materialise(forecast(spark, store, table, per_dam), "forecasts")
+    issue(spark, store, current)
+    predicted = table.join(current.select("dam", "date", "horizon", "model"), ["dam", "date", "horizon"], "left")
+    errors = read_table(spark, store.errors, schemas.ERROR_LOG, optional=True)
+    view = dashboard(predicted, daily, registry, alerts, errors, F.col("model"), as_of, backtest, alert_scores, scored, drifted)
+    view.write.mode("overwrite").partitionBy("section").parquet(store.published)

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from headwater.functions import risk
+from headwater import schemas
+from headwater.functions import numeric, risk
 from headwater.operators import alerts, ledger
 from headwater.operators.targets import horizon_targets
-from headwater.plans import publish
+from headwater.plans import publish, tick
+from headwater.plans.roles import events_table
 from headwater.queries.common import (
-    ALERTS, CHANGE, DAILY, ERROR_CTES, REFS, REVERSION, ROLLED_WEATHER, TARGETS, WEATHER,
-    query_set, reversion_table, rounded, with_ctes,
+    ALERTS, CHANGE, DAILY, ERROR_CTES, ERRORS, REFS, REGISTRY, REVERSION, ROLLED_WEATHER, TARGETS, WEATHER,
+    query_set, reversion_errors, reversion_table, rounded, with_ctes,
 )
+from headwater.queries.scoring import ALERT_PAIRS, BOARD
+from headwater.session import materialise, work_folder
 from headwater.sources import incremental, views
+from headwater.sources.files import read_table
 
 QUERIES, ORACLES, register = query_set()
 
@@ -222,6 +227,91 @@ def dashboard_payload(spark, folder):
         _first_scores(spark, folder), F.col("model"), F.lit("2024-02-01").cast("date"))
 
 
+def _fields(section: str, key: str, source: str) -> str:
+    """SQL for one row per field of each row of a CTE."""
+    return f"""SELECT '{section}' AS section, key, field, value FROM (UNPIVOT (
+  SELECT CAST({key} AS VARCHAR) AS key, CAST(COLUMNS(*) AS VARCHAR) FROM {source}) ON COLUMNS(* EXCLUDE (key)) INTO NAME field VALUE value)"""
+
+
+@register("dashboard_fields", f"""{with_ctes(REFS, DAILY, CHANGE, TARGETS, REVERSION, ERRORS, BOARD.replace("3000", "200"), WEATHER, ROLLED_WEATHER, ALERTS, ALERT_PAIRS, REGISTRY)},
+newest AS (SELECT max(date) AS d FROM daily),
+wet AS (SELECT c.dam, max(w.rain_7d) AS wettest FROM changed c JOIN rolled w ON w.dam = c.dam AND w.date = c.date, newest WHERE c.date < d GROUP BY 1),
+peaks AS (SELECT dam, date, rwl_m, max(rwl_m + model) AS peak FROM reversion JOIN newest ON date = d GROUP BY ALL),
+dams AS (
+  SELECT dam, lat, lon, date AS issue_date, rwl_m, nhwl_m, rule_curve_m,
+    CASE WHEN peak >= nhwl_m THEN 'Spill Watch' WHEN peak >= rule_curve_m THEN 'Watch'
+      WHEN nhwl_m IS NULL AND rule_curve_m IS NULL THEN 'Not rated' ELSE 'Normal' END AS risk,
+    coalesce(coalesce(w.rain_7d, 0) > wettest, FALSE) AS extrapolating, round(w.rain_7d, 1) AS rain_7d, round(w.rain_next_7d, 1) AS rain_next_7d
+  FROM peaks LEFT JOIN refs USING (dam) LEFT JOIN registry g USING (dam) LEFT JOIN wet USING (dam)
+  LEFT JOIN rolled w USING (dam, date)),
+sources AS (SELECT CASE WHEN dev_24h_m IS NULL THEN 'era5_proxy' ELSE 'forecast' END AS fcst_source,
+  round(avg(abs_err_model), 4) AS mae_model, count(*) AS n FROM errors GROUP BY 1),
+days AS (SELECT label_date AS target_date, avg(abs_err_model) AS m, avg(abs_err_persistence) AS p FROM errors WHERE label_date <= DATE '{FIRST_RUN}' GROUP BY 1),
+curve AS (SELECT target_date, round(m, 4) AS abs_err_model, round(p, 4) AS abs_err_persistence,
+  round(CASE WHEN count(m) OVER w >= 3 THEN avg(m) OVER w END, 4) AS roll_abs_err_model,
+  round(CASE WHEN count(p) OVER w >= 3 THEN avg(p) OVER w END, 4) AS roll_abs_err_persistence
+  FROM days WINDOW w AS (ORDER BY target_date ROWS 19 PRECEDING)),
+fresh AS (SELECT max(date) AS latest_observation, DATE '2024-02-01' - max(date) AS data_age_days, DATE '2024-02-01' - max(date) > 2 AS stale,
+  DATE '2024-02-01' AS generated_at, (SELECT count(*) FROM errors WHERE label_date <= DATE '{FIRST_RUN}') AS scored_this_run FROM daily),
+board_now AS (SELECT basin, CASE WHEN on_watch THEN 'Flood Watch' ELSE 'Non-Flood Watch' END AS status, on_watch, kind, date FROM alerts
+  WHERE date = (SELECT max(date) FROM alerts)),
+gate AS (SELECT (SELECT count(DISTINCT date) FROM rivers) AS days_collected, (SELECT count(DISTINCT basin) FROM rivers) AS basins,
+  CAST(sum(actual) AS BIGINT) AS watch_days_seen, count(actual) AS n_targets,
+  CASE WHEN (SELECT count(DISTINCT date) FROM rivers) < 30 THEN 'not enough history yet'
+    WHEN sum(actual) < 10 THEN 'not enough flood-watch days to learn from' ELSE 'scored' END AS status FROM pairs),
+recall AS (SELECT CAST(horizon AS INTEGER) AS horizon, count(*) AS n,
+  count(*) FILTER (pred = 1 AND actual = 1) AS model_tp, count(*) FILTER (persistence = 1 AND actual = 1) AS persistence_tp
+  FROM pairs WHERE actual IS NOT NULL AND (SELECT status FROM gate) = 'scored' GROUP BY 1),
+shown AS ({" UNION ALL ".join([
+    _fields("dams", "dam", "dams"), _fields("metrics", "horizon", "board"), _fields("metrics_by_rain_source", "fcst_source", "sources"),
+    _fields("learning_curve", "target_date", "curve"), _fields("freshness", "latest_observation", "fresh"), _fields("basins", "basin", "board_now"),
+    _fields("basin_forecast", "status", "gate"), _fields("basin_forecast", "horizon", "recall")])})
+SELECT section, key, field, round(try_cast(value AS DOUBLE), 4) AS number, CASE WHEN try_cast(value AS DOUBLE) IS NULL THEN value END AS word FROM shown""")
+def dashboard_fields(spark, folder):
+    """The whole payload with backtest, alert scores and this run's errors, one row per plain field."""
+    from headwater.operators.rain import weather_features
+
+    rain = weather_features(views.weather(spark, folder)).select("dam", "date", "rain_7d", "rain_next_7d")
+    source = F.when(F.col("dev_24h_m").isNull(), "era5_proxy").otherwise("forecast")
+    states = views.alerts(spark, folder)
+    scored = alerts.alert_targets(alerts.alert_features(states)).select(
+        "basin", "horizon", F.col("target").alias("actual"), numeric.at_least_half(F.col("watch_3d")).alias("pred"),
+        F.col("on_watch").cast("int").alias("persistence"))
+    # Several sections read each of these.
+    landed = materialise(_first_scores(spark, folder), "landed")
+    backtest = materialise(reversion_errors(spark, folder).withColumn("fcst_source", source), "backtest")
+    table = materialise(reversion_table(spark, folder).join(rain, ["dam", "date"], "left"), "table")
+    view = publish.dashboard(
+        table, views.daily(spark, folder), views.registry(spark, folder),
+        states, landed, F.col("model"), F.lit("2024-02-01").cast("date"),
+        backtest=backtest, alert_scores=scored, scored=landed)
+    fields = view.select("section", "key", F.explode(F.from_json("json", "map<string,string>")).alias("field", "value"))
+    long = ["risk_note", "observed", "forecasts", "disclaimer"]
+    of_counts = (F.col("section") != "basin_forecast") | F.col("field").rlike("^(days|basins|watch_days|n$|n_|status|horizon|.*_tp)")
+    number = F.col("value").try_cast("double")
+    return fields.filter(F.col("value").isNotNull() & ~F.col("field").isin(long) & of_counts).select(
+        "section", "key", "field", F.round(number, 4).alias("number"), F.when(number.isNull(), F.col("value")).alias("word"))
+
+
+@register("tick_scores", f"""{with_ctes(*ERROR_CTES)}
+SELECT date AS issue_date, label_date AS target_date, dam, horizon, round(actual, 6) AS actual_delta,
+  round(abs_err_persistence, 6) AS abs_err_persistence, round(abs_err_drift, 6) AS abs_err_drift, TRUE AS model_scored
+FROM errors WHERE date = (SELECT max(date) FROM daily WHERE date <= DATE '{FIRST_RUN}')""")
+def tick_scores(spark, folder):
+    """Two runs of the live loop: the second one logs the errors of what the first one issued."""
+    store = tick.Store(work_folder(spark, "loop"))
+    cut = F.lit(FIRST_RUN).cast("date")
+    table, daily = events_table(spark, folder), views.daily(spark, folder)
+    known = F.when(F.date_add("date", F.col("horizon").cast("int")) <= cut, F.col("target_delta"))
+    registry, states = views.registry(spark, folder), views.alerts(spark, folder)
+    tick.run(spark, store, table.filter(F.col("date") <= cut).withColumn("target_delta", known),
+             daily.filter(F.col("date") <= cut), registry, states, cut)
+    tick.run(spark, store, table, daily, registry, states, F.lit("2024-02-01").cast("date"))
+    log = read_table(spark, store.errors, schemas.ERROR_LOG)
+    return rounded(log.select("issue_date", "target_date", "dam", "horizon", "actual_delta", "abs_err_persistence", "abs_err_drift",
+                              F.col("abs_err_model").isNotNull().alias("model_scored")))
+
+
 @register("live_errors", f"""{with_ctes(*ERROR_CTES)}
 SELECT horizon, count(*) AS n, round(avg(abs_err_model), 4) AS mae FROM errors WHERE label_date <= DATE '{FIRST_RUN}' GROUP BY horizon""")
 def live_errors(spark, folder):

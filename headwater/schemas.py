@@ -31,6 +31,8 @@ ERROR_LOG = _struct(
     actual_delta=_D, abs_err_model=_D, abs_err_persistence=_D, abs_err_drift=_D,
 )
 DRIFT_LOG = _struct(detected_at=_DATE, dam=_S, horizon=_I, abs_err=_D)
+# Sums of cross products, one row per cell: the state of the live learner.
+SUMS = _struct(pool=_S, cell=_I, part=_D)
 REGISTRY = _struct(dam=_S, lat=_D, lon=_D, basin=_S)
 
 LEVEL_KEY = ("dam", "obs_datetime")

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from headwater import schemas
 from headwater.operators import drift, ledger, scoreboard, search
+from headwater.operators.alerts import latest_day
 from headwater.plans import tick
+from headwater.plans.backtest import predictions
 from headwater.plans.roles import events_table
 from headwater.sources import views
+from headwater.session import materialise
 from headwater.sources.files import read_table
 
 D1, D2, D9 = dt.date(2026, 1, 1), dt.date(2026, 1, 2), dt.date(2026, 1, 9)
@@ -154,3 +157,52 @@ def test_a_run_twice_adds_nothing(spark, folder, tmp_path):
     assert {"dams", "metrics", "learning_curve", "freshness"} <= sections
     learned = tick.learned_rows(book, errors, ["rwl_m", "rain_7d"])
     assert learned.count() == errors.join(book, list(schemas.LEDGER_KEY)).count()
+
+
+def test_the_loop_learns_from_what_forecasts_saw(spark, folder, tmp_path):
+    store = tick.Store(str(tmp_path / "loop"))
+    cut = F.lit("2024-01-20").cast("date")
+    table = materialise(events_table(spark, folder), "table")
+    daily = views.daily(spark, folder).select("dam", "date", "rwl_m")
+    known = F.when(F.date_add("date", F.col("horizon").cast("int")) <= cut, F.col("target_delta"))
+    early = table.filter(F.col("date") <= cut).withColumn("target_delta", known)
+
+    def sums():
+        return spark.read.schema(schemas.SUMS).parquet(store.learned).groupBy("cell").agg(F.sum("part").alias("s")).orderBy("cell").collect()
+
+    def predicted(t):
+        return {(r.dam, r.horizon): r.model for r in tick.forecast(spark, store, t).collect()}
+
+    tick.warm_start(spark, store, early)
+    # The first run's model is the backtest's on that day.
+    first = predicted(early)
+    want = {(r.dam, r.horizon): r.model for r in latest_day(predictions(early)).collect()}
+    assert first.keys() == want.keys() and all(first[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    tick.issue(spark, store, tick.forecast(spark, store, early))
+    tick.warm_start(spark, store, table)  # reduces nothing anew
+    scored, _ = tick.score(spark, store, daily)
+    n = scored.count()
+    # The last cell counts rows: one for each landed forecast.
+    assert n > 0 and sums()[-1].s == n and predicted(early) != first
+    after = [r.s for r in sums()]
+    tick.score(spark, store, daily)
+    assert [r.s for r in sums()] == after
+    # A correction of the table's past changes nothing that was learned.
+    now = predicted(early)
+    spoilt = early.withColumn("rain_7d", F.when(F.col("date") < early.agg(F.max("date")).scalar(), 1e6).otherwise(F.col("rain_7d")))
+    tick.warm_start(spark, store, spoilt)
+    assert predicted(spoilt) == now
+
+
+def test_a_run_that_stops_before_the_log_learns_once(spark, folder, tmp_path, monkeypatch):
+    store = tick.Store(str(tmp_path / "loop"))
+    book = spark.createDataFrame([entry()], schemas.LEDGER)
+    seen = spark.createDataFrame([("Angat", D2, 101.5)], "dam string, date date, rwl_m double")
+    tick.append(book, store.ledger)
+    with monkeypatch.context() as broken:
+        broken.setattr(tick, "append", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            tick.score(spark, store, seen)
+    tick.score(spark, store, seen)
+    learned = spark.read.schema(schemas.SUMS).parquet(store.learned)
+    assert learned.orderBy(F.desc("cell")).first().part == 1.0
