@@ -132,9 +132,9 @@ RISK_NOTES = {
     WATCH: "Forecast level crosses the rule curve within the next 7 days.",
     SPILL_WATCH: "Forecast level reaches the normal high water level within 7 days; "
                  "a gate release becomes likely.",
-    NOT_RATED: "PAGASA publishes no reference elevation for this dam.",
+    NOT_RATED: "No authority publishes a reference elevation for this dam.",
 }
 DISCLAIMER = (
-    "Educational forecast, not an official warning. PAGASA and your "
-    "local disaster risk reduction office are the authorities."
+    "This is a forecast for study and warns of nothing officially. "
+    "Follow your weather service and the disaster office of your area."
 )

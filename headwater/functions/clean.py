@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headwater.constants import MISSING_MARKERS
+from headwater.operators.keys import assert_unique
 
 
 def tidy(text: Column) -> Column:
@@ -21,9 +22,13 @@ def canonical(name: Column, aliases: dict[str, str]) -> Column:
 
 
 def canonical_by_table(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
-    """The same lookup against an alias table (label, canonical) of any size."""
+    """The same lookup against an alias table (label, canonical) of any size.
+
+    A label that occurs twice there fails the job instead of repeating rows.
+    """
     keyed = df.withColumn("_label", F.lower(tidy(F.col(column))))
     known = aliases.select(F.lower(tidy("label")).alias("_label"), F.col("canonical").alias("_name"))
+    known = assert_unique(known.filter("_label is not null"), ["_label"], "aliases")
     return (
         keyed.join(known, "_label", "left")
         .withColumn(column, F.coalesce("_name", tidy(F.col(column))))

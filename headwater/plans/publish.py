@@ -62,7 +62,7 @@ def basin_forecast(alerts: DataFrame, scored: DataFrame) -> tuple[DataFrame, Dat
 
 def dashboard(table: DataFrame, daily: DataFrame, registry: DataFrame, alerts: DataFrame, errors: DataFrame,
               prediction: Column, as_of: Column, backtest: DataFrame | None = None, alert_scores: DataFrame | None = None,
-              scored: DataFrame | None = None, drifted: DataFrame | None = None) -> DataFrame:
+              scored: DataFrame | None = None, drifted: DataFrame | None = None, disclaimer: str = DISCLAIMER) -> DataFrame:
     """The payload as (section, key, json) rows, one per dam, basin, horizon or day.
 
     Sections are written side by side instead of nested into one document, so
@@ -84,7 +84,7 @@ def dashboard(table: DataFrame, daily: DataFrame, registry: DataFrame, alerts: D
     curve = curve.withColumns({c: F.round(c, 4) for c in curve.columns if c != "target_date"})
     n_scored = F.lit(0) if scored is None else scored.agg(F.count(F.lit(1))).scalar()
     fresh = freshness(daily, as_of).withColumns(
-        {"generated_at": as_of, "scored_this_run": n_scored.cast("long"), "disclaimer": F.lit(DISCLAIMER)})
+        {"generated_at": as_of, "scored_this_run": n_scored.cast("long"), "disclaimer": F.lit(disclaimer)})
     dams = dam_payload(table, daily, registry, prediction)
     parts = [
         dams.select(F.lit("dams").alias("section"), F.col("dam").alias("key"),

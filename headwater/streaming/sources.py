@@ -14,6 +14,7 @@ def follow(spark: SparkSession, path: str, schema=None, files_per_batch: int | N
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     # As a pattern the path may also name a single file.
+    path = path.rstrip("/")
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
