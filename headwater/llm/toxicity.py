@@ -23,7 +23,9 @@ FUZZY = 5  # letters of a term that may be misspelled, at least
 CONTEXT = 6  # words on either side of a hit
 HELD_WORDS = 300_000
 
+HELD_MOVES = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
+SIGNS = re.compile(r"[^\W_]+")  # digits too: they stand in for letters
 QUOTES = re.compile("[\"“”«»„]")
 # Words that report speech, and words that address a reader: fixed lists.
 REPORTING = frozenset("said says wrote quote quoted called sagte sagt schrieb nannte zitat dijo dice escribió llamó cita dit écrit appelé citation".split())
@@ -32,7 +34,9 @@ ADDRESSING = frozenset("you your u ur du dich dein ihr tu te vous votre toi uste
 
 def lexicon(rows: DataFrame) -> list[tuple[str, bool, float]]:
     """(term, is_stem, weight) from training rows (text, label): letters whose texts are
-    mostly toxic. A stem stands for all words it begins; longer terms it covers go.
+    mostly toxic. A stem stands for all words it begins. Whole words stay beside stems; a
+    stem goes only where one letter more has the same counts, so stems are as long as
+    their support allows and can be told when misspelled.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     terms = rows.select("label", F.explode(words).alias("word")).filter("length(word) >= 3")
@@ -46,27 +50,21 @@ def lexicon(rows: DataFrame) -> list[tuple[str, bool, float]]:
     lift = F.log((F.col("toxic") + 0.5) / toxic) - F.log((F.col("other") + 0.5) / other)
     best = counts.filter(F.col("toxic") >= SUPPORT).withColumn("lift", lift).filter(F.col("lift") >= LIFT)
     found = best.orderBy(F.desc("lift"), F.desc("toxic"), "term").limit(TERMS).collect()
-    kept: list[tuple[str, bool, float]] = []
-    stems_kept: set[str] = set()
-    for row in sorted(found, key=lambda r: (len(r["term"].rstrip("$")), r["term"])):
-        stem = not row["term"].endswith("$")
-        term = row["term"].rstrip("$")
-        if any(term[:n] in stems_kept for n in STEMS):
-            continue
-        if stem:
-            stems_kept.add(term)
-        kept.append((term, stem, float(row["lift"])))
-    return kept
+    stems = {r["term"]: (r["toxic"], r["other"]) for r in found if not r["term"].endswith("$")}
+    shorter = {term[:-1] for term, counted in stems.items() if stems.get(term[:-1]) == counted}
+    return [(r["term"].rstrip("$"), r["term"] in stems, float(r["lift"])) for r in found if r["term"] not in shorter]
 
 
 class Automaton:
     """Levenshtein automata of distance one run against a trie of terms, as one machine.
 
-    A state is a set of (trie node, edits so far); transitions are computed when first
-    met and kept, so a word costs a lookup per letter and most die within three.
+    With `swaps`, two neighbouring letters swapped are one edit as well. A state is a set of (trie node,
+    edits so far, letter that a swap still waits for); transitions are computed when first
+    met and kept with the best stem they reach, so a word costs a lookup per letter.
     """
 
-    def __init__(self, terms: list[tuple[str, bool, float]]):
+    def __init__(self, terms: list[tuple[str, bool, float]], swaps: bool = False):
+        self.swaps = swaps
         self.children: list[dict[str, int]] = [{}]
         self.words: dict[int, tuple[str, float]] = {}
         self.stems: dict[int, tuple[str, float]] = {}
@@ -80,39 +78,55 @@ class Automaton:
                     self.depth.append(self.depth[node] + 1)
                 node = self.children[node][letter]
             (self.stems if stem else self.words)[node] = term, weight
-        self.start = self._closed({(0, 0)})
+        self.start = self._closed({(0, 0, "")})
         self.moves: dict[tuple, tuple] = {}
 
     def _closed(self, states):
         states = set(states)
-        states |= {(child, 1) for node, edits in states if not edits for child in self.children[node].values()}
-        return tuple(sorted((n, e) for n, e in states if not e or (n, 0) not in states))
+        states |= {(child, 1, "") for node, edits, _ in states if not edits for child in self.children[node].values()}
+        return tuple(sorted(s for s in states if not s[1] or s[2] or (s[0], 0, "") not in states))
 
     def _step(self, state, letter):
         out = set()
-        for node, edits in state:
+        for node, edits, awaited in state:
+            if awaited:
+                if letter == awaited:
+                    out.add((node, 1, ""))
+                continue
             if letter in self.children[node]:
-                out.add((self.children[node][letter], edits))
+                out.add((self.children[node][letter], edits, ""))
             if not edits:
-                out.add((node, 1))
-                out |= {(child, 1) for child in self.children[node].values()}
+                out.add((node, 1, ""))
+                for first, child in self.children[node].items():
+                    out.add((child, 1, ""))
+                    if self.swaps and letter != first and letter in self.children[child]:
+                        out.add((self.children[child][letter], 1, first))
         return self._closed(out)
 
+    def _best(self, state, terms):
+        """(edits, -weight, term) of the best of `terms` that the state accepts."""
+        return min(((edits, -terms[node][1], terms[node][0]) for node, edits, awaited in state
+                    if node in terms and not awaited and (not edits or self.depth[node] >= FUZZY)), default=None)
+
     def match(self, word: str) -> tuple[str, float, int] | None:
         """(term, weight, edits) of the closest term, the one of most weight on ties."""
-        state = self.start
+        state, found = self.start, []
         for letter in word:
             key = state, letter
-            state = self.moves.get(key)
-            if state is None:
-                state = self.moves[key] = self._step(*key)
+            move = self.moves.get(key)
+            if move is None:
+                if len(self.moves) >= HELD_MOVES:
+                    self.moves.clear()
+                after = self._step(*key)
+                move = self.moves[key] = after, self._best(after, self.stems)
+            state, stem = move
+            if stem:
+                found.append(stem)
             if not state:
-                return None
-            for node, edits in state:
-                if not edits and node in self.stems:
-                    return *self.stems[node], 0
-        found = [(edits, -self.words[node][1], self.words[node][0]) for node, edits in state
-                 if node in self.words and (not edits or self.depth[node] >= FUZZY)]
+                break
+        whole = self._best(state, self.words)
+        if whole:
+            found.append(whole)
         if not found:
             return None
         edits, weight, term = min(found)
@@ -123,14 +137,15 @@ class Reader:
     """Hits of one text in their context."""
 
     def __init__(self, terms):
-        self.machine = Automaton(terms)
+        self.machine = Automaton(terms, swaps=True)
         self.known: dict[str, tuple | None] = {}
 
     def word(self, word: str):
         if len(self.known) >= HELD_WORDS:
             self.known.clear()
         found = None
-        for part in LETTERS.findall(word.lower()):
+        lower = word.lower()
+        for part in dict.fromkeys(SIGNS.findall(lower) + LETTERS.findall(lower)):
             hit = self.machine.match(part)
             if hit and (found is None or (hit[2], -hit[1]) < (found[2], -found[1])):
                 found = hit

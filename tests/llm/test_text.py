@@ -216,6 +216,30 @@ def test_automaton_finds_one_edit():
     assert machine.match("idiotic")[0] == "idio" and machine.match("bad")[2] == 0
 
 
+def test_learned_terms_match_misspelled(spark):
+    drawn = prose(16, 301)
+    clean, bad = drawn[:200], drawn[200:300]
+    terms = ["idiotic", "scumbag", "pathetic", "worthless"]
+    wrong = ["id1otic", "skumbag", "pahtetic", "wrothless", "idoitic", "scmubags"]
+    draw = random.Random(18)
+    bad = [f"{t} {draw.choice(terms)} {draw.choice(terms)} {draw.choice(wrong)}" for t in bad]
+    texts = clean + bad
+    labels = spark.createDataFrame([(i, 1, int(i >= 200)) for i in range(300)], "doc_id long, quality int, toxic int")
+    fresh = drawn[300]
+    docs = table(spark, [*texts, fresh, *(f"{fresh} {w} {w} {w}" for w in wrong)])
+    sample = docs.join(labels, "doc_id").select("text", F.col("toxic").alias("label")).filter("doc_id % 2 = 0")
+    found = {(t, stem) for t, stem, _ in toxicity.lexicon(sample)}
+    assert {(t, stem) for t in terms for stem in (False, True)} <= found and ("path", True) not in found
+    rows = {r.doc_id: r for r in toxicity.scores(docs, labels).collect()}
+    assert [rows[300 + k].predicted for k in range(7)] == [0] + [1] * 6
+
+
+def test_misspelled_terms_are_near():
+    reader = toxicity.Reader([("moron", True, 2.0), ("idiot", False, 1.0), ("idiot", True, 1.0)])
+    assert [reader.word(w)[0] for w in ("moorn", "mroonic", "idoit", "Id1ot!", "idots", "123idiot")] == ["moron"] * 2 + ["idiot"] * 4
+    assert reader.word("idiot")[2] == 0 and reader.word("moor") is None and reader.word("1230") is None
+
+
 def test_quoted_hits_count_apart():
     reader = toxicity.Reader([("scumbag", False, 2.0)])
     plain, quoted = reader.features("what a scumbag today"), reader.features('a word like "scumbag" is old')
