@@ -19,8 +19,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings that the corpus repeats are cut from the texts."""
-    return suffixes.without_repeats(docs)
+    """Passages of over 50 words that the corpus repeats are cut from the texts."""
+    return suffixes.without_passages(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

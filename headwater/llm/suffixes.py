@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from headwater.session import materialise
 
 LENGTH = 400  # bytes of a repeated string
+WORDS = 51  # words of a repeated passage: over 50
+CODE = 8  # bytes that stand for a word
+HELD_WORDS = 500_000
+WORD = re.compile(r"\S+")
 GRAM = 64  # bytes hashed to tell where a repeat may lie
 BUFFER = 1 << 19  # bytes that are sorted at once
 PART = 1 << 18  # bytes of one group that are sorted together
@@ -53,6 +58,28 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
+def _bytes(text: str) -> bytes:
+    return text.encode()
+
+
+def word_coder():
+    """Texts as CODE bytes for each word, a hash of it: windows of words are then windows
+    of bytes, at multiples of CODE."""
+    known: dict[str, bytes] = {}
+
+    def coded(text: str) -> bytes:
+        words = text.split()
+        codes = list(map(known.get, words))
+        for i, code in enumerate(codes):
+            if code is None:
+                if len(known) >= HELD_WORDS:
+                    known.clear()
+                codes[i] = known[words[i]] = xxhash.xxh3_64_digest(words[i].encode())
+        return b"".join(codes)
+
+    return coded
+
+
 def stretches(data: bytes, length: int = LENGTH):
     """(mark, begin, end, many): runs of window starts begin..end-1 with one least gram.
 
@@ -184,9 +211,11 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return merged
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, coder=lambda: _bytes) -> DataFrame:
     """(doc_id, key, spans): half-open byte spans of window starts that recur anywhere.
 
+    `coder` gives each task the function that makes a text's bytes.
+
     Every window of `length` bytes has a mark, the least hash among its grams, which
     depends on its bytes alone. Runs of windows with one mark are the unit of work:
     a few numbers each are shuffled, the bytes only of those runs that share their mark
@@ -200,11 +229,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded = coder()
         for batch in batches:
             columns = [[] for _ in range(4)]
             row, seals = [], []
             for i, text in enumerate(batch.column(2)):
-                data = (text.as_py() or "").encode()
+                data = coded(text.as_py() or "")
                 found = stretches(data, length)
                 if not len(found[0]):
                     continue
@@ -236,10 +266,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     wanted = unsettled.groupBy("doc_id", "key").agg(F.collect_list("run").alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded = coder()
         for batch in batches:
             rows = []
             for text, listed in zip(batch.column(0), batch.column(1)):
-                data = (text.as_py() or "").encode()
+                data = coded(text.as_py() or "")
                 for run in listed.as_py():
                     for at in range(run["begin"], run["end"], PIECE):
                         stop = min(at + PIECE, run["end"]) + length - 1
@@ -297,9 +328,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return found.groupBy("doc_id", "key").agg(F.collect_list("span").alias("spans"))
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def with_spans(docs: DataFrame, length: int = LENGTH, coder=lambda: _bytes) -> DataFrame:
     """`docs` with _spans: the spans of window starts that recur, NULL if none does."""
-    found = materialise(repeated_spans(docs, length), "spans").select(
+    found = materialise(repeated_spans(docs, length, coder), "spans").select(
         F.col("key").alias("_key"), F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans"))
     same = (F.xxhash64("doc_id", "text") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
     return docs.join(found, same, "left").drop("_key", "_doc")
@@ -366,3 +397,34 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans"))
     shorter = with_spans(docs, length).withColumn("text", text)
     return shorter.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
+
+def without_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """`docs` without the passages of `words` words or more that recur, and n_chars to match.
+
+    Every word goes, with what parts it from the next of its passage, that lies in a run
+    of `words` words which also starts elsewhere, in the same text or another, however
+    many bytes that is and whatever white space parts them. Rows stay as in
+    `without_repeats`.
+    """
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        kept = []
+        for text, found in zip(texts, spans):
+            if text is None or found is None:
+                kept.append(text)
+                continue
+            places = [m.span() for m in WORD.finditer(text)]
+            # A span may begin or end between words, where two hashes happen to agree.
+            runs = [(-(-s["a"] // CODE), (s["b"] - 1) // CODE) for s in found]
+            at, parts = 0, []
+            for begin, end in union([(a, b + words) for a, b in runs if a <= b]):
+                parts.append(text[at : places[begin][0]])
+                at = places[end - 1][1]
+            kept.append("".join(parts) + text[at:])
+        return pd.Series(kept, dtype=object)
+
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans"))
+    shorter = with_spans(docs, words * CODE, word_coder).withColumn("text", text)
+    return shorter.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)

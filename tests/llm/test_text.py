@@ -114,6 +114,23 @@ def test_suffixes_equal_brute_force(spark, monkeypatch):
     assert suffixes.removed(docs.limit(0)).count() == 0
 
 
+def test_passages_of_over_fifty_words_go(spark):
+    drawn = random.Random(19)
+    word = lambda n: "".join(drawn.choice("abcdefghij") for _ in range(n))
+    passage = [word(n) for n in [4] * 7 + [5] * 43 + [4, 4, 4]]
+    short = [word(5) for _ in range(50)]
+    assert len(passage) == 53 and len(" ".join(passage)) == 307
+    a, b, c, d = (" ".join(word(6) for _ in range(40)) for _ in range(4))
+    texts = [f"{a} {' '.join(passage)} {b}", f"{c}\n{'  '.join(passage)}", f"{' '.join(short)} {d}", f"{b} {' '.join(short)}", "é " * 30, "é " * 60, *ODD]
+    docs = table(spark, texts)
+    rows = {r.doc_id: r for r in suffixes.without_passages(docs).collect()}
+    assert [rows[i].text for i in range(6)] == [f"{a}  {b}", f"{c}\n", texts[2], texts[3], texts[4], " "]
+    assert rows[0].n_chars == len(rows[0].text) and len(rows) == len(texts)
+    assert [rows[6 + i].text for i, t in enumerate(ODD) if t is None or len(t) < 100] == [t for t in ODD if t is None or len(t) < 100]
+    import corpus_pipeline
+    assert {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, docs, "").collect()} == {i: r.text for i, r in rows.items()}
+
+
 def brute_groups(prints, ids, distance):
     root = list(range(len(prints)))
 
