@@ -46,19 +46,24 @@ class Block:
             self.of_item[item] = sorted({grams.setdefault(tuple(ids[i : i + n]), len(grams)) for i in range(len(ids) - n + 1)})
         self.longest = max(map(len, self.items.values()), default=0)
         self.base = len(self.vocabulary) + 1
-        # Sorted keys of the grams of each length; a key is exact, not a hash.
+        # For the grams of each length, sorted keys word by word: the place of what comes
+        # before among its kind, and the next word. Exact, and small for any vocabulary.
         self.keys = {}
         for n in sorted({len(g) for g in grams}):
-            keys = {sum(w * self.base ** k for k, w in enumerate(g)): number for g, number in grams.items() if len(g) == n}
-            if self.base ** n >= 1 << 63:
-                raise ValueError("too many words in one block of test items")
-            order = sorted(keys)
-            self.keys[n] = np.array(order, np.int64), np.array([keys[k] for k in order], np.int64)
+            same = [(g, number) for g, number in grams.items() if len(g) == n]
+            words = np.array([g for g, _ in same], np.int64)
+            levels, place = [], np.zeros(len(same), np.int64)
+            for k in range(n):
+                level, place = np.unique(place * self.base + words[:, k], return_inverse=True)
+                levels.append(level)
+            numbers = np.empty(len(same), np.int64)
+            numbers[place] = [number for _, number in same]
+            self.keys[n] = levels, numbers
 
     def seeds(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, gram) of every gram in a text of word ids, 0 for other words."""
         at, found = [], []
-        for n, (keys, numbers) in self.keys.items():
+        for n, (levels, numbers) in self.keys.items():
             if len(ids) < n:
                 continue
             known = ids > 0
@@ -66,11 +71,14 @@ class Block:
             for k in range(1, n):
                 start &= known[k : len(ids) - n + 1 + k]
             start = np.flatnonzero(start)
-            key = sum(ids[start + k] * self.base ** k for k in range(n)) if len(start) else np.empty(0, np.int64)
-            slot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[slot] == key
-            at.append(start[hit])
-            found.append(numbers[slot[hit]])
+            place = np.zeros(len(start), np.int64)
+            for k, level in enumerate(levels):
+                key = place * self.base + ids[start + k]
+                slot = np.minimum(np.searchsorted(level, key), len(level) - 1)
+                hit = level[slot] == key
+                start, place = start[hit], slot[hit]
+            at.append(start)
+            found.append(numbers[place])
         if not at:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         at, found = np.concatenate(at), np.concatenate(found)

@@ -297,6 +297,17 @@ def test_alignment_finds_edited_copies(spark):
     assert decontamination.leaks(docs, benchmark.limit(0)).count() == 0 and decontamination.leaks(docs.limit(0), benchmark).count() == 0
 
 
+def test_blocks_of_many_words(spark):
+    many = [(i, " ".join(f"w{i * 30 + k}" for k in range(30))) for i in range(2_000)]
+    block = decontamination.Block(many)
+    assert block.base ** 4 >= 1 << 63
+    ids = np.array([0, *block.items[7][3:9], 0, *block.items[1999][:4], *block.items[0][-3:]])
+    at, grams = block.seeds(ids)
+    assert at.tolist() == [1, 2, 3, 8] and grams.tolist() == [block.of_item[7][k] for k in (3, 4, 5)] + [block.of_item[1999][0]]
+    found = decontamination.leaks(table(spark, ["x y " + many[1234][1], "x"]), spark.createDataFrame(many, "item_id long, text string"))
+    assert [(r.doc_id, r.item_id, r.score, r.first_word) for r in found.collect()] == [(0, 1234, 1.0, 2)]
+
+
 def brute_alignment(text, item):
     best = 0.0
     h = np.zeros((len(item) + 1, len(text) + 1))
