@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwater.llm.graph import components
@@ -41,14 +41,14 @@ def fingerprint(text: str | None, words_per_shingle: int = SHINGLE) -> int:
     return int(packed.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row per row of `docs`; a NULL text counts as empty."""
+def fingerprints(docs: DataFrame, *keep) -> DataFrame:
+    """(doc_id, *keep, fp): one row per row of `docs`; a NULL text counts as empty."""
 
     @F.pandas_udf("bigint")
     def of_texts(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", of_texts("text").alias("fp"))
+    return docs.select("doc_id", *keep, of_texts("text").alias("fp"))
 
 
 def _signed(bits: int) -> int:
@@ -140,12 +140,16 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
 def one_of_each(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """`docs` with one row of each component: that of its smallest doc_id.
 
-    Of rows that repeat this doc_id one stays; a component without doc_ids, which share
-    the NULL, keeps one row. Rows stay as they are.
+    Of rows that repeat this doc_id, and of those of a component without doc_ids, the one
+    of the least hash of its text stays. Components are told apart by their fingerprints,
+    so rows of other components stay whatever their doc_id. Rows stay as they are.
     """
-    found = near_duplicates(docs, distance, blocks)
-    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    chosen = found.filter(same).select(F.col("doc_id").alias("_doc")).distinct()
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
-    repeats = Window.partitionBy("doc_id").orderBy("doc_id")
-    return kept.withColumn("_row", F.row_number().over(repeats)).filter("_row = 1").select(docs.columns)
+    seal = F.coalesce(F.sha2("text", 256), F.lit(""))
+    prints = materialise(fingerprints(docs, seal.alias("seal")), "fingerprints")
+    key = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "seal")).alias("least")
+    first = prints.groupBy("fp").agg(key)
+    groups = materialise(linked(prints, distance, blocks), "linked")
+    first = first.join(groups, "fp", "left").select(F.coalesce("component", "fp").alias("component"), "least.*")
+    chosen = first.groupBy("component").agg(key).select(F.col("least.doc_id").alias("_doc"), F.col("least.seal").alias("_seal"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (seal == F.col("_seal"))
+    return docs.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)

@@ -199,6 +199,14 @@ def featured(docs: DataFrame, terms, *keep: str, model: Logistic | None = None)
     return docs.select(*keep, of_texts("text").alias("features" if model is None else "score"))
 
 
+def learned(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> tuple[list[tuple[str, bool, float]], Logistic]:
+    """Terms, and weights of the features, from labelled rows outside the held-out fold."""
+    sample = materialise(training_rows(docs, labels, "toxic", FOLDS, HELD, rows), "toxic")
+    terms = lexicon(sample)
+    known = featured(sample, terms, "label").collect()  # a few numbers for each sampled row
+    return terms, Logistic(np.array([r["features"] for r in known]).reshape(-1, FEATURES), np.array([r["label"] for r in known], float))
+
+
 def scores(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of `docs`, by its text alone.
 
@@ -207,17 +215,16 @@ def scores(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Dat
     kinds every score is the prior rate. Repeated rows score alike; other columns are
     ignored; an empty table gives an empty one.
     """
-    sample = materialise(training_rows(docs, labels, "toxic", FOLDS, HELD, rows), "toxic")
-    terms = lexicon(sample)
-    known = featured(sample, terms, "label").collect()  # a few numbers for each sampled row
-    model = Logistic(np.array([r["features"] for r in known]).reshape(-1, FEATURES), np.array([r["label"] for r in known], float))
-
+    terms, model = learned(docs, labels, rows)
     found = featured(docs, terms, "doc_id", model=model)
     return found.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score",
                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """`docs` without the rows that score as toxic; all others stay as they are."""
-    toxic = scores(docs, labels, rows).filter("predicted = 1").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(toxic, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti").select(docs.columns)
+    """`docs` without the rows that score as toxic; all others stay as they are. Each row
+    goes or stays by its own text, whatever its doc_id.
+    """
+    terms, model = learned(docs, labels, rows)
+    found = featured(docs.withColumn("_row", F.struct(*docs.columns)), terms, "_row", model=model)
+    return found.filter(F.col("score") < THRESHOLD).select("_row.*")

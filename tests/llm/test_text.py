@@ -308,6 +308,25 @@ def test_blocks_of_many_words(spark):
     assert [(r.doc_id, r.item_id, r.score, r.first_word) for r in found.collect()] == [(0, 1234, 1.0, 2)]
 
 
+def test_rows_of_one_doc_id_have_their_own_verdicts(spark):
+    texts, labels = labelled(spark)
+    item = prose(9, 1, length=30)[0]
+    bad, clean = texts[200], [texts[i] for i in (1, 2, 3)]
+    docs = table(spark, [*texts, *([bad, *clean] * 2)], [*range(240), *[None] * 4, *[777] * 4])
+    kept = [(r.doc_id, r.text) for r in toxicity.without_toxic(docs, labels).collect() if r.doc_id in (None, 777)]
+    assert sorted(kept, key=str) == sorted([(i, t) for i in (None, 777) for t in clean], key=str)
+
+    docs = table(spark, [f"{bad} {item}", *clean] * 2, [*[None] * 4, *[777] * 4])
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = [(r.doc_id, r.text) for r in decontamination.without_leaks(docs, benchmark).collect()]
+    assert sorted(kept, key=str) == sorted([(i, t) for i in (None, 777) for t in clean], key=str)
+
+    far = prose(20, 6)
+    docs = table(spark, [*far[:3], far[0], *far[3:], far[3], far[5], None, ""], [None] * 4 + [777] * 4 + [5, None, 8])
+    kept = sorted(((r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()), key=str)
+    assert kept == sorted([*((None, t) for t in far[:3]), (777, far[3]), (777, far[4]), (5, far[5]), (8, "")], key=str)
+
+
 def brute_alignment(text, item):
     best = 0.0
     h = np.zeros((len(item) + 1, len(text) + 1))
