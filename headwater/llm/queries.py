@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import bpe, decontamination, html, quality, ring, simhash, suffixes, token_files, toxicity, vectors
+from headwater.llm import bpe, decontamination, html, phrases, quality, ring, simhash, suffixes, token_files, toxicity, vectors
 
 QUERIES, ORACLES = {}, {}
 
@@ -31,6 +31,36 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM named LEFT JOIN counted ON a = vec_id"""
 
 
+# All phrases counted one by one, and each candidate's cuts.
+ORACLES["op11_phrase_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+cut AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+one AS (SELECT lang, unnest(w) AS phrase FROM cut),
+f1 AS MATERIALIZED (SELECT lang, phrase, count(*) AS f FROM one GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang),
+two AS (SELECT lang, unnest([struct_pack(x := w[i], y := w[i + 1]) FOR i IN range(1, len(w))]) AS g FROM cut),
+f2 AS MATERIALIZED (SELECT lang, g.x AS x, g.y AS y, count(*) AS f FROM two GROUP BY ALL HAVING count(*) >= 10),
+three AS (SELECT lang, unnest([struct_pack(x := w[i], y := w[i + 1], z := w[i + 2]) FOR i IN range(1, len(w) - 1)]) AS g FROM cut),
+f3 AS MATERIALIZED (SELECT lang, g.x AS x, g.y AS y, g.z AS z, count(*) AS f FROM three GROUP BY ALL HAVING count(*) >= 10),
+around AS (SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY ALL),
+cuts AS (
+  SELECT lang, x || ' ' || y AS phrase, c.f AS a, 1 AS k, p.f AS l, q.f AS r
+  FROM f2 c JOIN f1 p USING (lang) JOIN f1 q USING (lang)
+  WHERE p.phrase = c.x AND q.phrase = c.y
+    AND NOT EXISTS (SELECT 1 FROM around o WHERE o.lang = c.lang AND o.x = c.x AND o.y = c.y AND 100 * o.f >= 50 * c.f)
+  UNION ALL SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, c.f, 1, p.f, q.f
+  FROM f3 c JOIN f1 p ON p.lang = c.lang AND p.phrase = c.x JOIN f2 q ON q.lang = c.lang AND q.x = c.y AND q.y = c.z
+  UNION ALL SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, c.f, 2, p.f, q.f
+  FROM f3 c JOIN f2 p ON p.lang = c.lang AND p.x = c.x AND p.y = c.y JOIN f1 q ON q.lang = c.lang AND q.phrase = c.z),
+scored AS (SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+best AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM least)
+SELECT lang, rank, phrase, a, l, r, n, score FROM best JOIN total USING (lang) WHERE rank <= 2000"""
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -84,3 +114,8 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op10_embedding_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@register
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
