@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import bpe, decontamination, html, phrases, quality, ring, simhash, suffixes, token_files, toxicity, vectors
+from headwater.llm import bpe, decontamination, html, phrases, quality, ranked, ring, simhash, suffixes, token_files, toxicity, vectors
 
 QUERIES, ORACLES = {}, {}
 
@@ -61,6 +61,25 @@ best AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC,
 SELECT lang, rank, phrase, a, l, r, n, score FROM best JOIN total USING (lang) WHERE rank <= 2000"""
 
 
+# Every document scored for every item.
+ORACLES["op12_ranked_search"] = r"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+totals AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM docs WHERE len(w) > 0),
+tf AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM docs) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+items AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+weighted AS (SELECT item_id, term, CAST(floor(1000 * ln(CAST(2 * t.docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight
+  FROM items JOIN df USING (term) CROSS JOIN totals t),
+scored AS (
+  SELECT item_id, d.doc_id, d.id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * len(d.w) * t.docs) // t.terms)))) AS BIGINT) AS score
+  FROM weighted JOIN tf USING (term) JOIN docs d USING (id) CROSS JOIN totals t GROUP BY ALL),
+placed AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10"""
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -119,3 +138,8 @@ def op10_embedding_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"))
+
+
+@register
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
