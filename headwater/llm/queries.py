@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import bpe, decontamination, html, phrases, quality, ranked, ring, simhash, suffixes, token_files, toxicity, vectors
+from headwater.llm import bpe, decontamination, html, phrases, quality, ranked, ring, simhash, suffixes, token_files, toxicity, vectors, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -80,6 +80,19 @@ placed AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY
 SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10"""
 
 
+# SHA-1 in base32, five hexadecimal digits as four letters at a time.
+ORACLES["op13_warc_archives"] = """
+WITH payloads AS (
+  SELECT page_id, url, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS response FROM pages),
+digested AS (SELECT *, sha1(html) AS hex FROM payloads)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+  list_aggregate(flatten([[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || hex[1 + 5 * i : 5 + 5 * i] AS BIGINT) >> (15 - 5 * j)) & 31 AS INTEGER) + 1, 1)
+    FOR j IN range(4)] FOR i IN range(8)]), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = response OR response IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = response THEN NULL ELSE response END AS refers_to, url
+FROM digested"""
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -143,3 +156,8 @@ def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@register
+def op13_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
