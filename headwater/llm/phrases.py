@@ -27,8 +27,8 @@ NO_LANG = "und"
 KINDS = classes(b" \t", b".,;:!?\n\x0b\x0c\r")
 MOST_BITS = 25  # of a bucket number of the sketch: 32 MB of counts in a task, 4 MB of bits
 SLICE_BITS = 16
-TASK_WORDS = (1 << 21) - 2  # distinct words that a task numbers before it hands on its edges
-TASK_EDGES = 3_000_000
+TASK_WORDS = (1 << 21) - 4  # distinct words that a task numbers before it hands on its edges, and
+TASK_EDGES = 1_000_000  # distinct edges that it holds
 ROUNDS = 6  # of path compaction; each joins paths at nodes that only they touch
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -38,46 +38,57 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _read(batch: pa.RecordBatch) -> tuple[list[str], list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(language and word of each distinct pair, number of the pair of each word of the texts, whether it begins a piece, hashes of the pairs)."""
+    langs = batch.column(0).dictionary_encode()
+    names, lang_of = langs.dictionary.to_pylist(), langs.indices.to_numpy()
+    words, word, row, new = cut(batch.column(1), KINDS)
+    distinct, pair = np.unique(word * len(names) + lang_of[row], return_inverse=True)
+    lang, word = [names[k] for k in (distinct % len(names)).tolist()], [words[k] for k in (distinct // len(names)).tolist()]
+    hashes = np.array([xxhash.xxh3_64_intdigest(f"{a}\t{b}") for a, b in zip(lang, word)], np.uint64)
+    return lang, word, pair, new, hashes
+
+
+def _grams(h: np.ndarray, new: np.ndarray):
+    """(whether a pair begins at each word, whether a triple does, hashes of both), from hashes of the words."""
+    two, three = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    two[:-1] = ~new[1:]
+    three[:-2] = ~new[1:-1] & ~new[2:]
+    pairs, triples = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
+    pairs[:-1] = _mixed(h[:-1] * MIX + h[1:])
+    triples[:-2] = _mixed(pairs[:-2] * MIX + h[2:])
+    return two, three, pairs, triples
+
+
 class Numbers:
-    """Numbers, from 1, and hashes of the (language, word) pairs that a task has met."""
+    """Numbers, from 1, of the (language, word) pairs that a task has met."""
 
     def __init__(self):
-        self.of: dict[tuple[str, str], int] = {}
-        self.hashes = np.zeros(1 << 16, np.uint64)
-
-    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """(number of each word of the batch's texts, whether it begins a piece)."""
-        langs = batch.column(0).fill_null(NO_LANG).dictionary_encode()
-        names, lang_of = langs.dictionary.to_pylist(), langs.indices.to_numpy()
-        words, word, row, new = cut(batch.column(1), KINDS)
-        if not len(word):
-            return word, new
-        pair = word * len(names) + lang_of[row]
-        distinct, pair = np.unique(pair, return_inverse=True)
-        of, fresh = self.of, []
-        numbers = np.empty(len(distinct), np.int64)
-        for i, key in enumerate(zip((names[k] for k in (distinct % len(names)).tolist()), (words[k] for k in (distinct // len(names)).tolist()))):
-            number = of.get(key)
+        self.langs: dict[str, int] = {}
+        self.of: list[dict[str, int]] = []  # for each language
+        self.count = 0
+
+    def __call__(self, lang: list[str], word: list[str]) -> np.ndarray:
+        found = np.empty(len(word), np.int64)
+        for i, (name, text) in enumerate(zip(lang, word)):
+            at = self.langs.get(name)
+            if at is None:
+                at = self.langs[name] = len(self.of)
+                self.of.append({})
+            number = self.of[at].get(text)
             if number is None:
-                number = of[key] = len(of) + 1
-                fresh.append(xxhash.xxh3_64_intdigest("\t".join(key).encode()))
-            numbers[i] = number
-        top = len(of) + 1
-        if top > len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros(max(top, len(self.hashes)), np.uint64)])
-        self.hashes[top - len(fresh) : top] = fresh
-        return numbers[pair], new
-
-    def grams(self, number: np.ndarray, new: np.ndarray):
-        """(whether a pair begins at each word, whether a triple does, hashes of both)."""
-        two, three = np.zeros(len(number), bool), np.zeros(len(number), bool)
-        two[:-1] = ~new[1:]
-        three[:-2] = ~new[1:-1] & ~new[2:]
-        h = self.hashes[number]
-        pairs, triples = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
-        pairs[:-1] = _mixed(h[:-1] * MIX + h[1:])
-        triples[:-2] = _mixed(pairs[:-2] * MIX + h[2:])
-        return two, three, pairs, triples
+                self.count += 1
+                number = self.of[at][text] = self.count
+            found[i] = number
+        return found
+
+    def columns(self) -> tuple[pa.Array, pa.Array]:
+        """Language and word of each number; NULL for 0."""
+        lang, word = [None] * (self.count + 1), [None] * (self.count + 1)
+        for name, at in self.langs.items():
+            for text, number in self.of[at].items():
+                lang[number], word[number] = name, text
+        return pa.array(lang, pa.string()), pa.array(word, pa.string())
 
 
 def _sketch(texts: DataFrame, bits: int, least: int) -> tuple[bytes, bytes]:
@@ -90,16 +101,14 @@ def _sketch(texts: DataFrame, bits: int, least: int) -> tuple[bytes, bytes]:
     size = 1 << min(SLICE_BITS, bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, numbers, shift = [np.zeros(1 << bits, np.uint8) for _ in range(2)], Numbers(), np.uint64(64 - bits)
+        tables, shift = [np.zeros(1 << bits, np.uint8) for _ in range(2)], np.uint64(64 - bits)
         for batch in steps(batches, 1):
-            number, new = numbers.read(batch)
-            two, three, pairs, triples = numbers.grams(number, new)
+            _, _, pair, new, hashes = _read(batch)
+            two, three, pairs, triples = _grams(hashes[pair], new)
             for table, hashes in zip(tables, (pairs[two], triples[three])):
                 bucket, n = np.unique(hashes >> shift, return_counts=True)
                 bucket = bucket.astype(np.int64)
                 table[bucket] = np.minimum(table[bucket] + n, 255)
-            if len(numbers.of) > TASK_WORDS:
-                numbers = Numbers()
         packer = zstandard.ZstdCompressor(level=1)
         for kind, table in enumerate(tables):
             for at, part in enumerate(table.reshape(-1, size)):
@@ -153,27 +162,34 @@ def edges(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
         def rows():
             keys, n = merged()
-            lang, word = (pa.array([None, *(k[i] for k in numbers.of)]) for i in (0, 1))
+            lang, word = numbers.columns()
             a, b, c = (pa.array(keys >> s & (1 << 21) - 1) for s in (42, 21, 0))
             table = pa.table([lang.take(a), word.take(a), word.take(b), word.take(c), pa.array(n)], names=["lang", "a", "b", "c", "n"])
             return table.to_batches(max_chunksize=50_000)
 
         for batch in steps(batches, 1):
-            number, new = numbers.read(batch)
-            if len(number):
-                two, three, pairs, triples = numbers.grams(number, new)
-                two &= may(tables[0], pairs)
-                three[:-1] &= two[:-1] & two[1:]
-                three &= may(tables[1], triples)
-                key = number << 42
-                key[:-1] |= np.where(two[:-1], number[1:] << 21, 0)
-                key[:-2] |= np.where(three[:-2], number[2:], 0)
+            lang, word, pair, new, hashes = _read(batch)
+            two, three, pairs, triples = _grams(hashes[pair], new)
+            two &= may(tables[0], pairs)
+            three[:-1] &= two[:-1] & two[1:]
+            three &= may(tables[1], triples)
+            # A text of any length: so many words at a time, and the two after them.
+            for at in range(0, len(pair), TASK_EDGES):
+                distinct, number = np.unique(pair[at : at + TASK_EDGES + 2], return_inverse=True)
+                if found and numbers.count + len(distinct) > TASK_WORDS:
+                    yield from rows()
+                    numbers, found = Numbers(), []
+                number = np.append(numbers([lang[i] for i in distinct], [word[i] for i in distinct])[number], [0, 0])
+                size = min(TASK_EDGES, len(pair) - at)
+                key = number[:size] << 42
+                key |= np.where(two[at : at + size], number[1 : size + 1] << 21, 0)
+                key |= np.where(three[at : at + size], number[2 : size + 2], 0)
                 found.append(np.unique(key, return_counts=True))
                 if sum(len(k) for k, _ in found) > TASK_EDGES:
                     found = [merged()]
-            if found and (len(numbers.of) > TASK_WORDS // 2 or len(found[0][0]) > TASK_EDGES):
-                yield from rows()
-                numbers, found = Numbers(), []
+                    if len(found[0][0]) > TASK_EDGES:
+                        yield from rows()
+                        numbers, found = Numbers(), []
         if found:
             yield from rows()
 

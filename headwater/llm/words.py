@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-STEP_BYTES = 1 << 23  # of text cut at once, but for a single longer one
+STEP_BYTES = 1 << 21  # of text cut at once, but for a single longer one
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 WORD, SPACE, BREAK = 0, 1, 2
