@@ -29,6 +29,7 @@ MOST_BITS = 25  # of a bucket number of the sketch: 32 MB of counts in a task, 4
 SLICE_BITS = 16
 TASK_WORDS = (1 << 21) - 4  # distinct words that a task numbers before it hands on its edges, and
 TASK_EDGES = 1_000_000  # distinct edges that it holds
+SALTS = 16  # places where a language's phrases first meet
 ROUNDS = 6  # of path compaction; each joins paths at nodes that only they touch
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -272,6 +273,9 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, limit:
     scored = every.select(
         "lang", F.concat_ws(" ", "words").alias("phrase"), "a", F.when(late, F.col("front")).otherwise(F.col("f_one")).alias("l"),
         F.when(late, F.col("f_other")).otherwise(early).alias("r"), F.when(late, second).otherwise(first).alias("score"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = scored.withColumn("rank", place.cast("long")).filter(F.col("rank") <= limit)
+    order = F.desc("score"), F.desc("a"), "phrase"
+    # A language's phrases of all tasks meet in SALTS places first, then the best of each.
+    salted = scored.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    salted = salted.withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("place") <= limit)
+    best = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= limit)
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
