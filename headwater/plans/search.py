@@ -89,9 +89,7 @@ def base_predictions(rows: DataFrame, model: str, features: str, pooling: str, s
     if model == "bagged":
         return bagged_ridge(rows, inputs, KEYS, pooling, scaled=scaled)
     if model in ESTIMATORS:
-        if pooling != "all":
-            raise ValueError(f"{model} pools all rows, not {pooling}")
-        return walk_forward(rows, [c for c in inputs if c != "horizon"], model, month_start(), scaled)
+        return walk_forward(rows, [c for c in inputs if c != "horizon"], model, month_start(), scaled, pooling=pooling)
     if model.split(":")[0] != "ridge":
         raise ValueError(f"unknown model {model}")
     return ridge(rows, inputs, pooling, _penalty(model), scaled)

@@ -1,5 +1,4 @@
-"""Walk-forward fits of library estimators: one fit per calendar block, on the
-labels known before the block starts."""
+"""Walk-forward learners: refitted at each calendar block on the labels known before it."""
 
 from __future__ import annotations
 
@@ -8,28 +7,23 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (
-    DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
-)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headwater.constants import ALERT_FEATURES, FOREST_SEED, FOREST_TREES
 from headwater.functions.numeric import at_least_half, finite_or_zero
 from headwater.operators.causal import scaled_target, unscaled
+from headwater.operators.trees import Trees, walk
 from headwater.session import materialise
 
-# Families of the search by name; each entry makes a fresh estimator.
-ESTIMATORS: dict[str, Callable] = {
-    "huber": lambda: LinearRegression(loss="huber", maxIter=50, featuresCol="x", labelCol="y"),
-    "tree": lambda: DecisionTreeRegressor(maxDepth=5, seed=FOREST_SEED, featuresCol="x", labelCol="y"),
-    "boosted": lambda: GBTRegressor(maxIter=20, maxDepth=4, seed=FOREST_SEED, featuresCol="x", labelCol="y"),
-    "forest": lambda: RandomForestRegressor(
-        numTrees=FOREST_TREES, maxDepth=5, seed=FOREST_SEED, featuresCol="x", labelCol="y"),
-    "forest10": lambda: RandomForestRegressor(
-        numTrees=10, maxDepth=5, seed=FOREST_SEED, featuresCol="x", labelCol="y"),
+# Families of the search by name.
+ESTIMATORS: dict[str, Trees] = {
+    "tree": Trees(seed=FOREST_SEED),
+    "boosted": Trees(depth=4, rates=(1.0,) + (0.1,) * 19, seed=FOREST_SEED),
+    "forest": Trees(FOREST_TREES, share=1 / 3, drawn=True, seed=FOREST_SEED),
+    "forest10": Trees(10, share=1 / 3, drawn=True, seed=FOREST_SEED),
 }
 
 
@@ -71,44 +65,18 @@ def _by_block(rows: DataFrame, fit_predict: Callable, parallel: int) -> DataFram
 
 
 def walk_forward(table: DataFrame, features: Sequence[str], estimator: str = "forest", block: Column | None = None,
-                 scaled: bool = True, name: str = "model", parallel: int = 4,
+                 scaled: bool = True, name: str = "model", pooling: str = "all",
                  keys: Sequence[str] = ("dam", "date", "horizon")) -> DataFrame:
-    """Add predictions of an estimator refitted at the start of every block.
+    """Add predictions of trees refitted at the start of every block, in any pooling.
 
-    Missing features take the mean of the training rows. Blocks without enough
-    known labels predict no change.
+    The horizon is one of the inputs. Blocks without two known labels predict no change.
     """
+    # Every level reads the same rows again: written once, not recomputed.
+    rows = materialise(table, "walk-forward")
     block = month_start() if block is None else block
-    y = scaled_target(scaled).alias("y")
-    rows = table.withColumn("block", block).select("*", y)
-    # Every fit reads the same rows again: written once, not recomputed.
-    rows = materialise(rows, "walk-forward")
-    inputs = [*features, "horizon"]
-
-    def fit_predict(all_rows: DataFrame, start) -> DataFrame:
-        train = all_rows.filter((F.col("label_date") < F.lit(start)) & F.col("y").isNotNull())
-        train = _settled(train, keys).select(*[F.col(c).cast("double").alias(c) for c in inputs], "y")
-        target = all_rows.filter(F.col("block") == F.lit(start))
-        known = train.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in inputs]).first()
-        usable = [c for c in inputs if known[c] > 0]
-        if known["n"] < 2:
-            return target.withColumn(name, F.lit(0.0))
-        filled = [f"_{c}" for c in usable]
-        steps = [
-            Imputer(inputCols=usable, outputCols=filled, strategy="mean"),
-            VectorAssembler(inputCols=filled, outputCol="_raw"),
-            StandardScaler(inputCol="_raw", outputCol="x", withMean=True),
-            ESTIMATORS[estimator]().setPredictionCol("_p"),
-        ]
-        model = Pipeline(stages=steps).fit(train)
-        given = target.withColumns({f"_in_{c}": F.col(c) for c in inputs})
-        given = given.withColumns({c: F.col(c).cast("double") for c in inputs})
-        value = F.col("_p")
-        scored = model.transform(given).withColumn(name, finite_or_zero(unscaled(value) if scaled else value))
-        back = scored.withColumns({c: F.col(f"_in_{c}") for c in inputs})
-        return back.select(*all_rows.columns, name)
-
-    return _by_block(rows, fit_predict, parallel).drop("block", "y")
+    grown = walk(rows, [*features, "horizon"], keys, ESTIMATORS[estimator], pooling, scaled_target(scaled), block)
+    value = unscaled(F.col("_trees")) if scaled else F.col("_trees")
+    return rows.join(grown, list(keys), "left").withColumn(name, finite_or_zero(value)).drop("_trees")
 
 
 def alert_forecasts(targets: DataFrame, features: Sequence[str] = ALERT_FEATURES, block: Column | None = None,
