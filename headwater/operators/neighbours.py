@@ -2,16 +2,20 @@
 
 Pools within one entity hold a row per day and horizon, so the calendar bounds
 them: their rows meet all labels known so far. Pools over many entities grow with
-these, and all their pairs are no longer a plan; the caller must then say how many
-labels a learner remembers, its latest ones, of which those of one day are chosen by
-a hash of their key. Days are grouped into blocks; a block's queries, split into
-groups of bounded size, meet the rows its days may remember, and the exact memory
-of each day is taken inside the task.
+these, and all their pairs are no longer a plan. Their labels are dealt into cells of
+near points. A query first asks the cell it lies in, which bounds how far its neighbours
+can be, then all cells whose box begins within that bound; the best k of each cell
+merge by a second top-k. This is exact, and nothing is forgotten.
+
+With a stated memory a learner keeps only its latest labels, of which those of one day
+are chosen by a hash of their key. Days are then grouped into blocks; a block's queries,
+split into groups of bounded size, meet the rows its days may remember, and the exact
+memory of each day is taken inside the task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,9 +24,14 @@ from pyspark.sql import functions as F
 
 from headwater.functions.numeric import finite_or_zero
 from headwater.operators.causal import pool_key, scaled_target, unscaled
+from headwater.session import materialise
 
 QUERIES_PER_TASK = 20_000
 SALTS = 32
+CELL_LABELS = 1_000  # labels that a cell should hold
+MOST_CELLS = 4_096  # of all pools: their boxes travel with the tasks
+SAMPLE = 65_536  # labels, chosen by hash, that place the cells' borders
+BLOCK_LABELS = 20_000  # of a cell that meet queries at once: larger cells come in blocks
 
 
 def nearest_mean(queries: np.ndarray, known: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
@@ -70,12 +79,10 @@ def causal_knn(table: DataFrame, features: Sequence[str], keys: Sequence[str], p
     """Add the mean target of each row's nearest remembered neighbours.
 
     Features should be z-scores; a missing one counts as 0. Without any
-    remembered row the prediction is no change. Pools within one entity remember
-    every label; `memory` is needed for pools over many, and has no default.
+    remembered row the prediction is no change. Every label is remembered unless
+    `memory` says how many of a pool are.
     """
     features, keys = list(features), list(keys)
-    if pooling not in ENTITY_POOLS and memory is None:
-        raise ValueError(f"pool {pooling} spans many entities: state how many labels it remembers")
     rows = table.select(
         pool_key(pooling).alias("pool"), F.unix_date("date").alias("day"), F.unix_date("label_date").alias("label_day"),
         F.md5(F.concat_ws("|", *keys)).alias("order"), scaled_target(scaled).alias("y"), *keys,
@@ -84,7 +91,9 @@ def causal_knn(table: DataFrame, features: Sequence[str], keys: Sequence[str], p
     x = [f"x{i}" for i in range(len(features))]
     kinds = dict(table.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", _knn double"
-    if memory is None:
+    if memory is None and pooling not in ENTITY_POOLS:
+        answers = _everything(rows, x, keys, k, schema)
+    elif memory is None:
         def within(frame: pd.DataFrame) -> pd.DataFrame:
             return _answers(frame, frame[frame["y"].notna()], x, keys, k, None)
 
@@ -156,3 +165,151 @@ def _remembering(rows: DataFrame, x: Sequence[str], keys: Sequence[str], k: int,
         asked.select("pool", "at", "group", "day", *keys, *x).groupBy("pool", "at", "group")
         .cogroup(offered.groupBy("pool", "at", "group")).applyInPandas(answer, schema)
     )
+
+
+class Cells:
+    """Borders of the cells of one pool: a tree of median cuts along the widest side."""
+
+    def __init__(self, points: np.ndarray, leaf: int):
+        self.feature, self.cut, self.child, self.count = [], [], [], 0
+        self._split(points, leaf)
+
+    def _split(self, points: np.ndarray, leaf: int) -> None:
+        open_ = [(self._node(), points)]
+        while open_:
+            at, some = open_.pop()
+            side = np.ptp(some, axis=0) if len(some) else np.zeros(1)
+            j = int(side.argmax())
+            left = some[:, j] <= np.median(some[:, j]) if len(some) > leaf and side[j] > 0 else np.ones(len(some), bool)
+            if left.all() and len(some) > leaf and side[j] > 0:
+                left = some[:, j] < some[:, j].max()
+            if left.all():
+                self.feature[at], self.child[at] = -1, self.count
+                self.count += 1
+                continue
+            self.feature[at], self.cut[at], self.child[at] = j, float(some[left, j].max()), len(self.feature)
+            first = self._node()
+            open_ += [(first, some[left]), (self._node(), some[~left])]
+
+    def _node(self) -> int:
+        self.feature.append(-1)
+        self.cut.append(0.0)
+        self.child.append(0)
+        return len(self.feature) - 1
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        feature, cut, child = np.array(self.feature), np.array(self.cut), np.array(self.child)
+        node, rows = np.zeros(len(points), np.int64), np.arange(len(points))
+        while (inner := feature[node] >= 0).any():
+            right = points[rows, feature[node]] > cut[node]
+            node = np.where(inner, child[node] + right, node)
+        return child[node]
+
+
+def _near(queries: pd.DataFrame, labels: pd.DataFrame, x: Sequence[str], keys: Sequence[str], k: int) -> pd.DataFrame:
+    """Up to k nearest known labels of each query among those given, no farther than its `bound`."""
+    labels = labels.sort_values(["label_day", "order", "key"], kind="stable")
+    known, places = labels["label_day"].to_numpy(), labels[list(x)].to_numpy(float)
+    points, days, bound = queries[list(x)].to_numpy(float), queries["day"].to_numpy(), queries["bound"].to_numpy()
+    rows, picked, far = [], [], []
+    age, none = np.arange(len(labels)), np.iinfo(np.int64).max
+    for start in range(0, len(queries), 256):
+        part = slice(start, start + 256)
+        distance = np.zeros((len(points[part]), len(labels)))
+        for j in range(len(x)):
+            distance += (points[part, j, None] - places[None, :, j]) ** 2
+        nine = np.rint(distance * 1e9).astype(np.int64)
+        wanted = (known[None, :] <= days[part, None]) & (nine <= bound[part, None])
+        order = np.where(wanted, nine * len(labels) + age, none)
+        near = np.argpartition(order, k - 1, axis=1)[:, :k] if len(labels) > k else np.broadcast_to(age, order.shape)
+        row, at = np.nonzero(np.take_along_axis(wanted, near, 1))
+        at = near[row, at]
+        rows.append(row + start)
+        picked.append(at)
+        far.append(nine[row, at])
+    rows, picked = np.concatenate(rows), np.concatenate(picked)
+    found = queries[[*keys, "pool", "cell", "day", *x]].iloc[rows].reset_index(drop=True)
+    best = labels[["label_day", "order", "key", "y"]].iloc[picked].reset_index(drop=True)
+    return pd.concat([found, best.add_prefix("_")], axis=1).assign(_far=np.concatenate(far))
+
+
+def _everything(rows: DataFrame, x: Sequence[str], keys: Sequence[str], k: int, schema: str) -> DataFrame:
+    """Answers of learners over many entities that remember every label."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("key", F.concat_ws("|", *keys))
+    # Of labels at one point the first k come before all others in any answer, however many repeat it.
+    at_point = Window.partitionBy("pool", *x).orderBy("label_day", "order", "key")
+    first = rows.filter("y is not null").withColumn("_r", F.row_number().over(at_point)).filter(F.col("_r") <= k).drop("_r")
+    labels = materialise(first, "labels")
+    total = max(1, labels.count())
+    share = min(1.0, SAMPLE / total)
+    sample = labels.filter(F.pmod(F.xxhash64("key", "pool", F.lit("cells")), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select("pool", *x).toPandas()
+    leaf = max(1, int(max(CELL_LABELS, total / MOST_CELLS) * len(sample) / total))
+    # In a fixed order, so that a repeated job finds the same borders.
+    trees = {p: Cells(np.array(sorted(map(tuple, some[list(x)].to_numpy(float)))), leaf) for p, some in sample.groupby("pool")}
+    no_tree = Cells(np.zeros((0, len(x))), leaf)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            cell = np.zeros(len(frame), np.int64)
+            for pool, at in frame.groupby("pool", sort=False).indices.items():
+                cell[at] = trees.get(pool, no_tree).of(frame[list(x)].to_numpy(float)[at])
+            yield frame.assign(cell=cell)
+
+    kinds = dict(rows.dtypes)
+    placed = ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns) + ", cell long"
+    asked = materialise(rows.drop("y").mapInPandas(place, ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns if c != "y") + ", cell long"), "asked")
+    labels = materialise(labels.mapInPandas(place, placed), "cells")
+    boxes = labels.groupBy("pool", "cell").agg(F.count("*").alias("n"), F.min("label_day").alias("since"), F.array(*[F.min(c) for c in x]).alias("low"),
+                                               F.array(*[F.max(c) for c in x]).alias("high")).collect()  # a row per cell
+    by_pool = {p: [b for b in boxes if b["pool"] == p] for p in {b["pool"] for b in boxes}}
+    box = {p: (np.array([b["cell"] for b in some]), np.array([b["since"] for b in some]), np.array([b["low"] for b in some]), np.array([b["high"] for b in some]))
+           for p, some in by_pool.items()}
+    blocks = spark.createDataFrame([(b["pool"], b["cell"], -(-b["n"] // BLOCK_LABELS)) for b in boxes], "pool string, cell long, blocks int")
+    labels = labels.join(F.broadcast(blocks), ["pool", "cell"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks")
+    named = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
+    columns = ", ".join(f"{c} double" for c in x)
+    nothing = pd.DataFrame(columns=[*keys, "pool", "cell", "day", *x, "_label_day", "_order", "_key", "_y", "_far"])
+    partial = f"{named}, pool string, cell long, day int, {columns}, _label_day int, _order string, _key string, _y double, _far long"
+
+    def meet(queries: DataFrame) -> DataFrame:
+        """Best labels of each (query, cell): cells come in blocks of labels, their queries in groups."""
+        queries = queries.join(F.broadcast(blocks), ["pool", "cell"])
+        many = queries.groupBy("pool", "cell").agg(F.ceil(F.count("*") / QUERIES_PER_TASK).cast("int").alias("groups"))
+        queries = queries.join(many, ["pool", "cell"]).withColumn("group", F.pmod(F.xxhash64("key", F.lit("group")), F.col("groups")).cast("int"))
+        queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "groups")
+        offered = labels.join(many, ["pool", "cell"]).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+        spots = ["pool", "cell", "block", "group"]
+        return queries.groupBy(*spots).cogroup(offered.groupBy(*spots)).applyInPandas(
+            lambda a, b: _near(a, b, x, keys, k) if len(a) and len(b) else nothing, partial)
+
+    def best(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy("_far", "_label_day", "_order", "_key")
+        return found.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k)
+
+    open_ = F.lit((1 << 62)).cast("long")
+    home = materialise(best(meet(asked.withColumn("bound", open_))), "home")
+    bound = home.filter(F.col("_place") == k).select(*keys, F.col("_far").alias("bound"))
+    others = asked.join(bound, list(keys), "left").withColumn("bound", F.coalesce("bound", open_))
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            points, parts = frame[list(x)].to_numpy(float), []
+            for pool, at in frame.groupby("pool", sort=False).indices.items():
+                if pool not in box:
+                    continue
+                cell, since, low, high = box[pool]
+                for some in np.array_split(at, -(-len(at) // 512)):
+                    apart = np.maximum(np.maximum(low[None] - points[some, None], points[some, None] - high[None]), 0.0)
+                    # A little less than the least distance, for what rounding may add.
+                    least = np.floor((apart ** 2).sum(2) * 1e9) - 1
+                    hit = (least <= frame["bound"].to_numpy()[some, None]) & (since[None] <= frame["day"].to_numpy()[some, None])
+                    hit &= cell[None] != frame["cell"].to_numpy()[some, None]
+                    row, which = np.nonzero(hit)
+                    parts.append(frame.iloc[some[row]].assign(cell=cell[which]))
+            if parts:
+                yield pd.concat(parts)
+
+    further = meet(others.mapInPandas(reach, others.schema))
+    merged = best(home.drop("_place").unionByName(further))
+    return merged.groupBy(*keys).agg(F.avg("_y").alias("_knn"))

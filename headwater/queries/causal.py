@@ -223,7 +223,7 @@ KNN_FEATURES = ("rwl_m", "dev_24h_m", "rain_3d", "temperature_2m_mean")
 
 
 def knn_sql(by, memory=None):
-    """Neighbours among the latest labels of a pool: `by` names its columns in a row."""
+    """Neighbours among the labels of a pool, or its latest ones: `by` names its columns in a row."""
     on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in by)
     names = ", ".join(by)
     limit = "" if memory is None else f" AND k.place > s.upto - {memory}"
@@ -258,7 +258,13 @@ def causal_knn(spark, folder):
     return _neighbours(spark, folder, "horizon")
 
 
-@register("causal_knn_pooled", knn_sql(["horizon"], 1000))
+@register("causal_knn_pooled", knn_sql(["horizon"]))
 def causal_knn_pooled(spark, folder):
+    """Neighbours among all labels that any dam has so far at the horizon."""
+    return _neighbours(spark, folder, "dam")
+
+
+@register("causal_knn_latest", knn_sql(["horizon"], 1000))
+def causal_knn_latest(spark, folder):
     """Neighbours among the last 1,000 labels of any dam."""
     return _neighbours(spark, folder, "dam", 1000)

@@ -145,11 +145,11 @@ def test_blend_equals_the_sequential_update(spark):
         w /= w.sum()
 
 
-@pytest.mark.parametrize("pooling, memory, block_days", [("dam", 1000, 30), ("dam", 12, 5), ("dam", 12, 30), ("horizon", None, 30), ("none", None, 30)])
+@pytest.mark.parametrize("pooling, memory, block_days", [("dam", None, 30), ("all", None, 30), ("dam", 1000, 30), ("dam", 12, 5), ("dam", 12, 30), ("horizon", None, 30), ("none", None, 30)])
 def test_neighbours_against_brute_force(table, rows, pooling, memory, block_days):
     got = {(r.dam, r.date, r.horizon): r.model for r in neighbours.causal_knn(
         table, ["a", "b"], ["dam", "date", "horizon"], pooling, 3, memory, block_days, scaled=False).collect()}
-    pool = {"dam": lambda q: q[2], "horizon": lambda q: q[0], "none": lambda q: (q[0], q[2])}[pooling]
+    pool = {"all": lambda q: 0, "dam": lambda q: q[2], "horizon": lambda q: q[0], "none": lambda q: (q[0], q[2])}[pooling]
     order_of = lambda q: hashlib.md5("|".join(map(str, q[:3])).encode()).hexdigest()
     point = lambda r: np.array([r[5], r[6] or 0.0])
     for r in rows:
@@ -182,9 +182,24 @@ def test_finished_configurations_are_not_pending(spark):
     assert search.pending(spark, spark.createDataFrame(everything, search.CONFIG_SCHEMA), **grid) == []
 
 
-def test_pools_over_many_entities_need_a_stated_memory(table):
-    with pytest.raises(ValueError, match="remembers"):
-        neighbours.causal_knn(table, ["a", "b"], ["dam", "date", "horizon"], "dam")
+@pytest.mark.parametrize("hot", [False, True])
+def test_neighbours_over_many_cells_are_exact(spark, monkeypatch, hot):
+    """Cells of few labels, blocks and groups of few rows, a third of all rows at one point."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(600):
+        day = DAY + dt.timedelta(int(rng.integers(0, 30)))
+        point = (0.0, 0.0) if hot and i % 3 == 0 else map(float, rng.normal(0, 1, 2))
+        rows.append((f"d{i}", day, 1, day + dt.timedelta(1), float(rng.normal()), *point))
+    for name, value in (("CELL_LABELS", 25), ("BLOCK_LABELS", 10), ("QUERIES_PER_TASK", 15)):
+        monkeypatch.setattr(neighbours, name, value)
+    got = {r.dam: r.model for r in neighbours.causal_knn(
+        spark.createDataFrame(rows, SCHEMA).repartition(3), ["a", "b"], ["dam", "date", "horizon"], "dam", 4, scaled=False).collect()}
+    order_of = lambda q: hashlib.md5("|".join(map(str, q[:3])).encode()).hexdigest()
+    for r in rows:
+        past = sorted((q for q in rows if q[3] <= r[1]), key=lambda q: (q[3], order_of(q)))
+        order = sorted(range(len(past)), key=lambda i: (round(((np.array(past[i][5:]) - r[5:]) ** 2).sum(), 9), i))
+        assert got[r[0]] == pytest.approx(np.mean([past[i][4] for i in order[:4]]) if past else 0.0), r
 
 
 def test_bagging_is_repeatable(table):
