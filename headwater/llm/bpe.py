@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import heapq
 import string
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-HELD_WORDS = 400_000  # distinct words that a task keeps encoded; more only cost time
+HELD_BYTES = 1 << 25  # of words that a task keeps encoded, about; more only cost time
+ENTRY = 180  # bytes that a kept word takes beside its letters and ids
 LONG_PIECE = 48
 NO_RANK = 1 << 62
 MARKS = string.punctuation
@@ -49,34 +50,23 @@ def read_ranks(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines.splitlines())}
 
 
-def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
-    """The rank of the token that two adjacent tokens, packed into one number, merge to."""
-    pairs = {}
-    for token, rank in ranks.items():
-        for at in range(1, len(token)):
-            left, right = ranks.get(token[:at]), ranks.get(token[at:])
-            if left is not None and right is not None:
-                pairs[left << 32 | right] = rank
-    return pairs
-
-
-def merge(piece: bytes, ranks: dict[bytes, int], pairs: dict[int, int]) -> list[int]:
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Fold the lowest-ranked adjacent pair, the leftmost on ties, until none has a rank."""
     if piece in ranks:
         return [ranks[piece]]
     if len(piece) > LONG_PIECE:
         return _merge_long(piece, ranks)
-    ids = [ranks[piece[i : i + 1]] for i in range(len(piece))]
-    open_ = [pairs.get(a << 32 | b, NO_RANK) for a, b in zip(ids, ids[1:])]
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    open_ = [ranks.get(a + b, NO_RANK) for a, b in zip(parts, parts[1:])]
     while open_ and (best := min(open_)) != NO_RANK:
         at = open_.index(best)
-        ids[at] = best
-        del ids[at + 1], open_[at]
+        parts[at] += parts[at + 1]
+        del parts[at + 1], open_[at]
         if at < len(open_):
-            open_[at] = pairs.get(best << 32 | ids[at + 1], NO_RANK)
+            open_[at] = ranks.get(parts[at] + parts[at + 1], NO_RANK)
         if at:
-            open_[at - 1] = pairs.get(ids[at - 1] << 32 | best, NO_RANK)
-    return ids
+            open_[at - 1] = ranks.get(parts[at - 1] + parts[at], NO_RANK)
+    return [ranks[p] for p in parts]
 
 
 def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -124,41 +114,50 @@ class Splitter:
 
 
 class Encoder:
-    """Encodes texts, each distinct word once; decodes ids by joining their bytes."""
+    """Encodes texts, each distinct word once; decodes ids by joining their bytes.
+
+    Words and the pieces they split into are kept as packed ids, up to HELD_BYTES.
+    """
 
     def __init__(self, lines: bytes, pattern: str):
         self.ranks = read_ranks(lines)
-        self.pairs = pair_ranks(self.ranks)
-        self.pieces = {rank: token for token, rank in self.ranks.items()}
+        self.code = "H" if max(self.ranks.values(), default=0) < 1 << 16 else "I"
+        top = max(self.ranks.values(), default=-1) + 1
+        self.pieces, self.decimals = [b""] * top, [b"%d" % i for i in range(top)]
+        for token, rank in self.ranks.items():
+            self.pieces[rank] = token
         self.split = Splitter(pattern)
-        self.merged: dict[str, list[int]] = {}
-        self.known: dict[str, tuple[int, bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}
+        self.held = 0
 
-    def ids(self, word: str) -> list[int]:
+    def _keep(self, word: str, ids: bytes) -> bytes:
+        if self.held > HELD_BYTES:
+            self.known.clear()
+            self.held = 0
+        self.held += ENTRY + len(word) + len(ids)
+        self.known[word] = ids
+        return ids
+
+    def word(self, word: str) -> bytes:
         found = []
         for piece in self.split(word):
-            ids = self.merged.get(piece)
+            ids = self.known.get(piece)
             if ids is None:
-                if len(self.merged) >= HELD_WORDS:
-                    self.merged.clear()
-                ids = self.merged[piece] = merge(piece.encode(), self.ranks, self.pairs)
-            found += ids
-        return found
-
-    def word(self, word: str) -> tuple[int, bytes, bytes]:
-        """The number of ids, their decimals joined by a space, and the bytes they decode to."""
-        ids = self.ids(word)
-        if len(self.known) >= HELD_WORDS:
-            self.known.clear()
-        found = self.known[word] = len(ids), " ".join(map(str, ids)).encode(), b"".join([self.pieces[i] for i in ids])
-        return found
-
-    def text(self, text: str | None) -> list[tuple[int, bytes, bytes]]:
+                ids = self._keep(piece, array(self.code, merge(piece.encode(), self.ranks)).tobytes())
+            found.append(ids)
+        if len(found) == 1:
+            return found[0] if word in self.known else self._keep(word, found[0])
+        return self._keep(word, b"".join(found))
+
+    def text(self, text: str | None) -> list[int]:
+        """The ids of a text."""
         if not text:
             return []
         cut = words(text)
         found = list(map(self.known.get, cut))
-        return [f or self.word(w) for f, w in zip(found, cut)] if None in found else found
+        if None in found:
+            found = [self.word(w) if f is None else f for f, w in zip(found, cut)]
+        return array(self.code, b"".join(found)).tolist()
 
 
 def encode(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -170,7 +169,7 @@ def encode(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers
     def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(lines, pattern)
         for texts in batches:
-            yield pd.Series([[i for w in words(t) for i in encoder.ids(w)] if t else [] for t in texts])
+            yield pd.Series([encoder.text(t) for t in texts])
 
     return docs.withColumn("ids", of_texts("text"))
 
@@ -203,10 +202,11 @@ def round_trip(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokeni
         encoder = Encoder(lines, pattern)
         for texts in batches:
             rows = []
+            decimals, pieces = encoder.decimals, encoder.pieces
             for text in texts:
-                found = encoder.text(text)
-                rows.append((sum([f[0] for f in found]), hashlib.sha256(b" ".join([f[1] for f in found])).hexdigest(),
-                             hashlib.sha256(b"".join([f[2] for f in found])).hexdigest()))
+                ids = encoder.text(text)
+                rows.append((len(ids), hashlib.sha256(b" ".join([decimals[i] for i in ids])).hexdigest(),
+                             hashlib.sha256(b"".join([pieces[i] for i in ids])).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", digests("text").alias("d")).select("doc_id", "d.*")
