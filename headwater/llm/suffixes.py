@@ -18,7 +18,7 @@ from headwater.session import materialise
 LENGTH = 400  # bytes of a repeated string
 WORDS = 51  # words of a repeated passage: over 50
 CODE = 8  # bytes that stand for a word
-HELD_WORDS = 500_000
+HELD_WORDS = 150_000  # words that a task keeps hashed; more only cost time
 WORD = re.compile(r"\S+")
 GRAM = 64  # bytes hashed to tell where a repeat may lie
 BUFFER = 1 << 19  # bytes that are sorted at once
@@ -262,8 +262,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, coder=lambda: _bytes)
     marks = marks.filter("kinds > 1 or any").withColumn("parts", F.ceil(F.col("bytes") / PART))
     unsettled = kinds.join(marks.select("mark", "parts"), "mark").select(
         "doc_id", "key", F.struct("mark", "seal", "begin", "end", "parts").alias("run"))
-    # A document's own runs: bounded by its length.
-    wanted = unsettled.groupBy("doc_id", "key").agg(F.collect_list("run").alias("runs"))
+    # A document's own runs: bounded by its length, however many equal rows there are.
+    wanted = unsettled.distinct().groupBy("doc_id", "key").agg(F.collect_list("run").alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded = coder()
@@ -324,16 +324,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, coder=lambda: _bytes)
         kinds.filter("n > 1").select("mark", "seal"), ["mark", "seal"], "left_anti"))
     found = runs.join(verdicts, ["mark", "seal"]).select(
         "doc_id", "key", F.struct((F.col("begin") + F.col("a")).alias("a"), (F.col("begin") + F.col("b")).alias("b")).alias("span"))
-    # Bounded by the document's length; a run is one span in most cases.
-    return found.groupBy("doc_id", "key").agg(F.collect_list("span").alias("spans"))
+    # Equal rows have equal spans: each counts once, so the list is bounded by the text's length.
+    return found.distinct().groupBy("doc_id", "key").agg(F.collect_list("span").alias("spans"))
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH, coder=lambda: _bytes) -> DataFrame:
-    """`docs` with _spans: the spans of window starts that recur, NULL if none does."""
-    found = materialise(repeated_spans(docs, length, coder), "spans").select(
-        F.col("key").alias("_key"), F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans"))
-    same = (F.xxhash64("doc_id", "text") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
-    return docs.join(found, same, "left").drop("_key", "_doc")
+    """(row, spans): each row of `docs` as a struct, and its spans of window starts that recur, NULL if none does."""
+    found = materialise(repeated_spans(docs, length, coder), "spans").select("key", "doc_id", "spans").alias("found")
+    # The row goes as one value, so no name of a column can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row")).alias("rows")
+    same = (F.xxhash64("row.doc_id", "row.text") == F.col("found.key")) & F.col("row.doc_id").eqNullSafe(F.col("found.doc_id"))
+    return rows.join(found, same, "left").select("row", F.col("found.spans").alias("spans"))
 
 
 def covered(spans, length: int) -> list[tuple[int, int]]:
@@ -341,12 +342,13 @@ def covered(spans, length: int) -> list[tuple[int, int]]:
 
 
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of `docs`.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats) for every row of `docs`.
 
     Every byte goes that lies in a string of `length` bytes which also starts elsewhere,
     in the same text or another, judged on the texts as they came. NULL texts count as
     empty, shorter texts lose nothing, of equal rows each is the other's repeat. Matches
-    never cross texts. An empty table gives an empty one.
+    never cross texts. repeats tells whether the row lost any. An empty table gives an
+    empty one.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -360,13 +362,21 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     kept.update(data[at:begin])
                     at = end
                 kept.update(data[at:])
-                rows.append((len(data), sum(e - b for b, e in gone), len(gone), kept.hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+                rows.append((len(data), sum(e - b for b, e in gone), len(gone), kept.hexdigest(), bool(gone)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))],
-                                             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                                             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats"])
 
-    return with_spans(docs.select("doc_id", "text"), length).mapInArrow(
-        digest, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs.select("doc_id", "text"), length).select("row.doc_id", "row.text", "spans").mapInArrow(
+        digest, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats boolean")
+
+
+def _shortened(docs: DataFrame, found: DataFrame, cut) -> DataFrame:
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(cut("row.text", "spans"))
+    shorter = found.select("row", text.alias("text"))
+    # Columns by their place: a name may hold a dot.
+    kept = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return shorter.select(*[kept.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -394,9 +404,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kept.append((b"".join(parts) + data[at:]).decode())
         return pd.Series(kept, dtype=object)
 
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans"))
-    shorter = with_spans(docs, length).withColumn("text", text)
-    return shorter.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    return _shortened(docs, with_spans(docs, length), cut)
 
 
 def without_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -425,6 +433,4 @@ def without_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
             kept.append("".join(parts) + text[at:])
         return pd.Series(kept, dtype=object)
 
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans"))
-    shorter = with_spans(docs, words * CODE, word_coder).withColumn("text", text)
-    return shorter.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    return _shortened(docs, with_spans(docs, words * CODE, word_coder), cut)
