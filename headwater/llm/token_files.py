@@ -27,8 +27,10 @@ END = 2  # the id appended to each document
 MAGIC = b"HWTOKENS"
 HEADER = "<8sQQQqBxxxxxxx"  # magic, documents, tokens, rows without doc_id, least doc_id, bytes per id
 SAMPLE = 256  # ones between two positions that the select structure keeps
-HELD = 1_000_000  # words and pieces that a worker keeps encoded; more only cost time
+HELD_BYTES = 1 << 26  # of words and pieces that a worker keeps encoded, about; more only cost time
+ENTRY = 180  # bytes that a kept word takes beside its letters and ids
 STEP_BYTES = 1 << 24  # of text encoded at once
+READ_AT_ONCE = 8 * SAMPLE  # documents whose boundaries are decoded together
 FILE_TOKENS = 1 << 24  # of a file, at least, before the next begins
 
 
@@ -74,6 +76,16 @@ class EliasFano:
         at = begin + int(np.flatnonzero(bits)[i % SAMPLE])
         return (at - i) << self.low_bits | int(self._low(i, i + 1)[0])
 
+    def bounds(self, first: int, last: int) -> np.ndarray:
+        """Numbers first to last - 1: selected from the samples around them, a block of bits at once."""
+        if first >= last:
+            return np.empty(0, np.int64)
+        begin, after = int(self.samples[first // SAMPLE]), -(-last // SAMPLE)
+        end = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[begin // 8 : -(-end // 8)], bitorder="little")[begin % 8 :]
+        at = begin + np.flatnonzero(bits)[first % SAMPLE : first % SAMPLE + last - first]
+        return (at - np.arange(first, last)) << self.low_bits | self._low(first, last)
+
     def bytes(self) -> bytes:
         parts = [p.tobytes() for p in (self.low, self.high, self.samples)]
         return struct.pack("<QQQQQ", self.count, self.low_bits, *map(len, parts)) + b"".join(parts)
@@ -124,12 +136,14 @@ class Tokens:
         self.code = "H" if self.width == 2 else "I"
         self.split = Splitter(public_tokenizers.PATTERN)
         self.known: dict[str, bytes] = {}  # words, and the pieces that they split into
+        self.held = 0
 
     def encode(self, wanted: list[str]) -> list[bytes]:
         """The ids of each word, as little-endian numbers."""
         known = self.known
-        if len(known) > HELD:
+        if self.held > HELD_BYTES:
             known.clear()
+            self.held = 0
         found = list(map(known.get, wanted))
         if None not in found:
             return found
@@ -141,6 +155,7 @@ class Tokens:
         for word, pieces in zip(new, split):
             if len(pieces) > 1:
                 known[word] = b"".join([known[p] for p in pieces])
+        self.held += sum(ENTRY + len(w) + len(known[w]) for w in {*new, *missing})
         return list(map(known.__getitem__, wanted))
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, bytes]:
@@ -197,7 +212,7 @@ def write(docs: DataFrame, folder: str, model: str = MODEL, file_tokens: int = F
     """Write `docs` as token files below `folder`; returns their list.
 
     (part, number, file, documents, tokens): files in the order of part and number hold
-    the documents in ascending doc_id order, NULLs first and equal ones by their text. A
+    the documents in ascending doc_id order, NULLs first and equal ones by a hash of their text. A
     file gets its name once it is whole, and only listed files count, so repeated or
     lost tasks leave no half of anything. `folder` must be shared by all executors.
     """
@@ -235,7 +250,9 @@ def write(docs: DataFrame, folder: str, model: str = MODEL, file_tokens: int = F
             yield flush()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # By a hash of the text too, so that one doc_id, or none, may fill several ranges.
+    seal = F.xxhash64("text")
+    ordered = ordered.repartitionByRange("doc_id", seal).sortWithinPartitions("doc_id", seal, "text")
     return materialise(ordered.mapInArrow(put, "part long, number long, file string, documents long, tokens long"), "token-files")
 
 
@@ -254,12 +271,17 @@ def read(files: DataFrame, folder: str) -> DataFrame:
             for name, before in zip(batch["file"], batch["before"]):
                 with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     doc_ids, ids, starts = unpack(stream.read())
-                edges = starts.all()
-                crcs = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-                yield pd.DataFrame({"doc_id": pd.Series(doc_ids, dtype="Int64"), "start": edges[:-1] + before,
-                                    "n_tokens": np.diff(edges), "ids_crc32": crcs})
-
-    spread = placed.select("file", "before").repartition("file")
+                # The boundaries of some documents at a time: no table of all offsets is made.
+                for at in range(0, len(doc_ids), READ_AT_ONCE):
+                    some = doc_ids[at : at + READ_AT_ONCE]
+                    edges = starts.bounds(at, at + len(some) + 1)
+                    crcs = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+                    yield pd.DataFrame({"doc_id": pd.Series(some, dtype="Int64"), "start": edges[:-1] + before,
+                                        "n_tokens": np.diff(edges), "ids_crc32": crcs})
+
+    # A file a task: files are dealt out by their place in the list.
+    at = F.row_number().over(Window.orderBy("part", "number"))
+    spread = placed.withColumn("at", at).repartitionByRange(max(1, min(10_000, files.count())), "at").select("file", "before")
     return spread.mapInPandas(take, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

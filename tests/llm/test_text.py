@@ -61,7 +61,8 @@ def test_token_files_round_trip(spark):
     tokenizer.encode_special_tokens = True
     rows = token_files.round_trip(docs, file_tokens=500).orderBy("start").collect()
     at, expected = 0, []
-    for doc, text in sorted(zip(ids, ODD), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    seal = {r.text: r.seal for r in docs.select("text", F.xxhash64("text").alias("seal")).collect()}
+    for doc, text in sorted(zip(ids, ODD), key=lambda r: (r[0] is not None, r[0] or 0, seal[r[1]])):
         found = tokenizer.encode(text or "", add_special_tokens=False).ids + [token_files.END]
         expected.append((doc, at, len(found), zlib.crc32(np.array(found, "<u4").tobytes())))
         at += len(found)
@@ -74,6 +75,8 @@ def test_elias_fano(values):
     coded, _ = token_files.EliasFano.read(token_files.EliasFano.of(np.array(values, np.int64)).bytes(), 0)
     assert coded.all().tolist() == values
     assert [coded.select(i) for i in range(0, len(values), 11)] == values[::11]
+    for first, last in ((0, len(values)), (3, 3), (1, 9), (250, 520), (2047, 2050), (len(values) - 3, len(values))):
+        assert coded.bounds(min(max(first, 0), len(values)), min(last, len(values))).tolist() == values[max(first, 0):last]
     if len(values) > 100:
         assert 8 * len(coded.bytes()) < len(values) * (3.2 + np.log2(values[-1] / len(values))) + 400
 
@@ -106,7 +109,8 @@ def test_suffixes_equal_brute_force(spark, monkeypatch):
              for _ in range(120)] + [*ODD, passage * 2, "of " * 900, "a" * 399, "a" * 400, "a" * 401]
     texts.append(texts[0])
     docs = table(spark, texts).withColumn("mark", F.lit("clash")).repartition(5)
-    rows = {r.doc_id: tuple(r)[1:] for r in suffixes.removed(docs).collect()}
+    rows = {r.doc_id: tuple(r)[1:5] for r in suffixes.removed(docs).collect()}
+    assert {r.doc_id: r.repeats for r in suffixes.removed(docs).collect()} == {i: r[1] > 0 for i, r in rows.items()}
     assert [rows[i] for i in range(len(texts))] == list(brute_repeats(texts, 400))
     kept = {r.doc_id: r for r in suffixes.without_repeats(docs).collect()}
     assert len(kept) == len(texts) and kept[0].text == "" and kept[0].n_chars == 0 and kept[len(texts) - 2].text == ""
