@@ -1,9 +1,9 @@
-"""Passages of test items in training texts: rare n-gram seeds, then local alignment."""
+"""Passages of test items in training texts: rare seeds, then local alignment."""
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,17 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headwater.llm.words import classes, cut, steps
 from headwater.session import materialise
 
-SEED = 4  # words of a seed
-RARE_SHARE = 0.001  # of the documents: a seed in fewer of them is rare
-LEAST_SEEDS = 12  # the rarest of each item that the corpus holds serve, however common,
-COMMONER = 4  # and so do seeds up to so many times commoner: those of an item copied often
 SIMILARITY = 0.6  # of the alignment score to that of an exact copy
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
-ITEMS = 5_000  # test items in a block; each block reads the texts once
-HELD_WORDS = 500_000
+ITEMS = 20_000  # test items in a block; each block reads the texts twice
+SALTS = 16  # places that documents of one passage are dealt out to
 EDGE = re.compile(r"^\W+|\W+$")
+SPACES = classes(b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f")
 
 
 def plain(word: str) -> str:
@@ -29,80 +27,75 @@ def plain(word: str) -> str:
 
 
 class Block:
-    """Test items as numbers: word ids, and the n-grams that seed them."""
+    """Test items as numbers of their words."""
 
-    def __init__(self, items: list[tuple[int, str | None]], seed: int = SEED):
+    def __init__(self, items: list[tuple[object, str | None]]):
         self.vocabulary: dict[str, int] = {}
-        self.items: dict[int, np.ndarray] = {}
-        grams: dict[tuple[int, ...], int] = {}
-        self.of_item: dict[int, list[int]] = {}
+        self.names, self.words = [], []
         for item, text in items:
             words = [w for w in map(plain, (text or "").split()) if w]
-            if not words:
-                continue
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            self.items[item] = np.array(ids)
-            n = min(seed, len(ids))
-            self.of_item[item] = sorted({grams.setdefault(tuple(ids[i : i + n]), len(grams)) for i in range(len(ids) - n + 1)})
-        self.longest = max(map(len, self.items.values()), default=0)
-        self.base = len(self.vocabulary) + 1
-        # For the grams of each length, sorted keys word by word: the place of what comes
-        # before among its kind, and the next word. Exact, and small for any vocabulary.
-        self.keys = {}
-        for n in sorted({len(g) for g in grams}):
-            same = [(g, number) for g, number in grams.items() if len(g) == n]
-            words = np.array([g for g, _ in same], np.int64)
-            levels, place = [], np.zeros(len(same), np.int64)
-            for k in range(n):
-                level, place = np.unique(place * self.base + words[:, k], return_inverse=True)
-                levels.append(level)
-            numbers = np.empty(len(same), np.int64)
-            numbers[place] = [number for _, number in same]
-            self.keys[n] = levels, numbers
-
-    def seeds(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, gram) of every gram in a text of word ids, 0 for other words."""
-        at, found = [], []
-        for n, (levels, numbers) in self.keys.items():
-            if len(ids) < n:
-                continue
-            known = ids > 0
-            start = known[: len(ids) - n + 1].copy()
-            for k in range(1, n):
-                start &= known[k : len(ids) - n + 1 + k]
-            start = np.flatnonzero(start)
-            place = np.zeros(len(start), np.int64)
-            for k, level in enumerate(levels):
-                key = place * self.base + ids[start + k]
-                slot = np.minimum(np.searchsorted(level, key), len(level) - 1)
-                hit = level[slot] == key
-                start, place = start[hit], slot[hit]
-            at.append(start)
-            found.append(numbers[place])
-        if not at:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        at, found = np.concatenate(at), np.concatenate(found)
-        order = np.argsort(at, kind="stable")
-        return at[order], found[order]
+            if words:
+                self.names.append(item)
+                self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int32))
+
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of each word of the texts, 0 for words of no item, its row, its place in the row)."""
+        words, word, row, _ = cut(column, SPACES)
+        parts = [w.split() for w in words]  # at the white space that is no single byte
+        odd = np.array([len(p) != 1 for p in parts], bool)
+        numbers = np.array([self.vocabulary.get(plain(p[0]), 0) if len(p) == 1 else 0 for p in parts], np.int32)
+        ids = numbers[word] if len(words) else np.empty(0, np.int32)
+        if odd.any():
+            sizes = np.array([len(p) for p in parts])[word]
+            flat = np.concatenate([[self.vocabulary.get(plain(x), 0) for x in parts[w]] if odd[w] else [n] for w, n in zip(word.tolist(), ids.tolist())])
+            ids, row = flat.astype(np.int32), np.repeat(row, sizes)
+        first = np.searchsorted(row, np.arange(len(column)))
+        return ids, row, np.arange(len(ids)) - first[row] if len(ids) else row
+
+    def seeds(self, counts: np.ndarray, similarity: float) -> dict[int, list[int]]:
+        """The items that each word leads to: for every item the rarest of its words, by `counts`.
+
+        A passage that scores `similarity` has at least that share of the item's words. So if all but
+        that many less one are seeds, it holds one at least, whatever its edits.
+        """
+        found: dict[int, list[int]] = {}
+        for i, words in enumerate(self.words):
+            spared = max(0, math.ceil(similarity * len(words) - 1e-9) - 1)
+            order = np.lexsort((words, counts[words]))
+            for word in np.unique(words[order[: len(words) - spared]]).tolist():
+                found.setdefault(word, []).append(i)
+        return found
+
+
+def reach(size: int, similarity: float) -> int:
+    """Words of text that a passage scoring `similarity` can span at most."""
+    return size + int((1 - similarity) * size / -GAP + 1e-9)
+
+
+def bound(hits: np.ndarray) -> float:
+    """No alignment in a text scores more than its best stretch does if every word of the item counts
+    as a match wherever it stands, and every other word as the cheapest edit."""
+    total = np.cumsum(np.where(hits, MATCH, max(MISMATCH, GAP)))
+    return float((total - np.minimum.accumulate(np.concatenate(([0.0], total[:-1])))).max())
 
 
 def align(text: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
     """Smith-Waterman over words: the best score and the passage [begin, end) that has it."""
-    steps = np.arange(len(text) + 1)
+    steps_ = np.arange(len(text) + 1)
     above = np.zeros(len(text) + 1)
-    above_from = steps.copy()
+    above_from = steps_.copy()
     best = 0.0, 0, 0
     for word in item:
         gain = np.where(text == word, MATCH, MISMATCH)
-        here, origin = np.zeros(len(text) + 1), steps.copy()
+        here, origin = np.zeros(len(text) + 1), steps_.copy()
         for value, start in ((above[:-1] + gain, above_from[:-1]), (above[1:] + GAP, above_from[1:])):
             better = value > here[1:]
             here[1:][better], origin[1:][better] = value[better], start[better]
         # Gaps along the text: the running maximum of what a gap costs to reach here.
-        reach = here - GAP * steps
-        top = np.maximum.accumulate(reach)
-        source = np.maximum.accumulate(np.where(reach >= top, steps, 0))
-        by_gap = top + GAP * steps
+        gone = here - GAP * steps_
+        top = np.maximum.accumulate(gone)
+        source = np.maximum.accumulate(np.where(gone >= top, steps_, 0))
+        by_gap = top + GAP * steps_
         better = by_gap > here
         here[better], origin[better] = by_gap[better], origin[source[better]]
         if here.max() > best[0]:
@@ -116,88 +109,110 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     """(doc_id, item_id, score, first_word, n_words): test items that texts contain.
 
     score is the best local alignment against an exact copy's, `similarity` or more;
-    first_word and n_words give the passage. Words are compared in lower case without
-    punctuation at their ends. Items come in blocks of fixed size, each against all
-    texts. A text's regions around seeds are kept as word numbers; seeds are counted
-    over all documents, and those in at most RARE_SHARE of them, or rare among the seeds
-    of their item, lead to an alignment. NULL or empty texts and items have
+    first_word and n_words give the passage, the earlier of two that score alike. Words are
+    compared in lower case without punctuation at their ends. Nothing is lost on the way to the alignment: seeds are chosen so
+    that every such passage holds one (`Block.seeds`), however common all its words are
+    and however many documents repeat it; equal passages are aligned once. NULL or empty texts and items have
     none; of repeated items each counts; repeated rows of one doc_id make one row.
     """
     rows = benchmark.select("item_id", "text").filter("item_id is not null").distinct()
-    total = docs.count()
     blocks = -(-rows.count() // items_per_block)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    item_type = benchmark.schema["item_id"].dataType.simpleString()
+    id_type, item_type = (t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id")))
     found = docs.sparkSession.createDataFrame([], f"doc_id {id_type}, item_id {item_type}, score double, first_word long, n_words long")
     for number in range(blocks):
         chosen = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
-        found = found.unionByName(_block_leaks(docs, [tuple(r) for r in chosen.collect()], total, similarity, found.schema))
-    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "first_word", "n_words")).alias("m")).select("doc_id", "item_id", "m.*")
-
-
-def _block_leaks(docs: DataFrame, items, total: int, similarity: float, schema) -> DataFrame:
-    block = Block(sorted(items, key=str))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+        found = found.unionByName(_block_leaks(docs, chosen.toArrow(), similarity, found.schema))
+    best = F.max(F.struct("score", (-F.col("first_word")).alias("at"), "n_words")).alias("m")
+    best = found.groupBy("doc_id", "item_id").agg(best)
+    return best.select("doc_id", "item_id", "m.score", (-F.col("m.at")).alias("first_word"), "m.n_words")
+
+
+def _block_leaks(docs: DataFrame, chosen: pa.Table, similarity: float, schema) -> DataFrame:
+    block = Block(list(zip(chosen["item_id"].to_pylist(), chosen["text"].to_pylist())))
+    names = pa.array(block.names, chosen["item_id"].type)
+    id_type = schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(block.vocabulary) + 1, np.int64)
+        for batch in steps(batches, 1):
+            total += np.bincount(block.ids(batch.column(1))[0], minlength=len(total))
+        at = np.flatnonzero(total[1:]) + 1
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["word", "n"])
+
+    # One count per word of the block: bounded by the block's vocabulary.
+    counted = texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(len(block.vocabulary) + 1, np.int64)
+    for row in counted:
+        counts[row["word"]] = row["n"]
+    seeded = {w: np.array(items, np.int64) for w, items in block.seeds(counts, similarity).items()}
+    is_seed = np.zeros(len(counts), bool)
+    is_seed[list(seeded)] = True
+    spans = np.array([reach(len(w), similarity) for w in block.words] or [0])
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        for batch in batches:
-            row, at, ids_of, grams_of = [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                words = (text.as_py() or "").split()
-                ids = list(map(known.get, words))
-                if None in ids:
-                    for k, (n, word) in enumerate(zip(ids, words)):
-                        if n is None:
-                            if len(known) >= HELD_WORDS:
-                                known.clear()
-                            ids[k] = known[word] = block.vocabulary.get(plain(word), 0)
-                ids = np.array(ids, np.int64)
-                where, grams = block.seeds(ids)
-                if not len(where):
-                    continue
-                cuts = np.flatnonzero(np.diff(where) > 2 * block.longest) + 1
-                for some, named in zip(np.split(where, cuts), np.split(grams, cuts)):
-                    begin, end = max(0, some[0] - 2 * block.longest), min(len(ids), some[-1] + 2 * block.longest)
-                    row.append(i)
-                    at.append(begin)
-                    ids_of.append(ids[begin:end])
-                    grams_of.append(np.unique(named))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(at, pa.int64()),
-                 pa.array(ids_of, pa.list_(pa.int64())), pa.array(grams_of, pa.list_(pa.int64()))], ["doc_id", "at", "ids", "grams"])
-
-    regions = materialise(docs.select("doc_id", "text").mapInArrow(
-        seek, f"doc_id {id_type}, at long, ids array<long>, grams array<long>"), "regions")
-    # One count per gram of the block: bounded by the block's size.
-    counts = regions.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    counts = {r["gram"]: r["n"] for r in counts.collect()}
-    seeded = defaultdict(list)
-    for item, grams in block.of_item.items():
-        present = sorted(counts[g] for g in grams if g in counts)
-        limit = max(RARE_SHARE * total, COMMONER * present[min(LEAST_SEEDS, len(present)) - 1]) if present else 0
-        for gram in grams:
-            if counts.get(gram, limit + 1) <= limit:
-                seeded[gram].append(item)
-    item_arrow = pa.int32() if schema["item_id"].dataType.simpleString() == "int" else pa.int64()
+        mark = np.zeros(len(counts), bool)
+        for batch in steps(batches, 1):
+            ids, row, place = block.ids(batch.column(1))
+            at = np.flatnonzero(is_seed[ids])
+            many = np.array([len(seeded[w]) for w in ids[at].tolist()], np.int64)
+            item = np.concatenate([seeded[w] for w in ids[at].tolist()]) if len(at) else at
+            at = np.repeat(at, many)
+            order = np.lexsort((at, item, row[at]))
+            at, item = at[order], item[order]
+            edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            begin = np.maximum(at - spans[item] + 1, edge[row[at]])
+            end = np.minimum(at + spans[item], edge[row[at] + 1])
+            # Stretches of one item that overlap are one.
+            new = np.ones(len(at), bool)
+            new[1:] = (item[1:] != item[:-1]) | (row[at[1:]] != row[at[:-1]]) | (begin[1:] >= end[:-1])
+            heads = np.flatnonzero(new)
+            out = []
+            for k, last in zip(heads.tolist(), [*(heads[1:] - 1).tolist(), len(at) - 1]):
+                a, b, i = int(begin[k]), int(end[last]), int(item[k])
+                words = block.words[i]
+                mark[words] = True
+                hits = mark[ids[a:b]]
+                mark[words] = False
+                if np.count_nonzero(hits) >= similarity * len(words) - 1e-9 and bound(hits) >= similarity * MATCH * len(words) - 1e-9:
+                    # Words of other items are any words here: more passages are equal.
+                    out.append((int(row[a]), i, int(place[a]), np.where(hits, ids[a:b], 0)))
+            if out:
+                rows, items, places, passages = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows)), pa.array(items, pa.int32()), pa.array(places, pa.int64()),
+                     pa.array(passages, pa.list_(pa.int32()))], ["doc_id", "item", "at", "ids"])
+
+    regions = materialise(texts.mapInArrow(seek, f"doc_id {id_type}, item int, at long, ids array<int>"), "regions")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, out = [], []
-            for i, (at, ids, grams) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
-                ids = np.array(ids)
-                for item in sorted({item for g in grams for item in seeded.get(g, ())}):
-                    words = block.items[item]
-                    value, begin, end = align(ids, words)
-                    if value >= similarity * MATCH * len(words):
-                        row.append(i)
-                        out.append((item, value / (MATCH * len(words)), at + begin, end - begin))
-            kinds = (item_arrow, pa.float64(), pa.int64(), pa.int64())
+            offsets, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+            for k, item in enumerate(batch.column(0).to_pylist()):
+                words = block.words[item]
+                value, begin, end = align(flat[offsets[k] : offsets[k + 1]], words)
+                if value >= similarity * MATCH * len(words) - 1e-9:
+                    row.append(k)
+                    out.append((value / (MATCH * len(words)), begin, end - begin))
+            kinds = (pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array([o[k] for o in out], t) for k, t in enumerate(kinds))],
-                ["doc_id", "item_id", "score", "first_word", "n_words"])
+                [*(c.take(pa.array(row, pa.int64())) for c in batch.columns), *(pa.array([o[i] for o in out], t) for i, t in enumerate(kinds))],
+                ["item", "ids", "score", "begin", "n_words"])
+
+    distinct = regions.groupBy("item", "ids").count().select("item", "ids")
+    # Spread anew: what aligns long is not where it was counted.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    passages = distinct.repartition(tasks, "item", "ids").mapInArrow(score, "item int, ids array<int>, score double, begin long, n_words long")
+    passages = materialise(passages, "passages").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    found = regions.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS))).join(passages, ["item", "ids", "salt"])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), names.take(batch.column(1)), *batch.columns[2:]], schema.names)
 
-    return regions.mapInArrow(score, schema)
+    return found.select("doc_id", "item", "score", (F.col("at") + F.col("begin")).alias("first_word"), "n_words").mapInArrow(name, schema)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -206,5 +221,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     """
     key = F.sha2(F.concat(F.xxhash64("doc_id").cast("string"), F.lit(" "), F.col("text")), 256)
     found = leaks(docs.select(key.alias("doc_id"), "text"), benchmark, similarity)
-    found = found.select(F.col("doc_id").alias("_key")).distinct()
-    return docs.join(found, key == F.col("_key"), "left_anti").select(docs.columns)
+    # The row goes as one value, so no name of a column can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
+    return rows.join(found.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select("row.*")
