@@ -14,17 +14,20 @@ def fold(doc_id, folds: int):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int = TRAINING_ROWS) -> DataFrame:
-    """(doc_id, text, label) of labelled rows outside the held-out fold, about `rows` of them.
+    """(doc_id, text, label) of labelled documents outside the held-out fold, about `rows` of them.
 
-    Rows are taken by a hash of their doc_id at one rate for both labels, so the sample
-    keeps their shares. NULL labels and repeated label rows are left out.
+    doc_ids are taken by a hash at one rate for both labels, so the sample keeps their
+    shares. Of rows that repeat a doc_id the text of the least hash counts, however many
+    they are; of labels that do, the larger. NULL labels are left out.
     """
     known = labels.filter(F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != held))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     total = known.count()
     share = min(1.0, rows / max(1, total))
     known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    found = docs.select("doc_id", "text").join(known, "doc_id")
+    least = F.min(F.struct(F.xxhash64("text").alias("seal"), "text")).alias("least")
+    return found.groupBy("doc_id", "label").agg(least).select("doc_id", "least.text", "label")
 
 
 class Logistic:
@@ -58,4 +61,5 @@ class Logistic:
         """Probabilities of label 1; the prior rate where nothing could be learned."""
         if not self.ready or not len(features):
             return np.full(len(features), self.rate)
-        return self._squash(self._design(features) @ self.weights)
+        # Row by row, so that a score does not depend on which rows come together.
+        return self._squash((self._design(features) * self.weights).sum(axis=1))

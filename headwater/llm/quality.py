@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,14 +18,24 @@ THRESHOLD = 0.7
 LEVEL = 3
 BLOCK = 2048  # bytes compressed at a time: the whole text, block by block
 DICTIONARY = 1 << 17  # bytes of each dictionary
-EXCERPT = 2048  # characters of a training text that a dictionary may take
-BUILD_ROWS = 2_000  # training texts of each label that the dictionaries are built from
+EXCERPT = 1024  # bytes of the excerpts that a dictionary is made of, from all over the training texts
 FEATURES = 7
 
 
-def dictionary(texts: list[str]) -> bytes:
+def dictionary(excerpts: list[bytes]) -> bytes:
     """Excerpts joined up to DICTIONARY bytes, as raw content: what a kind of text holds."""
-    return b"\n".join(t.encode() for t in texts)[-DICTIONARY:] or b"\n" * 8
+    return b"\n".join(excerpts)[-DICTIONARY:] or b"\n" * 8
+
+
+def excerpts(rows: DataFrame) -> DataFrame:
+    """(label, seal, excerpt): whole texts cut into EXCERPT bytes, equal ones once, with their hash."""
+    @F.pandas_udf("array<binary>")
+    def cut(texts: pd.Series) -> pd.Series:
+        whole = [(t or "").encode() for t in texts]
+        return pd.Series([[d[i : i + EXCERPT] for i in range(0, len(d), EXCERPT)] for d in whole], dtype=object)
+
+    found = rows.select("label", F.explode(cut("text")).alias("excerpt"))
+    return found.select("label", F.xxhash64("excerpt").alias("seal"), "excerpt").dropDuplicates(["label", "seal"])
 
 
 class Sizer:
@@ -59,17 +68,18 @@ class Sizer:
 def scores(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of `docs`, by its text alone.
 
-    The dictionaries and the calibration learn from about `rows` labelled rows outside
-    the held-out fold, each row for one of the two. NULL and empty texts score by the
+    The dictionaries and the calibration learn from about `rows` labelled documents outside
+    the held-out fold, each for one of the two, from whole texts and in any order of the rows alike. NULL and empty texts score by the
     features of nothing; without labels of both kinds every score is the prior rate.
     Repeated rows score alike; other columns are ignored; an empty table gives an empty one.
     """
     sample = materialise(training_rows(docs, labels, "quality", FOLDS, HELD, rows), "quality")
     builds = F.pmod(F.xxhash64("doc_id", F.lit("dictionary")), F.lit(10))
-    texts = {}
+    # The excerpts of the least hashes: from all parts of all texts, in an order of their own.
+    pieces, texts = excerpts(sample.filter(builds < 4)), {}
     for label in (0, 1):
-        some = sample.filter((F.col("label") == label) & (builds < 4)).select(F.substring("text", 1, EXCERPT).alias("text"))
-        texts[label] = dictionary(sorted((r["text"] or "" for r in some.limit(BUILD_ROWS).collect()), key=lambda t: zlib.crc32(t.encode())))
+        some = pieces.filter(F.col("label") == label).orderBy("seal", "excerpt").limit(DICTIONARY // EXCERPT)
+        texts[label] = dictionary([bytes(r["excerpt"]) for r in some.collect()])
 
     @F.pandas_udf("array<double>")
     def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -77,7 +87,8 @@ def scores(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Dat
         for column in batches:
             yield pd.Series([[float(v) for v in sizer.features(t)] for t in column], dtype=object)
 
-    known = sample.filter(builds >= 4).select("label", of_texts("text").alias("features")).collect()  # numbers only
+    known = sample.filter(builds >= 4).select("doc_id", "label", of_texts("text").alias("features")).collect()  # numbers only
+    known = sorted(known, key=lambda r: str(r["doc_id"]))  # sums do not depend on which task answers first
     model = Logistic(np.array([r["features"] for r in known]).reshape(-1, FEATURES), np.array([r["label"] for r in known], float))
 
     @F.pandas_udf("double")

@@ -202,7 +202,8 @@ def learned(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> tu
     """Terms, and weights of the features, from labelled rows outside the held-out fold."""
     sample = materialise(training_rows(docs, labels, "toxic", FOLDS, HELD, rows), "toxic")
     terms = lexicon(sample)
-    known = featured(sample, terms, "label").collect()  # a few numbers for each sampled row
+    known = featured(sample, terms, "doc_id", "label").collect()  # a few numbers for each sampled document
+    known = sorted(known, key=lambda r: str(r["doc_id"]))  # sums do not depend on which task answers first
     return terms, Logistic(np.array([r["features"] for r in known]).reshape(-1, FEATURES), np.array([r["label"] for r in known], float))
 
 
