@@ -150,6 +150,9 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS)
     first = prints.groupBy("fp").agg(key)
     groups = materialise(linked(prints, distance, blocks), "linked")
     first = first.join(groups, "fp", "left").select(F.coalesce("component", "fp").alias("component"), "least.*")
-    chosen = first.groupBy("component").agg(key).select(F.col("least.doc_id").alias("_doc"), F.col("least.seal").alias("_seal"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (seal == F.col("_seal"))
-    return docs.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    chosen = first.groupBy("component").agg(key).select("least.doc_id", "least.seal").alias("chosen")
+    # The row goes as one value, so no name of a column can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), seal.alias("seal")).alias("rows")
+    same = F.col("row.doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col("rows.seal") == F.col("chosen.seal"))
+    kept = rows.join(chosen, same, "left_semi").withColumn("doc", F.col("row.doc_id")).dropDuplicates(["doc", "seal"])
+    return kept.select("row.*")

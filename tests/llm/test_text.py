@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from headwater.llm.learning import training_rows
 from headwater.llm import bpe, decontamination, html, quality, ring, simhash, suffixes, token_files, toxicity
 
 ODD = [None, "", " ", "a", "  two  spaces \n ", "it's DON'T 12３ é🙂  x", "\n\n", "word " * 700, "x" * 3000, "same text here", "same text here"]
@@ -237,6 +238,39 @@ def test_automaton_finds_one_edit():
     assert machine.match("idiotic")[0] == "idio" and machine.match("bad")[2] == 0
 
 
+def test_training_rows_are_bounded_by_documents(spark):
+    """A third of all rows under one doc_id, and NULLs: one text each, whatever the order of the rows."""
+    texts, labels = labelled(spark)
+    rows = table(spark, texts + [f"{i} {texts[0]}" for i in range(3000)], [*range(len(texts)), *[1] * 3000])
+    for bound in (100, 20_000):
+        one = training_rows(rows, labels, "toxic", 5, 0, bound).collect()
+        two = training_rows(rows.repartition(7).orderBy("text"), labels, "toxic", 5, 0, bound).collect()
+        assert sorted(one) == sorted(two) and len(one) == len({r.doc_id for r in one}) <= 240
+
+
+def test_quality_learns_from_whole_texts_in_any_order(spark):
+    """Good and bad texts differ in their last words alone."""
+    start = " ".join(prose(41, 60))
+    good, bad = prose(42, 150, length=900), [" ".join(w + "!!" for w in t.upper().split()) for t in prose(43, 150, length=900)]
+    labels = spark.createDataFrame([(i, int(i < 150), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    docs = table(spark, [f"{start} {t}" for t in good + bad])
+    one = {r.doc_id: r.score for r in quality.scores(docs, labels).collect()}
+    two = {r.doc_id: r.score for r in quality.scores(docs.repartition(9).orderBy(F.desc("text")), labels.repartition(3)).collect()}
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([(one[i] >= 0.7) == (i < 150) for i in held]) > 0.95
+    assert one == two
+
+
+def test_clashing_names_in_filtering_stages(spark):
+    item = prose(9, 1, length=30)[0]
+    texts = [f"a b {item}", *prose(51, 3), prose(51, 3)[0]]
+    names = ("_doc", "_seal", "_key", "_spans", "row", "key", "seal", "doc", "spans", "component", "found")
+    docs = table(spark, texts).select("*", *[F.lit(1).alias(n) for n in names])
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for kept in (simhash.one_of_each(docs), suffixes.without_passages(docs), suffixes.without_repeats(docs), decontamination.without_leaks(docs, benchmark)):
+        assert kept.columns == docs.columns and 3 <= len(kept.collect()) <= 5
+
+
 def test_learned_terms_match_misspelled(spark):
     drawn = prose(16, 301)
     clean, bad = drawn[:200], drawn[200:300]
@@ -303,15 +337,63 @@ def test_alignment_finds_edited_copies(spark):
 
 def test_blocks_of_many_words(spark):
     many = [(i, " ".join(f"w{i * 30 + k}" for k in range(30))) for i in range(2_000)]
-    block = decontamination.Block(many)
-    assert block.base ** 4 >= 1 << 63
-    ids = np.array([0, *block.items[7][3:9], 0, *block.items[1999][:4], *block.items[0][-3:]])
-    at, grams = block.seeds(ids)
-    assert at.tolist() == [1, 2, 3, 8] and grams.tolist() == [block.of_item[7][k] for k in (3, 4, 5)] + [block.of_item[1999][0]]
     found = decontamination.leaks(table(spark, ["x y " + many[1234][1], "x"]), spark.createDataFrame(many, "item_id long, text string"))
     assert [(r.doc_id, r.item_id, r.score, r.first_word) for r in found.collect()] == [(0, 1234, 1.0, 2)]
 
 
+def edited(draw, words, share, vocabulary):
+    out = []
+    for word in words:
+        roll = draw.random()
+        if roll < share / 3:
+            out.append(draw.choice(vocabulary))
+        elif roll < share * 2 / 3:
+            out += [word, draw.choice(vocabulary)]
+        elif roll >= share:
+            out.append(word)
+    return out
+
+
+@pytest.mark.parametrize("common", [False, True])
+def test_leaks_equal_aligning_all_pairs(spark, common):
+    """Items of all lengths, four rates of edits, hot groups of copies, words that all texts hold."""
+    draw = random.Random(21 + common)
+    vocabulary = [f"w{i}" for i in range(12 if common else 300)]
+    items = [[draw.choice(vocabulary) for _ in range(n)] for n in (1, 2, 3, 5, 7, 7, 12, 12, 20, 20, 40, 40)]
+    texts = []
+    for i in range(160):
+        item = items[i % len(items)]
+        inside = edited(draw, item, (0.0, 0.1, 0.25, 0.4)[i % 4], vocabulary)
+        texts.append([draw.choice(vocabulary) for _ in range(draw.randint(0, 30))] + inside + [draw.choice(vocabulary) for _ in range(draw.randint(0, 30))])
+    texts += [texts[43]] * 80 + [items[-1][:9] + ["zz", "zz", "zz"] + items[-1][12:]] * 80
+    docs = table(spark, [" ".join(t).replace("w1 ", "W1,\u2003") for t in texts]).withColumn("item", F.lit(1)).withColumn("ids", F.lit(1)).repartition(4)
+    benchmark = spark.createDataFrame([(f"item {i}", " ".join(w)) for i, w in enumerate(items)], "item_id string, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in decontamination.leaks(docs, benchmark).collect()}
+    wanted = {}
+    for d, text in enumerate(texts):
+        numbers = np.array([int(w[1:]) if w != "zz" else -1 for w in text])
+        for i, item in enumerate(items):
+            score = decontamination.align(numbers, np.array([int(w[1:]) for w in item]))[0] / len(item)
+            if score >= 0.6:
+                wanted[d, f"item {i}"] = score
+    assert found == pytest.approx(wanted) and len(wanted) > 200
+    kept = decontamination.without_leaks(docs, benchmark)
+    assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in wanted}
+
+
+def test_group_of_edited_copies_is_found(spark):
+    """An item verbatim in one document, and with three words changed in three hundred others."""
+    item = prose(31, 1, length=40)[0].split()
+    other = prose(32, 301, length=60)
+    changed = [*item[:8], "aa", *item[9:19], "bb", *item[20:30], "cc", *item[31:]]
+    texts = [f"{other[0]} {' '.join(item)}"] + [f"{o} {' '.join(changed)}" for o in other[1:]] + prose(33, 50)
+    short = prose(34, 1, length=12)[0].split()
+    texts.append(" ".join(w if i % 4 != 3 else "zz" for i, w in enumerate(short)))
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.leaks(table(spark, texts), benchmark).collect()}
+    assert found == {(i, 1) for i in range(301)} | {(351, 2)}
+
+
 def test_rows_of_one_doc_id_have_their_own_verdicts(spark):
     texts, labels = labelled(spark)
     item = prose(9, 1, length=30)[0]
