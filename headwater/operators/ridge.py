@@ -212,19 +212,19 @@ def ready_rows(table: DataFrame, features: Sequence[str], pooling: str = "all",
 
 def ridge(table: DataFrame, features: Sequence[str], pooling: str = "all", penalty: float = 1.0,
           scaled: bool = True, use: Sequence[str] | None = None, name: str = "model",
-          pool: Column | None = None, weight: Column | None = None) -> DataFrame:
+          pool: Column | None = None, weight: Column | None = None, keep_null: bool = False) -> DataFrame:
     """Add a prediction to each row from labels known at its issue date.
 
     The table needs date, label_date and target_delta, and `scale` where scaled.
-    With fewer than two known labels the prediction is no change.
+    With fewer than two known labels, by weight, the prediction is no change, or NULL with `keep_null`.
     """
-    rows = ridge_variants(table, features, [(penalty, use)], pooling, scaled, name, pool, weight)
+    rows = ridge_variants(table, features, [(penalty, use)], pooling, scaled, name, pool, weight, keep_null)
     return rows.drop("variant")
 
 
 def ridge_variants(table: DataFrame, features: Sequence[str], variants: Sequence[Variant], pooling: str = "all",
                    scaled: bool = True, name: str = "model", pool: Column | None = None,
-                   weight: Column | None = None) -> DataFrame:
+                   weight: Column | None = None, keep_null: bool = False) -> DataFrame:
     """`ridge` for several penalties and subsets of the features: each row once per
     variant, whose place in the list `variant` tells.
 
@@ -240,15 +240,16 @@ def ridge_variants(table: DataFrame, features: Sequence[str], variants: Sequence
     joined = table.withColumn("_pool", key).join(
         models.withColumnRenamed("pool", "_pool").withColumnRenamed("_date", "date"), ["_pool", "date"], "left"
     )
-    return predicted(joined, features, scaled, name).drop("_pool")
+    return predicted(joined, features, scaled, name, keep_null).drop("_pool")
 
 
-def predicted(joined: DataFrame, features: Sequence[str], scaled: bool = True, name: str = "model") -> DataFrame:
+def predicted(joined: DataFrame, features: Sequence[str], scaled: bool = True, name: str = "model", keep_null: bool = False) -> DataFrame:
     """Turn the model columns beside each row into its prediction."""
     # In steps, so that the long sum is evaluated once and not in every guard.
     raw = joined.withColumn("_raw", F.when(F.col("known_n") >= 2, linear_prediction(features)))
     scored = raw.withColumn("_value", unscaled(F.col("_raw")) if scaled else F.col("_raw"))
-    return scored.withColumn(name, finite_or_zero(F.col("_value"))).drop(
+    value = F.col("_value")
+    return scored.withColumn(name, F.when(value.isNotNull(), finite_or_zero(value)) if keep_null else finite_or_zero(value)).drop(
         "_raw", "_value", "intercept", "beta", "centre", "spread", "known_n")
 
 

@@ -23,6 +23,7 @@ from headwater.operators.causal import (
     with_target_scale,
 )
 from headwater.operators.neighbours import ENTITY_POOLS, causal_knn
+from headwater.operators.reweighted import huber
 from headwater.operators.ridge import bagged_ridge, ridge, ridge_variants
 from headwater.operators.search import (
     CONFIG, STAGES, config_grid, config_scores, dev_and_holdout, leading_families, not_yet_done, split_tag,
@@ -88,6 +89,8 @@ def base_predictions(rows: DataFrame, model: str, features: str, pooling: str, s
         return near.drop("_kp", *[f"z_{c}" for c in inputs])
     if model == "bagged":
         return bagged_ridge(rows, inputs, KEYS, pooling, scaled=scaled)
+    if model == "huber":
+        return huber(rows, inputs, pooling, scaled=scaled)
     if model in ESTIMATORS:
         return walk_forward(rows, [c for c in inputs if c != "horizon"], model, month_start(), scaled, pooling=pooling)
     if model.split(":")[0] != "ridge":

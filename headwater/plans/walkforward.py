@@ -1,20 +1,16 @@
-"""Walk-forward learners: refitted at each calendar block on the labels known before it."""
+"""Walk-forward learners: trees refitted at each calendar block, alert chances for every day."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headwater.constants import ALERT_FEATURES, FOREST_SEED, FOREST_TREES
 from headwater.functions.numeric import at_least_half, finite_or_zero
 from headwater.operators.causal import scaled_target, unscaled
+from headwater.operators.reweighted import STEPS, logistic
 from headwater.operators.trees import Trees, walk
 from headwater.session import materialise
 
@@ -35,35 +31,6 @@ def week_start(date: str = "date") -> Column:
     return F.trunc(date, "week")
 
 
-def block_starts(rows: DataFrame) -> list:
-    """The distinct block starts: one value per calendar block."""
-    return [r["block"] for r in rows.select("block").distinct().orderBy("block").collect()]
-
-
-def _settled(train: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows in a fixed order and partitioning.
-
-    Samplers draw by position, so that without it a rerun, or the retry of a
-    lost task, would fit another model.
-    """
-    tasks = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return train.repartition(tasks, *keys).sortWithinPartitions(*keys)
-
-
-def _by_block(rows: DataFrame, fit_predict: Callable, parallel: int) -> DataFrame:
-    """Fit blocks side by side and stack their predictions.
-
-    Only block starts and fitted models pass through the driver.
-    """
-    starts = block_starts(rows)
-    with ThreadPoolExecutor(max_workers=parallel) as pool:
-        parts = list(pool.map(lambda s: fit_predict(rows, s), starts))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 def walk_forward(table: DataFrame, features: Sequence[str], estimator: str = "forest", block: Column | None = None,
                  scaled: bool = True, name: str = "model", pooling: str = "all",
                  keys: Sequence[str] = ("dam", "date", "horizon")) -> DataFrame:
@@ -79,44 +46,17 @@ def walk_forward(table: DataFrame, features: Sequence[str], estimator: str = "fo
     return rows.join(grown, list(keys), "left").withColumn(name, finite_or_zero(value)).drop("_trees")
 
 
-def alert_forecasts(targets: DataFrame, features: Sequence[str] = ALERT_FEATURES, block: Column | None = None,
-                    parallel: int = 4, by_basin: bool = False) -> DataFrame:
-    """Alert probabilities per basin, day and horizon, and today's state as the
-    naive rival.
+def alert_forecasts(targets: DataFrame, features: Sequence[str] = ALERT_FEATURES, pooling: str = "none",
+                    penalty: float = 1.0, steps: int = STEPS) -> DataFrame:
+    """Alert probabilities per basin, day and horizon, and today's state as the naive rival.
 
-    A pooled logistic regression with the horizon as an input, refitted at every
-    block. Basin flags are optional: they are as many as there are basins.
+    A logistic regression for each basin and horizon, or with `pooling` "dam" for all
+    basins of a horizon, "horizon" for all horizons of a basin, "all" for all of both, on
+    the labels known at each day. Without any the chance is 0.
     """
-    block = month_start() if block is None else block
-    rows = targets.withColumns(
-        {"block": block, "label_date": F.date_add("date", F.col("horizon").cast("int")), "y": F.col("target").cast("double")}
-    )
-    rows = materialise(rows, "alert-forecast")
-    inputs = [*features, "_h"]
-
-    def fit_predict(all_rows: DataFrame, start) -> DataFrame:
-        given = all_rows.withColumn("_h", F.col("horizon").cast("double"))
-        given = given.withColumns({c: F.col(c).cast("double") for c in features})
-        train = _settled(given.filter(F.col("label_date") < F.lit(start)), ["basin", "date", "horizon"])
-        target = given.filter(F.col("block") == F.lit(start))
-        seen = train.agg(F.count(F.lit(1)), F.count_distinct("y")).first()
-        if seen[0] < 2 or seen[1] < 2:
-            scored = target.withColumn("prob", F.lit(0.0))
-        else:
-            steps = [VectorAssembler(inputCols=inputs, outputCol="_raw"),
-                     StandardScaler(inputCol="_raw", outputCol="_z", withMean=True)]
-            columns = ["_z"]
-            if by_basin:
-                steps += [StringIndexer(inputCol="basin", outputCol="_b", handleInvalid="keep"),
-                          OneHotEncoder(inputCol="_b", outputCol="_flag", handleInvalid="keep")]
-                columns.append("_flag")
-            steps += [VectorAssembler(inputCols=columns, outputCol="x"),
-                      LogisticRegression(featuresCol="x", labelCol="y", probabilityCol="_pr", rawPredictionCol="_rp",
-                                         predictionCol="_pc", maxIter=50, regParam=0.001)]
-            scored = Pipeline(stages=steps).fit(train).transform(target)
-            scored = scored.withColumn("prob", vector_to_array("_pr")[1])
-        return scored.select(
-            "basin", "date", "horizon", F.col("target").alias("actual"), "prob",
-            at_least_half(F.col("prob")).alias("pred"), F.col("on_watch").cast("int").alias("persistence"))
-
-    return _by_block(rows, fit_predict, parallel)
+    rows = targets.withColumnRenamed("basin", "dam").withColumn("label_date", F.date_add("date", F.col("horizon").cast("int")))
+    inputs = [*features, "horizon"] if pooling in ("horizon", "all") else list(features)
+    scored = logistic(rows, inputs, "target", pooling, penalty, steps).withColumn("prob", F.round(F.coalesce("prob", F.lit(0.0)), 9))
+    return scored.select(
+        F.col("dam").alias("basin"), "date", "horizon", F.col("target").alias("actual"), "prob",
+        at_least_half(F.col("prob")).alias("pred"), F.col("on_watch").cast("int").alias("persistence"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from headwater.operators import ridge as ridges
-from headwater.operators import scoreboard
+from headwater.operators import reweighted, scoreboard
 from headwater.operators.alerts import alert_features, alert_targets, confusion
 from headwater.operators.causal import expert_blend
 from headwater.operators.targets import labelled
@@ -64,8 +64,8 @@ def tree_walkforward(spark, folder):
 
 @register("huber_walkforward")
 def huber_walkforward(spark, folder):
-    rows = labelled(backtest.prepared(events_table(spark, folder)))
-    scored = walkforward.walk_forward(rows, search.feature_columns("tiny"), "huber", walkforward.week_start())
+    rows = backtest.prepared(events_table(spark, folder))
+    scored = labelled(reweighted.huber(rows, [*search.feature_columns("tiny"), "horizon"]))
     return scoreboard.scoreboard(backtest.errors_of(scored))
 
 
@@ -82,7 +82,7 @@ def weighted_ensemble(spark, folder):
 @register("alert_walkforward")
 def alert_walkforward(spark, folder):
     targets = alert_targets(alert_features(views.alerts(spark, folder)))
-    return confusion(walkforward.alert_forecasts(targets, block=walkforward.week_start()))
+    return confusion(walkforward.alert_forecasts(targets))
 
 
 @register("ridge_sweep")

@@ -210,7 +210,7 @@ def test_bagging_is_repeatable(table):
     assert len(one) == rows.count() and all(two[k] == pytest.approx(v, abs=1e-9) for k, v in one.items())
 
 
-@pytest.mark.parametrize("estimator", ["forest10", "tree", "boosted", "huber"])
+@pytest.mark.parametrize("estimator", ["forest10", "tree", "boosted"])
 def test_walk_forward_uses_earlier_blocks_only(spark, table, estimator):
     rows = causal.with_target_scale(table)
     cut = F.lit("2026-01-19").cast("date")
