@@ -19,6 +19,8 @@ MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 ITEMS = 20_000  # test items in a block; each block reads the texts twice
 SALTS = 16  # places that documents of one passage are dealt out to
 EDGE = re.compile(r"^\W+|\W+$")
+MARKS = ".,;:!?"
+HELD_WORDS = 150_000  # words that a task keeps numbered; more only cost time
 SPACES = classes(b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f")
 
 
@@ -38,17 +40,34 @@ class Block:
                 self.names.append(item)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int32))
 
-    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def number(self, word: str) -> int:
+        """The number of a word as it stands in a text, 0 for one of no item; -1 if white space parts it."""
+        if word.isalnum():
+            return self.vocabulary.get(word.lower(), 0)
+        if word[:-1].isalnum() and word[-1] in MARKS:
+            return self.vocabulary.get(word[:-1].lower(), 0)
+        if len(word.split()) != 1:
+            return -1
+        return self.vocabulary.get(plain(word), 0)
+
+    def ids(self, column: pa.Array, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(number of each word of the texts, 0 for words of no item, its row, its place in the row)."""
         words, word, row, _ = cut(column, SPACES)
-        parts = [w.split() for w in words]  # at the white space that is no single byte
-        odd = np.array([len(p) != 1 for p in parts], bool)
-        numbers = np.array([self.vocabulary.get(plain(p[0]), 0) if len(p) == 1 else 0 for p in parts], np.int32)
-        ids = numbers[word] if len(words) else np.empty(0, np.int32)
-        if odd.any():
-            sizes = np.array([len(p) for p in parts])[word]
-            flat = np.concatenate([[self.vocabulary.get(plain(x), 0) for x in parts[w]] if odd[w] else [n] for w, n in zip(word.tolist(), ids.tolist())])
-            ids, row = flat.astype(np.int32), np.repeat(row, sizes)
+        found = list(map(known.get, words))
+        odd: dict[int, list[int]] = {}  # words with white space that is no single byte
+        for i, number in enumerate(found):
+            if number is None:
+                number = found[i] = self.number(words[i])
+                if number < 0:
+                    odd[i] = [self.number(w) for w in words[i].split()]
+                    found[i] = 0
+                elif len(known) < HELD_WORDS:
+                    known[words[i]] = number
+        ids = np.array(found, np.int32)[word] if words else np.empty(0, np.int32)
+        if odd:
+            parts = [odd.get(w, [n]) for w, n in zip(word.tolist(), ids.tolist())]
+            row = np.repeat(row, [len(p) for p in parts])
+            ids = np.array([n for p in parts for n in p], np.int32)
         first = np.searchsorted(row, np.arange(len(column)))
         return ids, row, np.arange(len(ids)) - first[row] if len(ids) else row
 
@@ -134,9 +153,9 @@ def _block_leaks(docs: DataFrame, chosen: pa.Table, similarity: float, schema) -
     texts = docs.select("doc_id", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(block.vocabulary) + 1, np.int64)
+        total, known = np.zeros(len(block.vocabulary) + 1, np.int64), {}
         for batch in steps(batches, 1):
-            total += np.bincount(block.ids(batch.column(1))[0], minlength=len(total))
+            total += np.bincount(block.ids(batch.column(1), known)[0], minlength=len(total))
         at = np.flatnonzero(total[1:]) + 1
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["word", "n"])
@@ -152,9 +171,9 @@ def _block_leaks(docs: DataFrame, chosen: pa.Table, similarity: float, schema) -
     spans = np.array([reach(len(w), similarity) for w in block.words] or [0])
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = np.zeros(len(counts), bool)
+        mark, known = np.zeros(len(counts), bool), {}
         for batch in steps(batches, 1):
-            ids, row, place = block.ids(batch.column(1))
+            ids, row, place = block.ids(batch.column(1), known)
             at = np.flatnonzero(is_seed[ids])
             many = np.array([len(seeded[w]) for w in ids[at].tolist()], np.int64)
             item = np.concatenate([seeded[w] for w in ids[at].tolist()]) if len(at) else at

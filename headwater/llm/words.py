@@ -62,4 +62,4 @@ def cut(column: pa.Array, kinds: np.ndarray) -> tuple[list[str], np.ndarray, np.
     new[1:] = np.diff(row) > 0
     if (kind == BREAK).any():
         new[1:] |= np.diff(np.cumsum(kind == BREAK, dtype=before.dtype)[at]) > 0
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), row, new
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64), row, new
