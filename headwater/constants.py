@@ -41,7 +41,6 @@ FOREST_TREES = 50
 FOREST_SEED = 7
 
 # Labels that the search's neighbours remember in pools over many entities.
-NEIGHBOUR_MEMORY = 1000
 
 # Catchment sampling.
 CATCHMENT_RADIUS_KM = 12.0

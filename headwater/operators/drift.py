@@ -95,6 +95,43 @@ def drift_events(errors: DataFrame, date: str = "target_date", delta: float = DE
     return found.select(F.date_from_unix_date("day").alias("detected_at"), "dam", "horizon", "abs_err")
 
 
+STATE = "dam string, horizon int, n array<double>, total array<double>, squares array<double>"
+
+
+def drift_step(state: DataFrame | None, errors: DataFrame, date: str = "target_date", delta: float = DELTA) -> DataFrame:
+    """Take new errors into stored windows: (STATE columns, events).
+
+    `state` holds the buckets of each series, logarithmic in its length; series without
+    new errors keep theirs. events are the (day, abs_err) at which a window was cut. The
+    errors of a call must be later than those of former calls, as a log's are.
+    """
+    point = F.struct(F.unix_date(date).alias("day"), F.col("abs_err_model").alias("abs_err"))
+    known = errors.filter(F.col("abs_err_model").isNotNull() & ~F.isnan("abs_err_model"))
+    fresh = known.groupBy("dam", "horizon").agg(F.sort_array(F.collect_list(point)).alias("s"))
+    if state is None:
+        state = errors.sparkSession.createDataFrame([], STATE)
+    schema = f"{STATE}, events array<struct<day: int, abs_err: double>>"
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for dam, horizon, days, values, n, total, squares in batch.itertuples(index=False):
+                window = AdaptiveWindow(list(zip(n, total, squares)) if n is not None else (), delta=delta)
+                hits = [{"day": d, "abs_err": v} for d, v in zip(days, values) if window.add(v)]
+                out.append((dam, horizon, *([float(b[i]) for b in window.buckets] for i in range(3)), hits))
+            yield pd.DataFrame(out, columns=["dam", "horizon", "n", "total", "squares", "events"])
+
+    both = fresh.join(state, ["dam", "horizon"], "left").select("dam", "horizon", "s.day", "s.abs_err", "n", "total", "squares")
+    kept = state.join(fresh, ["dam", "horizon"], "left_anti").withColumn("events", F.array().cast("array<struct<day: int, abs_err: double>>"))
+    return both.mapInPandas(add, schema).unionByName(kept)
+
+
+def events_of(step: DataFrame) -> DataFrame:
+    """The detections of a step, as `drift_events` gives them."""
+    hit = step.select("dam", "horizon", F.explode("events").alias("e"))
+    return hit.select(F.date_from_unix_date("e.day").alias("detected_at"), "dam", "horizon", F.col("e.abs_err").alias("abs_err"))
+
+
 def mean_shift(errors: DataFrame, date: str = "target_date", recent: int = 10, delta: float = DELTA,
                value: str = "abs_err_model") -> DataFrame:
     """The same question by windows alone: the last rows against all before.

@@ -2,7 +2,9 @@
 
 Configurations are rows. Those that differ only in shrinkage or blending share
 their base predictions, and those with the same pooling, scaling and inputs
-share one data pass; scores are aggregated before anything is collected.
+share one data pass; scores are aggregated before anything is collected. Base
+predictions go to a matrix of experts, (row key, family), which every later stage
+and every ensemble reads instead of fitting again.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.constants import BLEND_FAMILIES, NEIGHBOUR_MEMORY, REFINE_FAMILIES, SPLIT_DATE
+from headwater.constants import BLEND_FAMILIES, REFINE_FAMILIES, SPLIT_DATE
 from headwater.functions.registry import (
     BASELINES, feature_columns, with_baselines, with_errors, with_interactions, with_stacked_baseline,
 )
@@ -22,17 +24,21 @@ from headwater.operators.causal import (
     POOLINGS, expert_weights, label_prefix, pool_key, scaled_target, unscaled, with_causal_z, with_past_losses,
     with_target_scale,
 )
-from headwater.operators.neighbours import ENTITY_POOLS, causal_knn
+from headwater.operators.neighbours import causal_knn
 from headwater.operators.reweighted import huber
 from headwater.operators.ridge import bagged_ridge, ridge, ridge_variants
 from headwater.operators.search import (
     CONFIG, STAGES, config_grid, config_scores, dev_and_holdout, leading_families, not_yet_done, split_tag,
 )
 from headwater.operators.targets import labelled, with_label_date
+from headwater.plans.backtest import entity_effect
 from headwater.plans.walkforward import ESTIMATORS, month_start, walk_forward
 from headwater.session import materialise
 
 KEYS = ("dam", "date", "horizon")
+# "ewa": an ensemble weighted by the past losses of a linear, a tree and a neighbour learner.
+ENSEMBLE = ("ridge:1", "tree", "knn10")
+ENSEMBLE_RATE = 0.1
 FAMILY = ("model", "features", "pooling", "scale_target", "interactions", "stack_baseline")
 
 
@@ -63,7 +69,10 @@ def causal_mean(rows: DataFrame, pooling: str, scaled: bool, name: str = "model"
 
 
 def _inputs(features: str, pooling: str, interactions: bool, stack: bool) -> list[str]:
-    inputs = feature_columns(features, interactions, stack)
+    """The inputs of a family: learners of several dams also see whose row it is, by the
+    dam's shrunken past mean, and those of several horizons which."""
+    inputs = list(feature_columns(features, interactions, stack))
+    inputs += ["dam_effect"] if pooling in ("dam", "all") else []
     return [*inputs, "horizon"] if pooling in ("horizon", "all") else inputs
 
 
@@ -75,17 +84,15 @@ def base_predictions(rows: DataFrame, model: str, features: str, pooling: str, s
                      interactions: bool, stack: bool) -> DataFrame:
     """Predictions of one family before shrinkage and blending.
 
-    Models: "mean", "ridge" or "ridge:<penalty>", "bagged", "knn<k>", which
-    remembers NEIGHBOUR_MEMORY labels where its pool spans many entities, and the
-    walk-forward estimators, which pool all rows.
+    Models: "mean", "ridge" or "ridge:<penalty>", "bagged", "huber", "knn<k>" and the
+    trees of ESTIMATORS, in every pooling.
     """
     if model == "mean":
         return causal_mean(rows, pooling, scaled)
     inputs = _inputs(features, pooling, interactions, stack)
     if model.startswith("knn"):
         z = with_causal_z(rows.withColumn("_kp", pool_key(pooling)), inputs, ["_kp"])
-        memory = None if pooling in ENTITY_POOLS else NEIGHBOUR_MEMORY
-        near = causal_knn(z, [f"z_{c}" for c in inputs], KEYS, pooling, int(model[3:]), memory, scaled=scaled)
+        near = causal_knn(z, [f"z_{c}" for c in inputs], KEYS, pooling, int(model[3:]), scaled=scaled)
         return near.drop("_kp", *[f"z_{c}" for c in inputs])
     if model == "bagged":
         return bagged_ridge(rows, inputs, KEYS, pooling, scaled=scaled)
@@ -103,7 +110,8 @@ def prepared(table: DataFrame, crossed: bool = True) -> DataFrame:
 
     crossed: with the products of features, which only some families read.
     """
-    rows = with_stacked_baseline(with_target_scale(with_label_date(labelled(table)), search=True))
+    rows = entity_effect(with_target_scale(with_label_date(labelled(table)), search=True))
+    rows = with_stacked_baseline(rows)
     return materialise(with_baselines(with_interactions(rows) if crossed else rows), "sweep-rows")
 
 
@@ -126,15 +134,15 @@ def _tagged(predictions: DataFrame, pool: Column, number: Column) -> DataFrame:
     return predictions.select(*slim, F.col("model").alias("_base"), pool.alias("_pool"), number.cast("int").alias("_family"))
 
 
-def _base_rows(rows: DataFrame, families: Sequence[tuple]) -> DataFrame:
-    """Base predictions of all families, as few passes over the rows as they need.
+def _base_rows(rows: DataFrame, families: Sequence[tuple[int, tuple]]) -> DataFrame:
+    """Base predictions of numbered families, as few passes over the rows as they need.
 
     Families of the ridge that share pooling and scaling share one pass, whatever their
     penalty and inputs; those of the mean share one altogether.
     """
     parts, linear, level = [], {}, F.lit(None).cast("int")
-    means = [f for f in families if f[0] == "mean"]
-    for number, family in enumerate(families):
+    means = [f for _, f in families if f[0] == "mean"]
+    for number, family in families:
         model, features, pooling, scaled, crossed, stack = family
         if model == "mean":
             level = F.when((F.col("pooling") == pooling) & (F.col("scale_target") == F.lit(scaled)), number).otherwise(level)
@@ -153,14 +161,81 @@ def _base_rows(rows: DataFrame, families: Sequence[tuple]) -> DataFrame:
     if means:
         levels = mean_families(rows, *(list(dict.fromkeys(f[i] for f in means)) for i in (2, 3)))
         parts.append(_tagged(levels, F.col("_pool"), level).filter("_family is not null"))
-    return materialise(reduce(DataFrame.unionByName, parts), "sweep-base")
+    return reduce(DataFrame.unionByName, parts)
+
+
+class Experts:
+    """Base predictions by (row key, family), kept in the work folder and filled as asked.
+
+    A family is fitted once, however many stages, configurations and ensembles read it. One
+    that fails is noted with its error and costs no other family its place.
+    """
+
+    def __init__(self, rows: Callable[[], DataFrame]):
+        self.rows, self.numbers, self.parts, self.failed = rows, {}, [], {}
+
+    def _members(self, family: tuple) -> list[tuple]:
+        return [(model, *family[1:]) for model in ENSEMBLE]
+
+    def fill(self, families: Sequence[tuple]) -> None:
+        """Fit what is missing: single learners in one go, or where that fails one by one, then ensembles."""
+        wanted = list(dict.fromkeys(m for f in families for m in (self._members(f) if f[0] == "ewa" else [f])))
+        wanted = [f for f in wanted if f not in self.numbers and f not in self.failed]
+        try:
+            self._fit(wanted)
+        except Exception:  # noqa: BLE001 - some family failed: the others are fitted alone
+            for family in wanted:
+                try:
+                    self._fit([family])
+                except Exception as error:  # noqa: BLE001 - an error becomes a row
+                    self.failed[family] = f"{type(error).__name__}: {error}"
+        for family in dict.fromkeys(f for f in families if f[0] == "ewa" and f not in self.numbers and f not in self.failed):
+            broken = [m for m in self._members(family) if m in self.failed]
+            if broken:
+                self.failed[family] = f"of its members {broken[0][0]} failed: {self.failed[broken[0]]}"
+            else:
+                self._blend(family)
+
+    def _keep(self, fitted: Callable[[], DataFrame], families: Sequence[tuple], first: int) -> None:
+        self.parts.append((set(range(first, first + len(families))), materialise(fitted(), "experts")))
+        self.numbers |= {f: first + i for i, f in enumerate(families)}
+
+    def _fit(self, families: Sequence[tuple]) -> None:
+        if families:
+            first = len(self.numbers)
+            self._keep(lambda: _base_rows(self.rows(), [(first + i, f) for i, f in enumerate(families)]), families, first)
+
+    def _blend(self, family: tuple) -> None:
+        """The members' predictions side by side, weighted by their past losses in the pool."""
+        first, members = len(self.numbers), self._members(family)
+        names = [f"_e{i}" for i in range(len(members))]
+
+        def fitted() -> DataFrame:
+            many = self.read(members)
+            carried = [c for c in many.columns if c not in ("_family", "_base", *KEYS)]
+            each = [F.max(F.when(F.col("_family") == self.numbers[m], F.col("_base"))).alias(n) for m, n in zip(members, names)]
+            # A row's other columns are the same for all members.
+            wide = many.groupBy(*KEYS, *carried).agg(*each)
+            mixed = with_past_losses(wide, names, ["_pool"])
+            weights = expert_weights(names, ENSEMBLE_RATE)
+            value = sum((weights[n] * F.col(n) for n in names), F.lit(0.0))
+            return mixed.withColumns({"_base": value, "_family": F.lit(first)}).select(*many.columns)
+
+        self._keep(fitted, [family], first)
+
+    def read(self, families: Sequence[tuple]) -> DataFrame:
+        """The rows of families that were filled."""
+        wanted = {self.numbers[f] for f in families}
+        parts = [part.filter(F.col("_family").isin(sorted(held & wanted))) for held, part in self.parts if held & wanted]
+        return reduce(DataFrame.unionByName, parts)
 
 
 def _errors(table: DataFrame, models: Sequence[str], split: str | None, done: DataFrame | None,
-            rows: Callable[[], DataFrame] | None, grid: dict) -> tuple[DataFrame, DataFrame]:
+            experts: Experts | None, grid: dict, strict: bool = True) -> tuple[DataFrame, DataFrame] | None:
     """Errors under the number `_config` of their configuration, and the configurations.
 
-    Numbers, not names, go with the rows through joins and aggregates.
+    Numbers, not names, go with the rows through joins and aggregates. Configurations of
+    families that fail are left out, unless `strict`; None if none is left.
     """
     spark = table.sparkSession
     todo = pending(spark, done, models=models, **{"poolings": ("all",), "scales": (True,), **grid})
@@ -168,22 +243,31 @@ def _errors(table: DataFrame, models: Sequence[str], split: str | None, done: Da
         raise ValueError("no configuration to run")
     family_of = lambda c: tuple(c[CONFIG.index(f)] for f in FAMILY)
     run_of = lambda c: (family_of(c), c[CONFIG.index("shrink")])
-    families, runs = ({v: i for i, v in enumerate(dict.fromkeys(map(of, todo)))} for of in (family_of, run_of))
+    if experts is None:
+        crossed = any(family_of(c)[FAMILY.index("interactions")] for c in todo)
+        experts = Experts(functools.cache(lambda: prepared(table, crossed)))
+    experts.fill([family_of(c) for c in todo])
+    broken = [experts.failed[family_of(c)] for c in todo if family_of(c) in experts.failed]
+    if broken and strict:
+        raise ValueError(broken[0])
+    todo = [c for c in todo if family_of(c) not in experts.failed]
+    if not todo:
+        return None
+    runs = {v: i for i, v in enumerate(dict.fromkeys(map(run_of, todo)))}
     configs = spark.createDataFrame(
-        [(i, families[family_of(c)], runs[run_of(c)], *c) for i, c in enumerate(todo)],
+        [(i, experts.numbers[family_of(c)], runs[run_of(c)], *c) for i, c in enumerate(todo)],
         "_config int, _family int, _run int, " + CONFIG_SCHEMA)
-    crossed = any(f[FAMILY.index("interactions")] for f in families)
-    stacked = _base_rows(prepared(table, crossed) if rows is None else rows(), list(families))
+    stacked = experts.read([family_of(c) for c in todo])
     # The configurations are as few as the grid's lists make them.
     shrunk = stacked.join(F.broadcast(configs.select("_family", "_run", "shrink").distinct()), "_family")
     shrunk = shrunk.withColumn("_shrunk", F.col("_base") * F.col("shrink")).drop("_base", "_family", "shrink")
-    experts = ["_shrunk", *BASELINES]
+    experts_ = ["_shrunk", *BASELINES]
     value = F.col("_shrunk")
     if any(c[CONFIG.index("blend")] > 0.0 for c in todo):
         # Past losses do not depend on the rate: one pass serves every blend.
-        shrunk = with_past_losses(shrunk, experts, ["_run", "_pool"])
-        weights = expert_weights(experts, F.col("blend"))
-        mixed = sum((weights[e] * F.col(e) for e in experts), F.lit(0.0))
+        shrunk = with_past_losses(shrunk, experts_, ["_run", "_pool"])
+        weights = expert_weights(experts_, F.col("blend"))
+        mixed = sum((weights[e] * F.col(e) for e in experts_), F.lit(0.0))
         value = F.when(F.col("blend") > 0.0, mixed).otherwise(value)
     final = shrunk.join(F.broadcast(configs.select("_run", "_config", "blend")), "_run").withColumn("_final", value)
     errors = with_errors(final.withColumn("actual", F.col("target_delta")), "_final")
@@ -192,26 +276,29 @@ def _errors(table: DataFrame, models: Sequence[str], split: str | None, done: Da
 
 
 def sweep_errors(table: DataFrame, models: Sequence[str], split: str | None = None, done: DataFrame | None = None,
-                 rows: Callable[[], DataFrame] | None = None, **grid) -> DataFrame:
+                 experts: Experts | None = None, **grid) -> DataFrame:
     """Errors of every configuration of a grid that `done` lacks, one row per labelled forecast.
 
-    `rows` gives the prepared rows where several sweeps share them.
+    `experts` holds the base predictions where several sweeps share them.
     """
-    errors, configs = _errors(table, models, split, done, rows, grid)
+    errors, configs = _errors(table, models, split, done, experts, grid)
     return errors.join(F.broadcast(configs), "_config").select(*CONFIG, *[c for c in errors.columns if c != "_config"])
 
 
-def sweep(table: DataFrame, models: Sequence[str], split: str | None = None, done: DataFrame | None = None,
-          rows: Callable[[], DataFrame] | None = None, **grid) -> DataFrame:
-    """Dev and holdout scores of every configuration, one row each."""
-    errors, configs = _errors(table, models, split, done, rows, grid)
+def _scores(errors: DataFrame, configs: DataFrame) -> DataFrame:
     wide = dev_and_holdout(config_scores(errors, ["_config"])[1], ["_config"])
     return configs.join(wide, "_config").drop("_config")
 
 
+def sweep(table: DataFrame, models: Sequence[str], split: str | None = None, done: DataFrame | None = None,
+          experts: Experts | None = None, **grid) -> DataFrame:
+    """Dev and holdout scores of every configuration, one row each."""
+    return _scores(*_errors(table, models, split, done, experts, grid))
+
+
 CONFIG_SCHEMA = ("model string, features string, pooling string, scale_target boolean, interactions boolean, "
                  "shrink double, blend double, stack_baseline boolean")
-FAILURES = "model string, stage string, error string"
+FAILURES = f"stage string, {CONFIG_SCHEMA}, error string"
 
 
 def staged_search(table: DataFrame, models: Sequence[str], split: str | None = None,
@@ -219,29 +306,34 @@ def staged_search(table: DataFrame, models: Sequence[str], split: str | None = N
     """Every model over a small grid, the leading families over the full one, and
     the best of them hedged against the baselines or fed with their answer.
 
-    Returns the scored configurations and one row per model and stage, or
-    pooling, that could not run. What `done`, the scores of a former search, or an
-    earlier stage holds is not run again. Only names and failures pass through the driver.
+    Returns the scored configurations and one row per configuration that could not run,
+    with its error; the others of its model and stage go on. What `done`, the scores of a
+    former search, or an earlier stage holds is not run again. Only names and failures pass through the driver.
     """
     spark = table.sparkSession
-    rows = functools.cache(lambda: prepared(table, any(m != "mean" for m in models)))
+    experts = Experts(functools.cache(lambda: prepared(table, any(m != "mean" for m in models))))
     results, failed = done, []
 
     def run(stage: str, names: Sequence[str]) -> None:
         nonlocal results
         for model in names:
-            # Walk-forward estimators pool all rows; their other pools are failures of their own.
-            fit = [p for p in poolings if model not in ESTIMATORS or p == "all"]
-            failed.extend((model, stage, f"pools all rows, not {p}") for p in poolings if p not in fit)
-            grid = dict(models=(model,), poolings=fit, scales=(False, True), **STAGES[stage])
-            if not fit or not pending(spark, results, **grid):
+            grid = dict(models=(model,), poolings=poolings, scales=(False, True), **STAGES[stage])
+            todo = pending(spark, results, **grid)
+            if not todo:
                 continue
             try:
-                found = materialise(sweep(table, split=split, done=results, rows=rows, **grid), f"search-{stage}")
-            except Exception as error:  # noqa: BLE001 - an error becomes a row, the other models go on
-                failed.append((model, stage, f"{type(error).__name__}: {error}"))
+                scored = _errors(table, split=split, done=results, experts=experts, strict=False,
+                                 models=(model,), grid={k: v for k, v in grid.items() if k != "models"})
+                found = None if scored is None else materialise(_scores(*scored), f"search-{stage}")
+            except Exception as error:  # noqa: BLE001 - an error becomes rows, the other models go on
+                failed.extend((stage, *c, f"{type(error).__name__}: {error}") for c in todo)
                 continue
-            results = found if results is None else results.unionByName(found)
+            for config in todo:
+                family = tuple(config[CONFIG.index(f)] for f in FAMILY)
+                if family in experts.failed:
+                    failed.append((stage, *config, experts.failed[family]))
+            if found is not None:
+                results = found if results is None else results.unionByName(found)
 
     run("coarse", models)
     if results is None:

@@ -196,6 +196,29 @@ def forest_walkforward(spark, folder):
     return scoreboard.scoreboard(backtest.errors_of(scored))
 
 
+@register("forest_per_dam")
+def forest_per_dam(spark, folder):
+    """A forest of its own for each dam, over all horizons."""
+    rows = labelled(backtest.prepared(events_table(spark, folder)))
+    scored = walkforward.walk_forward(rows, search.feature_columns("lean"), "forest10", walkforward.week_start(), pooling="horizon")
+    return scoreboard.scoreboard(backtest.errors_of(scored))
+
+
+@register("boosted_walkforward")
+def boosted_walkforward(spark, folder):
+    """Boosted trees for each horizon, over all dams."""
+    rows = labelled(backtest.prepared(events_table(spark, folder)))
+    scored = walkforward.walk_forward(rows, [*search.feature_columns("tiny"), "dam_effect"], "boosted", walkforward.week_start(), pooling="dam")
+    return scoreboard.scoreboard(backtest.errors_of(scored))
+
+
+@register("expert_sweep")
+def expert_sweep(spark, folder):
+    """Ensembles of learned experts beside their members, which are fitted once."""
+    return search.sweep(events_table(spark, folder), split="2024-01-21", models=("ridge:1", "tree", "knn10", "ewa"), features=("tiny",),
+                        poolings=("horizon",), scales=(True,), shrinks=(1.0, 0.6))
+
+
 @register("tree_walkforward")
 def tree_walkforward(spark, folder):
     rows = labelled(backtest.prepared(events_table(spark, folder)))

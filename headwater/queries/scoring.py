@@ -145,10 +145,10 @@ def status_gate(spark, folder):
 
 
 @register("shrink_blend", f"""{with_ctes(*ERROR_CTES)}
-SELECT dam, date, horizon, round(model * 0.6, 6) AS shrunk, CAST(CASE WHEN model / 100 + 0.5 >= 0.5 THEN 1 ELSE 0 END AS INTEGER) AS rise,
+SELECT dam, date, horizon, round(model * 0.6, 6) AS shrunk, CAST(CASE WHEN round(model / 100 + 0.5, 9) >= 0.5 THEN 1 ELSE 0 END AS INTEGER) AS rise,
   round(CASE WHEN dev_24h_m IS NULL THEN 0 ELSE model / nullif(dev_24h_m, 0) END, 6) AS guarded
 FROM errors WHERE dev_24h_m IS NULL OR dev_24h_m <> 0
-UNION ALL SELECT dam, date, horizon, round(model * 0.6, 6), CAST(CASE WHEN model / 100 + 0.5 >= 0.5 THEN 1 ELSE 0 END AS INTEGER), 0
+UNION ALL SELECT dam, date, horizon, round(model * 0.6, 6), CAST(CASE WHEN round(model / 100 + 0.5, 9) >= 0.5 THEN 1 ELSE 0 END AS INTEGER), 0
 FROM errors WHERE dev_24h_m = 0""")
 def shrink_blend(spark, folder):
     # A division by a zero change is infinite, one by an unknown change NULL.
@@ -156,7 +156,7 @@ def shrink_blend(spark, folder):
     ratio = F.when(change == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.col("model"), change))
     return rounded(reversion_errors(spark, folder).select(
         "dam", "date", "horizon", numeric.shrink(F.col("model"), 0.6).alias("shrunk"),
-        numeric.at_least_half(F.col("model") / 100 + 0.5).alias("rise"), numeric.finite_or_zero(ratio).alias("guarded")))
+        numeric.at_least_half(F.round(F.col("model") / 100 + 0.5, 9)).alias("rise"), numeric.finite_or_zero(ratio).alias("guarded")))
 
 
 @register("split_scores", f"""{with_ctes(*ERROR_CTES)}

@@ -10,6 +10,7 @@ from headwater.queries.common import (
 )
 from headwater.session import work_folder
 from headwater.sources import views
+from headwater.sources.files import read_partitions
 from headwater.streaming import operators as streams
 from headwater.streaming.sources import drain, follow, use_rocksdb
 
@@ -24,12 +25,32 @@ def _written(df, label):
     return follow(spark, folder, df.schema)
 
 
+def _in_parts(df, label, *parts):
+    """A derived table as files to follow one a batch, each of the rows that its condition picks."""
+    spark = df.sparkSession
+    folder = work_folder(spark, label)
+    for part in parts:
+        df.filter(part).coalesce(1).write.mode("append").parquet(folder)
+    return follow(spark, folder, df.schema, files_per_batch=1)
+
+
 @register("stream_first_seen", """
-SELECT DISTINCT CAST(user_id AS VARCHAR) AS dam, date_trunc('hour', ts) AS hour FROM events""")
+WITH r AS (SELECT CAST(user_id AS VARCHAR) AS dam, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, ts, value,
+  event_id % 10 = 0 AND ts < TIMESTAMP '2024-01-08' AS late FROM events)
+SELECT dam, hour, ts, value FROM r QUALIFY row_number() OVER (PARTITION BY dam, hour ORDER BY late, ts) = 1""")
 def stream_first_seen(spark, folder):
-    readings = follow(spark, f"{folder}/events.parquet").select(
-        F.col("user_id").cast("string").alias("dam"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "ts", "value")
-    return drain(streams.first_seen(readings, ["dam", "hour"], "ts"), "first-seen").select("dam", "hour")
+    """First readings over three batches, the last one weeks late; late ones count where nothing came before."""
+    use_rocksdb(spark)
+    readings = spark.read.parquet(f"{folder}/events.parquet").select(
+        F.col("user_id").cast("string").alias("dam"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "ts", "value", "event_id")
+    late = (F.col("event_id") % 10 == 0) & (F.col("ts") < F.lit("2024-01-08").cast("timestamp_ntz"))
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    stream = _in_parts(readings, "readings", ~late & early, ~late & ~early, late)
+    out, state = work_folder(spark, "first-seen"), work_folder(spark, "first-seen-state")
+    found = streams.first_seen_or_late(stream, "dam", "hour", "ts")
+    streams.stored_batches(found, out, state).awaitTermination()
+    stored = spark.read.schema(found.schema).parquet(out)
+    return streams.settle(stored, ["dam", "hour"], "ts").select("dam", "hour", "ts", "value")
 
 
 @register("stream_score_due", f"""{with_ctes(DAILY, CHANGE, TARGETS, REVERSION)}
@@ -88,10 +109,12 @@ WITH r AS (SELECT CAST(user_id AS VARCHAR) AS dam, CAST(ts AS DATE) AS date, val
 SELECT dam, date, rain_mm, source FROM r
 QUALIFY row_number() OVER (PARTITION BY dam, date ORDER BY (source = 'archive') DESC, ingest_seq DESC) = 1""")
 def stream_upsert(spark, folder):
+    """Upserts of four batches into daily partitions, in no order of time."""
     source = F.when(F.col("event_type").isin("view", "click"), "archive").otherwise("forecast")
-    rows = follow(spark, f"{folder}/events.parquet").select(
+    rows = spark.read.parquet(f"{folder}/events.parquet").select(
         F.col("user_id").cast("string").alias("dam"), F.to_date("ts").alias("date"), F.col("value").alias("rain_mm"),
-        source.alias("source"), F.col("ts").alias("ingest_seq"), F.trunc(F.to_date("ts"), "month").alias("month"))
+        source.alias("source"), F.col("ts").alias("ingest_seq"), F.col("event_id").alias("number"))
+    stream = _in_parts(rows, "rain", *[F.col("number") % 4 == k for k in (2, 0, 3, 1)]).drop("number")
     out, state = work_folder(spark, "upserted"), work_folder(spark, "upserted-state")
-    streams.upsert_stream(rows, out, state, ["dam", "date"], [(F.col("source") == "archive"), F.col("ingest_seq")], "month").awaitTermination()
-    return spark.read.parquet(out).select("dam", "date", "rain_mm", "source")
+    streams.upsert_stream(stream, out, state, ["dam", "date"], [(F.col("source") == "archive"), F.col("ingest_seq")], "date").awaitTermination()
+    return read_partitions(spark, out, stream.schema).select("dam", "date", "rain_mm", "source")

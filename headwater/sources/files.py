@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from headwater.functions.clean import nan_free
 from headwater.operators.keys import upsert
+from headwater.session import materialise
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", optional: bool = False) -> DataFrame:
@@ -92,27 +93,57 @@ def _newest(spark: SparkSession, root: str) -> tuple[int, str | None]:
     return (row["version"] or 0), row["folder"]
 
 
-def upsert_partitions(new: DataFrame, path: str, keys: Sequence[str], precedence: Sequence[Column], partition: str) -> None:
-    """Upsert into a partitioned table, rewriting only partitions that get rows.
+_MANIFEST = "version long, part string, folder string"
 
-    The partitions touched are read through a semi join on the partition column,
-    which prunes the scan of the store at run time.
-    """
-    spark = new.sparkSession
+
+def _part(column: str) -> Column:
+    """A partition's value as a name that any file system takes."""
+    return F.coalesce(F.hex(F.col(column).cast("string")), F.lit("none"))
+
+
+def _live(spark: SparkSession, root: str) -> tuple[int, dict[str, str]]:
+    """The manifest's newest version, and the folder that holds each partition now."""
     try:
-        stored = spark.read.parquet(path)
+        manifest = spark.read.schema(_MANIFEST).parquet(f"{root}/manifest")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        stored = None
-    if stored is not None:
-        touched = new.select(partition).distinct()
-        stored = stored.join(F.broadcast(touched), partition, "left_semi").select(*new.columns)
-    merged = upsert(stored, new, keys, precedence)
-    (
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition).parquet(path)
-    )
+        return 0, {}
+    rows = manifest.groupBy("part").agg(F.max_by("folder", "version").alias("folder"), F.max("version").alias("version")).collect()
+    return max((r["version"] for r in rows), default=0), {r["part"]: r["folder"] for r in rows}
+
+
+def read_partitions(spark: SparkSession, root: str, schema: StructType, only: Sequence[str] | None = None) -> DataFrame:
+    """A table of versioned partitions as its manifest states it; `only` some of them, by name."""
+    live = _live(spark, root)[1]
+    paths = [folder for part, folder in sorted(live.items()) if only is None or part in only]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def upsert_partitions(new: DataFrame, root: str, keys: Sequence[str], precedence: Sequence[Column], partition: str) -> None:
+    """Upsert into a table of versioned partitions, rewriting only those that get rows.
+
+    Partitions that change are written to a new folder; one row for each in the manifest,
+    committed as one file, then names it. Until then readers see the former versions, so
+    a writer that stops half way loses and adds nothing. The partitions that `new`
+    touches, as many as it has days or months, pass through the driver. One writer at a time.
+    """
+    spark = new.sparkSession
+    new = materialise(new, "upsert")
+    touched = [r[0] for r in new.select(_part(partition)).distinct().collect()]
+    if not touched:
+        return
+    version, live = _live(spark, root)
+    stored = read_partitions(spark, root, new.schema, touched) if set(touched) & set(live) else None
+    folder = f"{root}/data-{uuid.uuid4().hex}"
+    merged = upsert(stored, new, keys, precedence).withColumn("_part", _part(partition))
+    merged.write.partitionBy("_part").parquet(folder)
+    rows = [(version + 1, part, f"{folder}/_part={part}") for part in touched]
+    _commit(spark.createDataFrame(rows, _MANIFEST), f"{root}/manifest")
+
+
+def _commit(rows: DataFrame, path: str) -> None:
+    rows.coalesce(1).write.mode("append").parquet(path)
 
 
 def write_documents(df: DataFrame, path: str) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from headwater.operators.keys import first_seen as first_of_keys
 from headwater.operators.drift import DELTA, AdaptiveWindow
 from headwater.sources.files import upsert_partitions
 from headwater.streaming.sources import event_time
@@ -22,6 +23,67 @@ def first_seen(readings: DataFrame, keys: Sequence[str], stamp: str = "obs_datet
     return timed.dropDuplicatesWithinWatermark([*keys])
 
 
+class FirstSeenProcessor(StatefulProcessor):
+    """The keys of an entity's latest readings, for as long as `late` behind its newest.
+
+    A reading older than that, which may or may not have been seen, is passed on as late
+    instead of being dropped. Readings of one batch count in the order of `order__`.
+    """
+
+    def __init__(self, columns: Sequence[str], late: int):
+        self.columns, self.late = list(columns), late
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._state = handle.getValueState("seen", "newest long, keys array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest, keys = self._state.get() if self._state.exists() else (None, [])
+        fresh = pd.concat(list(rows)).sort_values("order__", kind="stable")
+        seen, behind, picked, flags = set(keys), set(), [], []
+        for i, at in enumerate(fresh["at__"].tolist()):
+            is_late = newest is not None and at < newest - self.late
+            known = behind if is_late else seen
+            if at not in known:
+                known.add(at)
+                picked.append(i)
+                flags.append(is_late)
+        top = int(fresh["at__"].max())
+        top = top if newest is None else max(top, newest)
+        self._state.update((top, sorted(k for k in seen if k >= top - self.late)))
+        yield fresh.iloc[picked][self.columns].assign(late=flags)
+
+    def close(self) -> None:
+        pass
+
+
+def first_seen_or_late(readings: DataFrame, entity: str, stamp: str, order: str, late: str = "2 days", salts: int = 8) -> DataFrame:
+    """The first reading of each (entity, stamp), and those too late to tell, flagged `late`.
+
+    No reading is lost: `settle` decides about late ones against the stored table. An
+    entity's stamps are dealt out to `salts` states, so a hot one is several.
+    """
+    columns = readings.columns
+    kept = int(pd.Timedelta(late) / pd.Timedelta(1, "us"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = readings.withColumns({"at__": micros(stamp), "order__": micros(order)}).withColumn("salt__", F.pmod(F.xxhash64("at__"), F.lit(salts)))
+    schema = ", ".join(f"`{c}` {dict(readings.dtypes)[c]}" for c in columns) + ", late boolean"
+    return rows.groupBy(entity, "salt__").transformWithStateInPandas(FirstSeenProcessor(columns, kept), schema, "Append", "None")
+
+
+def stored_batches(rows: DataFrame, path: str, state: str):
+    """A query that keeps each batch in a folder of its own: a replayed batch overwrites itself."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def settle(stored: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The table that first readings and late ones make together: a late one counts where its key has no other."""
+    first = stored.filter(~F.col("late")).drop("late")
+    return first.unionByName(first_of_keys(first, stored.filter("late").drop("late"), keys, order))
+
+
 def score_due(forecasts: DataFrame, observations: DataFrame, late: str = "2 days") -> DataFrame:
     """Forecasts meet the observation of their target day.
 
@@ -129,8 +191,7 @@ def upsert_batches(path: str, keys: Sequence[str], precedence: Sequence[Column],
     """A foreachBatch sink. Replaying a batch leaves the table as it is."""
 
     def write(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            upsert_partitions(batch, path, keys, precedence, partition)
+        upsert_partitions(batch, path, keys, precedence, partition)
 
     return write
 
@@ -142,4 +203,4 @@ def upsert_stream(rows: DataFrame, path: str, state: str, keys: Sequence[str], p
     )
 
 
-__all__ = ["first_seen", "score_due", "daily_alerts", "drift_events", "running_stats", "upsert_stream"]
+__all__ = ["first_seen", "first_seen_or_late", "stored_batches", "settle", "score_due", "daily_alerts", "drift_events", "running_stats", "upsert_stream"]

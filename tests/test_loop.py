@@ -187,6 +187,9 @@ def test_the_loop_learns_from_what_forecasts_saw(spark, folder, tmp_path):
     after = [r.s for r in sums()]
     tick.score(spark, store, daily)
     assert [r.s for r in sums()] == after
+    # A forecast reads the newest day and the sums alone.
+    newest = early.agg(F.max("date")).scalar()
+    assert predicted(early.filter(F.col("date") == newest)) == predicted(early)
     # A correction of the table's past changes nothing that was learned.
     now = predicted(early)
     spoilt = early.withColumn("rain_7d", F.when(F.col("date") < early.agg(F.max("date")).scalar(), 1e6).otherwise(F.col("rain_7d")))

@@ -225,13 +225,60 @@ def test_walk_forward_uses_earlier_blocks_only(spark, table, estimator):
 
 
 def test_sweep_covers_the_grid(spark, folder):
-    wide = search.sweep(events_table(spark, folder), split="2024-01-21", models=("mean", "ridge", "knn5", "bagged"), features=("tiny",),
+    wide = search.sweep(events_table(spark, folder), split="2024-01-21", models=("mean", "ridge", "knn5", "bagged", "huber"), features=("tiny",),
                         poolings=("all",), scales=(True,), shrinks=(1.0, 0.5), blends=(0.0, 0.6))
     got = wide.collect()
-    assert len(got) == 4 * 2 * 2
+    assert len(got) == 5 * 2 * 2
     assert all(r.dev_mean_ratio > 0 and r.holdout_mean_ratio > 0 and r.dev_n_horizons == 7 for r in got)
 
 
+def test_trees_and_neighbours_in_every_pooling(spark, folder):
+    got = search.sweep(events_table(spark, folder), split="2024-01-21", models=("forest10", "knn5"), features=("tiny",),
+                       poolings=causal.POOLINGS, scales=(True,)).collect()
+    assert {(r.model, r.pooling) for r in got} == {(m, p) for m in ("forest10", "knn5") for p in causal.POOLINGS}
+    assert all(r.dev_mean_ratio > 0 and r.dev_n_horizons == 7 for r in got)
+
+
+def test_ensemble_reads_the_experts_of_the_stage(spark, folder, monkeypatch):
+    """ewa fits nothing that was fitted, and equals the sequential blend of its members."""
+    table = events_table(spark, folder)
+    experts = search.Experts(lambda: search.prepared(table, False))
+    family = ("ewa", "tiny", "dam", True, False, False)
+    members = [(m, *family[1:]) for m in search.ENSEMBLE]
+    experts.fill(members)
+    fitted = []
+    monkeypatch.setattr(search, "_base_rows", lambda *a: fitted.append(a))
+    experts.fill([family])
+    assert not fitted and family in experts.numbers
+    get = lambda f: {(r.dam, r.date, r.horizon): r for r in experts.read([f]).collect()}
+    blended, each = get(family), [get(m) for m in members]
+    assert blended.keys() == each[0].keys()
+    for key in sorted(blended)[::37]:
+        now, losses = blended[key], np.zeros(3)
+        for k, r in each[0].items():
+            if r._pool == now._pool and r.label_date <= now.date:
+                miss = np.array([abs(e[k]._base - r.target_delta) for e in each])
+                losses += miss / max(miss.max(), 1e-6)
+        w = np.exp(-search.ENSEMBLE_RATE * (losses - losses.min()))
+        assert now._base == pytest.approx(w @ [e[key]._base for e in each] / w.sum(), abs=1e-9)
+
+
+def test_a_failing_configuration_costs_no_other(spark, folder, monkeypatch):
+    plain = search.base_predictions
+
+    def fragile(rows, model, features, pooling, *rest):
+        if model == "bagged" and features == "lean":
+            raise RuntimeError("no bags today")
+        return plain(rows, model, features, pooling, *rest)
+
+    monkeypatch.setattr(search, "base_predictions", fragile)
+    monkeypatch.setattr(search, "STAGES", {k: dict(features=("tiny", "lean")) for k in search.STAGES})
+    results, failed = search.staged_search(events_table(spark, folder), ["mean", "bagged"], "2024-01-21", poolings=("all",))
+    bad = failed.collect()
+    assert {(r.model, r.features, r.stage) for r in bad} == {("bagged", "lean", s) for s in search.STAGES} and "no bags" in bad[0].error
+    assert {r.features for r in results.filter("model = 'bagged'").collect()} == {"tiny"}
+
+
 def test_staged_search_survives_failures(spark, folder):
     results, failed = search.staged_search(events_table(spark, folder), ["mean", "nosuch"], "2024-01-21", poolings=("all",))
     bad = failed.collect()

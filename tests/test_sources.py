@@ -128,16 +128,27 @@ def test_replacing_never_shows_half_a_table(spark, tmp_path):
     assert files.read_current(spark, root, schemas.RAIN_FORECAST).count() == 2
 
 
-def test_partition_upsert_rewrites_touched_months_only(spark, tmp_path):
-    path = str(tmp_path / "p")
-    month = lambda df: df.withColumn("month", F.trunc("date", "month"))
-    order = [F.col("rain_mm")]
-    files.upsert_partitions(month(rain(spark, (1, 1, 1, 5), (2, 1, 1, 5))), path, ["dam", "date", "lead"], order, "month")
-    january = {p.name for p in (tmp_path / "p" / "month=2026-01-01").iterdir()}
-    files.upsert_partitions(month(rain(spark, (2, 1, 1, 9), (2, 1, 1, 3), (2, 2, 1, 1))), path, ["dam", "date", "lead"], order, "month")
-    got = {(r.date, r.rain_mm) for r in spark.read.parquet(path).collect()}
-    assert got == {(dt.date(2026, 1, 1), 5.0), (dt.date(2026, 2, 1), 9.0), (dt.date(2026, 2, 2), 1.0)}
-    assert {p.name for p in (tmp_path / "p" / "month=2026-01-01").iterdir()} == january
+def test_partition_upsert_rewrites_touched_days_only(spark, tmp_path, monkeypatch):
+    root, order = str(tmp_path / "p"), [F.col("rain_mm")]
+    put = lambda *rows: files.upsert_partitions(rain(spark, *rows), root, ["dam", "date", "lead"], order, "date")
+    get = lambda: {(r.date, r.rain_mm) for r in files.read_partitions(spark, root, schemas.RAIN_FORECAST).collect()}
+    assert get() == set()
+    put((1, 1, 1, 5), (2, 1, 1, 5))
+    before = files._live(spark, root)[1]
+    put((2, 1, 1, 9), (2, 1, 1, 3), (2, 2, 1, 1))
+    want = {(dt.date(2026, 1, 1), 5.0), (dt.date(2026, 2, 1), 9.0), (dt.date(2026, 2, 2), 1.0)}
+    assert get() == want
+    after = files._live(spark, root)[1]
+    assert len(after) == 3 and sum(after.get(part) == folder for part, folder in before.items()) == 1
+    # A writer that stops between its data and the manifest changes nothing, and the next one goes on.
+    with monkeypatch.context() as broken:
+        broken.setattr(files, "_commit", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            put((1, 1, 1, 70), (3, 1, 1, 1))
+    assert get() == want
+    put((1, 1, 1, 70))
+    put()
+    assert get() == {(dt.date(2026, 1, 1), 70.0), *[w for w in want if w[0].month > 1]}
 
 
 def test_documents_hold_null_not_nan(spark, tmp_path):

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from headwater.operators import drift
+from headwater.session import materialise
+from headwater.sources.files import read_partitions
 from headwater.streaming import operators as streams
 from headwater.streaming.sources import drain, follow, use_rocksdb
 
@@ -73,18 +75,49 @@ def test_running_stats(spark, tmp_path):
 
 
 def test_upserts_follow_source_rank(spark, tmp_path):
-    schema = "dam string, date date, rain_mm double, source string, seq int, month date"
-    row = lambda d, v, s, q: ("x", DAY + dt.timedelta(d), v, s, q, DAY.replace(month=(DAY + dt.timedelta(d)).month))
+    schema = "dam string, date date, rain_mm double, source string, seq int"
+    row = lambda d, v, s, q: ("x", DAY + dt.timedelta(d), v, s, q)
     parts = [[row(0, 1.0, "forecast", 1), row(1, 1.0, "archive", 1)], [row(0, 2.0, "archive", 2), row(1, 9.0, "forecast", 2)],
              [row(0, 8.0, "forecast", 3), row(40, 4.0, "forecast", 3)], [row(40, 5.0, "forecast", 4)]]
     stream = land(spark, str(tmp_path / "w"), parts, schema)
     out = str(tmp_path / "out")
     order = [F.col("source") == "archive", F.col("seq")]
-    streams.upsert_stream(stream, out, str(tmp_path / "c"), ["dam", "date"], order, "month").awaitTermination()
-    got = {(r.date - DAY).days: r.rain_mm for r in spark.read.parquet(out).collect()}
+    streams.upsert_stream(stream, out, str(tmp_path / "c"), ["dam", "date"], order, "date").awaitTermination()
+    got = {(r.date - DAY).days: r.rain_mm for r in read_partitions(spark, out, stream.schema).collect()}
     assert got == {0: 2.0, 1: 1.0, 40: 5.0}
 
 
+def test_late_readings_go_to_the_side_and_are_settled(spark, tmp_path):
+    use_rocksdb(spark)
+    at = lambda d, h, m=0: dt.datetime(2026, 1, d, h, m)
+    row = lambda dam, d, h, v, m=0: (dam, at(d, h), at(d, h, m), v)
+    parts = [[row("x", 1, 8, 1.0, 9), row("x", 1, 8, 2.0, 3), row("y", 1, 8, 5.0)], [row("x", 9, 8, 3.0), row("x", 1, 8, 7.0)],
+             [row("x", 1, 8, 8.0), row("x", 2, 8, 4.0, 5), row("x", 2, 8, 6.0, 1), row("x", 9, 8, 9.0), row("y", 2, 8, 1.0)]]
+    stream = land(spark, str(tmp_path / "in"), parts, "dam string, hour timestamp_ntz, seen timestamp_ntz, v double")
+    found = streams.first_seen_or_late(stream, "dam", "hour", "seen", "2 days", salts=1)
+    streams.stored_batches(found, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    stored = spark.read.schema(found.schema).parquet(str(tmp_path / "out"))
+    # The second batch may still tell that x has the first day's key; the third is eight days behind.
+    assert sorted((r.dam, r.hour.day, r.v) for r in stored.filter("late").collect()) == [("x", 1, 8.0), ("x", 2, 6.0)]
+    settled = streams.settle(stored, ["dam", "hour"], "seen").collect()
+    assert sorted((r.dam, r.hour.day, r.v) for r in settled) == [("x", 1, 2.0), ("x", 2, 6.0), ("x", 9, 3.0), ("y", 1, 5.0), ("y", 2, 1.0)]
+
+
+def test_drift_windows_in_steps_equal_the_whole_log(spark):
+    rng = np.random.default_rng(4)
+    errors = [("a", 1, DAY + dt.timedelta(n), float(rng.exponential(0.3 if n % 90 < 45 else 3))) for n in range(200)]
+    errors += [("b", 2, DAY + dt.timedelta(n), 0.3) for n in range(40)] + [("c", 1, DAY, None), ("a", 2, DAY, float("nan"))]
+    schema = "dam string, horizon int, target_date date, abs_err_model double"
+    state, events = None, []
+    for begin in range(0, 200, 25):
+        part = [e for e in errors if begin <= (e[2] - DAY).days < begin + 25]
+        step = materialise(drift.drift_step(state, spark.createDataFrame(part, schema)), "step")
+        state, events = step.drop("events"), events + drift.events_of(step).collect()
+    whole = drift.drift_events(spark.createDataFrame(errors, schema)).collect()
+    assert sorted(map(tuple, events)) == sorted(map(tuple, whole)) != []
+    assert state.count() == 2
+
+
 def test_daily_windows_close_behind_the_watermark(spark, tmp_path):
     at = lambda d, h: dt.datetime(2026, 1, d, h)
     parts = [[(at(1, 1), True), (at(1, 5), False)], [(at(2, 3), True)], [(at(1, 9), True)], [(at(4, 1), False)]]
