@@ -18,8 +18,9 @@ RECURRING = 0.5  # of a host's different pages: a subtree on more of them is tem
 LEAST_PAGES = 10  # different pages of a host that a template subtree is on, at least
 SALTS = 64  # tasks that the pages of one host are dealt out to
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# A quotation begins only right after an equals sign, as in browsers.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>", re.S)
+ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[a-z0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg title".split())
@@ -31,6 +32,8 @@ notice notices alert popup modal overlay sidebar menu nav navbar navigation brea
 comment comments reply replies disqus newsletter subscribe subscription signup login search widget pagination pager footer contentinfo
 complementary toolbar skip""".split())
 OUT_ABOVE = frozenset("header masthead topbar".split())
+# What follows a marking word in names like "ad-slot" or "comment-list": fixed list.
+PARTS = frozenset("area bar block body bottom box button card cell container content form frame header holder inner item items left link links list module outer panel position right row section slot space text title top unit wrap wrapper".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd tr td th caption figcaption".split())
 # An opening tag ends the open elements of these names, up to the element that holds them.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -38,12 +41,20 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 HOLDS = frozenset("ul ol dl table article section main div body td th blockquote".split())
 
 
+def meaning(name: str) -> tuple[str, ...]:
+    """What a class, id or role may say: the name, its last word ("site-footer"), and its first one
+    where only parts of a page follow ("ad-slot"). An "ad-free" line and a "notice-board" say neither."""
+    words = [w for w in NAME.findall(name) if not w.isdigit()]
+    first = words[:1] if all(w in PARTS or w in OUT_NAMES for w in words[1:]) else []
+    return (name, *words[-1:], *first)
+
+
 class Node:
     __slots__ = ("children", "names", "seal", "tag")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.children, self.seal = tag, [], None
-        self.names = frozenset(n for _, *values in ATTRIBUTE.findall(attributes) for n in NAME.findall("".join(values).lower())) if attributes else frozenset()
+        self.names = frozenset(n for _, *values in ATTRIBUTE.findall(attributes) for w in "".join(values).lower().split() for n in meaning(w)) if attributes else frozenset()
 
 
 def parse(page: str) -> Node:
@@ -108,14 +119,20 @@ def article(root: Node) -> tuple[list[Node], bool]:
 
 def seal(node: Node, marked: bool, out: set[int] | None = None) -> int:
     """A hash of the subtree's elements and words; adds those of removable subtrees to `out`."""
-    if node.seal is None:
+    open_ = [(node, False)]
+    while open_:
+        node, ready = open_.pop()
+        if not ready:
+            open_.append((node, True))
+            open_ += [(c, False) for c in node.children if not isinstance(c, str) and c.seal is None and not _is_out(c, True)]
+            continue
         hasher = xxhash.xxh3_64()
         hasher.update(node.tag)
         for child in node.children:
             if isinstance(child, str):
                 hasher.update(" ".join(child.split()))
-            elif not _is_out(child, True):
-                hasher.update(b"<%d>" % seal(child, marked, out))
+            elif child.seal is not None:
+                hasher.update(b"<%d>" % child.seal)
         node.seal = hasher.intdigest() - (1 << 63)
         if out is not None and node.tag not in INLINE and not (marked and node.tag in PROSE):
             out.add(node.seal)
@@ -123,20 +140,28 @@ def seal(node: Node, marked: bool, out: set[int] | None = None) -> int:
 
 
 def blocks(node: Node, marked: bool, template: frozenset[int], lines: list[str], open_: list[str]) -> None:
-    for child in node.children:
-        if isinstance(child, str):
+    """The text of a subtree, a line for each block, without what goes; `open_` is the line that has begun."""
+    if template:
+        seal(node, marked)
+    stack = [iter(node.children)]
+    inside: list[Node] = []  # the elements whose children are being read
+    while stack:
+        child = next(stack[-1], None)
+        if child is None:
+            stack.pop()
+            if inside and inside.pop().tag not in INLINE:
+                _flush(lines, open_)
+        elif isinstance(child, str):
             open_.append(child)
         elif child.tag == "br":
             open_.append(" ")
         elif not _is_out(child, True):
-            if template and child.tag not in INLINE and not (marked and child.tag in PROSE) and seal(child, marked) in template:
-                continue
-            if child.tag in INLINE:
-                blocks(child, marked, template, lines, open_)
-            else:
-                _flush(lines, open_)
-                blocks(child, marked, template, lines, open_)
+            if child.tag not in INLINE:
+                if child.seal in template and not (marked and child.tag in PROSE):
+                    continue
                 _flush(lines, open_)
+            inside.append(child)
+            stack.append(iter(child.children))
 
 
 def _flush(lines: list[str], open_: list[str]) -> None:
