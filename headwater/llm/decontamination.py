@@ -224,8 +224,12 @@ def _block_leaks(docs: DataFrame, chosen: pa.Table, similarity: float, schema) -
     # Spread anew: what aligns long is not where it was counted.
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     passages = distinct.repartition(tasks, "item", "ids").mapInArrow(score, "item int, ids array<int>, score double, begin long, n_words long")
-    passages = materialise(passages, "passages").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
-    found = regions.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS))).join(passages, ["item", "ids", "salt"])
+    # Back to the documents by 128 bits of hash of the passage: rows of a few numbers.
+    seals = F.xxhash64("ids").alias("seal"), F.xxhash64(F.lit("second"), "ids").alias("second")
+    passages = materialise(passages.select("item", *seals, "score", "begin", "n_words"), "passages")
+    passages = passages.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    salt = F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).alias("salt")
+    found = regions.select("doc_id", "item", "at", *seals, salt).join(passages, ["item", "seal", "second", "salt"])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
