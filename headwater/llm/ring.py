@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 POINTS = 4096  # places on the ring
 VIRTUAL = 64  # places that each shard takes
+PARTS = 32  # of a place's rows, sorted apart
 
 
 def ring(shards: int, points: int = POINTS, virtual: int = VIRTUAL) -> list[int]:
@@ -69,7 +70,8 @@ def shard(docs: DataFrame, shards: int = 24, points: int = POINTS, virtual: int
     so counts differ by one at most and all rows find room. size is the text's bytes
     and 8; a NULL text has none and the checksum of nothing. slot counts a shard's rows
     from 0 without gaps. Rows with equal or NULL doc_id lie side by side on the ring and
-    may be parted by a full shard. An empty table gives an empty one.
+    may be parted by a full shard; a place's rows are ranked in PARTS by a hash of the row, each after
+    the counts of those before it, so one doc_id is no single sort. An empty table gives an empty one.
 
     One count per place on the ring (`points`, fixed) reaches the driver; the walk over
     full shards is done on these counts, and rows look up their piece by rank.
@@ -84,9 +86,15 @@ def shard(docs: DataFrame, shards: int = 24, points: int = POINTS, virtual: int
         *(F.col("p")[i].alias(c) for i, c in enumerate(("point", "begin", "end", "shard", "first_slot"))))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"),
-                       F.crc32(text).alias("text_crc32"), at.cast("bigint").alias("point"))
-    order = Window.partitionBy("point").orderBy(F.xxhash64("doc_id"), "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(order).cast("bigint") - 1)
+                       F.crc32(text).alias("text_crc32"), at.cast("bigint").alias("point"),
+                       F.pmod(F.xxhash64("doc_id", text), F.lit(PARTS)).alias("part"))
+    sizes = rows.groupBy("point", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("point").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # A count per place and part of it: points * PARTS rows, whatever the data.
+    offsets = sizes.select("point", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    order = Window.partitionBy("point", "part").orderBy(F.xxhash64("doc_id"), "doc_id", "text_crc32", "size")
+    ranked = rows.withColumn("place", F.row_number().over(order).cast("bigint") - 1).join(F.broadcast(offsets), ["point", "part"])
+    ranked = ranked.withColumn("rank", F.col("place") + F.col("before"))
     # The pieces are a few per place on the ring: a bound that no data moves.
     found = ranked.join(F.broadcast(table), "point").filter("rank >= begin and rank < end")
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),

@@ -203,6 +203,25 @@ def test_ring_shards(spark):
     assert {(r.size, r.text_crc32) for r in rows if r.doc_id == 0} == {(8, 0)}
     assert {(r.size, r.text_crc32) for r in rows if r.doc_id == 5 and r.size == 10} == {(10, zlib.crc32("é".encode()))}
     assert ring.shard(docs.limit(0)).count() == 0
+    # Each shard has what a plain clockwise walk gives it.
+    point = {r.doc_id: r.p for r in docs.select("doc_id", F.pmod(F.shiftrightunsigned(F.xxhash64("doc_id"), 20), F.lit(ring.POINTS)).alias("p")).collect()}
+    owner, counts = ring.ring(24), collections.Counter(point[i] for i in ids)
+    room = [len(ids) // 24 + (s < len(ids) % 24) for s in range(24)]
+    walked, over = collections.Counter(), []
+    for p in sorted(counts):
+        for _ in range(counts[p]):
+            if walked[owner[p]] < room[owner[p]]:
+                walked[owner[p]] += 1
+            else:
+                over.append(p)
+    home = collections.Counter({s: n for s, n in walked.items()})
+    for p in over:
+        while walked[owner[p]] >= room[owner[p]]:
+            p = (p + 1) % ring.POINTS
+        walked[owner[p]] += 1
+    assert {s: len(v) for s, v in slots.items()} == walked
+    at_home = collections.Counter(r.shard for r in rows if owner[point[r.doc_id]] == r.shard)
+    assert all(at_home[s] >= home[s] for s in range(24)) and sum(at_home.values()) >= sum(home.values())
     # Most keys stay at home, and a further shard takes places without moving others.
     owner, grown = ring.ring(24), ring.ring(25)
     assert {g for o, g in zip(owner, grown) if o != g} == {24}
@@ -454,6 +473,39 @@ def test_pages(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_quotations_and_names_as_browsers_read_them():
+    assert html.main_text("<p title=it's>first</p><p>next</p>") == "first\nnext"
+    assert html.main_text("<p>don't</p><p data-x=o'k>mid</p><p>it's last</p>") == "don't\nmid\nit's last"
+    assert html.main_text("<p title='a > b' class=\"x>y\">kept</p>") == "kept"
+    assert html.main_text('<article><p>an <span class="ad-free">ad-free</span> page</p><div class="notice-board">Board</div></article>') == "an ad-free page\nBoard"
+    gone = ("ad", "ad-slot", "site-footer", "cookie-notice", "comment-list", "ad-box-2", "main-nav", "related sidebar", "comments-section")
+    assert html.main_text("<article><p>text</p>" + "".join(f'<div class="{g}">{g}</div>' for g in gone) + "</article>") == "text"
+    assert html.main_text('<article><p data-class="ad" data-id=menu>text</p></article>') == "text"
+    assert html.main_text("<p " + 'a="b" ' * 2000 + "never closed") == "<p " + 'a="b" ' * 2000 + "never closed"
+
+
+@pytest.mark.parametrize("tag", ["div", "span", "article", "section"])
+def test_deep_nesting(spark, tag):
+    deep = f"<{tag}>" * 10_000 + "deep" + f"</{tag}>" * 10_000
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", f"<p>{i}</p>{deep}") for i in range(12)], "page_id long, url string, html string")
+    assert all(r.text.endswith("deep") or r.text == str(r.page_id) for r in html.extract(pages).collect())
+    assert html.main_text(deep) == "deep"
+
+
+@pytest.mark.parametrize("count", [9, 10, 11])
+def test_templates_equal_a_plain_count(spark, count):
+    """Subtrees on over half of a host's different pages, where that is ten pages or more."""
+    draw = random.Random(count)
+    pages = [(i, "http://h.example/p", "".join(f"<div>part {k}</div>" for k in range(12) if draw.random() < (k + 1) / 12) + f"<div>own {i}</div>") for i in range(count)]
+    pages += pages[:3]  # copies count once
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    texts = {i: p for i, _, p in pages}
+    held = collections.Counter(part for p in texts.values() for part in set(p.split("</div>")[:-1]))
+    gone = {part for part, n in held.items() if n >= html.LEAST_PAGES and n > html.RECURRING * len(texts)}
+    want = {i: "\n".join(part[5:] for part in p.split("</div>")[:-1] if part not in gone) for i, p in texts.items()}
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == want and bool(gone) == (count >= 10)
+
+
 def test_broken_markup():
     assert html.main_text("<div><p>one</p>two<script>x</p></script></div><table><tr><td>a<td>b<tr><td>c</table>") == "one\ntwo\na\nb\nc"
     assert html.main_text("a < b & c <") == "a < b & c <"
