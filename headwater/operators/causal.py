@@ -35,12 +35,13 @@ def pool_key(scheme: str) -> Column:
 
 
 def label_prefix(rows: DataFrame, keys: Sequence[str], sums: Mapping[str, Column],
-                 known: Column | None = None) -> DataFrame:
+                 known: Column | None = None, before: DataFrame | None = None) -> DataFrame:
     """Sums over labels known up to each issue date, one row per (keys, date).
 
     `rows` needs date, label_date and target_delta. Each row contributes at its
     label date; zero rows at the issue dates turn the later lookup into an equi
-    join. `known` says which rows are labelled.
+    join. `known` says which rows are labelled. `before` has the sums of labels that
+    `rows` no longer hold, as of a date: an earlier call's row of each key.
     """
     known = F.col("target_delta").isNotNull() if known is None else known
     label = F.struct(
@@ -54,6 +55,8 @@ def label_prefix(rows: DataFrame, keys: Sequence[str], sums: Mapping[str, Column
         .groupBy(*keys, F.col("_c.at").alias("date"))
         .agg(*[F.sum(f"_c.{n}").alias(n) for n in sums])
     )
+    if before is not None:
+        blocks = blocks.unionByName(before.select(*blocks.columns)).groupBy(*keys, "date").agg(*[F.sum(n).alias(n) for n in sums])
     past = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return blocks.withColumns({n: F.sum(n).over(past) for n in sums})
 
@@ -66,13 +69,19 @@ def _moments(value: Column) -> dict[str, Column]:
     }
 
 
-def target_scale(rows: DataFrame, minimum: int = 2, floor: float | None = None) -> DataFrame:
+def target_moments(rows: DataFrame, known: Column | None = None, before: DataFrame | None = None) -> DataFrame:
+    """(dam, date, past_n, past_sum, past_sq): sums of each dam's known targets per date."""
+    return label_prefix(rows, ["dam"], _moments(F.col("target_delta")), known, before)
+
+
+def target_scale(rows: DataFrame, minimum: int = 2, floor: float | None = None, past: DataFrame | None = None) -> DataFrame:
     """Past count, mean and spread of each dam's target per issue date.
 
     `scale` is NULL below `minimum` labels; without a floor also where the
     spread is flat, and then nothing is scaled, neither target nor prediction.
+    `past` may give the moments.
     """
-    past = label_prefix(rows, ["dam"], _moments(F.col("target_delta")))
+    past = target_moments(rows) if past is None else past
     sd = population_sd(F.col("past_n"), F.col("past_sum"), F.col("past_sq"))
     usable = F.greatest(sd, F.lit(floor)) if floor else F.when(sd > FLAT_SD, sd)
     return past.select(

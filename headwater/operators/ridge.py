@@ -236,6 +236,12 @@ def ridge_variants(table: DataFrame, features: Sequence[str], variants: Sequence
         models = variant_models(cross_product_blocks(ready, features), features, variants)
     else:
         models = entity_models(ready, features, variants)
+    return with_models(table, key, models, features, scaled, name, keep_null)
+
+
+def with_models(table: DataFrame, key: Column, models: DataFrame, features: Sequence[str], scaled: bool = True,
+                name: str = "model", keep_null: bool = False) -> DataFrame:
+    """Each row with the prediction of its pool's model of its date."""
     models = models.withColumn("_date", F.date_from_unix_date("day")).drop("day")
     joined = table.withColumn("_pool", key).join(
         models.withColumnRenamed("pool", "_pool").withColumnRenamed("_date", "date"), ["_pool", "date"], "left"
