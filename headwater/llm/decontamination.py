@@ -20,6 +20,7 @@ ITEMS = 20_000  # test items in a block; each block reads the texts twice
 SALTS = 16  # places that documents of one passage are dealt out to
 EDGE = re.compile(r"^\W+|\W+$")
 MARKS = ".,;:!?"
+HITS = 3  # seeds that a passage holds; short items have fewer
 HELD_WORDS = 150_000  # words that a task keeps numbered; more only cost time
 SPACES = classes(b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f")
 
@@ -71,15 +72,19 @@ class Block:
         first = np.searchsorted(row, np.arange(len(column)))
         return ids, row, np.arange(len(ids)) - first[row] if len(ids) else row
 
-    def seeds(self, counts: np.ndarray, similarity: float) -> dict[int, list[int]]:
+    def needed(self, similarity: float, hits: int = HITS) -> np.ndarray:
+        """How many seeds of each item a passage must hold."""
+        return np.array([min(hits, math.ceil(similarity * len(w) - 1e-9)) for w in self.words], np.int64)
+
+    def seeds(self, counts: np.ndarray, similarity: float, hits: int = HITS) -> dict[int, list[int]]:
         """The items that each word leads to: for every item the rarest of its words, by `counts`.
 
         A passage that scores `similarity` has at least that share of the item's words. So if all but
-        that many less one are seeds, it holds one at least, whatever its edits.
+        that many are seeds, and `needed` more, it holds as many seeds at least, whatever its edits.
         """
         found: dict[int, list[int]] = {}
-        for i, words in enumerate(self.words):
-            spared = max(0, math.ceil(similarity * len(words) - 1e-9) - 1)
+        for i, (words, need) in enumerate(zip(self.words, self.needed(similarity, hits).tolist())):
+            spared = max(0, math.ceil(similarity * len(words) - 1e-9) - need)
             order = np.lexsort((words, counts[words]))
             for word in np.unique(words[order[: len(words) - spared]]).tolist():
                 found.setdefault(word, []).append(i)
@@ -168,6 +173,7 @@ def _block_leaks(docs: DataFrame, chosen: pa.Table, similarity: float, schema) -
     seeded = {w: np.array(items, np.int64) for w, items in block.seeds(counts, similarity).items()}
     is_seed = np.zeros(len(counts), bool)
     is_seed[list(seeded)] = True
+    need = block.needed(similarity) if block.words else np.ones(1, np.int64)
     spans = np.array([reach(len(w), similarity) for w in block.words] or [0])
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,6 +186,12 @@ def _block_leaks(docs: DataFrame, chosen: pa.Table, similarity: float, schema) -
             at = np.repeat(at, many)
             order = np.lexsort((at, item, row[at]))
             at, item = at[order], item[order]
+            # Only where the last of the needed seeds is as near to the first as a passage reaches.
+            last = np.arange(len(at)) + need[item] - 1 if len(at) else at
+            first = np.flatnonzero(last < len(at))
+            last = last[first]
+            near = (item[last] == item[first]) & (row[at[last]] == row[at[first]]) & (at[last] - at[first] < spans[item[first]])
+            at, item = at[first[near]], item[first[near]]
             edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
             begin = np.maximum(at - spans[item] + 1, edge[row[at]])
             end = np.minimum(at + spans[item], edge[row[at] + 1])
