@@ -9,10 +9,5 @@ from headwater.sources import views
 
 
 def events_table(spark: SparkSession, folder: str, registered: bool = False) -> DataFrame:
-    return modelling_table(
-        views.daily(spark, folder),
-        views.weather(spark, folder),
-        views.forecasts(spark, folder),
-        views.alerts(spark, folder),
-        views.registry(spark, folder) if registered else None,
-    )
+    daily, weather, forecasts, alerts = views.roles_of(views.event_days(spark, folder))
+    return modelling_table(daily, weather, forecasts, alerts, views.registry(spark, folder) if registered else None)

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from headwater.constants import DAILY_VARIABLES
 from headwater.functions.clean import alert_kind, blank_undefined_reference, is_alert
 from headwater.operators.series import daily_first, densify
+from headwater.session import materialise
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,7 +49,11 @@ def references(spark: SparkSession, folder: str) -> DataFrame:
 
 def daily(spark: SparkSession, folder: str) -> DataFrame:
     """First reading per dam and day, with the deviations from its references."""
-    levels = daily_first(readings(spark, folder)).join(references(spark, folder), "dam", "left")
+    return _with_references(daily_first(readings(spark, folder)), references(spark, folder))
+
+
+def _with_references(levels: DataFrame, refs: DataFrame) -> DataFrame:
+    levels = levels.join(refs, "dam", "left")
     levels = levels.withColumns(
         {
             "dev_nhwl_m": F.col("rwl_m") - F.col("nhwl_m"),
@@ -72,7 +78,10 @@ def weather(spark: SparkSession, folder: str) -> DataFrame:
 
 def forecasts(spark: SparkSession, folder: str) -> DataFrame:
     """Lead forecasts issued with each first reading; how far they reach varies."""
-    first = daily_first(readings(spark, folder))
+    return _lead_forecasts(daily_first(readings(spark, folder)))
+
+
+def _lead_forecasts(first: DataFrame) -> DataFrame:
     reach = F.least(F.lit(7), F.floor(F.col("inflow_cms") / 10).cast("int") + 1)
     issued = first.select("dam", F.col("date").alias("issue"), "rwl_m", F.explode(F.sequence(F.lit(1), reach)).alias("lead"))
     return issued.select(
@@ -81,12 +90,13 @@ def forecasts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def basin_name():
+    return F.concat(F.lit("Basin "), F.col("user_id").cast("string"), F.when(F.col("user_id") % 10 == 0, " Sub-basin").otherwise(""))
+
+
 def alert_readings(spark: SparkSession, folder: str) -> DataFrame:
     """Every alert reading: an error event raises the alert."""
-    name = F.concat(
-        F.lit("Basin "), F.col("user_id").cast("string"),
-        F.when(F.col("user_id") % 10 == 0, " Sub-basin").otherwise(""),
-    )
+    name = basin_name()
     status = F.when(F.col("event_type") == "error", "Flood Watch").otherwise("Non-Flood Watch")
     return table(spark, folder, "events").select(
         name.alias("basin"), status.alias("status"), is_alert(status).alias("on_watch"),
@@ -101,6 +111,41 @@ def alerts(spark: SparkSession, folder: str) -> DataFrame:
     ).withColumn("status", F.when(F.col("on_watch"), "Flood Watch").otherwise("Non-Flood Watch"))
 
 
+def event_days(spark: SparkSession, folder: str) -> DataFrame:
+    """What every role needs of a user's day, from one pass over the events and written once.
+
+    The roles below that are made of it read a row per user and day, not the events.
+    """
+    value, key = F.col("value"), F.col("k")
+    events = table(spark, folder, "events").withColumn("k", run_key())
+    days = events.groupBy("user_id", F.to_date("ts").alias("date")).agg(
+        F.min_by(value, "ts").alias("rwl_m"), F.min_by(key, "ts").alias("inflow_cms"), F.min_by(key / 2, "ts").alias("outflow_cms"),
+        F.sum(F.when(F.col("event_type").isin("view", "click"), value)).alias("precipitation_sum"), F.count(value).alias("n"),
+        F.sum(value).alias("total"), F.sum(value * value).alias("squares"), F.avg(value).alias("temperature_2m_mean"),
+        F.max(value).alias("temperature_2m_max"), F.avg(key).alias("relative_humidity_2m_mean"), F.min(value).alias("et0_fao_evapotranspiration"),
+        F.max(F.col("event_type") == "error").alias("on_watch"), F.max("ts").alias("scraped_at"))
+    return materialise(days, "event-days")
+
+
+def _level_days(days: DataFrame) -> DataFrame:
+    return days.select(dam_id(), "date", "rwl_m", "inflow_cms", "outflow_cms")
+
+
+def roles_of(days: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(daily, weather, forecasts, alerts) of `event_days`, as the functions above give them."""
+    n, total, squares = (F.sum(c) for c in ("n", "total", "squares"))
+    mean = total / n
+    spread = F.sqrt(F.greatest(squares / n - mean * mean, F.lit(0.0)))
+    refs = days.groupBy("user_id").agg(mean.alias("mean"), spread.alias("spread")).select(
+        dam_id(), F.when(F.col("user_id") % 5 == 0, 0.0).otherwise(F.col("mean") + 1.5 * F.col("spread")).alias("nhwl_m"),
+        F.when(F.col("user_id") % 3 == 0, 0.0).otherwise(F.col("mean") + 0.5 * F.col("spread")).alias("rule_curve_m"))
+    observed = days.select(dam_id(), "date", *DAILY_VARIABLES)
+    name = basin_name()
+    states = days.select(name.alias("basin"), alert_kind(name).alias("kind"), "date", "on_watch", "scraped_at")
+    states = states.withColumn("status", F.when(F.col("on_watch"), "Flood Watch").otherwise("Non-Flood Watch"))
+    return _with_references(_level_days(days), refs), densify(observed), _lead_forecasts(_level_days(days)), states
+
+
 def registry(spark: SparkSession, folder: str) -> DataFrame:
     """Customers as registered dams, placed by nation."""
     nation = table(spark, folder, "nation")
