@@ -9,14 +9,17 @@ import string
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-HELD_BYTES = 1 << 25  # of words that a task keeps encoded, about; more only cost time
+HELD_BYTES = 1 << 27  # of words that a task keeps encoded, about; more only cost time
+AT_ONCE = 1 << 18  # ids whose bytes are put together
 ENTRY = 180  # bytes that a kept word takes beside its letters and ids
 LONG_PIECE = 48
 NO_RANK = 1 << 62
@@ -123,9 +126,10 @@ class Encoder:
         self.ranks = read_ranks(lines)
         self.code = "H" if max(self.ranks.values(), default=0) < 1 << 16 else "I"
         top = max(self.ranks.values(), default=-1) + 1
-        self.pieces, self.decimals = [b""] * top, [b"%d" % i for i in range(top)]
+        pieces = [b""] * top
         for token, rank in self.ranks.items():
-            self.pieces[rank] = token
+            pieces[rank] = token
+        self.pieces, self.decimals = pa.array(pieces, pa.large_binary()), pa.array([b"%d " % i for i in range(top)], pa.large_binary())
         self.split = Splitter(pattern)
         self.known: dict[str, bytes] = {}
         self.held = 0
@@ -149,15 +153,48 @@ class Encoder:
             return found[0] if word in self.known else self._keep(word, found[0])
         return self._keep(word, b"".join(found))
 
-    def text(self, text: str | None) -> list[int]:
-        """The ids of a text."""
+    def text(self, text: str | None) -> bytes:
+        """The ids of a text, packed."""
         if not text:
-            return []
+            return b""
         cut = words(text)
         found = list(map(self.known.get, cut))
         if None in found:
             found = [self.word(w) if f is None else f for f, w in zip(found, cut)]
-        return array(self.code, b"".join(found)).tolist()
+        return b"".join(found)
+
+    def ids(self, text: str | None) -> list[int]:
+        return array(self.code, self.text(text)).tolist()
+
+    def digests(self, packed: list[bytes]) -> list[tuple[int, str, str]]:
+        """For each list of ids their number, the hash of their decimals joined by a space, and that of
+        the bytes they decode to. The bytes of some AT_ONCE ids are put together at a time."""
+        ids, out = np.frombuffer(b"".join(packed), f"<u{array(self.code).itemsize}"), []
+        ends = np.cumsum([len(p) // ids.itemsize for p in packed]).tolist()
+        hashers, row, begin = [hashlib.sha256(), hashlib.sha256()], 0, 0
+        for at in range(0, max(len(ids), 1), AT_ONCE):
+            some = pa.array(ids[at : at + AT_ONCE])
+            joined = [self._joined(column, some) for column in (self.decimals, self.pieces)]
+            stop = at + len(some)
+            while row < len(ends) and (ends[row] <= stop or stop > begin):
+                upto = min(ends[row], stop)
+                whole = ends[row] <= stop
+                for k, (hasher, (edges, data)) in enumerate(zip(hashers, joined)):
+                    first = max(begin, at) - at
+                    # No space after the last decimals.
+                    hasher.update(data[edges[first] : edges[upto - at] - (k == 0 and whole and ends[row] > begin)])
+                if not whole:
+                    break
+                out.append((ends[row] - begin, hashers[0].hexdigest(), hashers[1].hexdigest()))
+                hashers, begin, row = [hashlib.sha256(), hashlib.sha256()], ends[row], row + 1
+        return out
+
+    @staticmethod
+    def _joined(column: pa.Array, ids: pa.Array) -> tuple[list[int], memoryview]:
+        """(edges of the entries, all of them one after the other)."""
+        taken = column.take(ids)
+        edges = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, taken.offset * 8)
+        return edges, memoryview(taken.buffers()[2] or b"")
 
 
 def encode(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -169,7 +206,7 @@ def encode(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers
     def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(lines, pattern)
         for texts in batches:
-            yield pd.Series([encoder.text(t) for t in texts])
+            yield pd.Series([encoder.ids(t) for t in texts])
 
     return docs.withColumn("ids", of_texts("text"))
 
@@ -201,12 +238,13 @@ def round_trip(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokeni
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(lines, pattern)
         for texts in batches:
-            rows = []
-            decimals, pieces = encoder.decimals, encoder.pieces
+            rows, held = [], []
             for text in texts:
-                ids = encoder.text(text)
-                rows.append((len(ids), hashlib.sha256(b" ".join([decimals[i] for i in ids])).hexdigest(),
-                             hashlib.sha256(b"".join([pieces[i] for i in ids])).hexdigest()))
+                held.append(encoder.text(text))
+                if sum(map(len, held)) >= 2 * AT_ONCE:
+                    rows += encoder.digests(held)
+                    held = []
+            rows += encoder.digests(held)
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", digests("text").alias("d")).select("doc_id", "d.*")

@@ -47,6 +47,22 @@ def test_bpe_equals_the_library(spark):
     assert all(bytes(r.text_bytes) == (r.text or "").encode() for r in again)
 
 
+def test_digests_of_ids_at_once(monkeypatch):
+    """Texts that end before, at and after the ids that are put together, and far longer ones."""
+    with open(bpe.RANKS, "rb") as file:
+        encoder = bpe.Encoder(file.read(), P.PATTERN)
+    draw = random.Random(3)
+    texts = [None, "", "a", *[" ".join(prose(i, 1, length=draw.randint(0, 40))) for i in range(60)], "word " * 500, "", "b", None]
+    want = []
+    for text in texts:
+        ids = encoder.ids(text)
+        want.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    for size in (1, 2, 7, 64, 1 << 18):
+        monkeypatch.setattr(bpe, "AT_ONCE", size)
+        assert encoder.digests([encoder.text(t) for t in texts]) == want
+    assert encoder.digests([]) == []
+
+
 def test_words_split_as_whole_texts_do():
     draw, split, pattern = random.Random(1), bpe.Splitter(P.PATTERN), regex.compile(P.PATTERN)
     for _ in range(20_000):
