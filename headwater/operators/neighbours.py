@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from headwater.functions.numeric import finite_or_zero
 from headwater.operators.causal import pool_key, scaled_target, unscaled
+from headwater.operators.ridge import in_buckets
 from headwater.session import materialise
 
 QUERIES_PER_TASK = 20_000
@@ -95,9 +96,9 @@ def causal_knn(table: DataFrame, features: Sequence[str], keys: Sequence[str], p
         answers = _everything(rows, x, keys, k, schema)
     elif memory is None:
         def within(frame: pd.DataFrame) -> pd.DataFrame:
-            return _answers(frame, frame[frame["y"].notna()], x, keys, k, None)
+            return pd.concat([_answers(part, part[part["y"].notna()], x, keys, k, None) for _, part in frame.groupby("pool", sort=False)])
 
-        answers = rows.groupBy("pool").applyInPandas(within, schema)
+        answers = in_buckets(rows).applyInPandas(within, schema)
     else:
         answers = _remembering(rows, x, keys, k, memory, block_days, schema)
     answers = answers.withColumn("_knn", F.when(~F.isnan("_knn"), F.col("_knn")))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from headwater.constants import FLAT_SD, Z_CLIP
 from headwater.functions.numeric import clip, finite_or_zero
 from headwater.operators.causal import pool_key, scaled_target, unscaled
+from headwater.session import materialise
 
 # Blocks a task holds before it passes them on; bounds its memory.
 HELD_BLOCKS = 2048
@@ -175,11 +176,15 @@ def variant_models(blocks: DataFrame, features: Sequence[str], variants: Sequenc
 def entity_models(rows: DataFrame, features: Sequence[str], variants: Sequence[Variant]) -> DataFrame:
     """The same for pools within one entity, whose rows the calendar bounds.
 
-    A pool then has at most one row per day and horizon, and is solved whole.
+    A pool then has at most one row per day and horizon, and is solved whole. Tasks
+    take buckets of pools: a Python call for each would cost more than its solves.
     """
     p = len(features)
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([fit_pool(part) for _, part in frame.groupby("pool", sort=False)])
+
+    def fit_pool(frame: pd.DataFrame) -> pd.DataFrame:
         days = np.unique(frame["day"].to_numpy())
         known = frame[frame["y"].notna() & (frame["w"] > 0)]
         slot = np.searchsorted(days, known["label_day"].to_numpy())
@@ -189,7 +194,13 @@ def entity_models(rows: DataFrame, features: Sequence[str], variants: Sequence[V
         np.add.at(blocks, slot[inside], u[inside, :, None] * u[inside, None, :])
         return _models(frame["pool"].iloc[0], days, np.cumsum(blocks, axis=0), features, variants)
 
-    return rows.groupBy("pool").applyInPandas(fit, MODEL_SCHEMA)
+    return in_buckets(rows).applyInPandas(fit, MODEL_SCHEMA)
+
+
+def in_buckets(rows: DataFrame):
+    """Rows grouped by buckets of whole pools, some to a task whatever the number of pools."""
+    buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.groupBy(F.pmod(F.xxhash64("pool"), F.lit(buckets)).alias("bucket"))
 
 
 def linear_prediction(features: Sequence[str], bound: float = Z_CLIP) -> Column:
@@ -233,7 +244,9 @@ def ridge_variants(table: DataFrame, features: Sequence[str], variants: Sequence
     key = pool_key(pooling) if pool is None else pool
     ready = _ready(table, key, features, scaled_target(scaled), F.lit(1.0) if weight is None else weight)
     if pooling in ("all", "dam"):
-        models = variant_models(cross_product_blocks(ready, features), features, variants)
+        # Written, so that the join with the rows knows their size: a few per day, they are
+        # broadcast where that is small, and whole days of rows stay where they are.
+        models = materialise(variant_models(cross_product_blocks(ready, features), features, variants), "models")
     else:
         models = entity_models(ready, features, variants)
     return with_models(table, key, models, features, scaled, name, keep_null)

@@ -209,6 +209,21 @@ def incremental_bounds(spark, folder):
     return incremental.trailing(views.daily(spark, folder).select("dam", "date", "rwl_m"), 10)
 
 
+@register("next_ranges", f"""{with_ctes(DAILY)}, dams AS (SELECT DISTINCT dam FROM daily)
+SELECT dam, 'stored' AS kind, greatest(DATE '2024-01-05', (SELECT max(date) - 10 FROM daily)) AS start_date, DATE '2024-02-15' AS end_date FROM dams
+UNION ALL SELECT dam, 'early', greatest(DATE '2024-01-05', (SELECT max(date) - 10 FROM daily WHERE date <= DATE '2024-01-08')), DATE '2024-02-15' FROM dams
+UNION ALL SELECT dam, 'new', DATE '2024-01-05', DATE '2024-02-15' FROM dams""")
+def next_ranges(spark, folder):
+    """What to request with a store, with one that ends before the backfill's trailing days begin, and without."""
+    daily = views.daily(spark, folder)
+    dams = daily.select("dam").distinct()
+    start, until = (F.lit(d).cast("date") for d in ("2024-01-05", "2024-02-15"))
+    early = daily.filter(F.col("date") <= F.lit("2024-01-08").cast("date"))
+    parts = [incremental.next_range(stored, 10, start, until, dams).withColumn("kind", F.lit(kind))
+             for stored, kind in ((daily, "stored"), (early, "early"), (None, "new"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @register("dashboard_dams", f"""{with_ctes(DAILY, CHANGE, TARGETS, REVERSION)}
 SELECT dam, date AS issue_date, round(rwl_m, 3) AS rwl_m, CAST(count(*) AS INTEGER) AS n_forecasts, round(max(round(rwl_m + model / 7, 3)), 3) AS peak
 FROM reversion WHERE date = (SELECT max(date) FROM daily) GROUP BY dam, date, rwl_m""")

@@ -14,6 +14,7 @@ from headwater.plans import backtest, search, walkforward
 from headwater.plans.roles import events_table
 from headwater.constants import ALERT_FEATURES, BASE_FEATURES, LEAN_FEATURES, TINY_FEATURES
 from headwater.queries.common import ALERTS, FEATURE_CTES, query_set, rounded
+from headwater.session import materialise, work_folder
 from headwater.sources import views
 
 QUERIES, ORACLES, register = query_set()
@@ -169,6 +170,19 @@ def ridge_scoreboard(spark, folder):
     return scoreboard.scoreboard(backtest.backtest(events_table(spark, folder)))
 
 
+@register("backtest_resumed", f"{recursive(*BACKTEST, BOARD)} SELECT * FROM shown")
+def backtest_resumed(spark, folder):
+    """A backtest of three runs, each reading the days since the last one, scored together."""
+    table = materialise(events_table(spark, folder), "table")
+    progress = backtest.Progress(work_folder(spark, "backtest"))
+    for cut in ("2024-01-15", "2024-01-16"):
+        day = F.lit(cut).cast("date")
+        known = F.when(F.date_add("date", F.col("horizon").cast("int")) <= day, F.col("target_delta"))
+        backtest.resume(progress, table.filter(F.col("date") <= day).withColumn("target_delta", known))
+    last = backtest.resume(progress, table)
+    return scoreboard.scoreboard(spark.read.schema(last.schema).parquet(progress.at("errors")))
+
+
 @register("ridge_by_source", f"""{recursive(*BACKTEST)}
 SELECT fcst_source, round(avg(abs_err_model), 4) AS mae_model, count(*) AS n FROM final_errors GROUP BY 1""")
 def ridge_by_source(spark, folder):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from headwater.constants import CURVE_MIN_LIVE
 from headwater.functions import numeric
 from headwater.functions.registry import with_baselines
 from headwater.operators import alerts, scoreboard
@@ -102,6 +103,21 @@ def fallback_curve(spark, folder):
     return rounded(scoreboard.fallback_curve(live, backtest))
 
 
+@register("live_curve", f"""{with_ctes(*ERROR_CTES)},
+curve AS (SELECT label_date AS target_date, avg(abs_err_model) AS abs_err_model, avg(abs_err_persistence) AS abs_err_persistence
+  FROM errors WHERE label_date > DATE '2024-01-20' GROUP BY 1),
+rolled AS (SELECT *, CASE WHEN count(abs_err_model) OVER w >= 3 THEN avg(abs_err_model) OVER w END AS roll_abs_err_model,
+  CASE WHEN count(abs_err_persistence) OVER w >= 3 THEN avg(abs_err_persistence) OVER w END AS roll_abs_err_persistence
+  FROM curve WINDOW w AS (ORDER BY target_date ROWS 19 PRECEDING))
+SELECT target_date, {sql_round(*CURVE_COLUMNS)} FROM rolled""")
+def live_curve(spark, folder):
+    """Once live errors are logged their curve is shown, and the backtest's is not."""
+    errors = reversion_errors(spark, folder)
+    landed = errors.filter(F.col("label_date") > F.lit("2024-01-20").cast("date")).drop("date").withColumnRenamed("label_date", "target_date")
+    live = scoreboard.learning_curve(landed, "target_date", minimum=CURVE_MIN_LIVE)
+    return rounded(scoreboard.fallback_curve(live, scoreboard.learning_curve(errors)))
+
+
 ALERT_PAIRS = """rivers AS (SELECT * FROM alerts WHERE kind = 'river_basin'),
 pairs AS (SELECT a.basin, a.date, h.horizon, CAST(a.on_watch AS INTEGER) AS persistence, CAST(f.on_watch AS INTEGER) AS actual,
     CASE WHEN avg(CAST(a.on_watch AS DOUBLE)) OVER (PARTITION BY a.basin, h.horizon ORDER BY a.date ROWS 2 PRECEDING) >= 0.5
