@@ -27,8 +27,8 @@ END = 2  # the id appended to each document
 MAGIC = b"HWTOKENS"
 HEADER = "<8sQQQqBxxxxxxx"  # magic, documents, tokens, rows without doc_id, least doc_id, bytes per id
 SAMPLE = 256  # ones between two positions that the select structure keeps
-HELD_BYTES = 1 << 26  # of words and pieces that a worker keeps encoded, about; more only cost time
-ENTRY = 180  # bytes that a kept word takes beside its letters and ids
+HELD_BYTES = 3 << 26  # of words and pieces that a worker keeps encoded, about; more only cost time
+ENTRY = 160  # bytes that a kept word takes beside its letters and ids
 STEP_BYTES = 1 << 24  # of text encoded at once
 READ_AT_ONCE = 8 * SAMPLE  # documents whose boundaries are decoded together
 FILE_TOKENS = 1 << 24  # of a file, at least, before the next begins
@@ -155,7 +155,7 @@ class Tokens:
         for word, pieces in zip(new, split):
             if len(pieces) > 1:
                 known[word] = b"".join([known[p] for p in pieces])
-        self.held += sum(ENTRY + len(w) + len(known[w]) for w in {*new, *missing})
+        self.held += ENTRY * (len(new) + len(missing)) + 3 * (sum(map(len, new)) + sum(map(len, missing)))
         return list(map(known.__getitem__, wanted))
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, bytes]:
