@@ -21,7 +21,7 @@ from headwater.operators import ridge as ridges
 from headwater.operators.causal import target_moments, target_scale, with_target_scale
 from headwater.operators.ridge import ridge
 from headwater.operators.targets import labelled, with_label_date
-from headwater.session import materialise
+from headwater.session import materialise, scratch
 
 HORIZON = 7  # days that a label comes in after its forecast, at most
 RESULT = ("date", "dam", "horizon", "fcst_source", "actual", "model")
@@ -82,6 +82,11 @@ def resume(progress: Progress, table: DataFrame, features: Sequence[str] = BASE_
     What a run stores is named by its newest day, and the day is noted last: a run that
     stops half way is made again, in the same folders.
     """
+    with scratch(table.sparkSession):
+        return _resume(progress, table, features, penalty)
+
+
+def _resume(progress: Progress, table: DataFrame, features: Sequence[str], penalty: float) -> DataFrame:
     spark = table.sparkSession
     last = _last(spark, progress)
     day = lambda c: F.unix_date(F.col(c))

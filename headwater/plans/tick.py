@@ -29,7 +29,7 @@ from headwater.operators.keys import missing_from
 from headwater.operators.targets import with_label_date
 from headwater.plans.backtest import entity_effect, prepared
 from headwater.plans.publish import dashboard
-from headwater.session import materialise
+from headwater.session import materialise, scratch
 from headwater.sources.files import append, read_current, read_table, replace_table
 
 INPUTS = (*BASE_FEATURES, "dam_effect", "horizon")
@@ -173,7 +173,15 @@ def issue(spark: SparkSession, store: Store, current: DataFrame) -> None:
 
 def run(spark: SparkSession, store: Store, table: DataFrame, daily: DataFrame, registry: DataFrame, alerts: DataFrame,
         as_of: Column, backtest: DataFrame | None = None, alert_scores: DataFrame | None = None, per_dam: bool = False) -> None:
-    """One whole run. `backtest` and `alert_scores` are published beside the live errors."""
+    """One whole run. `backtest` and `alert_scores` are published beside the live errors.
+
+    Its intermediate results go with it; the store keeps what the next run reads.
+    """
+    with scratch(spark):
+        _run(spark, store, table, daily, registry, alerts, as_of, backtest, alert_scores, per_dam)
+
+
+def _run(spark, store, table, daily, registry, alerts, as_of, backtest, alert_scores, per_dam) -> None:
     warm_start(spark, store, table)
     scored, drifted = score(spark, store, ledgers.one_actual(daily))
     current = materialise(forecast(spark, store, table, per_dam), "forecasts")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -63,6 +64,24 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Remove, at the end, the intermediate results that `materialise` wrote inside.
+
+    What leaves the block must have been written elsewhere, or be materialised outside of it.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @functools.cache
 def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="headwater-")
@@ -76,5 +95,7 @@ def materialise(df, label: str):
     """
     spark = df.sparkSession
     path = work_folder(spark, label)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

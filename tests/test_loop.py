@@ -209,3 +209,18 @@ def test_a_run_that_stops_before_the_log_learns_once(spark, folder, tmp_path, mo
     tick.score(spark, store, seen)
     learned = spark.read.schema(schemas.SUMS).parquet(store.learned)
     assert learned.orderBy(F.desc("cell")).first().part == 1.0
+
+
+def test_scratch_results_are_removed(spark, tmp_path, monkeypatch):
+    import os
+
+    from headwater import session
+
+    monkeypatch.setattr(session, "work_folder", lambda _, label: f"{tmp_path}/{label}")
+    kept = session.materialise(spark.range(3).toDF("x"), "kept")
+    with session.scratch(spark):
+        outer = session.materialise(kept, "outer")
+        with session.scratch(spark):
+            assert session.materialise(outer, "inner").count() == 3
+        assert not os.path.exists(f"{tmp_path}/inner") and outer.count() == 3
+    assert not os.path.exists(f"{tmp_path}/outer") and kept.count() == 3
