@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from headwater.operators import ridge as ridges
-from headwater.operators import reweighted, scoreboard
+from headwater.operators import reweighted, scoreboard, trees
 from headwater.operators.alerts import alert_features, alert_targets, confusion
 from headwater.operators.causal import expert_blend
 from headwater.operators.targets import labelled
@@ -210,6 +210,36 @@ def forest_walkforward(spark, folder):
     return scoreboard.scoreboard(backtest.errors_of(scored))
 
 
+STUMP = ("dev_24h_m", "rain_3d", "horizon")
+# Every cut between two values of a feature, missing ones below all; the one that leaves least squared error.
+STUMPS = f"""rows AS MATERIALIZED (SELECT dam, date, horizon, label_date, CAST(date_trunc('week', date) AS DATE) AS block,
+    CAST(round(target_delta / 1e-6) AS BIGINT) AS y, {", ".join(f"coalesce(CAST({f} AS DOUBLE), -1e300) AS x{j}" for j, f in enumerate(STUMP))}
+  FROM model_table WHERE target_delta IS NOT NULL),
+learners AS (SELECT DISTINCT dam, block FROM rows),
+known AS MATERIALIZED (SELECT l.dam, l.block, r.y, u.feature, u.x FROM learners l JOIN rows r ON r.dam = l.dam AND r.label_date < l.block
+  CROSS JOIN LATERAL (VALUES {", ".join(f"({j}, r.x{j})" for j in range(len(STUMP)))}) u(feature, x)),
+whole AS (SELECT dam, block, count(*) // {len(STUMP)} AS n, CAST(sum(y) AS BIGINT) // {len(STUMP)} AS s FROM known GROUP BY 1, 2),
+cuts AS (SELECT DISTINCT dam, block, feature, x AS cut FROM known),
+sides AS (SELECT c.dam, c.block, c.feature, c.cut, count(*) AS nl, CAST(sum(k.y) AS BIGINT) AS sl FROM cuts c
+  JOIN known k ON k.dam = c.dam AND k.block = c.block AND k.feature = c.feature AND k.x <= c.cut GROUP BY 1, 2, 3, 4),
+scored AS (SELECT d.*, n, s, power(CAST(s AS DOUBLE), 2) / n AS base,
+    power(CAST(sl AS DOUBLE), 2) / nl + power(CAST(s - sl AS DOUBLE), 2) / (n - nl) AS score FROM sides d JOIN whole w USING (dam, block) WHERE nl < n),
+best AS (SELECT *, max(score) OVER (PARTITION BY dam, block) AS top FROM scored),
+chosen AS (SELECT * FROM best WHERE top - base > 1e-9 * greatest(base, 1) AND score >= top - 1e-9 * (top - base)
+  QUALIFY row_number() OVER (PARTITION BY dam, block ORDER BY feature, cut) = 1)"""
+
+
+@register("stump_per_dam", f"""{recursive(*FEATURE_CTES, STUMPS)}
+SELECT r.dam, r.date, r.horizon, round(CASE WHEN w.n IS NULL OR w.n < 2 THEN 0 WHEN c.cut IS NULL THEN w.s / w.n
+    WHEN CASE c.feature WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END <= c.cut THEN sl / nl ELSE (c.s - sl) / (c.n - nl) END * 1e-6, 4) AS model
+FROM rows r LEFT JOIN whole w USING (dam, block) LEFT JOIN chosen c USING (dam, block)""")
+def stump_per_dam(spark, folder):
+    """The best single cut for each dam, refitted every week."""
+    rows = labelled(events_table(spark, folder)).withColumn("label_date", F.date_add("date", F.col("horizon").cast("int")))
+    grown = trees.walk(rows, STUMP, KEYS, trees.Trees(depth=1), "horizon", F.col("target_delta"), walkforward.week_start())
+    return grown.select(*KEYS, F.round(F.coalesce("_trees", F.lit(0.0)), 4).alias("model"))
+
+
 @register("forest_per_dam")
 def forest_per_dam(spark, folder):
     """A forest of its own for each dam, over all horizons."""
