@@ -33,8 +33,9 @@ ESCAPED = "X-Target-URI-Escaped"
 SCHEME = "urn:headwater:page:"  # of record ids: a page's id, percent-encoded; none for a page without
 LEVEL = 3
 DICTIONARY = 1 << 16  # bytes of a file's dictionary
-TRAINING_PAGES = 256  # of a file's first batch, chosen by hash, that its dictionary learns from
-TRAINING_BYTES = 1 << 23
+ROWS = 512  # pages that a task holds as Python values at once
+TRAINING_PAGES = 256  # of a file's first ROWS, chosen by hash, that its dictionary learns from
+TRAINING_BYTES = 1 << 22
 FILE_BYTES = 1 << 26  # compressed, of a file at least, before the next begins
 CHUNK = 1 << 14  # bytes read at a time
 SALTS = 32  # places that copies of one payload are dealt out to
@@ -232,12 +233,12 @@ def write(pages: DataFrame, folder: str, least: int = 0, file_bytes: int = FILE_
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((part, number, name, records, size), kinds)],
                                               ["part", "number", "file", "records", "bytes"])
 
-        for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns))
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
             if out is None:
                 name = f"{part:06d}-{number:06d}-{uuid.uuid4().hex}.warc.zst"
                 out, records, size = store.open_output_stream(f"{root}/_{name}", compression=None), 0, 0
-                some = sorted({h.encode() for h in batch.column(2).to_pylist() if h}, key=lambda p: (zlib.crc32(p), p))[:TRAINING_PAGES]
+                some = sorted({r[2].encode() for r in rows if r[2]}, key=lambda p: (zlib.crc32(p), p))[:TRAINING_PAGES]
                 total = [0]
                 some = [p for p in some if total.append(total[-1] + len(p)) or total[-1] <= TRAINING_BYTES]
                 frame, learned = dictionary_frame(some)
@@ -277,7 +278,7 @@ def read(files: DataFrame, folder: str, id_type: str = "long", payloads: bool =
                         r = parse(data)
                         rows.append(tuple(r[k] for k in ("page", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"))[: len(kinds)])
                         held, seen = held + len(data), seen + 1
-                        if len(rows) >= 10_000 or held >= 1 << 24:
+                        if len(rows) >= 10_000 or held >= 1 << 22:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
                             rows, held = [], 0
                 if seen != records:
