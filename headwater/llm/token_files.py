@@ -152,10 +152,11 @@ class Tokens:
         missing = list({p for pieces in split for p in pieces if p not in known})
         for piece, ids in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
             known[piece] = array(self.code, ids.ids).tobytes()
-        for word, pieces in zip(new, split):
-            if len(pieces) > 1:
-                known[word] = b"".join([known[p] for p in pieces])
-        self.held += ENTRY * (len(new) + len(missing)) + 3 * (sum(map(len, new)) + sum(map(len, missing)))
+        several = [(word, pieces) for word, pieces in zip(new, split) if len(pieces) > 1]
+        for word, pieces in several:
+            known[word] = b"".join([known[p] for p in pieces])
+        # A word of one piece is that piece.
+        self.held += ENTRY * (len(several) + len(missing)) + 3 * (sum(map(len, missing)) + sum(len(w) for w, _ in several))
         return list(map(known.__getitem__, wanted))
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, bytes]:
@@ -163,7 +164,7 @@ class Tokens:
         listed = pc.split_pattern(pc.fill_null(column, ""), " ")
         begin = listed.offsets.to_numpy()
         coded = listed.flatten().dictionary_encode()
-        at, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        at, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         begin = begin - begin[0]
         # Words that a space does not begin for sure: their texts are cut one by one.
         unsure = np.array([not w or w[-1] in WHITE for w in distinct], bool)
