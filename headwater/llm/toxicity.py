@@ -21,8 +21,8 @@ LIFT = 3.0  # log of the ratio of its rates in toxic and in other texts, at leas
 TERMS = 4_000  # of the lexicon, the best: the bound of what every task holds
 FUZZY = 5  # letters of a term that may be misspelled, at least
 CONTEXT = 6  # words on either side of a hit
-HELD_WORDS = 150_000  # words that a task keeps looked up, and
-HELD_MOVES = 60_000  # transitions; more only cost time
+HELD_WORDS = 300_000  # words that a task keeps looked up, and
+HELD_MOVES = 200_000  # transitions; more only cost time
 LETTERS = re.compile(r"[^\W\d_]+")
 SIGNS = re.compile(r"[^\W_]+")  # digits too: they stand in for letters
 QUOTES = re.compile("[\"“”«»„]")
