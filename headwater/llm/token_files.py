@@ -27,7 +27,7 @@ END = 2  # the id appended to each document
 MAGIC = b"HWTOKENS"
 HEADER = "<8sQQQqBxxxxxxx"  # magic, documents, tokens, rows without doc_id, least doc_id, bytes per id
 SAMPLE = 256  # ones between two positions that the select structure keeps
-HELD_BYTES = 5 << 25  # of words and pieces that a worker keeps encoded, about; more only cost time
+HELD_BYTES = 1 << 28  # of words and pieces that a worker keeps encoded, about; more only cost time
 ENTRY = 160  # bytes that a kept word takes beside its letters and ids
 STEP_BYTES = 1 << 23  # of text encoded at once
 READ_AT_ONCE = 8 * SAMPLE  # documents whose boundaries are decoded together
