@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from headwater.constants import FLAT_SD, SEARCH_SCALE_FLOOR, SEARCH_SCALE_MIN_N
 from headwater.functions.numeric import causal_z, population_sd
+from headwater.session import materialise
 
 POOLINGS = ("none", "dam", "horizon", "all")
+ENTITY_POOLS = ("none", "horizon")  # those within one dam
 
 
 def pool_key(scheme: str) -> Column:
@@ -61,6 +63,34 @@ def label_prefix(rows: DataFrame, keys: Sequence[str], sums: Mapping[str, Column
     return blocks.withColumns({n: F.sum(n).over(past) for n in sums})
 
 
+def with_pool_sums(rows: DataFrame, pooling: str, sums: Mapping[str, Column]) -> DataFrame:
+    """The `label_prefix` of each row's pool beside the row.
+
+    Sums of pools over many dams are a few per day: they are written, so that Spark knows
+    their size, and whole days of rows stay where they are. Those within a dam are as many as
+    the rows; they are running sums over the dam's labels and rows, and rows that lie
+    together by dam (`repartition("dam")`) move for none of them.
+    """
+    keyed = rows.withColumn("_pool", pool_key(pooling))
+    if pooling not in ENTITY_POOLS:
+        past = materialise(label_prefix(keyed, ["_pool"], sums), "past")
+        return keyed.join(past, ["_pool", "date"], "left").drop("_pool")
+    known, row = F.col("target_delta").isNotNull(), F.struct(*[c for c in rows.columns if c != "dam"])
+    values = [F.coalesce(v.cast("double"), F.lit(0.0)).alias(n) for n, v in sums.items()]
+    label = F.struct(F.when(known, F.col("label_date")).alias("_at"), F.when(F.lit(False), row).alias("_row"), *values)
+    issue = F.struct(F.col("date").alias("_at"), row.alias("_row"), *[F.lit(0.0).alias(n) for n in sums])
+    events = keyed.select("dam", "_pool", F.explode(F.array(label, issue)).alias("_c")).select("dam", "_pool", "_c.*")
+    events = events.filter(F.col("_at").isNotNull() | F.col("_row").isNotNull())
+    # Labels of the row's own day count, as peers do in a range.
+    past = Window.partitionBy("dam", "_pool").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # Without a pool or a date nothing is known, as in a join.
+    found = F.col("_pool").isNotNull() & F.col("_at").isNotNull()
+    summed = events.withColumns({n: F.sum(n).over(past) for n in sums}).filter(F.col("_row").isNotNull())
+    # The dam stays a column of its own, by which Spark knows how the rows lie.
+    kept = [F.col(c) if c == "dam" else F.col(f"_row.{c}") for c in rows.columns]
+    return summed.select(*kept, *[F.when(found, F.col(n)).alias(n) for n in sums])
+
+
 def _moments(value: Column) -> dict[str, Column]:
     return {
         "past_n": value.isNotNull().cast("double"),
@@ -128,12 +158,20 @@ def with_causal_z(rows: DataFrame, features: Sequence[str], keys: Sequence[str]
     return joined.drop(*sums, "_pool")
 
 
-def with_past_losses(rows: DataFrame, experts: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Attach each expert's summed past loss, scaled by a row's worst loss."""
-    losses = {e: F.abs(F.col(e) - F.col("target_delta")) for e in experts}
+def scaled_losses(experts: Mapping[str, Column]) -> dict[str, Column]:
+    """Each expert's loss, scaled by the row's worst loss."""
+    losses = {e: F.abs(value - F.col("target_delta")) for e, value in experts.items()}
     worst = F.greatest(*losses.values(), F.lit(1e-6))
-    past = label_prefix(rows, keys, {f"_loss_{e}": loss / worst for e, loss in losses.items()})
-    return rows.join(past, [*keys, "date"], "left")
+    return {f"_loss_{e}": loss / worst for e, loss in losses.items()}
+
+
+def with_past_losses(rows: DataFrame, experts: Sequence[str], keys: Sequence[str], few: bool = False) -> DataFrame:
+    """Attach each expert's summed past loss, scaled by a row's worst loss.
+
+    few: the keys' sums are a few per day; written, Spark joins them by their size.
+    """
+    past = label_prefix(rows, keys, scaled_losses({e: F.col(e) for e in experts}))
+    return rows.join(materialise(past, "past") if few else past, [*keys, "date"], "left")
 
 
 def expert_weights(experts: Sequence[str], eta) -> dict[str, Column]:

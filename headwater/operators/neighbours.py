@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwater.functions.numeric import finite_or_zero
-from headwater.operators.causal import pool_key, scaled_target, unscaled
+from headwater.operators.causal import ENTITY_POOLS, pool_key, scaled_target, unscaled
 from headwater.operators.ridge import in_buckets
 from headwater.session import materialise
 
@@ -56,9 +56,6 @@ def nearest_mean(queries: np.ndarray, known: np.ndarray, y: np.ndarray, k: int)
     return out
 
 
-ENTITY_POOLS = ("none", "horizon")
-
-
 def _answers(queries: pd.DataFrame, known: pd.DataFrame, x: Sequence[str], keys: Sequence[str], k: int,
              memory: int | None) -> pd.DataFrame:
     """The keys of the queries and the mean of each one's neighbours, NaN without any."""

@@ -208,12 +208,16 @@ def linear_prediction(features: Sequence[str], bound: float = Z_CLIP) -> Column:
 
     Written over arrays, so that the plan does not grow with the features.
     """
+    return _sum_of_terms(features, F.arrays_zip("centre", "spread", "beta"), F.col("intercept"), bound)
+
+
+def _sum_of_terms(features: Sequence[str], model: Column, intercept: Column, bound: float = Z_CLIP) -> Column:
     values = F.array(*[F.col(f).cast("double") for f in features])
     terms = F.zip_with(
-        values, F.arrays_zip("centre", "spread", "beta"),
+        values, model,
         lambda x, m: F.coalesce(F.when(m.beta != 0.0, clip((x - m.centre) / m.spread, bound) * m.beta), F.lit(0.0)),
     )
-    return F.col("intercept") + F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
+    return intercept + F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
 
 
 def ready_rows(table: DataFrame, features: Sequence[str], pooling: str = "all", scaled: bool = True) -> DataFrame:
@@ -243,13 +247,32 @@ def ridge_variants(table: DataFrame, features: Sequence[str], variants: Sequence
     """
     key = pool_key(pooling) if pool is None else pool
     ready = _ready(table, key, features, scaled_target(scaled), F.lit(1.0) if weight is None else weight)
+    return with_models(table, key, _fitted(ready, features, variants, pooling), features, scaled, name, keep_null)
+
+
+def _fitted(ready: DataFrame, features: Sequence[str], variants: Sequence[Variant], pooling: str) -> DataFrame:
+    if pooling not in ("all", "dam"):
+        return entity_models(ready, features, variants)
+    # Written, so that the join with the rows knows their size: a few per day, they are
+    # broadcast where that is small, and whole days of rows stay where they are.
+    return materialise(variant_models(cross_product_blocks(ready, features), features, variants), "models")
+
+
+def ridge_matrix(table: DataFrame, features: Sequence[str], variants: Sequence[Variant], pooling: str = "all",
+                 scaled: bool = True, name: str = "models") -> DataFrame:
+    """`ridge_variants` with each row once: an array of predictions in the order of `variants`."""
+    fitted = _fitted(_ready(table, pool_key(pooling), features, scaled_target(scaled), F.lit(1.0)), features, variants, pooling)
+    model = F.struct("variant", "known_n", "intercept", F.arrays_zip("centre", "spread", "beta").alias("terms"))
+    each = fitted.groupBy(F.col("pool").alias("_pool"), F.date_from_unix_date("day").alias("date")).agg(F.sort_array(F.collect_list(model)).alias("_models"))
     if pooling in ("all", "dam"):
-        # Written, so that the join with the rows knows their size: a few per day, they are
-        # broadcast where that is small, and whole days of rows stay where they are.
-        models = materialise(variant_models(cross_product_blocks(ready, features), features, variants), "models")
-    else:
-        models = entity_models(ready, features, variants)
-    return with_models(table, key, models, features, scaled, name, keep_null)
+        each = materialise(each, "models")
+    joined = table.withColumn("_pool", pool_key(pooling)).join(each, ["_pool", "date"])
+
+    def value(m: Column) -> Column:
+        raw = F.when(m.known_n >= 2, _sum_of_terms(features, m.terms, m.intercept))
+        return finite_or_zero(unscaled(raw) if scaled else raw)
+
+    return joined.withColumn(name, F.transform("_models", value)).drop("_pool", "_models")
 
 
 def with_models(table: DataFrame, key: Column, models: DataFrame, features: Sequence[str], scaled: bool = True,

@@ -21,12 +21,12 @@ from headwater.functions.registry import (
     BASELINES, feature_columns, with_baselines, with_errors, with_interactions, with_stacked_baseline,
 )
 from headwater.operators.causal import (
-    POOLINGS, expert_weights, label_prefix, pool_key, scaled_target, unscaled, with_causal_z, with_past_losses,
-    with_target_scale,
+    ENTITY_POOLS, POOLINGS, expert_weights, label_prefix, pool_key, scaled_losses, scaled_target, unscaled, with_causal_z,
+    with_past_losses, with_pool_sums, with_target_scale,
 )
 from headwater.operators.neighbours import causal_knn
 from headwater.operators.reweighted import huber
-from headwater.operators.ridge import bagged_ridge, ridge, ridge_variants
+from headwater.operators.ridge import bagged_ridge, ridge, ridge_matrix
 from headwater.operators.search import (
     CONFIG, STAGES, config_grid, config_scores, dev_and_holdout, leading_families, not_yet_done, split_tag,
 )
@@ -42,20 +42,25 @@ ENSEMBLE_RATE = 0.1
 FAMILY = ("model", "features", "pooling", "scale_target", "interactions", "stack_baseline")
 
 
-def mean_families(rows: DataFrame, poolings: Sequence[str], scales: Sequence[bool]) -> DataFrame:
-    """Causal means for all poolings and scalings in one pass over the rows."""
-    options = [
-        F.struct(F.lit(p).alias("pooling"), F.lit(s).alias("scale_target"), pool_key(p).alias("_pool"),
-                 scaled_target(s).alias("_target"),
-                 (F.coalesce(F.col("scale"), F.lit(1.0)) if s else F.lit(1.0)).alias("_factor"))
-        for p in poolings for s in scales
-    ]
-    many = rows.withColumn("_o", F.explode(F.array(*options))).select("*", "_o.*").drop("_o")
-    keys = ["pooling", "scale_target", "_pool"]
-    past = label_prefix(many, keys, {"_n": F.lit(1.0), "_y": F.col("_target")})
-    mean = F.when(F.col("_n") >= 2, F.try_divide("_y", "_n"))
-    value = F.coalesce(mean * F.col("_factor"), F.lit(0.0))
-    return many.join(past, [*keys, "date"], "left").withColumn("model", value)
+def mean_families(rows: DataFrame, families: Sequence[tuple[str, bool]], name: str = "_bases") -> DataFrame:
+    """Causal means of all (pooling, scaling), as an array in their order beside each row."""
+    sums = {"_n": F.lit(1.0), "_y": scaled_target(False)}
+    if any(scaled for _, scaled in families):
+        sums["_s"] = scaled_target(True)
+    poolings = list(dict.fromkeys(p for p, _ in families))
+    kept, within = rows.columns, [p for p in poolings if p in ENTITY_POOLS]
+    for pooling in [p for p in poolings if p not in within]:
+        rows = with_pool_sums(rows, pooling, {f"{c}_{pooling}": v for c, v in sums.items()})
+    rows = rows.repartition("dam") if within else rows
+    for pooling in within:
+        rows = with_pool_sums(rows, pooling, {f"{c}_{pooling}": v for c, v in sums.items()})
+
+    def value(pooling: str, scaled: bool) -> Column:
+        n = F.col(f"_n_{pooling}")
+        mean = F.when(n >= 2, F.try_divide(F.col(f"_s_{pooling}" if scaled else f"_y_{pooling}"), n))
+        return F.coalesce(unscaled(mean) if scaled else mean, F.lit(0.0))
+
+    return rows.select(*kept, F.array(*[value(*f) for f in families]).alias(name))
 
 
 def causal_mean(rows: DataFrame, pooling: str, scaled: bool, name: str = "model") -> DataFrame:
@@ -105,14 +110,22 @@ def base_predictions(rows: DataFrame, model: str, features: str, pooling: str, s
     return ridge(rows, inputs, pooling, _penalty(model), scaled)
 
 
-def prepared(table: DataFrame, crossed: bool = True) -> DataFrame:
+SLIM = [*KEYS, "label_date", "target_delta", "dev_24h_m", *BASELINES]  # what scoring needs of a row
+
+
+def prepared(table: DataFrame, crossed: bool = True, families: Sequence[tuple] | None = None) -> DataFrame:
     """Labelled rows with all that any family reads, written once for all of them.
 
     crossed: with the products of features, which only some families read.
+    families: where all that will read the rows are known, only their columns are kept.
     """
     rows = entity_effect(with_target_scale(with_label_date(labelled(table)), search=True))
     rows = with_stacked_baseline(rows)
-    return materialise(with_baselines(with_interactions(rows) if crossed else rows), "sweep-rows")
+    rows = with_baselines(with_interactions(rows) if crossed else rows)
+    if families is not None:
+        read = {c for model, *f in families if model != "mean" for c in _inputs(f[0], f[1], f[3], f[4])}
+        rows = rows.select(*[c for c in rows.columns if c in {*SLIM, "scale", *read}])
+    return materialise(rows, "sweep-rows")
 
 
 def pending(spark: SparkSession, done: DataFrame | None = None, **grid) -> list[tuple]:
@@ -128,39 +141,34 @@ def pending(spark: SparkSession, done: DataFrame | None = None, **grid) -> list[
     return sorted(tuple(r[c] for c in CONFIG) for r in (rows if done is None else not_yet_done(rows, done)).collect())
 
 
-def _tagged(predictions: DataFrame, pool: Column, number: Column) -> DataFrame:
-    """Predictions with the number of their family, and what scoring needs."""
-    slim = [*KEYS, "label_date", "target_delta", "dev_24h_m", *BASELINES]
-    return predictions.select(*slim, F.col("model").alias("_base"), pool.alias("_pool"), number.cast("int").alias("_family"))
-
+def _groups(families: Sequence[tuple]) -> list[list[tuple]]:
+    """Families that share their passes over the rows: ridges of one pooling and scaling, whatever
+    their penalty and inputs, and all means."""
+    groups: dict[tuple, list[tuple]] = {}
+    for family in families:
+        model = family[0].split(":")[0]
+        by = (model,) if model == "mean" else (model, *family[2:4]) if model == "ridge" else family
+        groups.setdefault(by, []).append(family)
+    return list(groups.values())
 
-def _base_rows(rows: DataFrame, families: Sequence[tuple[int, tuple]]) -> DataFrame:
-    """Base predictions of numbered families, as few passes over the rows as they need.
 
-    Families of the ridge that share pooling and scaling share one pass, whatever their
-    penalty and inputs; those of the mean share one altogether.
-    """
-    parts, linear, level = [], {}, F.lit(None).cast("int")
-    means = [f for _, f in families if f[0] == "mean"]
-    for number, family in families:
-        model, features, pooling, scaled, crossed, stack = family
+def _base_rows(rows: DataFrame, groups: Sequence[Sequence[tuple]]) -> DataFrame:
+    """Base predictions of groups of families: each row once per group, whose place `_group` tells,
+    with an array of the group's predictions."""
+    parts = []
+    for number, group in enumerate(groups):
+        model, features, pooling, scaled, crossed, stack = group[0]
         if model == "mean":
-            level = F.when((F.col("pooling") == pooling) & (F.col("scale_target") == F.lit(scaled)), number).otherwise(level)
+            part = mean_families(rows.select(*SLIM, "scale"), [(f[2], f[3]) for f in group])
         elif model.split(":")[0] == "ridge":
-            linear.setdefault((pooling, scaled), []).append((number, family))
+            inputs = [_inputs(f, pooling, crossed, stack) for _, f, _, _, crossed, stack in group]
+            union = list(dict.fromkeys(c for columns in inputs for c in columns))
+            variants = [(_penalty(family[0]), columns) for family, columns in zip(group, inputs)]
+            part = ridge_matrix(rows, union, variants, pooling, scaled, "_bases")
         else:
             base = base_predictions(rows, model, features, pooling, scaled, crossed, stack)
-            parts.append(_tagged(base, pool_key(pooling), F.lit(number)))
-    for (pooling, scaled), some in linear.items():
-        inputs = [_inputs(f, pooling, crossed, stack) for _, (_, f, _, _, crossed, stack) in some]
-        union = list(dict.fromkeys(c for columns in inputs for c in columns))
-        variants = [(_penalty(family[0]), columns) for (_, family), columns in zip(some, inputs)]
-        numbers = F.array(*[F.lit(number) for number, _ in some])
-        fitted = ridge_variants(rows, union, variants, pooling, scaled)
-        parts.append(_tagged(fitted, pool_key(pooling), numbers[F.col("variant")]))
-    if means:
-        levels = mean_families(rows, *(list(dict.fromkeys(f[i] for f in means)) for i in (2, 3)))
-        parts.append(_tagged(levels, F.col("_pool"), level).filter("_family is not null"))
+            part = base.withColumn("_bases", F.array("model"))
+        parts.append(part.select(*SLIM, "_bases", F.lit(number).alias("_group")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -196,40 +204,89 @@ class Experts:
             else:
                 self._blend(family)
 
-    def _keep(self, fitted: Callable[[], DataFrame], families: Sequence[tuple], first: int) -> None:
-        self.parts.append((set(range(first, first + len(families))), materialise(fitted(), "experts")))
-        self.numbers |= {f: first + i for i, f in enumerate(families)}
+    def _keep(self, fitted: Callable[[], DataFrame], groups: Sequence[Sequence[tuple]]) -> None:
+        written = materialise(fitted(), "experts")
+        self.parts += [(group, written.filter(F.col("_group") == number).drop("_group")) for number, group in enumerate(groups)]
+        for group in groups:
+            self.numbers |= {f: len(self.numbers) + i for i, f in enumerate(group)}
 
     def _fit(self, families: Sequence[tuple]) -> None:
         if families:
-            first = len(self.numbers)
-            self._keep(lambda: _base_rows(self.rows(), [(first + i, f) for i, f in enumerate(families)]), families, first)
+            groups = _groups(families)
+            self._keep(lambda: _base_rows(self.rows(), groups), groups)
 
     def _blend(self, family: tuple) -> None:
         """The members' predictions side by side, weighted by their past losses in the pool."""
-        first, members = len(self.numbers), self._members(family)
+        members, pooling = self._members(family), family[2]
         names = [f"_e{i}" for i in range(len(members))]
 
         def fitted() -> DataFrame:
             many = self.read(members)
-            carried = [c for c in many.columns if c not in ("_family", "_base", *KEYS)]
             each = [F.max(F.when(F.col("_family") == self.numbers[m], F.col("_base"))).alias(n) for m, n in zip(members, names)]
             # A row's other columns are the same for all members.
-            wide = many.groupBy(*KEYS, *carried).agg(*each)
-            mixed = with_past_losses(wide, names, ["_pool"])
+            wide = many.groupBy(*SLIM).agg(*each)
+            if pooling in ENTITY_POOLS:
+                wide = wide.repartition("dam")
+            mixed = with_pool_sums(wide, pooling, scaled_losses({n: F.col(n) for n in names}))
             weights = expert_weights(names, ENSEMBLE_RATE)
             value = sum((weights[n] * F.col(n) for n in names), F.lit(0.0))
-            return mixed.withColumns({"_base": value, "_family": F.lit(first)}).select(*many.columns)
+            return mixed.select(*SLIM, F.array(value).alias("_bases"), F.lit(0).alias("_group"))
 
-        self._keep(fitted, [family], first)
+        self._keep(fitted, [[family]])
+
+    def wide(self, families: Sequence[tuple]) -> list[tuple[dict[tuple, int], DataFrame]]:
+        """Rows of each group that holds some of the families, and the places of these in its arrays."""
+        wanted = set(families)
+        held = [({f: i for i, f in enumerate(group) if f in wanted}, part) for group, part in self.parts]
+        return [(bases, part) for bases, part in held if bases]
 
     def read(self, families: Sequence[tuple]) -> DataFrame:
-        """The rows of families that were filled."""
-        wanted = {self.numbers[f] for f in families}
-        parts = [part.filter(F.col("_family").isin(sorted(held & wanted))) for held, part in self.parts if held & wanted]
+        """The rows of families that were filled, one for each of them."""
+        parts = []
+        for bases, part in self.wide(families):
+            each = [F.struct(F.lit(self.numbers[f]).alias("_family"), F.col("_bases")[i].alias("_base"), pool_key(f[2]).alias("_pool")) for f, i in bases.items()]
+            parts.append(part.select(*SLIM, F.explode(F.array(*each)).alias("_o")).select(*SLIM, "_o.*"))
         return reduce(DataFrame.unionByName, parts)
 
 
+RUNS_AT_ONCE = 16  # runs within dams whose past losses are summed together, side by side
+
+
+def _shrunk(part: DataFrame, runs: Sequence[tuple[int, str, int, float]], blended: bool) -> DataFrame:
+    """A row for each run (number, pooling, place of its base, shrink) over a row's bases, where blended with its past losses."""
+    names = ["_shrunk", *BASELINES]
+
+    def long(rows: DataFrame, some: Sequence[tuple[int, str, Column]], *more: Callable[[int, str], Column]) -> DataFrame:
+        each = [F.struct(F.lit(run).alias("_run"), value.alias("_shrunk"), *[c(run, pooling) for c in more]) for run, pooling, value in some]
+        return rows.select(*SLIM, F.explode(F.array(*each)).alias("_o")).select(*SLIM, "_o.*")
+
+    def values(some: Sequence[tuple[int, str, int, float]], base: Callable[[int], Column]) -> list[tuple[int, str, Column]]:
+        return [(run, pooling, base(i) * F.lit(shrink)) for run, pooling, i, shrink in some]
+
+    in_place = lambda i: F.col("_bases")[i]
+    if not blended:
+        return long(part, values(runs, in_place))
+    parts, within = [], [r for r in runs if r[1] in ENTITY_POOLS]
+    if across := [r for r in runs if r[1] not in ENTITY_POOLS]:
+        rows = long(part, values(across, in_place), lambda _, pooling: pool_key(pooling).alias("_pool"))
+        parts.append(with_past_losses(rows, names, ["_run", "_pool"], few=True).drop("_pool"))
+    for at in range(0, len(within), RUNS_AT_ONCE):
+        some = within[at:at + RUNS_AT_ONCE]
+        # Only what these runs read moves, once for all of them.
+        read = [in_place(i).alias(f"_base_{i}") for i in dict.fromkeys(r[2] for r in some)]
+        rows = with_baselines(part.select(*[c for c in SLIM if c not in BASELINES], *read).repartition("dam"))
+        shrunk = values(some, lambda i: F.col(f"_base_{i}"))
+        for pooling in dict.fromkeys(r[1] for r in some):
+            sums = {}
+            for run, value in [(run, value) for run, p, value in shrunk if p == pooling]:
+                losses = scaled_losses({"_shrunk": value, **{b: F.col(b) for b in BASELINES}})
+                sums |= {f"{n}_{run}": loss for n, loss in losses.items()}
+            rows = with_pool_sums(rows, pooling, sums)
+        past = [lambda run, _, n=n: F.col(f"_loss_{n}_{run}").alias(f"_loss_{n}") for n in names]
+        parts.append(long(rows, shrunk, *past))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _errors(table: DataFrame, models: Sequence[str], split: str | None, done: DataFrame | None,
             experts: Experts | None, grid: dict, strict: bool = True) -> tuple[DataFrame, DataFrame] | None:
     """Errors under the number `_config` of their configuration, and the configurations.
@@ -243,32 +300,32 @@ def _errors(table: DataFrame, models: Sequence[str], split: str | None, done: Da
         raise ValueError("no configuration to run")
     family_of = lambda c: tuple(c[CONFIG.index(f)] for f in FAMILY)
     run_of = lambda c: (family_of(c), c[CONFIG.index("shrink")])
+    families = list(dict.fromkeys(map(family_of, todo)))
     if experts is None:
-        crossed = any(family_of(c)[FAMILY.index("interactions")] for c in todo)
-        experts = Experts(functools.cache(lambda: prepared(table, crossed)))
-    experts.fill([family_of(c) for c in todo])
-    broken = [experts.failed[family_of(c)] for c in todo if family_of(c) in experts.failed]
+        crossed = any(f[FAMILY.index("interactions")] for f in families)
+        experts = Experts(functools.cache(lambda: prepared(table, crossed, families)))
+    experts.fill(families)
+    broken = [experts.failed[f] for f in families if f in experts.failed]
     if broken and strict:
         raise ValueError(broken[0])
     todo = [c for c in todo if family_of(c) not in experts.failed]
     if not todo:
         return None
     runs = {v: i for i, v in enumerate(dict.fromkeys(map(run_of, todo)))}
-    configs = spark.createDataFrame(
-        [(i, experts.numbers[family_of(c)], runs[run_of(c)], *c) for i, c in enumerate(todo)],
-        "_config int, _family int, _run int, " + CONFIG_SCHEMA)
-    stacked = experts.read([family_of(c) for c in todo])
-    # The configurations are as few as the grid's lists make them.
-    shrunk = stacked.join(F.broadcast(configs.select("_family", "_run", "shrink").distinct()), "_family")
-    shrunk = shrunk.withColumn("_shrunk", F.col("_base") * F.col("shrink")).drop("_base", "_family", "shrink")
-    experts_ = ["_shrunk", *BASELINES]
-    value = F.col("_shrunk")
-    if any(c[CONFIG.index("blend")] > 0.0 for c in todo):
-        # Past losses do not depend on the rate: one pass serves every blend.
-        shrunk = with_past_losses(shrunk, experts_, ["_run", "_pool"])
+    configs = spark.createDataFrame([(i, runs[run_of(c)], *c) for i, c in enumerate(todo)], "_config int, _run int, " + CONFIG_SCHEMA)
+    # Past losses do not depend on the rate: one pass serves every blend.
+    blended = any(c[CONFIG.index("blend")] > 0.0 for c in todo)
+    parts = []
+    for bases, part in experts.wide(list(dict.fromkeys(map(family_of, todo)))):
+        mine = [(i, f[FAMILY.index("pooling")], bases[f], shrink) for (f, shrink), i in runs.items() if f in bases]
+        parts.append(_shrunk(part, mine, blended))
+    shrunk, value = reduce(DataFrame.unionByName, parts), F.col("_shrunk")
+    if blended:
+        experts_ = ["_shrunk", *BASELINES]
         weights = expert_weights(experts_, F.col("blend"))
         mixed = sum((weights[e] * F.col(e) for e in experts_), F.lit(0.0))
         value = F.when(F.col("blend") > 0.0, mixed).otherwise(value)
+    # The configurations are as few as the grid's lists make them.
     final = shrunk.join(F.broadcast(configs.select("_run", "_config", "blend")), "_run").withColumn("_final", value)
     errors = with_errors(final.withColumn("actual", F.col("target_delta")), "_final")
     keep = ["_config", "split", *KEYS, "abs_err_model", *[f"abs_err_{b}" for b in BASELINES]]

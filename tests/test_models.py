@@ -288,3 +288,32 @@ def test_staged_search_survives_failures(spark, folder):
     assert {r.blend for r in results.select("blend").distinct().collect()} == {0.0, 0.3, 0.6, 1.0, 2.0}
     assert incumbent(results, model="mean", shrink=1.0, blend=0.0, scale_target=True).count() >= 1
     assert holdout_reads(top_configs(results, 1), "r1", "ratio").first().rule == "ratio"
+
+
+def _odd_rows(spark):
+    """Rows of two dams and of none, a row twice, one without a date and unlabelled ones."""
+    import datetime as dt
+    day = lambda n: None if n is None else dt.date(2024, 1, 1) + dt.timedelta(n)
+    rows = [(dam, day(n), h, float((7 * n + 3 * h) % 11) if (n + h) % 4 else None, 2.0) for dam in ("1", "2", None) for n in range(9) for h in (1, 3)]
+    rows += [rows[2], ("1", None, 1, 4.0, 2.0)]
+    table = spark.createDataFrame(rows, "dam string, date date, horizon int, target_delta double, scale double")
+    return table.withColumn("label_date", F.date_add("date", F.col("horizon")))
+
+
+@pytest.mark.parametrize("pooling", causal.POOLINGS)
+def test_sums_beside_the_rows_equal_those_of_the_prefix(spark, pooling):
+    rows = _odd_rows(spark)
+    sums = {"n": F.lit(1.0), "y": F.col("target_delta")}
+    keyed = rows.withColumn("_pool", causal.pool_key(pooling))
+    joined = keyed.join(causal.label_prefix(keyed, ["_pool"], sums), ["_pool", "date"], "left")
+    shown = lambda t: sorted(map(str, t.select("dam", "date", "horizon", "target_delta", "n", "y").collect()))
+    assert shown(causal.with_pool_sums(rows.repartition("dam"), pooling, sums)) == shown(joined)
+
+
+def test_sweep_moves_rows_once(spark, folder):
+    """However many families and runs there are, rows are not shuffled for each of them, nor joined by a shuffle."""
+    errors = search.sweep_errors(events_table(spark, folder), ["mean"], "2024-01-21", poolings=causal.POOLINGS, scales=(False, True),
+                                 shrinks=(1.0, 0.5), blends=(0.0, 0.6))
+    plan = errors._jdf.queryExecution().optimizedPlan().toString()
+    executed = errors._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in executed and executed.count("Exchange hashpartitioning") == plan.count("RepartitionByExpression") == 1
