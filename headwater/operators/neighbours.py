@@ -205,8 +205,9 @@ class Cells:
 
 
 def _near(queries: pd.DataFrame, labels: pd.DataFrame, x: Sequence[str], keys: Sequence[str], k: int) -> pd.DataFrame:
-    """Up to k nearest known labels of each query among those given, no farther than its `bound`."""
-    labels = labels.sort_values(["label_day", "order", "key"], kind="stable")
+    """Up to k nearest known labels of each query among those given, no farther than its `bound`: a row
+    for each query that has any, with arrays of their distances, ages and targets."""
+    labels = labels.sort_values("age", kind="stable")
     known, places = labels["label_day"].to_numpy(), labels[list(x)].to_numpy(float)
     points, days, bound = queries[list(x)].to_numpy(float), queries["day"].to_numpy(), queries["bound"].to_numpy()
     rows, picked, far = [], [], []
@@ -225,14 +226,19 @@ def _near(queries: pd.DataFrame, labels: pd.DataFrame, x: Sequence[str], keys: S
         rows.append(row + start)
         picked.append(at)
         far.append(nine[row, at])
-    rows, picked = np.concatenate(rows), np.concatenate(picked)
-    found = queries[[*keys, "pool", "cell", "day", *x]].iloc[rows].reset_index(drop=True)
-    best = labels[["label_day", "order", "key", "y"]].iloc[picked].reset_index(drop=True)
-    return pd.concat([found, best.add_prefix("_")], axis=1).assign(_far=np.concatenate(far))
+    rows, picked, far = np.concatenate(rows), np.concatenate(picked), np.concatenate(far)
+    asked, first = np.unique(rows, return_index=True)  # rows come in order
+    split = lambda values: np.split(values, first[1:]) if len(first) else []
+    found = queries[list(keys)].iloc[asked].reset_index(drop=True)
+    return found.assign(_far=split(far), _age=split(labels["age"].to_numpy()[picked]), _y=split(labels["y"].to_numpy()[picked]))
 
 
 def _everything(rows: DataFrame, x: Sequence[str], keys: Sequence[str], k: int, schema: str) -> DataFrame:
-    """Answers of learners over many entities that remember every label."""
+    """Answers of learners over many entities that remember every label.
+
+    A label's place in the order of age stands for its day and key, and a query's best labels
+    travel as arrays in one row: neither texts nor the query's own columns go with each of them.
+    """
     spark = rows.sparkSession
     rows = rows.withColumn("key", F.concat_ws("|", *keys))
     # Of labels at one point the first k come before all others in any answer, however many repeat it.
@@ -255,26 +261,29 @@ def _everything(rows: DataFrame, x: Sequence[str], keys: Sequence[str], k: int,
             yield frame.assign(cell=cell)
 
     kinds = dict(rows.dtypes)
-    placed = ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns) + ", cell long"
-    asked = materialise(rows.drop("y").mapInPandas(place, ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns if c != "y") + ", cell long"), "asked")
-    labels = materialise(labels.mapInPandas(place, placed), "cells")
+    placed = lambda df: ", ".join(f"`{c}` {kind}" for c, kind in df.dtypes) + ", cell long"
+    asked = rows.drop("y", "label_day", "order", "key")
+    asked = materialise(asked.mapInPandas(place, placed(asked)), "asked")
+    # Ids rise with the order of the sorted rows.
+    aged = labels.orderBy("label_day", "order", "key").withColumn("age", F.monotonically_increasing_id())
+    aged = aged.select("pool", "label_day", "age", "y", *x)
+    labels = materialise(aged.mapInPandas(place, placed(aged)), "cells")
     boxes = labels.groupBy("pool", "cell").agg(F.count("*").alias("n"), F.min("label_day").alias("since"), F.array(*[F.min(c) for c in x]).alias("low"),
                                                F.array(*[F.max(c) for c in x]).alias("high")).collect()  # a row per cell
     by_pool = {p: [b for b in boxes if b["pool"] == p] for p in {b["pool"] for b in boxes}}
     box = {p: (np.array([b["cell"] for b in some]), np.array([b["since"] for b in some]), np.array([b["low"] for b in some]), np.array([b["high"] for b in some]))
            for p, some in by_pool.items()}
     blocks = spark.createDataFrame([(b["pool"], b["cell"], -(-b["n"] // BLOCK_LABELS)) for b in boxes], "pool string, cell long, blocks int")
-    labels = labels.join(F.broadcast(blocks), ["pool", "cell"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks")
+    labels = labels.join(F.broadcast(blocks), ["pool", "cell"]).withColumn("block", F.pmod(F.xxhash64("age"), F.col("blocks")).cast("int")).drop("blocks")
     named = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
-    columns = ", ".join(f"{c} double" for c in x)
-    nothing = pd.DataFrame(columns=[*keys, "pool", "cell", "day", *x, "_label_day", "_order", "_key", "_y", "_far"])
-    partial = f"{named}, pool string, cell long, day int, {columns}, _label_day int, _order string, _key string, _y double, _far long"
+    nothing = pd.DataFrame(columns=[*keys, "_far", "_age", "_y"])
+    partial = f"{named}, _far array<long>, _age array<long>, _y array<double>"
 
     def meet(queries: DataFrame) -> DataFrame:
         """Best labels of each (query, cell): cells come in blocks of labels, their queries in groups."""
         queries = queries.join(F.broadcast(blocks), ["pool", "cell"])
         many = queries.groupBy("pool", "cell").agg(F.ceil(F.count("*") / QUERIES_PER_TASK).cast("int").alias("groups"))
-        queries = queries.join(many, ["pool", "cell"]).withColumn("group", F.pmod(F.xxhash64("key", F.lit("group")), F.col("groups")).cast("int"))
+        queries = queries.join(many, ["pool", "cell"]).withColumn("group", F.pmod(F.xxhash64(*keys, F.lit("group")), F.col("groups")).cast("int"))
         queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "groups")
         offered = labels.join(many, ["pool", "cell"]).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
         spots = ["pool", "cell", "block", "group"]
@@ -282,12 +291,14 @@ def _everything(rows: DataFrame, x: Sequence[str], keys: Sequence[str], k: int,
             lambda a, b: _near(a, b, x, keys, k) if len(a) and len(b) else nothing, partial)
 
     def best(found: DataFrame) -> DataFrame:
-        order = Window.partitionBy(*keys).orderBy("_far", "_label_day", "_order", "_key")
-        return found.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k)
+        """The k best of each query's arrays, nearest first, then oldest."""
+        every = F.flatten(F.collect_list(F.arrays_zip("_far", "_age", "_y")))
+        near = found.groupBy(*keys).agg(F.slice(F.array_sort(every), 1, k).alias("_best"))
+        return near.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in ("_far", "_age", "_y")])
 
     open_ = F.lit((1 << 62)).cast("long")
     home = materialise(best(meet(asked.withColumn("bound", open_))), "home")
-    bound = home.filter(F.col("_place") == k).select(*keys, F.col("_far").alias("bound"))
+    bound = home.filter(F.size("_far") == k).select(*keys, F.element_at("_far", k).alias("bound"))
     others = asked.join(bound, list(keys), "left").withColumn("bound", F.coalesce("bound", open_))
 
     def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -309,5 +320,6 @@ def _everything(rows: DataFrame, x: Sequence[str], keys: Sequence[str], k: int,
                 yield pd.concat(parts)
 
     further = meet(others.mapInPandas(reach, others.schema))
-    merged = best(home.drop("_place").unionByName(further))
-    return merged.groupBy(*keys).agg(F.avg("_y").alias("_knn"))
+    merged = best(home.unionByName(further))
+    mean = F.aggregate("_y", F.lit(0.0), lambda a, b: a + b) / F.size("_y")
+    return merged.select(*keys, mean.alias("_knn"))

@@ -5,6 +5,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -317,3 +318,13 @@ def test_sweep_moves_rows_once(spark, folder):
     plan = errors._jdf.queryExecution().optimizedPlan().toString()
     executed = errors._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in executed and executed.count("Exchange hashpartitioning") == plan.count("RepartitionByExpression") == 1
+
+
+def test_a_query_and_its_neighbours_are_one_row():
+    """Neighbours travel as arrays, without the query's columns or the labels' keys."""
+    queries = pd.DataFrame({"dam": ["a", "b", "c"], "day": [5, 5, 0], "x0": [0.0, 9.0, 0.0], "bound": [1 << 62] * 3})
+    labels = pd.DataFrame({"label_day": [1, 2, 9, 1], "age": [3, 7, 9, 1], "y": [1.0, 2.0, 3.0, 4.0], "x0": [1.0, 8.0, 0.0, 1.0]})
+    near = neighbours._near(queries, labels, ["x0"], ["dam"], 2)
+    assert list(near.columns) == ["dam", "_far", "_age", "_y"] and list(near["dam"]) == ["a", "b"]
+    best = [sorted(zip(*map(list, r))) for r in near[["_far", "_age", "_y"]].itertuples(index=False)]
+    assert best == [[(10**9, 1, 4.0), (10**9, 3, 1.0)], [(10**9, 7, 2.0), (64 * 10**9, 1, 4.0)]]
