@@ -173,7 +173,8 @@ def ridge_scoreboard(spark, folder):
 @register("backtest_resumed", f"{recursive(*BACKTEST, BOARD)} SELECT * FROM shown")
 def backtest_resumed(spark, folder):
     """A backtest of three runs, each reading the days since the last one, scored together."""
-    table = materialise(events_table(spark, folder), "table")
+    # Only what the runs read of a row is written, for each run writes its days again.
+    table = materialise(events_table(spark, folder).select(*KEYS, "fcst_source", "target_delta", *BASE_FEATURES), "table")
     progress = backtest.Progress(work_folder(spark, "backtest"))
     for cut in ("2024-01-15", "2024-01-16"):
         day = F.lit(cut).cast("date")
