@@ -4,7 +4,9 @@ A learner is a pool at the start of a calendar block: it knows the labels dated
 All learners, and the replicas of a forest, grow together: for each level one pass over
 the rows reduces them, inside the tasks, to histograms per (learner, replica, node), a
 shuffle adds these up, and the best cuts go to the next level. Only cuts pass through the
-driver. Pools within one entity, which the calendar bounds, grow whole inside a task.
+driver. The rows that every pass reads are packed once: chunks of cells of a byte, ordered by
+label day, so that a learner's are a prefix. Pools within one entity, which the calendar
+bounds, grow inside a task, those of a bucket together.
 
 Targets are rounded to whole units of UNIT, so sums are exact in any order, and a rerun
 or a lost task changes no tree.
@@ -17,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +78,7 @@ def edges_of(known: np.ndarray, bins: int = BINS) -> list[np.ndarray]:
 
 def binned(x: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
     """0 for missing, then 1 for values up to the first edge, and so on."""
-    out = np.zeros(x.shape, np.uint8)
+    out = np.zeros(x.shape, np.uint8, order="F")
     for j, cuts in enumerate(edges):
         seen = ~np.isnan(x[:, j])
         out[seen, j] = 1 + np.searchsorted(cuts, x[seen, j])
@@ -91,11 +94,15 @@ class Tree:
         self.feature, self.cut, self.value = np.full(size, -1, np.int16), np.zeros(size, np.uint8), np.zeros(size)
 
     def place(self, bins: np.ndarray, levels: int) -> np.ndarray:
-        node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        for _ in range(levels):
-            feature = self.feature[node]
-            right = bins[rows, feature] > self.cut[node]
-            node = np.where(feature >= 0, 2 * node + 1 + right, node)
+        """Each row's node; whole columns of bytes are compared, a cut at a time."""
+        kind = np.uint8 if len(self.feature) <= 255 else np.int64
+        node = np.zeros(len(bins), kind)
+        for at in range((1 << levels) - 1):
+            if self.feature[at] >= 0:
+                here = node == at if at else np.ones(len(bins), bool)
+                right = here & (bins[:, self.feature[at]] > self.cut[at])
+                node += here.astype(kind) * kind(at + 1)
+                node += right.astype(kind)
         return node
 
 
@@ -107,20 +114,24 @@ def allowed(spec: Trees, features: int, replica: int, node: int) -> np.ndarray:
     return np.sort(np.random.default_rng([spec.seed, replica, node]).permutation(features)[:some])
 
 
-def histograms(spec: Trees, replica: int, tree: Tree, level: int, bins: np.ndarray, y: np.ndarray, w: np.ndarray):
-    """(node, counts, sums) of the open nodes of a level; both flat over (allowed feature, bin)."""
-    node = tree.place(bins, level)
-    inside = np.flatnonzero((w > 0) & (node >= (1 << level) - 1))
+def histograms(spec: Trees, replica: int, tree: Tree, level: int, bins: np.ndarray, y: np.ndarray, w: np.ndarray | None):
+    """(node, counts, sums) of the open nodes of a level; both flat over (allowed feature, bin). No `w`: every row counts once."""
+    node, first = tree.place(bins, level), (1 << level) - 1
+    inside = np.flatnonzero(node >= first if w is None else (w > 0) & (node >= first))
     order = inside[np.argsort(node[inside], kind="stable")]
-    heads = np.flatnonzero(np.diff(node[order], prepend=-1))
-    for begin, end in zip(heads, [*heads[1:], len(order)]):
-        rows, at = order[begin:end], int(node[order[begin]])
+    counted = np.bincount(node[order], minlength=2 * first + 1)
+    weight = None if w is None else w[order].astype(float)
+    value = y[order].astype(float) if w is None else (w[order] * y[order]).astype(float)
+    stop = 0
+    for at in np.flatnonzero(counted).tolist():
+        begin, stop = stop, stop + int(counted[at])
+        rows, each = order[begin:stop], None if w is None else weight[begin:stop]
         features = allowed(spec, bins.shape[1], replica, at)
-        cells = (bins[rows[:, None], features] + np.arange(len(features)) * (BINS + 1)).ravel()
-        size = len(features) * (BINS + 1)
-        n = np.bincount(cells, np.repeat(w[rows], len(features)).astype(float), size)
-        s = np.bincount(cells, np.repeat(w[rows] * y[rows], len(features)).astype(float), size)
-        yield at, n.astype(np.int64), s.astype(np.int64)
+        n, s = np.empty((len(features), BINS + 1), np.int64), np.empty((len(features), BINS + 1), np.int64)
+        for i, j in enumerate(features):
+            cells = bins[:, j][rows]
+            n[i], s[i] = np.bincount(cells, each, BINS + 1), np.bincount(cells, value[begin:stop], BINS + 1)
+        yield at, n.ravel(), s.ravel()
 
 
 def best_cut(features: np.ndarray, n: np.ndarray, s: np.ndarray):
@@ -164,21 +175,91 @@ def predicted(spec: Trees, trees: Sequence[Tree], bins: np.ndarray) -> np.ndarra
     return out
 
 
-def grow(spec: Trees, bins: np.ndarray, y: np.ndarray, seeds: np.ndarray) -> list[Tree]:
-    """All trees of one learner from rows in memory."""
-    done: list[Tree] = []
+def bins_of_each(learner: np.ndarray, x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """`binned` by the `edges_of` each learner's known rows, for rows of many learners at once."""
+    out = np.zeros(x.shape, np.uint8, order="F")
+    count = int(learner.max()) + 1 if len(learner) else 0
+    for j in range(x.shape[1]):
+        seen = np.flatnonzero(~np.isnan(x[:, j]))
+        if not len(seen):
+            continue
+        order = seen[np.lexsort((x[seen, j], learner[seen]))]
+        of, value, mine = learner[order], x[order, j], known[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (of[1:] != of[:-1]) | (value[1:] != value[:-1])
+        group = np.cumsum(fresh) - 1  # of equal values of a learner
+        group_of = of[fresh]
+        among = np.bincount(group, mine, group[-1] + 1) > 0  # values that the learner knows
+        distinct, total = np.bincount(group_of, among, count).astype(np.int64), np.bincount(of, mine, count).astype(np.int64)
+        last = np.full(count, -1)
+        last[group_of[among]] = np.flatnonzero(among)
+        # Quantiles by a row's place among the known ones of its learner.
+        so_far = np.cumsum(mine)
+        place = so_far - 1 - (np.cumsum(total) - total)[of]
+        most = np.maximum(total[of], 1)
+        k = -(-place * BINS // most)
+        at = mine & (k >= 1) & (k < BINS) & ((k * most) // BINS == place)
+        edge = np.where(distinct[group_of] <= BINS, among, np.bincount(group, at, group[-1] + 1) > 0)
+        edge[last[last >= 0]] = False
+        below = np.cumsum(edge) - edge
+        first = np.zeros(count, np.int64)
+        first[group_of[::-1]] = below[::-1]
+        out[order, j] = 1 + (below - first[group_of])[group]
+    return out
+
+
+def best_cuts(features: np.ndarray, n: np.ndarray, s: np.ndarray):
+    """`best_cut` of many nodes: arrays of feature, bin, count and sum left, count and sum in all. n and s: (node, feature, bin)."""
+    total, whole = n[:, 0].sum(1), s[:, 0].sum(1)
+    left, below = np.cumsum(n, 2)[:, :, :-1], np.cumsum(s, 2)[:, :, :-1]
+    size, over = total[:, None, None], whole[:, None, None]
+    valid = (left > 0) & (left < size)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = np.where(valid, below.astype(float) ** 2 / left + (over - below).astype(float) ** 2 / (size - left), -np.inf).reshape(len(n), -1)
+        base = whole.astype(float) ** 2 / total.astype(float)
+        best = score.max(1)
+        cut = valid.reshape(len(n), -1).any(1) & ~(best - base <= 1e-9 * np.maximum(base, 1.0))
+        at = np.argmax(score >= (best - 1e-9 * (best - base))[:, None], axis=1)
+    j, b = np.divmod(at, left.shape[2])
+    rows = np.arange(len(n))
+    return np.where(cut, features[j], -1), b, left[rows, j, b], below[rows, j, b], total, whole
+
+
+def grow_each(spec: Trees, learner: np.ndarray, bins: np.ndarray, y: np.ndarray, seeds: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Predictions of all rows, each by the trees that its learner grows from its known rows.
+
+    Rows come in the order of their learners. One pass over them serves a node of all learners.
+    """
+    out = np.zeros(len(y))
     for replica in range(spec.count):
-        tree = Tree(spec.size)
-        w = weights(seeds, replica) if spec.drawn else np.ones(len(y), np.int64)
-        left = y - np.rint(predicted(spec, done, bins)).astype(np.int64) if spec.rates else y
-        for level in range(spec.depth):
-            found = list(histograms(spec, replica, tree, level, bins, left, w))
-            for node, n, s in found:
-                apply_cut(tree, node, best_cut(allowed(spec, bins.shape[1], replica, node), n, s))
-            if not found:
-                break
-        done.append(tree)
-    return done
+        w = np.where(known, weights(seeds, replica) if spec.drawn else 1, 0)
+        left = y - np.rint(out).astype(np.int64) if spec.rates else y
+        node, value = np.zeros(len(y), np.int64), np.zeros(len(y))
+        weight, weighted = w.astype(float), (w * left).astype(float)
+        for at in range((1 << spec.depth) - 1):
+            rows = np.flatnonzero(node == at)
+            if not len(rows):
+                continue
+            features, of = allowed(spec, bins.shape[1], replica, at), learner[rows]
+            place = np.cumsum(np.diff(of, prepend=of[0]) != 0)
+            many = int(place[-1]) + 1
+            shape = many, len(features), BINS + 1
+            n, s = np.empty(shape, np.int64), np.empty(shape, np.int64)
+            for i, j in enumerate(features):
+                cells = place * (BINS + 1) + bins[:, j][rows]
+                n[:, i] = np.bincount(cells, weight[rows], many * (BINS + 1)).reshape(many, -1)
+                s[:, i] = np.bincount(cells, weighted[rows], many * (BINS + 1)).reshape(many, -1)
+            feature, b, n_left, s_left, total, whole = best_cuts(features, n, s)
+            if at == 0:
+                value[rows] = (whole / np.maximum(total, 1))[place]
+            cut = feature[place] >= 0
+            rows, place = rows[cut], place[cut]
+            right = bins[rows, feature[place]] > b[place]
+            node[rows] = 2 * at + 1 + right
+            low, high = s_left / np.maximum(n_left, 1), (whole - s_left) / np.maximum(total - n_left, 1)
+            value[rows] = np.where(right, high[place], low[place])
+        out += (spec.rates[replica] if spec.rates else 1.0 / spec.count) * value
+    return out
 
 
 def in_units(y: Column) -> Column:
@@ -210,28 +291,43 @@ def _matrix(frame: pd.DataFrame, count: int) -> np.ndarray:
 
 
 def _within(ready: DataFrame, count: int, keys: list[str], spec: Trees, schema: str) -> DataFrame:
-    """Pools that one task holds: each learner grown where its rows are."""
+    """Pools that one task holds: learners grow where their rows are."""
     buckets = 4 * int(ready.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def pool(frame: pd.DataFrame) -> pd.Series:
-        out = pd.Series(np.nan, frame.index)
-        x, y, label, seed = _matrix(frame, count), frame["_y"], frame["_label"].to_numpy(), frame["_seed"].to_numpy()
-        known, starts = y.notna().to_numpy(), frame["_block"].to_numpy()
-        units = y.fillna(0).to_numpy().astype(np.int64)
+    def some(x, y, labelled, label, seed, pool, starts, wanted) -> np.ndarray:
+        """Predictions of the rows of a few pools; `wanted` are the pools."""
+        out, parts = np.full(len(y), np.nan), []
         for start in np.unique(starts):
-            past = known & (label < start)
-            if past.sum() < 2:
-                continue
-            edges = edges_of(x[past])
-            trees = grow(spec, binned(x[past], edges), units[past], seed[past])
-            mine = starts == start
-            out[mine] = predicted(spec, trees, binned(x[mine], edges)) * UNIT
+            past, mine = np.flatnonzero(labelled & (label < start)), np.flatnonzero(starts == start)
+            enough = np.bincount(pool[past], minlength=wanted) >= 2
+            past, mine = past[enough[pool[past]]], mine[enough[pool[mine]]]
+            parts.append((np.concatenate([past, mine]), np.repeat([True, False], [len(past), len(mine)]), start))
+        rows, known = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        learner = np.concatenate([pool[p[0]] + i * wanted for i, p in enumerate(parts)])
+        order = np.argsort(learner, kind="stable")
+        rows, known, learner = rows[order], known[order], learner[order]
+        if len(rows):
+            grown = grow_each(spec, learner, bins_of_each(learner, x[rows], known), y[rows], seed[rows], known)
+            out[rows[~known]] = grown[~known] * UNIT
         return out
 
-    # Several pools a call: one for each would cost more than their trees.
+    # The pools of a call grow together: one call for each, or a step for each of its nodes, would cost more than their trees.
     def bucket(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [part[keys].assign(_trees=pool(part.reset_index(drop=True)).to_numpy()) for _, part in frame.groupby("_pool", sort=False)]
-        return pd.concat(parts)
+        frame = frame[frame["_pool"].notna()]
+        pool = pd.factorize(frame["_pool"])[0]
+        frame = frame.iloc[np.argsort(pool, kind="stable")]
+        pool, out = np.sort(pool), np.full(len(frame), np.nan)
+        x, label, seed, starts = _matrix(frame, count), frame["_label"].to_numpy(), frame["_seed"].to_numpy(), frame["_block"].to_numpy()
+        labelled, y = frame["_y"].notna().to_numpy(), frame["_y"].fillna(0).to_numpy().astype(np.int64)
+        ends = np.append(np.flatnonzero(np.diff(pool)) + 1, len(pool))
+        begin = 0
+        while begin < len(pool):
+            # Whole pools of some HELD_ROWS / 4 rows, which a few blocks' learners read.
+            end = int(ends[min(np.searchsorted(ends, begin + max(1, HELD_ROWS // 4)), len(ends) - 1)])
+            part = slice(begin, end)
+            out[part] = some(x[part], y[part], labelled[part], label[part], seed[part], pool[part] - pool[begin], starts[part], int(pool[end - 1] - pool[begin]) + 1)
+            begin = end
+        return frame[keys].assign(_trees=out)
 
     found = ready.withColumn("_bucket", F.pmod(F.xxhash64("_pool"), F.lit(buckets))).groupBy("_bucket").applyInPandas(bucket, schema)
     return found.withColumn("_trees", F.when(~F.isnan("_trees"), F.col("_trees")))
@@ -251,7 +347,8 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _shared(ready: DataFrame, count: int, keys: list[str], spec: Trees, schema: str) -> DataFrame:
     """Pools over many entities: as few as there are horizons, each of any size."""
-    known = ready.filter("_y is not null")
+    # What the passes read: keys stay behind.
+    known = ready.filter("_y is not null").select("_pool", "_label", "_y", "_seed", *[f"_x{i}" for i in range(count)])
     learners = ready.select("_pool", "_block").distinct().collect()  # pools over entities times the calendar's blocks
     learners = sorted((r["_pool"], r["_block"]) for r in learners)
     total = known.count()
@@ -272,6 +369,32 @@ def _shared(ready: DataFrame, count: int, keys: list[str], spec: Trees, schema:
     return out
 
 
+def packer(count: int, learners: list, edges: dict, seeds: bool):
+    """Rows to chunks of a pool, ordered by label day: targets, draws' seeds, and for each block's cuts
+    the bytes of the rows that it knows, a prefix, feature by feature."""
+    pools = {pool: sorted(s for p, s in learners if p == pool) for pool, _ in learners}
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _chunks(batches):
+            out = []
+            for pool, at in frame.groupby("_pool", sort=False, dropna=False).indices.items():
+                part = frame.iloc[at[np.argsort(frame["_label"].to_numpy()[at], kind="stable")]]
+                x, label = _matrix(part, count), part["_label"].to_numpy()
+                cells = {s: binned(x[:stop], edges[s]) for s in pools.get(pool, ()) if (stop := int(np.searchsorted(label, s)))}
+                if cells:
+                    most = max(map(len, cells.values()))
+                    seed = part["_seed"].to_numpy(np.int64)[:most].tobytes() if seeds else b""
+                    out.append((pool, list(cells), [c.tobytes(order="F") for c in cells.values()], part["_y"].to_numpy(np.int64)[:most].tobytes(), seed))
+            if out:
+                yield pd.DataFrame(out, columns=["pool", "starts", "cells", "y", "seed"])
+
+    return pack
+
+
+PACKED = "pool string, starts array<int>, cells array<binary>, y binary, seed binary"
+PACKED_GROUP = 32 << 20  # bytes of a row group, which a task holds at once
+
+
 def _grow_all(known: DataFrame, count: int, spec: Trees, learners: list, edges: dict) -> dict:
     """Trees of each learner; {} for one that knows fewer than two labels."""
     rounds = [[k] for k in range(len(spec.rates))] if spec.rates else [list(range(spec.replicas))]
@@ -280,10 +403,12 @@ def _grow_all(known: DataFrame, count: int, spec: Trees, learners: list, edges:
     known = known.filter(F.col("_label") < max(s for _, s in learners))
     counted = known.groupBy("_pool", "_label").count().collect()  # a row per pool and day
     seen = {(p, s): sum(r["count"] for r in counted if r["_pool"] == p and r["_label"] < s) for p, s in learners}
+    # Every pass reads the same rows again: their cells are looked up and written once.
+    packed = materialise(known.mapInPandas(packer(count, learners, edges, spec.drawn), PACKED), "packed", **{"parquet.block.size": PACKED_GROUP})
     for replicas in rounds:
         trees = {(i, k): Tree(spec.size) for i, learner in enumerate(learners) if seen[learner] >= 2 for k in replicas}
         for level in range(spec.depth):
-            cuts = _level(known, count, spec, learners, edges, trees, grown, level, tasks)
+            cuts = _level(packed, count, spec, learners, trees, grown, level, tasks)
             for i, k, node, *cut in cuts:
                 apply_cut(trees[i, k], node, (cut[0], cut[1], cut[2:4], cut[4:6]))
             if not any(c[3] >= 0 for c in cuts):
@@ -293,31 +418,36 @@ def _grow_all(known: DataFrame, count: int, spec: Trees, learners: list, edges:
     return grown
 
 
-def _level(known: DataFrame, count: int, spec: Trees, learners, edges, trees, grown, level: int, tasks: int) -> list:
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, list] = {}
-        for frame in _chunks(batches):
-            x, y, label, seed = _matrix(frame, count), frame["_y"].to_numpy(np.int64), frame["_label"].to_numpy(), frame["_seed"].to_numpy()
-            pools = {p: np.flatnonzero(frame["_pool"].to_numpy() == p) for p in frame["_pool"].unique()}
-            draws = {k: weights(seed, k) if spec.drawn else np.ones(len(frame), np.int64) for k in {k for _, k in trees}}
-            by_start = {s: binned(x, e) for s, e in edges.items()}
-            for i, (pool, start) in enumerate(learners):
-                rows = pools.get(pool, np.empty(0, np.int64))
-                rows = rows[label[rows] < start]
-                mine = [k for j, k in trees if j == i]
-                if not len(rows) or not mine:
-                    continue
-                bins, target = by_start[start][rows], y[rows]
-                if spec.rates:
-                    target = target - np.rint(predicted(spec, grown[learners[i]], bins)).astype(np.int64)
-                for k in mine:
-                    for node, n, s in histograms(spec, k, trees[i, k], level, bins, target, draws[k][rows]):
-                        key = i, k, node
-                        both = held.get(key)
-                        held[key] = np.stack([n, s]) if both is None else both + np.stack([n, s])
+def _level(packed: DataFrame, count: int, spec: Trees, learners, trees, grown, level: int, tasks: int) -> list:
+    numbers = {learner: i for i, learner in enumerate(learners)}
+    replicas = {i: [k for j, k in trees if j == i] for i in range(len(learners))}
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                pool, starts = batch["pool"][row].as_py(), batch["starts"][row].as_py()
+                y, cells = np.frombuffer(batch["y"][row].as_buffer(), np.int64), batch["cells"][row].values
+                seed = np.frombuffer(batch["seed"][row].as_buffer(), np.int64)
+                draws = {k: weights(seed, k) for k in {k for _, k in trees}} if spec.drawn else {}
+                for at, start in enumerate(starts):
+                    i = numbers[pool, start]
+                    if not replicas[i]:
+                        continue
+                    bins = np.frombuffer(cells[at].as_buffer(), np.uint8).reshape((-1, count), order="F")
+                    target = y[:len(bins)]
+                    if spec.rates:
+                        target = target - np.rint(predicted(spec, grown[learners[i]], bins)).astype(np.int64)
+                    for k in replicas[i]:
+                        for node, n, s in histograms(spec, k, trees[i, k], level, bins, target, draws[k][:len(bins)] if spec.drawn else None):
+                            key, both = (i, k, node), np.stack([n, s])
+                            if key in held:
+                                held[key] += both
+                            else:
+                                held[key] = both
         if held:
-            yield pd.DataFrame({"learner": [k[0] for k in held], "replica": [k[1] for k in held], "node": [k[2] for k in held],
-                                "cells": [v.tobytes() for v in held.values()]})
+            ids = [pa.array([key[j] for key in held], pa.int32()) for j in range(3)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["learner", "replica", "node", "cells"])
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
@@ -333,26 +463,29 @@ def _level(known: DataFrame, count: int, spec: Trees, learners, edges, trees, gr
             out.append((i, k, node, feature, b, *left, *whole))
         yield pd.DataFrame(out, columns=["learner", "replica", "node", "feature", "bin", "n_left", "s_left", "n", "s"])
 
-    partial = known.mapInPandas(reduce, "learner int, replica int, node int, cells binary")
+    partial = packed.mapInArrow(reduce, "learner int, replica int, node int, cells binary")
     chosen = partial.repartition(tasks, "learner", "replica", "node").mapInPandas(
         choose, "learner int, replica int, node int, feature int, bin int, n_left long, s_left long, n long, s long")
     return [tuple(r) for r in chosen.collect()]  # one cut per open node
 
 
 def _predict(ready: DataFrame, count: int, keys: list[str], spec: Trees, schema: str, learners, edges, grown) -> DataFrame:
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = set(learners)
-        for frame in batches:
-            parts = []
-            for key, rows in frame.groupby(["_pool", "_block"], sort=False).indices.items():
-                if key not in wanted:
-                    continue
-                part, trees = frame.iloc[rows], grown[key]
-                values = predicted(spec, trees, binned(_matrix(part, count), edges[key[1]])) * UNIT if trees else np.full(len(part), np.nan)
-                parts.append(part[keys].assign(_trees=values))
-            if parts:
-                yield pd.concat(parts)
+    wanted = set(learners)
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, mine = np.full(batch.num_rows, np.nan), np.zeros(batch.num_rows, bool)
+            x = np.column_stack([batch[f"_x{i}"].to_numpy(zero_copy_only=False).astype(float) for i in range(count)])
+            of = pd.DataFrame({"pool": batch["_pool"].to_pandas(), "block": batch["_block"].to_pandas()})
+            for key, rows in of.groupby(["pool", "block"], sort=False).indices.items():
+                if key in wanted:
+                    mine[rows] = True
+                    if grown[key]:
+                        values[rows] = predicted(spec, grown[key], binned(x[rows], edges[key[1]])) * UNIT
+            # The keys pass as they are.
+            found = pa.RecordBatch.from_arrays([*[batch[k] for k in keys], pa.array(values)], names=[*keys, "_trees"])
+            yield found if mine.all() else found.filter(pa.array(mine))
 
     blocks = sorted({start for _, start in learners})
-    found = ready.filter(F.col("_block").isin(blocks)).mapInPandas(predict, schema)
+    found = ready.filter(F.col("_block").isin(blocks)).mapInArrow(predict, schema)
     return found.withColumn("_trees", F.when(~F.isnan("_trees"), F.col("_trees")))

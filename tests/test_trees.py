@@ -139,3 +139,47 @@ def test_walk_forward_pools(table, rows, pooling, estimator):
     late = [r for r in scored if r.target_delta is not None and r.date > DAY + dt.timedelta(20)]
     mean = np.mean([r.target_delta for r in late])
     assert np.mean([abs(r.model - r.target_delta) for r in late]) < 0.8 * np.mean([abs(mean - r.target_delta) for r in late])
+
+
+def learners_of(count):
+    rng, parts = np.random.default_rng(4), []
+    for at in range(count):
+        n = int(rng.integers(40, 120))
+        x = np.round(rng.normal(size=(n + 3, 3)) * [1, 100, 1], 1)
+        x[rng.random(x.shape) < 0.1] = np.nan
+        parts.append((np.full(n + 3, at), x, rng.integers(-10**6, 10**6, n + 3), rng.integers(0, 1 << 62, n + 3), np.arange(n + 3) < n))
+    return [np.concatenate(p) for p in zip(*parts)]
+
+
+@pytest.mark.parametrize("spec", [trees.Trees(3, depth=3, share=0.5, drawn=True), trees.Trees(depth=3, rates=(1.0, 0.3, 0.3))])
+def test_learners_together_are_the_same_as_alone_and_cost_no_step_each(spec, monkeypatch):
+    steps, plain_count = [], np.bincount
+    monkeypatch.setattr(trees.np, "bincount", lambda *a, **k: steps.append(1) or plain_count(*a, **k))
+    of, x, y, seed, known = learners_of(40)
+    bins = trees.bins_of_each(of, x, known)
+    together = trees.grow_each(spec, of, bins, y, seed, known)
+    for_all = len(steps)
+    for at in range(40):
+        mine = of == at
+        edges = trees.edges_of(x[mine & known])
+        assert (bins[mine] == trees.binned(x[mine], edges)).all()
+        alone = trees.grow_each(spec, of[mine] - at, trees.binned(x[mine], edges), y[mine], seed[mine], known[mine])
+        assert (alone == together[mine]).all()
+    assert for_all < 3 * (len(steps) - for_all) / 40
+
+
+def test_packed_rows_are_a_prefix_of_each_blocks_cells():
+    import pandas as pd
+    _, x, y, seed, _ = learners_of(5)
+    frame = pd.DataFrame({"_pool": np.where(np.arange(len(y)) % 2, "1", "2"), "_label": np.arange(len(y))[::-1] % 20, "_y": y, "_seed": seed,
+                          **{f"_x{j}": x[:, j] for j in range(3)}})
+    learners = [("1", 0), ("1", 7), ("1", 30), ("2", 7)]
+    edges = {s: trees.edges_of(x[frame["_label"].to_numpy() < s]) for s in (0, 7, 30)}
+    (packed,) = trees.packer(3, learners, edges, True)([frame])
+    assert {r.pool: r.starts for r in packed.itertuples()} == {"1": [7, 30], "2": [7]}
+    for r in packed.itertuples():
+        mine = frame[frame["_pool"] == r.pool].sort_values("_label", kind="stable")
+        for start, cells in zip(r.starts, r.cells):
+            past = mine[mine["_label"] < start]
+            assert (np.frombuffer(cells, np.uint8).reshape((-1, 3), order="F") == trees.binned(past[["_x0", "_x1", "_x2"]].to_numpy(), edges[start])).all()
+            assert (np.frombuffer(r.y, np.int64)[:len(past)] == past["_y"]).all() and (np.frombuffer(r.seed, np.int64)[:len(past)] == past["_seed"]).all()
