@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,51 +24,62 @@ def first_seen(readings: DataFrame, keys: Sequence[str], stamp: str = "obs_datet
     return timed.dropDuplicatesWithinWatermark([*keys])
 
 
+BUCKETS = 1024  # states of a stream: a call for each key would cost far more than its few rows
+
+
 class FirstSeenProcessor(StatefulProcessor):
-    """The keys of an entity's latest readings, for as long as `late` behind its newest.
+    """The keys of the latest readings of a bucket's entities, each for as long as `late` behind its newest.
 
     A reading older than that, which may or may not have been seen, is passed on as late
     instead of being dropped. Readings of one batch count in the order of `order__`.
     """
 
-    def __init__(self, columns: Sequence[str], late: int):
-        self.columns, self.late = list(columns), late
+    def __init__(self, columns: Sequence[str], entity: str, late: int):
+        self.columns, self.entity, self.late = list(columns), entity, late
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("seen", "newest long, keys array<long>")
+        # One row of parallel arrays: an entity's part of the keys, its newest stamp, and each stamp remembered.
+        self._state = handle.getValueState("seen", "entity array<string>, part array<int>, at array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest, keys = self._state.get() if self._state.exists() else (None, [])
-        fresh = pd.concat(list(rows)).sort_values("order__", kind="stable")
-        seen, behind, picked, flags = set(keys), set(), [], []
-        for i, at in enumerate(fresh["at__"].tolist()):
-            is_late = newest is not None and at < newest - self.late
-            known = behind if is_late else seen
-            if at not in known:
-                known.add(at)
-                picked.append(i)
-                flags.append(is_late)
-        top = int(fresh["at__"].max())
-        top = top if newest is None else max(top, newest)
-        self._state.update((top, sorted(k for k in seen if k >= top - self.late)))
-        yield fresh.iloc[picked][self.columns].assign(late=flags)
+        fresh = pd.concat(list(rows)).sort_values("order__", kind="stable", ignore_index=True)
+        stored = self._state.get() if self._state.exists() else ([], [], [])
+        known = pd.DataFrame({"e": pd.Series(stored[0], dtype=object), "p": pd.Series(stored[1], dtype="int64"), "at": pd.Series(stored[2], dtype="int64")})
+        new = pd.DataFrame({"e": fresh[self.entity].to_numpy(object), "p": fresh["salt__"].to_numpy("int64"), "at": fresh["at__"].to_numpy("int64")})
+        both = pd.concat([known, new], ignore_index=True)
+        who = both.groupby(["e", "p"], sort=False, dropna=False).ngroup().to_numpy()
+        at, was = both["at"].to_numpy(), np.arange(len(both)) < len(known)
+        least = np.iinfo(np.int64).min
+        before, top = np.full(who.max() + 1, least), np.full(who.max() + 1, least)
+        np.maximum.at(before, who[was], at[was])
+        np.maximum.at(top, who, at)
+        late = ~was & (before[who] > least) & (at < before[who] - self.late)
+        # The first of each stamp, the stored one before all others; late ones among themselves.
+        first = ~pd.DataFrame({"who": who, "at": at, "late": late}).duplicated().to_numpy()
+        kept = first & ~late & (at >= top[who] - self.late)
+        self._state.update((both["e"].to_numpy()[kept].tolist(), both["p"].to_numpy()[kept].tolist(), at[kept].tolist()))
+        picked = (first & ~was)[len(known):]
+        yield fresh.loc[picked, self.columns].assign(late=late[len(known):][picked])
 
     def close(self) -> None:
         pass
 
 
-def first_seen_or_late(readings: DataFrame, entity: str, stamp: str, order: str, late: str = "2 days", salts: int = 8) -> DataFrame:
+def first_seen_or_late(readings: DataFrame, entity: str, stamp: str, order: str, late: str = "2 days", salts: int = 8,
+                       buckets: int = BUCKETS) -> DataFrame:
     """The first reading of each (entity, stamp), and those too late to tell, flagged `late`.
 
     No reading is lost: `settle` decides about late ones against the stored table. An
-    entity's stamps are dealt out to `salts` states, so a hot one is several.
+    entity's stamps are dealt out to `salts` parts, so a hot one is several; parts lie in
+    `buckets` states, a number that a stream keeps.
     """
     columns = readings.columns
     kept = int(pd.Timedelta(late) / pd.Timedelta(1, "us"))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     rows = readings.withColumns({"at__": micros(stamp), "order__": micros(order)}).withColumn("salt__", F.pmod(F.xxhash64("at__"), F.lit(salts)))
+    rows = rows.withColumn("bucket__", F.pmod(F.xxhash64(entity, "salt__"), F.lit(buckets)))
     schema = ", ".join(f"`{c}` {dict(readings.dtypes)[c]}" for c in columns) + ", late boolean"
-    return rows.groupBy(entity, "salt__").transformWithStateInPandas(FirstSeenProcessor(columns, kept), schema, "Append", "None")
+    return rows.groupBy("bucket__").transformWithStateInPandas(FirstSeenProcessor(columns, entity, kept), schema, "Append", "None")
 
 
 def stored_batches(rows: DataFrame, path: str, state: str):
@@ -122,36 +134,47 @@ STATS_OUTPUT = "dam string, n long, mean double, sd double, upto date"
 
 
 class DriftProcessor(StatefulProcessor):
-    """Adaptive error window per (dam, horizon), kept across runs.
+    """Adaptive error windows of a bucket's (dam, horizon) series, kept across runs.
 
-    The state is the window's buckets, logarithmic in its length.
+    The state is the windows' buckets, logarithmic in their length.
     """
 
     def __init__(self, delta: float = DELTA):
         self.delta = delta
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("buckets", "n array<double>, total array<double>, squares array<double>")
+        self._state = handle.getValueState(
+            "windows", "dam array<string>, horizon array<int>, n array<array<double>>, total array<array<double>>, squares array<array<double>>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stored = self._state.get() if self._state.exists() else None
-        window = AdaptiveWindow(list(zip(*stored)) if stored else (), delta=self.delta)
+        stored = self._state.get() if self._state.exists() else ([], [], [], [], [])
+        windows = {(dam, horizon): AdaptiveWindow(list(zip(*parts)), delta=self.delta) for dam, horizon, *parts in zip(*stored)}
         fresh = pd.concat(list(rows)).sort_values("target_date", kind="stable")
-        hits = fresh[[window.add(float(v)) for v in fresh["abs_err_model"]]]
-        columns = [[float(b[i]) for b in window.buckets] for i in range(3)]
-        self._state.update(tuple(columns))
-        yield pd.DataFrame(
-            {"dam": key[0], "horizon": key[1], "detected_at": hits["target_date"], "abs_err": hits["abs_err_model"]})
+        hits = []
+        dams, horizons = fresh["dam"].astype(object), fresh["horizon"].astype(object)
+        names = zip(dams.where(dams.notna(), None), horizons.where(horizons.notna(), None))
+        for (dam, horizon), error in zip(names, fresh["abs_err_model"].tolist()):
+            series = dam, None if horizon is None else int(horizon)
+            if series not in windows:
+                windows[series] = AdaptiveWindow(delta=self.delta)
+            hits.append(windows[series].add(float(error)))
+        sums = [[[float(b[i]) for b in w.buckets] for w in windows.values()] for i in range(3)]
+        self._state.update(([d for d, _ in windows], [h for _, h in windows], *sums))
+        found = fresh[hits]
+        yield pd.DataFrame({"dam": found["dam"], "horizon": found["horizon"], "detected_at": found["target_date"], "abs_err": found["abs_err_model"]})
 
     def close(self) -> None:
         pass
 
 
-def drift_events(errors: DataFrame, delta: float = DELTA) -> DataFrame:
-    """Detections per series; errors that are NULL or NaN say nothing and are left out."""
+def drift_events(errors: DataFrame, delta: float = DELTA, buckets: int = BUCKETS) -> DataFrame:
+    """Detections per series; errors that are NULL or NaN say nothing and are left out.
+
+    Series lie in `buckets` states, a number that a stream keeps.
+    """
     known = errors.filter(F.col("abs_err_model").isNotNull() & ~F.isnan("abs_err_model"))
-    return known.select("dam", "horizon", "target_date", "abs_err_model").groupBy("dam", "horizon").transformWithStateInPandas(
-        DriftProcessor(delta), DRIFT_OUTPUT, "Append", "None")
+    rows = known.select("dam", "horizon", "target_date", "abs_err_model", F.pmod(F.xxhash64("dam", "horizon"), F.lit(buckets)).alias("bucket__"))
+    return rows.groupBy("bucket__").transformWithStateInPandas(DriftProcessor(delta), DRIFT_OUTPUT, "Append", "None")
 
 
 class StatsProcessor(StatefulProcessor):

@@ -124,3 +124,65 @@ def test_daily_windows_close_behind_the_watermark(spark, tmp_path):
     stream = land(spark, str(tmp_path / "a"), parts, "scraped_at timestamp_ntz, on_watch boolean")
     got = {r.date.day: (r.readings, r.alerts) for r in drain(streams.daily_alerts(stream), "t").collect()}
     assert got == {1: (3, 2), 2: (1, 1)}
+
+
+class _Handle:
+    """One state, kept in memory."""
+
+    def __init__(self):
+        self.value = None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_one_state_serves_many_entities():
+    import numpy as np
+    import pandas as pd
+    rng, late = np.random.default_rng(5), 10
+    processor = streams.FirstSeenProcessor(["dam", "n"], "dam", late)
+    processor.init(_Handle())
+    seen, newest = {}, {}
+    for batch in range(4):
+        rows = pd.DataFrame({"dam": [f"d{i}" for i in rng.integers(0, 30, 400)], "salt__": rng.integers(0, 2, 400), "at__": rng.integers(0, 40, 400) + 5 * batch,
+                             "order__": rng.permutation(400), "n": np.arange(400)})
+        (found,) = processor.handleInputRows((0,), iter([rows[:150], rows[150:]]), None)
+        want, behind, before = set(), set(), dict(newest)
+        for r in rows.sort_values("order__").itertuples():
+            who = r.dam, r.salt__
+            is_late = who in before and r.at__ < before[who] - late
+            known = behind if is_late else seen.setdefault(who, set())
+            key = (who, r.at__) if is_late else r.at__
+            if key not in known:
+                known.add(key)
+                want.add((r.dam, r.n, is_late))
+            newest[who] = max(newest.get(who, 0), r.at__)
+        seen = {who: {k for k in keys if k >= newest[who] - late} for who, keys in seen.items()}
+        assert set(found.itertuples(index=False, name=None)) == want
+
+
+def test_one_state_serves_many_series():
+    import datetime as dt
+
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(6)
+    values = {(f"d{i}", h): np.r_[rng.normal(1, 0.1, 40), rng.normal(6, 0.1, 40)] for i in range(12) for h in (1, 2)}
+    processor, found = streams.DriftProcessor(0.2), set()
+    processor.init(_Handle())
+    for part in (slice(0, 30), slice(30, 80)):
+        rows = pd.DataFrame([(d, h, dt.date(2026, 1, 1) + dt.timedelta(at), float(v)) for (d, h), series in values.items()
+                             for at, v in list(enumerate(series))[part]], columns=["dam", "horizon", "target_date", "abs_err_model"]).sample(frac=1, random_state=1)
+        (hits,) = processor.handleInputRows((0,), iter([rows]), None)
+        found |= set(zip(hits["dam"], hits["horizon"], hits["detected_at"]))
+    want = {(d, h, dt.date(2026, 1, 1) + dt.timedelta(at)) for (d, h), series in values.items() for at in drift.replay(series, 0.2)}
+    assert found == want and want
