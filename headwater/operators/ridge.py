@@ -119,10 +119,16 @@ def cross_product_blocks(rows: DataFrame, features: Sequence[str]) -> DataFrame:
             # A zero block at each issue day makes its model an equi join away.
             for key in frame[["pool", "day"]].drop_duplicates().itertuples(index=False, name=None):
                 held.setdefault(key, empty)
-            known = frame[frame["y"].notna() & (frame["w"] > 0)]
-            for key, part in known.groupby(["pool", "label_day"], sort=False):
-                u = _design(part, features)
-                held[key] = held.get(key, empty) + u.T @ u
+            known = frame[frame["y"].notna() & (frame["w"] > 0) & frame["pool"].notna() & frame["label_day"].notna()]
+            if len(known):
+                # One matrix for the batch: a block takes its rows, in their order.
+                u, (pool, names), (day, days) = _design(known, features), pd.factorize(known["pool"]), pd.factorize(known["label_day"])
+                block = pool * len(days) + day
+                order = np.argsort(block, kind="stable")
+                begins = np.flatnonzero(np.diff(block[order], prepend=-1))
+                for rows in np.split(order, begins[1:]):
+                    key, part = (names[pool[rows[0]]], days[day[rows[0]]]), u[rows]
+                    held[key] = held.get(key, empty) + part.T @ part
             if len(held) >= HELD_BLOCKS:
                 yield release()
         if held:

@@ -274,7 +274,10 @@ def tree_walkforward(spark, folder):
 @register("huber_walkforward", f"{recursive(*FEATURE_CTES, PREPARED, HUBER, error_ctes('pass3'), BOARD)} SELECT * FROM shown")
 def huber_walkforward(spark, folder):
     rows = backtest.prepared(events_table(spark, folder))
-    scored = labelled(reweighted.huber(rows, [*search.feature_columns("tiny"), "horizon"]))
+    inputs = list(search.feature_columns("tiny"))
+    # Each pass writes its rows: only what the passes and the errors read goes with them.
+    rows = rows.select(*dict.fromkeys([*KEYS, "label_date", "fcst_source", "target_delta", "scale", "dev_24h_m", *inputs]))
+    scored = labelled(reweighted.huber(rows, [*inputs, "horizon"]))
     return scoreboard.scoreboard(backtest.errors_of(scored))
 
 
