@@ -138,11 +138,12 @@ def _remembering(rows: DataFrame, x: Sequence[str], keys: Sequence[str], k: int,
         }
     )
     within = Window.partitionBy("pool").orderBy("so_far").rangeBetween(0, memory - 1)
-    blocks = numbered.select(
+    # Written, so that joins know their size: a few per pool, and the queries need not move for them.
+    blocks = materialise(numbered.select(
         "pool", "block", "number",
         F.least(F.max("number").over(within) + 1, F.col("last")).alias("reach"),
         F.greatest(F.ceil(F.col("queries") / QUERIES_PER_TASK).cast("int"), F.lit(1)).alias("groups"),
-    )
+    ), "blocks")
     groups = blocks.select("pool", F.col("number").alias("at"), "groups")
     asked = (
         queries.join(blocks.select("pool", "block", F.col("number").alias("at"), "groups"), ["pool", "block"])
