@@ -316,7 +316,8 @@ def tick_scores(spark, folder):
     """Two runs of the live loop: the second one logs the errors of what the first one issued."""
     store = tick.Store(work_folder(spark, "loop"))
     cut = F.lit(FIRST_RUN).cast("date")
-    table, daily = events_table(spark, folder), views.daily(spark, folder)
+    # Each run reads them in many places.
+    table, daily = materialise(events_table(spark, folder), "table"), materialise(views.daily(spark, folder), "daily")
     known = F.when(F.date_add("date", F.col("horizon").cast("int")) <= cut, F.col("target_delta"))
     registry, states = views.registry(spark, folder), views.alerts(spark, folder)
     tick.run(spark, store, table.filter(F.col("date") <= cut).withColumn("target_delta", known),
