@@ -89,7 +89,7 @@ def base_predictions(rows: DataFrame, model: str, features: str, pooling: str, s
                      interactions: bool, stack: bool) -> DataFrame:
     """Predictions of one family before shrinkage and blending.
 
-    Models: "mean", "ridge" or "ridge:<penalty>", "bagged", "huber", "knn<k>" and the
+    The rows should be read from files, as `prepared` gives them. Models: "mean", "ridge" or "ridge:<penalty>", "bagged", "huber", "knn<k>" and the
     trees of ESTIMATORS, in every pooling.
     """
     if model == "mean":
@@ -104,13 +104,14 @@ def base_predictions(rows: DataFrame, model: str, features: str, pooling: str, s
     if model == "huber":
         return huber(rows, inputs, pooling, scaled=scaled)
     if model in ESTIMATORS:
-        return walk_forward(rows, [c for c in inputs if c != "horizon"], model, month_start(), scaled, pooling=pooling)
+        return walk_forward(rows, [c for c in inputs if c != "horizon"], model, month_start(), scaled, pooling=pooling, written=True)
     if model.split(":")[0] != "ridge":
         raise ValueError(f"unknown model {model}")
     return ridge(rows, inputs, pooling, _penalty(model), scaled)
 
 
-SLIM = [*KEYS, "label_date", "target_delta", "dev_24h_m", *BASELINES]  # what scoring needs of a row
+STORED = [*KEYS, "target_delta", "dev_24h_m"]  # of a row, what the matrix of experts keeps beside its predictions
+SLIM = [*KEYS, "label_date", "target_delta", "dev_24h_m", *BASELINES]  # what scoring needs; the rest follows from STORED
 
 
 def prepared(table: DataFrame, crossed: bool = True, families: Sequence[tuple] | None = None) -> DataFrame:
@@ -159,7 +160,7 @@ def _base_rows(rows: DataFrame, groups: Sequence[Sequence[tuple]]) -> DataFrame:
     for number, group in enumerate(groups):
         model, features, pooling, scaled, crossed, stack = group[0]
         if model == "mean":
-            part = mean_families(rows.select(*SLIM, "scale"), [(f[2], f[3]) for f in group])
+            part = mean_families(rows.select(*STORED, "label_date", "scale"), [(f[2], f[3]) for f in group])
         elif model.split(":")[0] == "ridge":
             inputs = [_inputs(f, pooling, crossed, stack) for _, f, _, _, crossed, stack in group]
             union = list(dict.fromkeys(c for columns in inputs for c in columns))
@@ -168,7 +169,7 @@ def _base_rows(rows: DataFrame, groups: Sequence[Sequence[tuple]]) -> DataFrame:
         else:
             base = base_predictions(rows, model, features, pooling, scaled, crossed, stack)
             part = base.withColumn("_bases", F.array("model"))
-        parts.append(part.select(*SLIM, "_bases", F.lit(number).alias("_group")))
+        parts.append(part.select(*STORED, "_bases", F.lit(number).alias("_group")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -206,7 +207,8 @@ class Experts:
 
     def _keep(self, fitted: Callable[[], DataFrame], groups: Sequence[Sequence[tuple]]) -> None:
         written = materialise(fitted(), "experts")
-        self.parts += [(group, written.filter(F.col("_group") == number).drop("_group")) for number, group in enumerate(groups)]
+        slim = with_baselines(with_label_date(written))
+        self.parts += [(group, slim.filter(F.col("_group") == number).drop("_group")) for number, group in enumerate(groups)]
         for group in groups:
             self.numbers |= {f: len(self.numbers) + i for i, f in enumerate(group)}
 
@@ -223,14 +225,14 @@ class Experts:
         def fitted() -> DataFrame:
             many = self.read(members)
             each = [F.max(F.when(F.col("_family") == self.numbers[m], F.col("_base"))).alias(n) for m, n in zip(members, names)]
-            # A row's other columns are the same for all members.
-            wide = many.groupBy(*SLIM).agg(*each)
+            # A row's other columns are the same for all members; what follows from them does not move.
+            wide = many.groupBy(*STORED).agg(*each)
             if pooling in ENTITY_POOLS:
                 wide = wide.repartition("dam")
-            mixed = with_pool_sums(wide, pooling, scaled_losses({n: F.col(n) for n in names}))
+            mixed = with_pool_sums(with_label_date(wide), pooling, scaled_losses({n: F.col(n) for n in names}))
             weights = expert_weights(names, ENSEMBLE_RATE)
             value = sum((weights[n] * F.col(n) for n in names), F.lit(0.0))
-            return mixed.select(*SLIM, F.array(value).alias("_bases"), F.lit(0).alias("_group"))
+            return mixed.select(*STORED, F.array(value).alias("_bases"), F.lit(0).alias("_group"))
 
         self._keep(fitted, [[family]])
 

@@ -33,13 +33,13 @@ def week_start(date: str = "date") -> Column:
 
 def walk_forward(table: DataFrame, features: Sequence[str], estimator: str = "forest", block: Column | None = None,
                  scaled: bool = True, name: str = "model", pooling: str = "all",
-                 keys: Sequence[str] = ("dam", "date", "horizon")) -> DataFrame:
+                 keys: Sequence[str] = ("dam", "date", "horizon"), written: bool = False) -> DataFrame:
     """Add predictions of trees refitted at the start of every block, in any pooling.
 
     The horizon is one of the inputs. Blocks without two known labels predict no change.
+    written: the table is read from files, and need not be written for its second reading.
     """
-    # Every level reads the same rows again: written once, not recomputed.
-    rows = materialise(table, "walk-forward")
+    rows = table if written else materialise(table, "walk-forward")
     block = month_start() if block is None else block
     grown = walk(rows, [*features, "horizon"], keys, ESTIMATORS[estimator], pooling, scaled_target(scaled), block)
     value = unscaled(F.col("_trees")) if scaled else F.col("_trees")
