@@ -229,7 +229,8 @@ def _near(queries: pd.DataFrame, labels: pd.DataFrame, x: Sequence[str], keys: S
         far.append(nine[row, at])
     rows, picked, far = np.concatenate(rows), np.concatenate(picked), np.concatenate(far)
     asked, first = np.unique(rows, return_index=True)  # rows come in order
-    split = lambda values: np.split(values, first[1:]) if len(first) else []
+    # Of objects also where no query has any: an empty column of numbers is no column of arrays.
+    split = lambda values: pd.Series(np.split(values, first[1:]) if len(first) else [], dtype=object)
     found = queries[list(keys)].iloc[asked].reset_index(drop=True)
     return found.assign(_far=split(far), _age=split(labels["age"].to_numpy()[picked]), _y=split(labels["y"].to_numpy()[picked]))
 
