@@ -66,15 +66,15 @@ def label_prefix(rows: DataFrame, keys: Sequence[str], sums: Mapping[str, Column
 def with_pool_sums(rows: DataFrame, pooling: str, sums: Mapping[str, Column]) -> DataFrame:
     """The `label_prefix` of each row's pool beside the row.
 
-    Sums of pools over many dams are a few per day: they are written, so that Spark knows
-    their size, and whole days of rows stay where they are. Those within a dam are as many as
-    the rows; they are running sums over the dam's labels and rows, and rows that lie
+    Sums of pools over many dams are a few per day, whatever the number of dams: they are
+    written once and broadcast, and the rows stay where they are. Those within a dam are as many
+    as the rows; they are running sums over the dam's labels and rows, and rows that lie
     together by dam (`repartition("dam")`) move for none of them.
     """
     keyed = rows.withColumn("_pool", pool_key(pooling))
     if pooling not in ENTITY_POOLS:
         past = materialise(label_prefix(keyed, ["_pool"], sums), "past")
-        return keyed.join(past, ["_pool", "date"], "left").drop("_pool")
+        return keyed.join(F.broadcast(past), ["_pool", "date"], "left").drop("_pool")
     known, row = F.col("target_delta").isNotNull(), F.struct(*[c for c in rows.columns if c != "dam"])
     values = [F.coalesce(v.cast("double"), F.lit(0.0)).alias(n) for n, v in sums.items()]
     label = F.struct(F.when(known, F.col("label_date")).alias("_at"), F.when(F.lit(False), row).alias("_row"), *values)
@@ -165,13 +165,10 @@ def scaled_losses(experts: Mapping[str, Column]) -> dict[str, Column]:
     return {f"_loss_{e}": loss / worst for e, loss in losses.items()}
 
 
-def with_past_losses(rows: DataFrame, experts: Sequence[str], keys: Sequence[str], few: bool = False) -> DataFrame:
-    """Attach each expert's summed past loss, scaled by a row's worst loss.
-
-    few: the keys' sums are a few per day; written, Spark joins them by their size.
-    """
+def with_past_losses(rows: DataFrame, experts: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Attach each expert's summed past loss, scaled by a row's worst loss."""
     past = label_prefix(rows, keys, scaled_losses({e: F.col(e) for e in experts}))
-    return rows.join(materialise(past, "past") if few else past, [*keys, "date"], "left")
+    return rows.join(past, [*keys, "date"], "left")
 
 
 def expert_weights(experts: Sequence[str], eta) -> dict[str, Column]:

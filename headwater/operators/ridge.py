@@ -271,7 +271,8 @@ def ridge_matrix(table: DataFrame, features: Sequence[str], variants: Sequence[V
     model = F.struct("variant", "known_n", "intercept", F.arrays_zip("centre", "spread", "beta").alias("terms"))
     each = fitted.groupBy(F.col("pool").alias("_pool"), F.date_from_unix_date("day").alias("date")).agg(F.sort_array(F.collect_list(model)).alias("_models"))
     if pooling in ("all", "dam"):
-        each = materialise(each, "models")
+        # A few per day, whatever the number of dams: the rows do not move to meet them.
+        each = F.broadcast(materialise(each, "models"))
     joined = table.withColumn("_pool", pool_key(pooling)).join(each, ["_pool", "date"])
 
     def value(m: Column) -> Column:

@@ -22,7 +22,7 @@ from headwater.functions.registry import (
 )
 from headwater.operators.causal import (
     ENTITY_POOLS, POOLINGS, expert_weights, label_prefix, pool_key, scaled_losses, scaled_target, unscaled, with_causal_z,
-    with_past_losses, with_pool_sums, with_target_scale,
+    with_pool_sums, with_target_scale,
 )
 from headwater.operators.neighbours import causal_knn
 from headwater.operators.reweighted import huber
@@ -251,15 +251,18 @@ class Experts:
         return reduce(DataFrame.unionByName, parts)
 
 
-RUNS_AT_ONCE = 16  # runs within dams whose past losses are summed together, side by side
+RUNS_AT_ONCE = 16  # runs whose past losses are summed together, side by side
 
 
 def _shrunk(part: DataFrame, runs: Sequence[tuple[int, str, int, float]], blended: bool) -> DataFrame:
-    """A row for each run (number, pooling, place of its base, shrink) over a row's bases, where blended with its past losses."""
+    """A row for each run (number, pooling, place of its base, shrink) over a row's bases, where blended with its past losses.
+
+    Rows meet the past losses of their runs before they become a row for each run: what moves is a row, not its runs.
+    """
     names = ["_shrunk", *BASELINES]
 
-    def long(rows: DataFrame, some: Sequence[tuple[int, str, Column]], *more: Callable[[int, str], Column]) -> DataFrame:
-        each = [F.struct(F.lit(run).alias("_run"), value.alias("_shrunk"), *[c(run, pooling) for c in more]) for run, pooling, value in some]
+    def long(rows: DataFrame, some: Sequence[tuple[int, str, Column]], *more: Callable[[int], Column]) -> DataFrame:
+        each = [F.struct(F.lit(run).alias("_run"), value.alias("_shrunk"), *[c(run) for c in more]) for run, _, value in some]
         return rows.select(*SLIM, F.explode(F.array(*each)).alias("_o")).select(*SLIM, "_o.*")
 
     def values(some: Sequence[tuple[int, str, int, float]], base: Callable[[int], Column]) -> list[tuple[int, str, Column]]:
@@ -269,14 +272,12 @@ def _shrunk(part: DataFrame, runs: Sequence[tuple[int, str, int, float]], blende
     if not blended:
         return long(part, values(runs, in_place))
     parts, within = [], [r for r in runs if r[1] in ENTITY_POOLS]
-    if across := [r for r in runs if r[1] not in ENTITY_POOLS]:
-        rows = long(part, values(across, in_place), lambda _, pooling: pool_key(pooling).alias("_pool"))
-        parts.append(with_past_losses(rows, names, ["_run", "_pool"], few=True).drop("_pool"))
-    for at in range(0, len(within), RUNS_AT_ONCE):
-        some = within[at:at + RUNS_AT_ONCE]
-        # Only what these runs read moves, once for all of them.
+    across = [r for r in runs if r[1] not in ENTITY_POOLS]
+    for some in [group[at:at + RUNS_AT_ONCE] for group in (across, within) for at in range(0, len(group), RUNS_AT_ONCE)]:
+        # Only what these runs read goes on, and of pools within dams moves, once for all of them.
         read = [in_place(i).alias(f"_base_{i}") for i in dict.fromkeys(r[2] for r in some)]
-        rows = with_baselines(part.select(*[c for c in SLIM if c not in BASELINES], *read).repartition("dam"))
+        rows = part.select(*[c for c in SLIM if c not in BASELINES], *read)
+        rows = with_baselines(rows.repartition("dam") if some[0][1] in ENTITY_POOLS else rows)
         shrunk = values(some, lambda i: F.col(f"_base_{i}"))
         for pooling in dict.fromkeys(r[1] for r in some):
             sums = {}
@@ -284,7 +285,7 @@ def _shrunk(part: DataFrame, runs: Sequence[tuple[int, str, int, float]], blende
                 losses = scaled_losses({"_shrunk": value, **{b: F.col(b) for b in BASELINES}})
                 sums |= {f"{n}_{run}": loss for n, loss in losses.items()}
             rows = with_pool_sums(rows, pooling, sums)
-        past = [lambda run, _, n=n: F.col(f"_loss_{n}_{run}").alias(f"_loss_{n}") for n in names]
+        past = [lambda run, n=n: F.col(f"_loss_{n}_{run}").alias(f"_loss_{n}") for n in names]
         parts.append(long(rows, shrunk, *past))
     return reduce(DataFrame.unionByName, parts)
 

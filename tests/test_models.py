@@ -320,6 +320,40 @@ def test_sweep_moves_rows_once(spark, folder):
     assert "SortMergeJoin" not in executed and executed.count("Exchange hashpartitioning") == plan.count("RepartitionByExpression") == 1
 
 
+@pytest.fixture
+def no_small_tables(spark):
+    """Spark takes no table for small enough to be broadcast."""
+    former = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", former)
+
+
+def test_rows_stay_whatever_spark_takes_for_small(spark, folder, table, no_small_tables):
+    """Sums and models of pools over many dams go to the rows; no row, and no run of a row, is shuffled to them."""
+    errors = search.sweep_errors(events_table(spark, folder), ["mean"], "2024-01-21", poolings=("dam", "all"), shrinks=(1.0, 0.5), blends=(0.0, 0.6))
+    rows = ridge.ridge_matrix(causal.with_target_scale(table).localCheckpoint(), FEATURES, [(1.0, None), (50.0, FEATURES[:1])], "dam")
+    for df in (errors, rows):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("at_once", [1, 3, 16])
+def test_blends_do_not_depend_on_the_runs_summed_together(spark, folder, monkeypatch, at_once):
+    """Each run's blend equals one from its own past losses, row by row."""
+    grid = dict(split="2024-01-21", poolings=("dam", "all"), shrinks=(1.0, 0.5), blends=(0.6,))
+    shown = lambda t: {(*r[:-1],): r.e for r in t.select("pooling", "scale_target", "shrink", "dam", "date", "horizon", F.col("abs_err_model").alias("e")).collect()}
+    table = events_table(spark, folder)
+    monkeypatch.setattr(search, "RUNS_AT_ONCE", at_once)
+    got = shown(search.sweep_errors(table, ["mean"], **grid))
+    rows = search.prepared(table, crossed=False)
+    for pooling, shrink in (("dam", 0.5), ("all", 1.0)):
+        base = search.causal_mean(rows, pooling, True, "base").withColumn("base", F.col("base") * shrink).withColumn("_pool", causal.pool_key(pooling))
+        mixed = causal.expert_blend(base, ["base", *search.BASELINES], 0.6, ["_pool"], "mixed")
+        alone = mixed.select("dam", "date", "horizon", F.abs(F.col("mixed") - F.col("target_delta")).alias("e")).collect()
+        assert alone and all(got[pooling, True, shrink, r.dam, r.date, r.horizon] == pytest.approx(r.e, abs=1e-9) for r in alone)
+
+
 def test_a_query_and_its_neighbours_are_one_row():
     """Neighbours travel as arrays, without the query's columns or the labels' keys."""
     queries = pd.DataFrame({"dam": ["a", "b", "c"], "day": [5, 5, 0], "x0": [0.0, 9.0, 0.0], "bound": [1 << 62] * 3})
