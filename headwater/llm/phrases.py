@@ -8,6 +8,7 @@ shorter phrase is the flow out of its node plus the piece ends there.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ MOST_BITS = 25  # of a bucket number of the sketch: 32 MB of counts in a task, 4
 SLICE_BITS = 16
 TASK_WORDS = (1 << 21) - 4  # distinct words that a task numbers before it hands on its edges, and
 TASK_EDGES = 1_000_000  # distinct edges that it holds
+SHARES = 16  # buckets that the edges of one first word are dealt to by their second words
 SALTS = 16  # places where a language's phrases first meet
 ROUNDS = 6  # of path compaction; each joins paths at nodes that only they touch
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -83,13 +85,49 @@ class Numbers:
             found[i] = number
         return found
 
-    def columns(self) -> tuple[pa.Array, pa.Array]:
-        """Language and word of each number; NULL for 0."""
-        lang, word = [None] * (self.count + 1), [None] * (self.count + 1)
+    def columns(self) -> tuple[np.ndarray, list[str], pa.Array, np.ndarray]:
+        """Language (its place in a list, and these) and word of each number, and a hash of the word; for 0 the empty word, which no text holds."""
+        lang, word, crc = np.zeros(self.count + 1, np.int64), [""] * (self.count + 1), np.zeros(self.count + 1, np.int64)
         for name, at in self.langs.items():
             for text, number in self.of[at].items():
-                lang[number], word[number] = name, text
-        return pa.array(lang, pa.string()), pa.array(word, pa.string())
+                lang[number], word[number], crc[number] = at, text, zlib.crc32(text.encode())
+        return lang, list(self.langs), pa.array(word, pa.string()), crc
+
+
+def _packed_counts(part: np.ndarray) -> bytes:
+    """Its counts over 0 with the gaps before them, byte by byte: most gaps take one."""
+    at = np.flatnonzero(part)
+    gaps = (np.diff(at, prepend=-1) - 1).astype(np.uint16)
+    return np.concatenate([(gaps & 255).astype(np.uint8), (gaps >> 8).astype(np.uint8), part[at]]).tobytes()
+
+
+def _unpacked_counts(data: bytes, size: int) -> np.ndarray:
+    low, high, n = np.frombuffer(data, np.uint8).reshape(3, -1).astype(np.int64)
+    part = np.zeros(size, np.uint16)
+    part[np.cumsum((low | high << 8) + 1) - 1] = n
+    return part
+
+
+def _packed_edges(keys: np.ndarray, n: np.ndarray, numbers: Numbers, buckets: int) -> pa.Table:
+    """(lang, bucket, a, b, c, n): a task's edges of each bucket in one row, their words and counts joined by spaces.
+
+    An edge's words alone tell its bucket. Those of one first word stay together, so that it compresses.
+    """
+    lang, names, word, crc = numbers.columns()
+    a, b, c = (keys >> s & (1 << 21) - 1 for s in (42, 21, 0))
+    row = lang[a] * buckets + (crc[a] + crc[b] % SHARES) % buckets
+    order = np.argsort(row, kind="stable")
+    row = row[order]
+    begins = np.flatnonzero(np.diff(row, prepend=-1))
+    edges = pa.array(np.append(begins, len(row)), pa.int64())
+
+    def joined(strings: pa.Array) -> pa.Array:
+        return pa.compute.binary_join(pa.LargeListArray.from_arrays(edges, strings.take(pa.array(order))), " ")
+
+    first = row[begins]
+    columns = [pa.array([names[k] for k in (first // buckets).tolist()], pa.string()), pa.array(first % buckets)]
+    columns += [joined(word.take(pa.array(x))) for x in (a, b, c)] + [joined(pa.array(n).cast(pa.string()))]
+    return pa.table(columns, names=["lang", "bucket", "a", "b", "c", "n"])
 
 
 def _sketch(texts: DataFrame, bits: int, least: int) -> tuple[bytes, bytes]:
@@ -114,14 +152,14 @@ def _sketch(texts: DataFrame, bits: int, least: int) -> tuple[bytes, bytes]:
         for kind, table in enumerate(tables):
             for at, part in enumerate(table.reshape(-1, size)):
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([kind << 32 | at]), pa.array([packer.compress(part.tobytes())], pa.binary())], ["slice", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([kind << 32 | at]), pa.array([packer.compress(_packed_counts(part))], pa.binary())], ["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             for at, data in zip(*(c.to_pylist() for c in batch.columns)):
-                part = np.frombuffer(unpacker.decompress(data), np.uint8).astype(np.uint16)
+                part = _unpacked_counts(unpacker.decompress(data), size)
                 sums[at] = np.minimum(sums[at] + part, 255) if at in sums else part
         for at, total in sums.items():
             full = np.packbits(total >= min(least, 255), bitorder="little").tobytes()
@@ -148,6 +186,7 @@ def edges(docs: DataFrame, least: int = LEAST) -> DataFrame:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(12, min(MOST_BITS, (size // 8).bit_length()))
     often = _sketch(texts, bits, least)
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, shift, found = Numbers(), np.uint64(64 - bits), []
@@ -162,11 +201,7 @@ def edges(docs: DataFrame, least: int = LEAST) -> DataFrame:
             return keys, np.bincount(at, np.concatenate([n for _, n in found])).astype(np.int64)
 
         def rows():
-            keys, n = merged()
-            lang, word = numbers.columns()
-            a, b, c = (pa.array(keys >> s & (1 << 21) - 1) for s in (42, 21, 0))
-            table = pa.table([lang.take(a), word.take(a), word.take(b), word.take(c), pa.array(n)], names=["lang", "a", "b", "c", "n"])
-            return table.to_batches(max_chunksize=50_000)
+            return _packed_edges(*merged(), numbers, buckets).to_batches(max_chunksize=1_000)
 
         for batch in steps(batches, 1):
             lang, word, pair, new, hashes = _read(batch)
@@ -194,8 +229,12 @@ def edges(docs: DataFrame, least: int = LEAST) -> DataFrame:
         if found:
             yield from rows()
 
-    rows = texts.mapInArrow(collect, "lang string, a string, b string, c string, n long")
-    return rows.groupBy("lang", "a", "b", "c").agg(F.sum("n").alias("n"))
+    # Edges travel packed, and unpacked they already lie where their counts add up.
+    packed = texts.mapInArrow(collect, "lang string, bucket long, a string, b string, c string, n string").repartition("lang", "bucket")
+    each = F.explode(F.arrays_zip(*[F.split(x, " ").alias(x) for x in "abcn"]))
+    rows = packed.select("lang", "bucket", each.alias("e")).select("lang", "bucket", "e.*")
+    rows = rows.withColumns({x: F.when(F.col(x) != "", F.col(x)) for x in "bc"} | {"n": F.col("n").cast("long")})
+    return rows.groupBy("lang", "bucket", "a", "b", "c").agg(F.sum("n").alias("n")).drop("bucket")
 
 
 def flows(graph: DataFrame, least: int = LEAST) -> DataFrame:

@@ -4,7 +4,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+import zstandard
 
 from headwater.llm import phrases
 
@@ -94,3 +96,27 @@ def test_empty_table_and_clashing_columns(spark):
     rows = [(*r, 1, 2, 3, 4, 5) for r in made(7)]
     docs = spark.createDataFrame(rows, empty.schema)
     assert {tuple(r) for r in phrases.collocations(docs).collect()} == plain([r[:3] for r in rows])
+
+
+def test_packed_counts_are_read_back_and_small():
+    pick = np.random.default_rng(1)
+    part = np.where(pick.random(1 << 16) < 0.05, pick.integers(1, 4, 1 << 16), 0).astype(np.uint8)
+    last = np.zeros(1 << 16, np.uint8)
+    last[-1] = 255
+    for counts in (part, last, np.full(8, 255, np.uint8)):
+        assert (phrases._unpacked_counts(phrases._packed_counts(counts), len(counts)) == counts).all()
+    packer = zstandard.ZstdCompressor(level=1)
+    assert 1.3 * len(packer.compress(phrases._packed_counts(part))) < len(packer.compress(part.tobytes()))
+
+
+def test_edges_travel_packed(spark):
+    """One row for each task and bucket, and no second shuffle to add up their counts."""
+    docs = spark.createDataFrame(made(8), SCHEMA).repartition(2).localCheckpoint()
+    graph = phrases.edges(docs, 3)
+    plan = graph._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(lang" in plan and "bucket" in plan
+    numbers = phrases.Numbers()
+    a, b, c = numbers(["en", "fr", "fr"], ["x", "y", "z"]).tolist()
+    keys = np.array([a << 42, b << 42 | c << 21, b << 42 | c << 21 | b, c << 42])
+    rows = phrases._packed_edges(keys, np.array([1, 20, 3, 4]), numbers, 1).to_pylist()
+    assert [(r["lang"], r["a"], r["b"], r["c"], r["n"]) for r in rows] == [("en", "x", "", "", "1"), ("fr", "y y z", "z z ", " y ", "20 3 4")]
