@@ -55,5 +55,6 @@ def at_least_half(probability: Column) -> Column:
     return (probability >= 0.5).cast("int")
 
 
-def published(value: Column, places: int = 4) -> Column:
-    return F.round(value, places)
+def published(value: Column | str, places: int = 4) -> Column:
+    # Sums come in any order: their last bits must not tell to which side a tie goes.
+    return F.round(F.round(value, 10), places)

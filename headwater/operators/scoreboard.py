@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headwater.constants import CURVE_MIN_BACKTEST, CURVE_WINDOW, MIN_SCORED
+from headwater.functions.numeric import published
 from headwater.functions.registry import BASELINES
 from headwater.operators.series import rolling_mean
 
@@ -32,7 +33,7 @@ def scoreboard(errors: DataFrame, gate: int = MIN_SCORED, by: Sequence[str] = ("
     table = errors.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(f"abs_err_{n}").alias(f"mae_{n}") for n in names]
     )
-    rounded = table.withColumns({f"mae_{n}": F.round(f"mae_{n}", 4) for n in names})
+    rounded = table.withColumns({f"mae_{n}": published(f"mae_{n}") for n in names})
     best = rounded.withColumn("_best", best_baseline())
     enough = F.col("n") >= gate
     return (

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from headwater.constants import BLENDS, FEATURE_SETS, RATIO_CAP, SHRINKS, SPLIT_DATE
+from headwater.functions.numeric import published
 from headwater.functions.registry import BASELINES
 from headwater.operators.causal import POOLINGS
 from headwater.operators.keys import missing_from
@@ -85,14 +86,14 @@ def config_scores(errors: DataFrame, config: Sequence[str] = CONFIG, cap: float
     )
     overall = overall.withColumns(
         {
-            "mae": F.when(~F.isnan("mae") & (F.abs("mae") != F.lit(float("inf"))), F.round("mae", 4)),
-            "mean_ratio": F.round("mean_ratio", 4),
-            "worst_ratio": F.round("worst_ratio", 4),
+            "mae": F.when(~F.isnan("mae") & (F.abs("mae") != F.lit(float("inf"))), published("mae")),
+            "mean_ratio": published("mean_ratio"),
+            "worst_ratio": published("worst_ratio"),
         }
     )
     per = per.select(
-        *config, "split", "horizon", "n", F.round("mae", 4).alias("mae"),
-        F.round("best_baseline", 4).alias("best_baseline"), F.round("ratio", 4).alias("ratio"), "wins",
+        *config, "split", "horizon", "n", published("mae").alias("mae"),
+        published("best_baseline").alias("best_baseline"), published("ratio").alias("ratio"), "wins",
     )
     return per, overall
 

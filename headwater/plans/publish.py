@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from headwater.constants import CURVE_MIN_LIVE, DISCLAIMER
 from headwater.functions import risk
 from headwater.functions.clean import nan_to_null
+from headwater.functions.numeric import published
 from headwater.operators.alerts import alert_board, confusion, latest_day, status_gate
 from headwater.operators.ledger import freshness, past_extremes, recent_history
 from headwater.operators.scoreboard import by_source, fallback_curve, learning_curve, scoreboard
@@ -81,7 +82,7 @@ def dashboard(table: DataFrame, daily: DataFrame, registry: DataFrame, alerts: D
     curve = learning_curve(errors, "target_date", minimum=CURVE_MIN_LIVE)
     if backtest is not None:
         curve = fallback_curve(curve, learning_curve(backtest))
-    curve = curve.withColumns({c: F.round(c, 4) for c in curve.columns if c != "target_date"})
+    curve = curve.withColumns({c: published(c) for c in curve.columns if c != "target_date"})
     n_scored = F.lit(0) if scored is None else scored.agg(F.count(F.lit(1))).scalar()
     fresh = freshness(daily, as_of).withColumns(
         {"generated_at": as_of, "scored_this_run": n_scored.cast("long"), "disclaimer": F.lit(disclaimer)})
@@ -95,7 +96,7 @@ def dashboard(table: DataFrame, daily: DataFrame, registry: DataFrame, alerts: D
         section("freshness", fresh, "latest_observation"),
     ]
     if backtest is not None:
-        sources = by_source(backtest).withColumn("mae_model", F.round("mae_model", 4))
+        sources = by_source(backtest).withColumn("mae_model", published("mae_model"))
         parts.append(section("metrics_by_rain_source", sources, "fcst_source"))
     if alert_scores is not None:
         gate, scores = basin_forecast(alerts.filter("kind = 'river_basin'"), alert_scores)

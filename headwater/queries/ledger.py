@@ -332,4 +332,4 @@ def tick_scores(spark, folder):
 SELECT horizon, count(*) AS n, round(avg(abs_err_model), 4) AS mae FROM errors WHERE label_date <= DATE '{FIRST_RUN}' GROUP BY horizon""")
 def live_errors(spark, folder):
     return _first_scores(spark, folder).groupBy("horizon").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("abs_err_model"), 4).alias("mae"))
+        F.count(F.lit(1)).alias("n"), numeric.published(F.avg("abs_err_model")).alias("mae"))

@@ -182,5 +182,5 @@ FROM errors GROUP BY 1, 2""")
 def split_scores(spark, folder):
     errors = split_tag(reversion_errors(spark, folder), "2024-01-21")
     return errors.groupBy("split", "horizon").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("abs_err_model"), 4).alias("mae"),
-        F.round(F.least(F.avg("abs_err_persistence"), F.avg("abs_err_drift")), 4).alias("best_baseline"))
+        F.count(F.lit(1)).alias("n"), numeric.published(F.avg("abs_err_model")).alias("mae"),
+        numeric.published(F.least(F.avg("abs_err_persistence"), F.avg("abs_err_drift"))).alias("best_baseline"))

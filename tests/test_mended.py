@@ -5,6 +5,9 @@ import datetime as dt
 import pandas as pd
 from pyspark.sql import functions as F
 
+from headwater.functions import numeric
+from headwater.functions.registry import BASELINES
+from headwater.operators import scoreboard
 from headwater.operators.drift import drift_events
 from headwater.plans import search
 from headwater.sources import files, incremental
@@ -69,3 +72,16 @@ def test_search_gives_estimators_every_pool(spark, monkeypatch):
     except ValueError as error:
         assert "no configuration" in str(error)
     assert asked == [((m,), tuple(search.POOLINGS)) for m in ("mean", "forest10")]
+
+
+def test_means_on_a_tie_round_alike_in_any_order(spark):
+    # Their mean is 61.75875, or the double below or above it, by the order of the sum.
+    values = [34.57, 22.09, 67.77, 83.93, 93.29, 35.04, 88.36, 69.02]
+    names = ("model", *BASELINES)
+    for some in (values, values[::-1]):
+        frame = pd.DataFrame({"horizon": 1, **{f"abs_err_{n}": some for n in names}})
+        row = scoreboard.scoreboard(spark.createDataFrame(frame).coalesce(1)).first()
+        assert [row[f"mae_{n}"] for n in names] == [61.7588] * len(names)
+        curve = spark.createDataFrame(frame.assign(target_date=dt.date(2024, 1, 5))).coalesce(1)
+        curve = scoreboard.learning_curve(curve, "target_date").select(numeric.published("abs_err_model"))
+        assert curve.first()[0] == 61.7588
