@@ -22,6 +22,8 @@ from headwater.session import materialise
 
 # Blocks a task holds before it passes them on; bounds its memory.
 HELD_BLOCKS = 2048
+# Sums of products of multiples of 1 / GRID are exact up to 2^33.
+GRID = 1024.0
 # Normal equations that a task unpacks and solves together.
 SOLVED_AT_ONCE = 256
 MODEL_SCHEMA = (
@@ -39,6 +41,12 @@ def _design(frame: pd.DataFrame, features: Sequence[str]) -> np.ndarray:
     return u * np.sqrt(frame["w"].to_numpy(dtype=float))[:, None]
 
 
+def _products(u: np.ndarray, coarse: np.ndarray, upper) -> np.ndarray:
+    """Packed cross products of rows: those of their coarse parts, and what these lack."""
+    fine = np.nan_to_num(u - coarse, nan=0.0)
+    return np.stack([(coarse.T @ coarse)[upper], (coarse.T @ fine + fine.T @ u)[upper]])
+
+
 def solve(grams: np.ndarray, p: int, penalty: float, use: np.ndarray | None = None):
     """Coefficients of standardised ridge for a stack of cross-product matrices.
 
@@ -100,6 +108,10 @@ def cross_product_blocks(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     Tasks reduce their rows to blocks before the shuffle. Blocks add up: stored
     ones and those of new rows together are the state of the learner, and a warm
     start reads them instead of the rows.
+
+    A feature that hardly varies around a large value leaves its spread to the last bits
+    of its sums. So values count in two parts: the products of the coarse ones add up
+    exactly, and sums hang on no order of rows or tasks.
     """
     p = len(features)
     upper = np.triu_indices(2 * p + 2)
@@ -109,12 +121,13 @@ def cross_product_blocks(rows: DataFrame, features: Sequence[str]) -> DataFrame:
 
         def release() -> pd.DataFrame:
             out = pd.DataFrame(
-                {"pool": [k[0] for k in held], "day": [k[1] for k in held], "cells": [m[upper] for m in held.values()]}
+                {"pool": [k[0] for k in held], "day": [k[1] for k in held],
+                 "coarse": [m[0] for m in held.values()], "fine": [m[1] for m in held.values()]}
             )
             held.clear()
             return out
 
-        empty = np.zeros((2 * p + 2, 2 * p + 2))
+        empty = np.zeros((2, len(upper[0])))
         for frame in batches:
             # A zero block at each issue day makes its model an equi join away.
             for key in frame[["pool", "day"]].drop_duplicates().itertuples(index=False, name=None):
@@ -123,19 +136,21 @@ def cross_product_blocks(rows: DataFrame, features: Sequence[str]) -> DataFrame:
             if len(known):
                 # One matrix for the batch: a block takes its rows, in their order.
                 u, (pool, names), (day, days) = _design(known, features), pd.factorize(known["pool"]), pd.factorize(known["label_day"])
+                coarse = np.where(np.abs(u) < 2.0 ** 40, np.rint(u * GRID) / GRID, u)
                 block = pool * len(days) + day
                 order = np.argsort(block, kind="stable")
                 begins = np.flatnonzero(np.diff(block[order], prepend=-1))
                 for rows in np.split(order, begins[1:]):
-                    key, part = (names[pool[rows[0]]], days[day[rows[0]]]), u[rows]
-                    held[key] = held.get(key, empty) + part.T @ part
+                    key = names[pool[rows[0]]], days[day[rows[0]]]
+                    held[key] = held.get(key, empty) + _products(u[rows], coarse[rows], upper)
             if len(held) >= HELD_BLOCKS:
                 yield release()
         if held:
             yield release()
 
-    blocks = rows.mapInPandas(reduce, "pool string, day int, cells array<double>")
-    return add_blocks(blocks.select("pool", "day", F.posexplode("cells").alias("cell", "part")))
+    blocks = rows.mapInPandas(reduce, "pool string, day int, coarse array<double>, fine array<double>")
+    cells = blocks.select("pool", "day", F.posexplode(F.arrays_zip("coarse", "fine")).alias("cell", "part"))
+    return cells.groupBy("pool", "day", "cell").agg((F.sum("part.coarse") + F.sum("part.fine")).alias("part"))
 
 
 def add_blocks(blocks: DataFrame) -> DataFrame:

@@ -96,6 +96,27 @@ def test_warm_start_from_stored_blocks(table):
         np.testing.assert_allclose(a[key].beta, b[key].beta, atol=1e-9)
 
 
+def test_blocks_hang_on_no_order_of_rows(spark):
+    drawn = np.random.default_rng(5)
+    rows = [("x", DAY, 1, DAY + dt.timedelta(1 + n % 2), float(drawn.normal(0, 9)), 1.0 - float(drawn.random()) * 1e-3, float(drawn.normal(60, 30)))
+            for n in range(400)]
+    seen = set()
+    for parts in (1, 2, 7):
+        for some in (rows, rows[::-1]):
+            ready = ridge.ready_rows(spark.createDataFrame(some, SCHEMA).repartition(parts), FEATURES, scaled=False)
+            seen.add(tuple(sorted((r.day, r.cell, r.part) for r in ridge.cross_product_blocks(ready, FEATURES).collect())))
+    assert len(seen) == 1
+
+
+def test_values_beyond_the_grid_still_count(spark):
+    rows = [("x", DAY, 1, DAY + dt.timedelta(1), 2.0, a, 1e-9) for a in (3e200, 1e13, 0.1)]
+    ready = ridge.ready_rows(spark.createDataFrame(rows[1:], SCHEMA), FEATURES, scaled=False)
+    got = {r.cell: r.part for r in ridge.cross_product_blocks(ready, FEATURES).collect() if r.part}
+    assert got[0] == pytest.approx(1e26 + 0.01, rel=1e-15) and got[1] == pytest.approx(1e-9 * (1e13 + 0.1), rel=1e-15)
+    ready = ridge.ready_rows(spark.createDataFrame(rows, SCHEMA), FEATURES, scaled=False)
+    assert max(r.part for r in ridge.cross_product_blocks(ready, FEATURES).collect()) == float("inf")
+
+
 def test_horizon_reaches_a_pooled_model_and_cold_start_is_zero(spark):
     rows = []
     for n in range(30):
