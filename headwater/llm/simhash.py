@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwater.llm.graph import components
-from headwater.session import materialise
+from headwater.session import materialise, unsent
 
 SHINGLE = 4
 SEED = 42
@@ -88,6 +88,9 @@ def linked(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, pi
     the least and the greatest value of its bucket where these are near; only buckets
     that then still hold several components are searched for pairs across them,
     through the pivot table. All links count; no bucket is cut.
+
+    A value has a row for each choice of blocks, which Spark's sizes leave out; no join
+    of values broadcasts a side.
     """
     reference = _pivot_values(pivots)
     masks = _block_masks(blocks)
@@ -99,23 +102,23 @@ def linked(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, pi
         F.struct(F.lit(i).cast("smallint").alias("choice"), fp.bitwiseAND(F.lit(k)).alias("bits")) for i, k in enumerate(keys))))
     spread = table.select("fp", bucket.alias("bucket")).select("fp", "bucket.*")
     ends = spread.groupBy("choice", "bits").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
-    members = materialise(spread.join(ends, ["choice", "bits"]), "buckets")
+    members = materialise(spread.join(unsent(ends), ["choice", "bits"]), "buckets")
 
     def to(end: str) -> DataFrame:
         near = F.bit_count(fp.bitwiseXOR(F.col(end))) <= distance
         return members.filter((fp != F.col(end)) & near).select(F.col(end).alias("a"), fp.alias("b"))
 
     stars = components(to("low").union(to("high")).distinct())
-    named = members.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select(
+    named = members.join(unsent(stars.withColumnRenamed("node", "fp")), "fp", "left").select(
         "choice", "bits", "fp", F.coalesce("component", "fp").alias("component"))
     mixed = named.groupBy("choice", "bits").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-    open_rows = materialise(named.join(mixed.select("choice", "bits"), ["choice", "bits"]).join(table, "fp"), "open")
+    open_rows = materialise(named.join(unsent(mixed.select("choice", "bits")), ["choice", "bits"]).join(unsent(table), "fp"), "open")
     a, b = open_rows.alias("a"), open_rows.alias("b")
-    across = a.join(b, (F.col("a.choice") == F.col("b.choice")) & (F.col("a.bits") == F.col("b.bits"))
+    across = a.join(unsent(b), (F.col("a.choice") == F.col("b.choice")) & (F.col("a.bits") == F.col("b.bits"))
                     & (F.col("a.component") < F.col("b.component")) & _within(distance, pivots))
     across = components(across.select(F.col("a.component").alias("u"), F.col("b.component").alias("v")).distinct())
     across = across.select(F.col("node").alias("component"), F.col("component").alias("root"))
-    lone = across.select(F.col("component").alias("fp"), "component", "root").join(stars.select(F.col("node").alias("fp")), "fp", "left_anti")
+    lone = across.select(F.col("component").alias("fp"), "component", "root").join(unsent(stars.select(F.col("node").alias("fp"))), "fp", "left_anti")
     joined = stars.withColumnRenamed("node", "fp").join(across, "component", "left").unionByName(lone, allowMissingColumns=True)
     return joined.select("fp", F.coalesce("root", "component").alias("component"))
 
@@ -131,10 +134,10 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
     prints = materialise(fingerprints(docs), "fingerprints")
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     groups = materialise(linked(prints, distance, blocks), "linked")
-    least = groups.join(first, "fp").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = first.join(groups, "fp", "left").join(least, "component", "left")
+    least = groups.join(unsent(first), "fp").groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = first.join(unsent(groups), "fp", "left").join(least, "component", "left")
     named = named.select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(unsent(named), "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
@@ -149,10 +152,10 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS)
     key = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "seal")).alias("least")
     first = prints.groupBy("fp").agg(key)
     groups = materialise(linked(prints, distance, blocks), "linked")
-    first = first.join(groups, "fp", "left").select(F.coalesce("component", "fp").alias("component"), "least.*")
+    first = first.join(unsent(groups), "fp", "left").select(F.coalesce("component", "fp").alias("component"), "least.*")
     chosen = first.groupBy("component").agg(key).select("least.doc_id", "least.seal").alias("chosen")
     # The row goes as one value, so no name of a column can clash.
     rows = docs.select(F.struct(*docs.columns).alias("row"), seal.alias("seal")).alias("rows")
     same = F.col("row.doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col("rows.seal") == F.col("chosen.seal"))
-    kept = rows.join(chosen, same, "left_semi").withColumn("doc", F.col("row.doc_id")).dropDuplicates(["doc", "seal"])
+    kept = rows.join(unsent(chosen), same, "left_semi").withColumn("doc", F.col("row.doc_id")).dropDuplicates(["doc", "seal"])
     return kept.select("row.*")

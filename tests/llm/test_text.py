@@ -207,6 +207,24 @@ def test_chains_of_fingerprints_link(spark):
     assert sorted(groups.values()) == [21] or sorted(groups.values()) == [22]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fingerprints_in_buckets_are_not_broadcast(spark, monkeypatch):
+    """Each has a row for every choice of blocks; Spark sizes them as if it had one."""
+    plans = {}
+
+    def noted(df, label, write=simhash.materialise, **options):
+        plans[label] = plan_of(df)
+        return write(df, label, **options)
+
+    monkeypatch.setattr(simhash, "materialise", noted)
+    simhash.linked(spark.range(300).select((F.col("id") * F.col("id")).alias("fp")))
+    assert "SortMergeJoin" in plans["buckets"] and "SortMergeJoin" in plans["open"]
+    assert "Broadcast" not in plans["buckets"] + plans["open"]
+
+
 def test_ring_shards(spark):
     ids = [None, None, 5, 5, 5, *range(1000)]
     docs = table(spark, ["é"] * 5 + [None, ""] + ["text"] * 998, ids).withColumn("point", F.lit(9))
