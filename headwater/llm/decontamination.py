@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwater.llm.words import classes, cut, steps
-from headwater.session import materialise
+from headwater.session import materialise, unsent
 
 SIMILARITY = 0.6  # of the alignment score to that of an exact copy
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
@@ -241,7 +241,7 @@ def _block_leaks(docs: DataFrame, chosen: pa.Table, similarity: float, schema) -
     passages = materialise(passages.select("item", *seals, "score", "begin", "n_words"), "passages")
     passages = passages.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
     salt = F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).alias("salt")
-    found = regions.select("doc_id", "item", "at", *seals, salt).join(passages, ["item", "seal", "second", "salt"])
+    found = regions.select("doc_id", "item", "at", *seals, salt).join(unsent(passages), ["item", "seal", "second", "salt"])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -225,6 +225,13 @@ def test_fingerprints_in_buckets_are_not_broadcast(spark, monkeypatch):
     assert "Broadcast" not in plans["buckets"] + plans["open"]
 
 
+def test_exploded_marks_and_passages_are_not_broadcast(spark):
+    texts = prose(8, 3)
+    docs = table(spark, [*texts, texts[0] + " " + texts[1]])
+    assert "SortMergeJoin [mark" in plan_of(suffixes.repeated_spans(docs, 100))
+    assert "BroadcastHashJoin" not in plan_of(decontamination.leaks(docs, spark.createDataFrame([(1, texts[2])], "item_id long, text string")))
+
+
 def test_ring_shards(spark):
     ids = [None, None, 5, 5, 5, *range(1000)]
     docs = table(spark, ["é"] * 5 + [None, ""] + ["text"] * 998, ids).withColumn("point", F.lit(9))
