@@ -139,8 +139,13 @@ def unscaled(prediction: Column) -> Column:
     return prediction * F.coalesce(F.col("scale"), F.lit(1.0))
 
 
-def with_causal_z(rows: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Z-scores of features against rows whose label was known at issue time."""
+def with_causal_z(rows: DataFrame, features: Sequence[str], keys: Sequence[str] = (), few: bool = False) -> DataFrame:
+    """Z-scores of features against rows whose label was known at issue time.
+
+    The statistics are made once per key and date, not again for each row. few: keys that are
+    a few per day, whatever the number of dams; then they are written, so that joins know their
+    size and the rows stay where they are.
+    """
     keys = list(keys)
     if not keys:
         rows, keys = rows.withColumn("_pool", F.lit("all")), ["_pool"]
@@ -148,14 +153,14 @@ def with_causal_z(rows: DataFrame, features: Sequence[str], keys: Sequence[str]
     for f in features:
         sums |= {f"{name}_{f}": value for name, value in _moments(F.col(f)).items()}
     past = label_prefix(rows, keys, sums)
-    out = {}
+    known, out = [], {}
     for f in features:
         n, total, squares = (F.col(f"{m}_{f}") for m in ("past_n", "past_sum", "past_sq"))
-        out[f"z_{f}"] = causal_z(
-            F.col(f), n, F.try_divide(total, n), population_sd(n, total, squares)
-        )
-    joined = rows.join(past, [*keys, "date"], "left").withColumns(out)
-    return joined.drop(*sums, "_pool")
+        known += [n, F.try_divide(total, n).alias(f"past_mean_{f}"), population_sd(n, total, squares).alias(f"past_sd_{f}")]
+        out[f"z_{f}"] = causal_z(F.col(f), *(F.col(f"past_{m}_{f}") for m in ("n", "mean", "sd")))
+    past = past.select(*keys, "date", *known)
+    joined = rows.join(materialise(past, "moments") if few else past, [*keys, "date"], "left").withColumns(out)
+    return joined.drop(*past.columns[len(keys) + 1:], "_pool")
 
 
 def scaled_losses(experts: Mapping[str, Column]) -> dict[str, Column]:

@@ -19,6 +19,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ CELL_LABELS = 1_000  # labels that a cell should hold
 MOST_CELLS = 4_096  # of all pools: their boxes travel with the tasks
 SAMPLE = 65_536  # labels, chosen by hash, that place the cells' borders
 BLOCK_LABELS = 20_000  # of a cell that meet queries at once: larger cells come in blocks
+PAIRS = 1 << 18  # of queries and labels that are compared at once
+BESIDE = 16  # labels of which only the nearest counts for a first bound
 
 
 def nearest_mean(queries: np.ndarray, known: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
@@ -205,34 +208,70 @@ class Cells:
         return child[node]
 
 
-def _near(queries: pd.DataFrame, labels: pd.DataFrame, x: Sequence[str], keys: Sequence[str], k: int) -> pd.DataFrame:
+def _nearest(points: np.ndarray, days: np.ndarray, bound: np.ndarray, places: np.ndarray, known: np.ndarray,
+             k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, label, distance to nine places) of the k nearest labels that each query knows, no farther than
+    its bound; the rows of a query follow each other. Labels come in the order of age, their days `known` rise.
+
+    A product of matrices gives distances but for rounding. The k-th least of the minima over disjoint
+    labels bounds how far neighbours can be, and only labels within that are compared exactly.
+    """
+    rows = np.flatnonzero(~np.isnan(days.astype(float)))
+    rows = rows[np.argsort(days[rows], kind="stable")]
+    stops = np.searchsorted(known, days[rows], side="right")
+    rows, stops = rows[stops > 0], stops[stops > 0]
+    square = (places ** 2).sum(axis=1)
+    sides, most = np.vstack([places.T, square]), square.max(initial=0.0)
+    even = np.isfinite(points[rows]).all() and np.isfinite(sides).all()
+    out, start = [[np.zeros(0, np.int64)] * 3], 0
+    while start < len(rows):
+        step = max(16, PAIRS // int(stops[min(start + 256, len(rows)) - 1]))
+        mine, stop = rows[start:start + min(step, 256)], stops[start:start + min(step, 256)]
+        start, first, last, asked = start + len(mine), stop[0], stop[-1], points[mine]
+        if even:
+            about = np.column_stack([asked * -2.0, np.ones(len(mine))]) @ sides[:, :last]
+            about[:, first:][np.arange(first, last) >= stop[:, None]] = np.inf
+            size = (asked ** 2).sum(axis=1)
+            limit = (bound[mine] + 0.5) / 1e9 - size
+            if (blocks := last // BESIDE) >= k:
+                least = about[:, :blocks * BESIDE].reshape(len(mine), BESIDE, blocks).min(axis=1)
+                limit = np.minimum(limit, np.partition(least, k - 1, axis=1)[:, k - 1])
+            # What nine places hide, and what rounding of the product may add.
+            limit += 2e-9 + 1e-14 * (points.shape[1] + 4) * (size + most)
+            row, at = np.nonzero(about <= np.minimum(limit, 1e300)[:, None])
+        else:
+            row, at = np.nonzero(np.arange(last) < stop[:, None])
+        distance = np.zeros(len(row))
+        for j in range(points.shape[1]):
+            distance += (asked[row, j] - places[at, j]) ** 2
+        nine = np.rint(distance * 1e9).astype(np.int64)
+        within = nine <= bound[mine][row]
+        row, at, nine = row[within], at[within], nine[within]
+        order = np.lexsort((at, nine, row))
+        row, at, nine = row[order], at[order], nine[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append([mine[row[best]], at[best], nine[best]])
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _met(queries: pa.Table, labels: pa.Table, x: Sequence[str], keys: Sequence[str], k: int) -> pa.Table:
     """Up to k nearest known labels of each query among those given, no farther than its `bound`: a row
     for each query that has any, with arrays of their distances, ages and targets."""
-    labels = labels.sort_values("age", kind="stable")
-    known, places = labels["label_day"].to_numpy(), labels[list(x)].to_numpy(float)
-    points, days, bound = queries[list(x)].to_numpy(float), queries["day"].to_numpy(), queries["bound"].to_numpy()
-    rows, picked, far = [], [], []
-    age, none = np.arange(len(labels)), np.iinfo(np.int64).max
-    for start in range(0, len(queries), 256):
-        part = slice(start, start + 256)
-        distance = np.zeros((len(points[part]), len(labels)))
-        for j in range(len(x)):
-            distance += (points[part, j, None] - places[None, :, j]) ** 2
-        nine = np.rint(distance * 1e9).astype(np.int64)
-        wanted = (known[None, :] <= days[part, None]) & (nine <= bound[part, None])
-        order = np.where(wanted, nine * len(labels) + age, none)
-        near = np.argpartition(order, k - 1, axis=1)[:, :k] if len(labels) > k else np.broadcast_to(age, order.shape)
-        row, at = np.nonzero(np.take_along_axis(wanted, near, 1))
-        at = near[row, at]
-        rows.append(row + start)
-        picked.append(at)
-        far.append(nine[row, at])
-    rows, picked, far = np.concatenate(rows), np.concatenate(picked), np.concatenate(far)
-    asked, first = np.unique(rows, return_index=True)  # rows come in order
-    # Of objects also where no query has any: an empty column of numbers is no column of arrays.
-    split = lambda values: pd.Series(np.split(values, first[1:]) if len(first) else [], dtype=object)
-    found = queries[list(keys)].iloc[asked].reset_index(drop=True)
-    return found.assign(_far=split(far), _age=split(labels["age"].to_numpy()[picked]), _y=split(labels["y"].to_numpy()[picked]))
+    of = lambda table, name: table.column(name).to_numpy()
+    labels = labels.sort_by("age")
+    points, places = (np.column_stack([of(t, c).astype(float) for c in x]) for t in (queries, labels))
+    row, at, far = _nearest(points, of(queries, "day"), of(queries, "bound"), places, of(labels, "label_day"), k)
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    offsets = pa.array(np.append(first, len(row)), pa.int32())
+    found = queries.select(list(keys)).take(pa.array(row[first]))
+    for name, values in (("_far", far), ("_age", of(labels, "age")[at]), ("_y", of(labels, "y")[at])):
+        found = found.append_column(name, pa.ListArray.from_arrays(offsets, pa.array(values)))
+    return found
+
+
+def _near(queries: pd.DataFrame, labels: pd.DataFrame, x: Sequence[str], keys: Sequence[str], k: int) -> pd.DataFrame:
+    """`_met` of frames."""
+    return _met(pa.Table.from_pandas(queries), pa.Table.from_pandas(labels), x, keys, k).to_pandas()
 
 
 def _everything(rows: DataFrame, x: Sequence[str], keys: Sequence[str], k: int, schema: str) -> DataFrame:
@@ -245,7 +284,7 @@ def _everything(rows: DataFrame, x: Sequence[str], keys: Sequence[str], k: int,
     rows = rows.withColumn("key", F.concat_ws("|", *keys))
     # Of labels at one point the first k come before all others in any answer, however many repeat it.
     at_point = Window.partitionBy("pool", *x).orderBy("label_day", "order", "key")
-    first = rows.filter("y is not null").withColumn("_r", F.row_number().over(at_point)).filter(F.col("_r") <= k).drop("_r")
+    first = rows.filter("y is not null and label_day is not null").withColumn("_r", F.row_number().over(at_point)).filter(F.col("_r") <= k).drop("_r")
     labels = materialise(first, "labels")
     total = max(1, labels.count())
     share = min(1.0, SAMPLE / total)
@@ -270,27 +309,32 @@ def _everything(rows: DataFrame, x: Sequence[str], keys: Sequence[str], k: int,
     aged = labels.orderBy("label_day", "order", "key").withColumn("age", F.monotonically_increasing_id())
     aged = aged.select("pool", "label_day", "age", "y", *x)
     labels = materialise(aged.mapInPandas(place, placed(aged)), "cells")
-    boxes = labels.groupBy("pool", "cell").agg(F.count("*").alias("n"), F.min("label_day").alias("since"), F.array(*[F.min(c) for c in x]).alias("low"),
-                                               F.array(*[F.max(c) for c in x]).alias("high")).collect()  # a row per cell
+    # A row per cell: since when it has a label, since when k of them, and its box.
+    sides = [f(c).alias(f"{n}_{c}") for c in x for n, f in (("low", F.min), ("high", F.max))]
+    days = labels.groupBy("pool", "cell", "label_day").agg(F.count("*").alias("n"), *sides)
+    days = days.withColumn("so_far", F.sum("n").over(Window.partitionBy("pool", "cell").orderBy("label_day")))
+    boxes = days.groupBy("pool", "cell").agg(
+        F.sum("n").alias("n"), F.min("label_day").alias("since"), F.min(F.when(F.col("so_far") >= k, F.col("label_day"))).alias("full"),
+        F.array(*[F.min(f"low_{c}") for c in x]).alias("low"), F.array(*[F.max(f"high_{c}") for c in x]).alias("high")).collect()
     by_pool = {p: [b for b in boxes if b["pool"] == p] for p in {b["pool"] for b in boxes}}
-    box = {p: (np.array([b["cell"] for b in some]), np.array([b["since"] for b in some]), np.array([b["low"] for b in some]), np.array([b["high"] for b in some]))
-           for p, some in by_pool.items()}
+    box = {p: (np.array([b["cell"] for b in some]), np.array([b["since"] for b in some]), np.array([np.inf if b["full"] is None else b["full"] for b in some]),
+               np.array([b["low"] for b in some]), np.array([b["high"] for b in some])) for p, some in by_pool.items()}
     blocks = spark.createDataFrame([(b["pool"], b["cell"], -(-b["n"] // BLOCK_LABELS)) for b in boxes], "pool string, cell long, blocks int")
+    spots = ["pool", "cell", "block", "group"]
     labels = labels.join(F.broadcast(blocks), ["pool", "cell"]).withColumn("block", F.pmod(F.xxhash64("age"), F.col("blocks")).cast("int")).drop("blocks")
     named = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
-    nothing = pd.DataFrame(columns=[*keys, "_far", "_age", "_y"])
     partial = f"{named}, _far array<long>, _age array<long>, _y array<double>"
 
     def meet(queries: DataFrame) -> DataFrame:
         """Best labels of each (query, cell): cells come in blocks of labels, their queries in groups."""
-        queries = queries.join(F.broadcast(blocks), ["pool", "cell"])
         many = queries.groupBy("pool", "cell").agg(F.ceil(F.count("*") / QUERIES_PER_TASK).cast("int").alias("groups"))
+        # A row per cell, written: the queries are counted once and stay where they are until they meet the labels.
+        many = F.broadcast(materialise(many.join(F.broadcast(blocks), ["pool", "cell"]), "groups"))
         queries = queries.join(many, ["pool", "cell"]).withColumn("group", F.pmod(F.xxhash64(*keys, F.lit("group")), F.col("groups")).cast("int"))
         queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "groups")
-        offered = labels.join(many, ["pool", "cell"]).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
-        spots = ["pool", "cell", "block", "group"]
-        return queries.groupBy(*spots).cogroup(offered.groupBy(*spots)).applyInPandas(
-            lambda a, b: _near(a, b, x, keys, k) if len(a) and len(b) else nothing, partial)
+        offered = labels.join(many.drop("blocks"), ["pool", "cell"])
+        offered = offered.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+        return queries.groupBy(*spots).cogroup(offered.groupBy(*spots)).applyInArrow(lambda a, b: _met(a, b, x, keys, k), partial)
 
     def best(found: DataFrame) -> DataFrame:
         """The k best of each query's arrays, nearest first, then oldest."""
@@ -303,25 +347,43 @@ def _everything(rows: DataFrame, x: Sequence[str], keys: Sequence[str], k: int,
     bound = home.filter(F.size("_far") == k).select(*keys, F.element_at("_far", k).alias("bound"))
     others = asked.join(bound, list(keys), "left").withColumn("bound", F.coalesce("bound", open_))
 
-    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            points, parts = frame[list(x)].to_numpy(float), []
-            for pool, at in frame.groupby("pool", sort=False).indices.items():
-                if pool not in box:
-                    continue
-                cell, since, low, high = box[pool]
-                for some in np.array_split(at, -(-len(at) // 512)):
-                    apart = np.maximum(np.maximum(low[None] - points[some, None], points[some, None] - high[None]), 0.0)
-                    # A little less than the least distance, for what rounding may add.
-                    least = np.floor((apart ** 2).sum(2) * 1e9) - 1
-                    hit = (least <= frame["bound"].to_numpy()[some, None]) & (since[None] <= frame["day"].to_numpy()[some, None])
-                    hit &= cell[None] != frame["cell"].to_numpy()[some, None]
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A query, how far its neighbours can be, and the further cells that it asks.
+
+        The farthest corner of a cell with k known labels is a bound as well, which matters most where
+        the query's own cell knows fewer: without it such a query would ask every cell.
+        """
+        for batch in batches:
+            of = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("pool", "cell", "day", "bound", *x)}
+            points, bound, rows, cells = np.column_stack([of[c] for c in x]).astype(float), of["bound"].copy(), [], []
+            for pool in set(of["pool"].tolist()) & box.keys():
+                cell, since, full, low, high = box[pool]
+                at = np.flatnonzero(of["pool"] == pool)
+                for some in np.array_split(at, -(-len(at) // 256)):
+                    day, apart, across = of["day"][some, None], *np.zeros((2, len(some), len(cell)))
+                    for j in range(len(x)):
+                        below, above = low[None, :, j] - points[some, j, None], points[some, j, None] - high[None, :, j]
+                        across += np.minimum(below, above) ** 2
+                        apart += np.maximum(np.maximum(below, above), 0.0) ** 2
+                    # A little less than the least distance and more than the largest, for what rounding may add.
+                    least = np.floor(apart * 1e9) - 1
+                    most = np.ceil(np.where(full[None] <= day, across, np.inf).min(axis=1) * (1e9 + 1e-3)) + 1
+                    nearer = most < bound[some]
+                    bound[some[nearer]] = most[nearer].astype(np.int64)
+                    hit = (least <= bound[some, None]) & (since[None] <= day) & (cell[None] != of["cell"][some, None])
                     row, which = np.nonzero(hit)
-                    parts.append(frame.iloc[some[row]].assign(cell=cell[which]))
-            if parts:
-                yield pd.concat(parts)
-
-    further = meet(others.mapInPandas(reach, others.schema))
+                    rows.append(some[row])
+                    cells.append(cell[which])
+            rows, cells = (np.concatenate([np.zeros(0, np.int64), *parts]) for parts in (rows, cells))
+            offsets = np.append(0, np.cumsum(np.bincount(rows, minlength=batch.num_rows)))
+            listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(cells[np.argsort(rows, kind="stable")]))
+            columns = [pa.array(bound) if c == "bound" else batch.column(c) for c in batch.schema.names]
+            yield pa.RecordBatch.from_arrays([*columns, listed], [*batch.schema.names, "cells"])
+
+    kinds_of = ", ".join(f"`{c}` {kind}" for c, kind in others.dtypes)
+    # Written: they are counted by cell before they go there.
+    asking = materialise(others.mapInArrow(reach, f"{kinds_of}, cells array<long>").filter("size(cells) > 0"), "asking")
+    further = meet(asking.withColumn("cell", F.explode("cells")).drop("cells"))
     merged = best(home.unionByName(further))
     mean = F.aggregate("_y", F.lit(0.0), lambda a, b: a + b) / F.size("_y")
     return merged.select(*keys, mean.alias("_knn"))

@@ -96,7 +96,7 @@ def base_predictions(rows: DataFrame, model: str, features: str, pooling: str, s
         return causal_mean(rows, pooling, scaled)
     inputs = _inputs(features, pooling, interactions, stack)
     if model.startswith("knn"):
-        z = with_causal_z(rows.withColumn("_kp", pool_key(pooling)), inputs, ["_kp"])
+        z = with_causal_z(rows.withColumn("_kp", pool_key(pooling)), inputs, ["_kp"], few=pooling not in ENTITY_POOLS)
         near = causal_knn(z, [f"z_{c}" for c in inputs], KEYS, pooling, int(model[3:]), scaled=scaled)
         return near.drop("_kp", *[f"z_{c}" for c in inputs])
     if model == "bagged":

@@ -250,7 +250,7 @@ SELECT z.dam, z.date, z.horizon, round(coalesce(knn, 0), 4) AS model FROM z LEFT
 def _neighbours(spark, folder, pooling, memory=None):
     table = with_label_date(events_table(spark, folder)).select("dam", "date", "horizon", "label_date", "target_delta", *KNN_FEATURES)
     # Scores and neighbours read the rows some times each: both are written, not computed again.
-    z = materialise(causal.with_causal_z(materialise(table, "table"), KNN_FEATURES, ["horizon"]).drop(*KNN_FEATURES), "scores")
+    z = materialise(causal.with_causal_z(materialise(table, "table"), KNN_FEATURES, ["horizon"], few=True).drop(*KNN_FEATURES), "scores")
     near = neighbours.causal_knn(z, [f"z_{f}" for f in KNN_FEATURES], ["dam", "date", "horizon"], pooling, 5, memory, scaled=False)
     return rounded(near.select("dam", "date", "horizon", "model"), 4)
 

@@ -383,3 +383,50 @@ def test_a_query_and_its_neighbours_are_one_row():
     assert list(near.columns) == ["dam", "_far", "_age", "_y"] and list(near["dam"]) == ["a", "b"]
     best = [sorted(zip(*map(list, r))) for r in near[["_far", "_age", "_y"]].itertuples(index=False)]
     assert best == [[(10**9, 1, 4.0), (10**9, 3, 1.0)], [(10**9, 7, 2.0), (64 * 10**9, 1, 4.0)]]
+
+
+def test_nearest_labels_against_all_pairs():
+    """Ties to nine places, days out of order, days without labels, and bounds."""
+    rng = np.random.default_rng(3)
+    places = np.round(rng.normal(0, 1, (400, 3)), 1)
+    places[50:60] = places[50] + rng.normal(0, 1e-11, (10, 3))
+    known = np.sort(rng.integers(1, 20, 400))
+    points, days = np.vstack([places[rng.integers(0, 400, 250)], np.round(rng.normal(0, 1, (100, 3)), 1)]), rng.integers(0, 22, 350).astype(float)
+    days[7], bound = np.nan, np.where(rng.random(350) < 0.3, 10**8, 1 << 62)
+    row, at, far = neighbours._nearest(points, days, bound, places, known, 5)
+    got = {}
+    for r, *label in zip(row.tolist(), far.tolist(), at.tolist()):
+        got.setdefault(r, []).append(tuple(label))
+    for i in range(350):
+        nine = np.rint(sum((points[i, j] - places[:, j]) ** 2 for j in range(3)) * 1e9).astype(np.int64)
+        want = sorted((int(nine[j]), j) for j in range(400) if known[j] <= days[i] and nine[j] <= bound[i])[:5]
+        assert got.get(i, []) == want, i
+
+
+def test_queries_whose_cell_knows_too_little_ask_few_cells(spark, monkeypatch):
+    """Far from all that is known yet, a query is bound by a cell's farthest corner."""
+    rows = [(f"d{i}", DAY, 1, DAY + dt.timedelta(1), float(i), float(i), 0.0) for i in range(400)]
+    rows += [(f"late{i}", DAY + dt.timedelta(9), 1, DAY + dt.timedelta(10), 1.0, 900.0 + i, 0.0) for i in range(40)]
+    rows += [(f"early{i}", DAY + dt.timedelta(5), 1, DAY + dt.timedelta(6), None, 910.0 + i, 0.0) for i in range(20)]
+    asking = []
+
+    def noted(df, label, write=neighbours.materialise, **options):
+        out = write(df, label, **options)
+        if label == "asking":
+            asking.extend(out.filter("dam like 'early%'").collect())
+        return out
+
+    monkeypatch.setattr(neighbours, "materialise", noted)
+    monkeypatch.setattr(neighbours, "CELL_LABELS", 20)
+    got = {r.dam: r.model for r in neighbours.causal_knn(
+        spark.createDataFrame(rows, SCHEMA), ["a", "b"], ["dam", "date", "horizon"], "dam", 4, scaled=False).collect()}
+    assert all(got[f"early{i}"] == 397.5 for i in range(20))
+    assert len(asking) == 20 and max(len(r.cells) for r in asking) <= 3
+
+
+@pytest.mark.parametrize("keys", [["horizon"], []])
+def test_statistics_of_few_keys_are_written(table, keys, monkeypatch):
+    written = []
+    monkeypatch.setattr(causal, "materialise", lambda df, label, write=causal.materialise: written.append(label) or write(df, label))
+    few, many = (causal.with_causal_z(table, ["a", "b"], keys, **more).select("dam", "date", "horizon", "z_a", "z_b").collect() for more in ({"few": True}, {}))
+    assert sorted(few, key=str) == sorted(many, key=str) and len(few) == table.count() and written == ["moments"]
