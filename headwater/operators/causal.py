@@ -37,18 +37,28 @@ def pool_key(scheme: str) -> Column:
 
 
 def label_prefix(rows: DataFrame, keys: Sequence[str], sums: Mapping[str, Column],
-                 known: Column | None = None, before: DataFrame | None = None) -> DataFrame:
+                 known: Column | None = None, before: DataFrame | None = None, written: bool = False) -> DataFrame:
     """Sums over labels known up to each issue date, one row per (keys, date).
 
     `rows` needs date, label_date and target_delta. Each row contributes at its
     label date; zero rows at the issue dates turn the later lookup into an equi
     join. `known` says which rows are labelled. `before` has the sums of labels that
-    `rows` no longer hold, as of a date: an earlier call's row of each key.
+    `rows` no longer hold, as of a date: an earlier call's row of each key. written: rows that
+    are read from files; their issue dates are then read apart, and no row carries zeros.
     """
     known = F.col("target_delta").isNotNull() if known is None else known
+    values = [F.coalesce(v.cast("double"), F.lit(0.0)).alias(n) for n, v in sums.items()]
+    past = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    if written and before is None:
+        labels = rows.filter(known & F.col("label_date").isNotNull()).select(*keys, F.col("label_date").alias("date"), *values)
+        labels = labels.groupBy(*keys, "date").agg(*[F.sum(n).alias(n) for n in sums])
+        issues = rows.select(*keys, "date").filter(F.col("date").isNotNull()).distinct()
+        blocks = labels.unionByName(issues.select("*", *[F.lit(0.0).alias(n) for n in sums]))
+        blocks = blocks.groupBy(*keys, "date").agg(*[F.sum(n).alias(n) for n in sums])
+        return blocks.withColumns({n: F.sum(n).over(past) for n in sums})
     label = F.struct(
         F.when(known, F.col("label_date")).alias("at"),
-        *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(n) for n, v in sums.items()],
+        *values,
     )
     issue = F.struct(F.col("date").alias("at"), *[F.lit(0.0).alias(n) for n in sums])
     blocks = (
@@ -59,12 +69,11 @@ def label_prefix(rows: DataFrame, keys: Sequence[str], sums: Mapping[str, Column
     )
     if before is not None:
         blocks = blocks.unionByName(before.select(*blocks.columns)).groupBy(*keys, "date").agg(*[F.sum(n).alias(n) for n in sums])
-    past = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return blocks.withColumns({n: F.sum(n).over(past) for n in sums})
 
 
-def with_pool_sums(rows: DataFrame, pooling: str, sums: Mapping[str, Column]) -> DataFrame:
-    """The `label_prefix` of each row's pool beside the row.
+def with_pool_sums(rows: DataFrame, pooling: str, sums: Mapping[str, Column], written: bool = True) -> DataFrame:
+    """The `label_prefix` of each row's pool beside the row; written: rows that are read from files.
 
     Sums of pools over many dams are a few per day, whatever the number of dams: they are
     written once and broadcast, and the rows stay where they are. Those within a dam are as many
@@ -73,7 +82,7 @@ def with_pool_sums(rows: DataFrame, pooling: str, sums: Mapping[str, Column]) ->
     """
     keyed = rows.withColumn("_pool", pool_key(pooling))
     if pooling not in ENTITY_POOLS:
-        past = materialise(label_prefix(keyed, ["_pool"], sums), "past")
+        past = materialise(label_prefix(keyed, ["_pool"], sums, written=written), "past")
         return keyed.join(F.broadcast(past), ["_pool", "date"], "left").drop("_pool")
     known, row = F.col("target_delta").isNotNull(), F.struct(*[c for c in rows.columns if c != "dam"])
     values = [F.coalesce(v.cast("double"), F.lit(0.0)).alias(n) for n, v in sums.items()]

@@ -283,18 +283,27 @@ def ridge_matrix(table: DataFrame, features: Sequence[str], variants: Sequence[V
                  scaled: bool = True, name: str = "models") -> DataFrame:
     """`ridge_variants` with each row once: an array of predictions in the order of `variants`."""
     fitted = _fitted(_ready(table, pool_key(pooling), features, scaled_target(scaled), F.lit(1.0)), features, variants, pooling)
-    model = F.struct("variant", "known_n", "intercept", F.arrays_zip("centre", "spread", "beta").alias("terms"))
+    # Of a model only the terms that count, with the places of their features: fewer than the union's.
+    terms = F.transform(F.arrays_zip("centre", "spread", "beta"), lambda m, i: F.struct(i.alias("at"), m.centre.alias("centre"), m.spread.alias("spread"), m.beta.alias("beta")))
+    model = F.struct("variant", "known_n", "intercept", F.filter(terms, lambda m: m.beta != 0.0).alias("terms"))
     each = fitted.groupBy(F.col("pool").alias("_pool"), F.date_from_unix_date("day").alias("date")).agg(F.sort_array(F.collect_list(model)).alias("_models"))
     if pooling in ("all", "dam"):
         # A few per day, whatever the number of dams: the rows do not move to meet them.
         each = F.broadcast(materialise(each, "models"))
-    joined = table.withColumn("_pool", pool_key(pooling)).join(each, ["_pool", "date"])
+    # Made before the join: a lambda would make the array anew for each term.
+    values = F.array(*[F.col(f).cast("double") for f in features]).alias("_values")
+    joined = table.select("*", pool_key(pooling).alias("_pool"), values).join(each, ["_pool", "date"])
+
+    def term(x: Column, t: Column) -> Column:
+        # Bounded as by `clip`, which in a lambda would make the quotient three times.
+        bounded = F.greatest(F.least((x - t.centre) / t.spread, F.lit(Z_CLIP)), F.lit(-Z_CLIP))
+        return F.when(x.isNotNull(), bounded * t.beta).otherwise(0.0)
 
     def value(m: Column) -> Column:
-        raw = F.when(m.known_n >= 2, _sum_of_terms(features, m.terms, m.intercept))
-        return finite_or_zero(unscaled(raw) if scaled else raw)
+        return F.when(m.known_n >= 2, m.intercept + F.aggregate(m.terms, F.lit(0.0), lambda total, t: total + term(F.col("_values")[t.at], t)))
 
-    return joined.withColumn(name, F.transform("_models", value)).drop("_pool", "_models")
+    guarded = lambda raw: finite_or_zero(unscaled(raw) if scaled else raw)
+    return joined.withColumn(name, F.transform(F.transform("_models", value), guarded)).drop("_pool", "_models", "_values")
 
 
 def with_models(table: DataFrame, key: Column, models: DataFrame, features: Sequence[str], scaled: bool = True,

@@ -229,7 +229,7 @@ class Experts:
             wide = many.groupBy(*STORED).agg(*each)
             if pooling in ENTITY_POOLS:
                 wide = wide.repartition("dam")
-            mixed = with_pool_sums(with_label_date(wide), pooling, scaled_losses({n: F.col(n) for n in names}))
+            mixed = with_pool_sums(with_label_date(wide), pooling, scaled_losses({n: F.col(n) for n in names}), written=False)
             weights = expert_weights(names, ENSEMBLE_RATE)
             value = sum((weights[n] * F.col(n) for n in names), F.lit(0.0))
             return mixed.select(*STORED, F.array(value).alias("_bases"), F.lit(0).alias("_group"))

@@ -430,3 +430,29 @@ def test_statistics_of_few_keys_are_written(table, keys, monkeypatch):
     monkeypatch.setattr(causal, "materialise", lambda df, label, write=causal.materialise: written.append(label) or write(df, label))
     few, many = (causal.with_causal_z(table, ["a", "b"], keys, **more).select("dam", "date", "horizon", "z_a", "z_b").collect() for more in ({"few": True}, {}))
     assert sorted(few, key=str) == sorted(many, key=str) and len(few) == table.count() and written == ["moments"]
+
+
+def test_rows_from_files_carry_no_zeros(table):
+    """Issue dates are read apart; sums stay what they were, also without a date, a label date or a target."""
+    rows = table.unionByName(table.limit(3).withColumn("label_date", F.lit(None).cast("date"))).unionByName(
+        table.limit(2).withColumn("date", F.lit(None).cast("date"))).withColumn("_pool", F.col("horizon"))
+    sums = {"n": F.lit(1.0), "total": F.col("a"), "loss": F.abs("target_delta")}
+    exploded, apart = (causal.label_prefix(rows, ["_pool"], sums, written=w) for w in (False, True))
+    key = lambda r: (r["_pool"], r["date"])
+    one, two = ({key(r): tuple(r) for r in df.collect()} for df in (exploded, apart))
+    assert one.keys() == two.keys() and all(two[k][2:] == pytest.approx(v[2:], abs=1e-9) for k, v in one.items())
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan(exploded) and "Generate" not in plan(apart)
+
+
+def test_a_matrix_of_ridges_is_its_variants(spark, folder):
+    """Models hold only their own terms: NULL, NaN and far features count as they do alone."""
+    rows = search.prepared(events_table(spark, folder), crossed=False).withColumn(
+        "odd", F.when(F.col("horizon") == 1, F.lit(None)).when(F.col("horizon") == 2, F.lit(float("nan"))).otherwise(F.col("rwl_m") * 1e6))
+    variants = [(1.0, ["rwl_m", "horizon"]), (100.0, ["rwl_m", "rain_3d", "horizon", "odd"])]
+    used = list(dict.fromkeys(c for _, use in variants for c in use))
+    keys = ["dam", "date", "horizon"]
+    got = {tuple(r)[:3]: r.m for r in ridge.ridge_matrix(rows, used, variants, "all", True, "m").select(*keys, "m").collect()}
+    assert got and ridge.ridge_variants(rows, used, variants, "all", True).count() == 2 * len(got)
+    for r in ridge.ridge_variants(rows, used, variants, "all", True).select(*keys, "variant", "model").collect():
+        assert got[r.dam, r.date, r.horizon][r.variant] == r.model
